@@ -74,6 +74,7 @@ def statistics(texts: pa.Array, w: Words, declared: np.ndarray) -> np.ndarray:
 
 
 N_STATS = 20
+BIN_VALUE, WORD_NORM = 0.65, 0.5  # the value of a bin, the length of the vector of words
 
 
 def features(texts: pa.Array, declared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +83,6 @@ def features(texts: pa.Array, declared: np.ndarray) -> tuple[np.ndarray, np.ndar
     hashes, first = w.hashes(), w.first
     stats = statistics(texts, w, declared)
     index, value, counts = [], [], np.zeros(len(texts), np.int64)
-    scale = 1 / np.sqrt(N_STATS + 1)
     for i in range(len(texts)):
         own, n = np.unique(hashes[first[i] : first[i + 1]], return_counts=True)
         damped = np.log1p(n)
@@ -91,7 +91,7 @@ def features(texts: pa.Array, declared: np.ndarray) -> tuple[np.ndarray, np.ndar
         bins = np.minimum((np.append(stats[i], repeated) * BINS).astype(np.int64), BINS - 1)
         bins += np.arange(len(bins)) * BINS
         index.append(np.concatenate((bins, len(bins) * BINS + (own >> np.uint64(64 - BITS)).astype(np.int64))))
-        value.append(np.concatenate((np.full(len(bins), scale), damped / max(1e-9, np.sqrt((damped**2).sum())))))
+        value.append(np.concatenate((np.full(len(bins), BIN_VALUE), damped * (WORD_NORM / max(1e-9, np.sqrt((damped**2).sum()))))))
         counts[i] = len(index[-1])
     return np.concatenate(index).astype(np.int32), np.concatenate(value).astype(np.float32), counts
 
