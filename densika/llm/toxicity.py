@@ -5,12 +5,12 @@ the probabilities of the categories before it.  For training these are out-of-fo
 learns from earlier probabilities as uncertain as those it will get.  The last category is the label itself;
 the first two are weak labels, set where a labelled toxic document holds a term of the category's seed list.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, as hashes.  A model keeps the words
-whose presence differs most between its classes, by a z-score of the shares, and fits a ridge-penalised
-logistic regression by Newton steps.  It is fitted on the driver on at most ``sample`` labelled documents,
+Terms are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, and their pieces of five bytes, which
+catch stems under any ending; both as hashes.  A model keeps the terms whose presence differs most between
+its classes, by a z-score of the shares, and fits a ridge-penalised logistic regression by Newton steps.  It is fitted on the driver on at most ``sample`` labelled documents,
 those with the smallest hashes of ``doc_id``; every document is scored on its whole text.
 
-Nulls: a null text has no words and gets the base rates; labels that are null do not count, and several of
+Nulls: a null text has no terms and gets the base rates; labels that are null do not count, and several of
 one document count as the largest.  Without labels all probabilities are 0.  Repeated rows score alike, an
 empty table gives an empty result, and further columns are ignored.
 """
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.wordbytes import finish, letters, pieces, ragged
+from densika.llm.wordbytes import PIECE, Words, finish, letters, pieces, ragged
 
-SAMPLE, FOLDS, FEATURES = 8000, 5, 400
+SAMPLE, FOLDS, FEATURES, GRAM = 4000, 5, 400, 5
 CATEGORIES = ("insult", "contempt", "toxic")
 #: Seed lists of the weak labels.
 SEEDS = {
@@ -36,13 +36,47 @@ SEEDS = {
 }
 
 
-def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _grams(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the pieces of words, and the word of each; a part of the words at a time."""
+    lo = 0
+    while lo < len(w.start):
+        hi = max(lo + 1, int(np.searchsorted(w.end, w.start[lo] + PIECE, "right")))
+        data = w.data[w.start[lo] : w.end[hi - 1]].astype(np.uint64)
+        n = np.maximum(w.end[lo:hi] - w.start[lo:hi] - GRAM + 1, 0)
+        at = np.repeat(w.start[lo:hi] - w.start[lo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        packed = np.zeros(len(at), np.uint64)
+        for k in range(GRAM):
+            packed = (packed << np.uint64(8)) | data[at + k]
+        yield finish(packed), np.repeat(np.arange(lo, hi), n)
+        lo = hi
+
+
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each text, sorted, and their number by text."""
     w = letters(texts)
-    hashes = w.hashes()
-    own = [np.unique(hashes[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    whole = w.hashes()
+    parts = list(_grams(w))
+    grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
+    at = np.searchsorted(np.concatenate([o for _, o in parts]) if parts else np.zeros(0, np.int64), w.first)
+    own = [np.unique(np.concatenate((whole[a:b], grams[c:d]))) for a, b, c, d in zip(w.first[:-1], w.first[1:], at[:-1], at[1:], strict=True)]
     return (np.concatenate(own) if own else np.zeros(0, np.uint64)), np.array([len(x) for x in own], np.int64)
 
 
+def known_terms(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of the texts that are among the sorted ``known``, and the text of each; repeats stay."""
+    w = letters(texts)
+    owner = np.repeat(np.arange(len(texts)), w.count())
+    sieve = np.zeros(1 << 16, bool)
+    sieve[(known >> np.uint64(48)).astype(np.int64)] = True
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for hashes, word in [(w.hashes(), np.arange(len(owner))), *_grams(w)]:
+        near = np.flatnonzero(sieve[(hashes >> np.uint64(48)).astype(np.int64)])
+        hashes, word = hashes[near], word[near]
+        hit = np.isin(hashes, known)
+        out.append((hashes[hit], owner[word[hit]]))
+    return np.concatenate([h for h, _ in out]), np.concatenate([o for _, o in out])
+
+
 @dataclass
 class Linear:
     words: np.ndarray  # sorted hashes
@@ -56,13 +90,16 @@ class Linear:
 @dataclass
 class Chain:
     models: list[Linear] = field(default_factory=list)
+    threshold: float = 0.5
 
-    def probabilities(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(sizes), 0))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        if not self.models:
+            return np.zeros((len(texts), len(CATEGORIES)))
+        hashes, owner = known_terms(texts, np.unique(np.concatenate([m.words for m in self.models])))
+        out = np.zeros((len(texts), 0))
         for model in self.models:
             out = np.concatenate((out, model.probability(hashes, owner, out)[:, None]), 1)
-        return out if self.models else np.zeros((len(sizes), len(CATEGORIES)))
+        return out
 
 
 def _presence(known: np.ndarray, hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -74,7 +111,7 @@ def _presence(known: np.ndarray, hashes: np.ndarray, owner: np.ndarray, n: int)
     return out
 
 
-def _fit(hashes: np.ndarray, owner: np.ndarray, rows: np.ndarray, earlier: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> Linear:
+def _fit(hashes: np.ndarray, owner: np.ndarray, rows: np.ndarray, earlier: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> Linear:
     """A model from the documents ``rows``; the other arguments are those of all documents."""
     member = np.zeros(len(y), bool)
     member[rows] = True
@@ -125,16 +162,29 @@ def fit_chain(ids: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, labels: np
             out[test] = model.probability(hashes[use], local[owner[use]], earlier[test])
         chain.models.append(_fit(hashes, owner, np.arange(len(y)), earlier, y))
         earlier = np.concatenate((earlier, out[:, None]), 1)
+    chain.threshold = _best_threshold(earlier[:, -1], labels[:, -1])
     return chain
 
 
+def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where the F1 of out-of-fold probabilities is largest: between the last one taken and the next."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    if not len(y) or not hits[-1]:
+        return 0.5
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + hits[-1])
+    f1[:-1][p[order][1:] == p[order][:-1]] = 0  # ties are taken together
+    at = int(np.argmax(f1))
+    return float(np.sqrt(p[order][at] * (p[order][at + 1] if at + 1 < len(y) else p[order][at])))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marked = usable.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            hashes, sizes = distinct_words(batch.column("text"))
+            hashes, sizes = terms(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), ragged(hashes.view(np.int64), sizes, pa.int64())], ["doc_id", "y", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")  # at most ``sample`` ids
@@ -149,19 +199,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     weak = []
     for name in CATEGORIES[:-1]:
-        seeds, _ = distinct_words(pa.array([" ".join(SEEDS[name])]))
+        seeds = np.unique(letters(pa.array([" ".join(SEEDS[name])])).hashes())
         weak.append(toxic * _presence(seeds, hashes, owner, len(sizes)).any(1))
     return fit_chain(np.asarray(got.column("doc_id")), hashes, sizes, np.stack([*weak, toxic], 1))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id``, a probability ``p_*`` for each category, and ``toxic``."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id``, a probability ``p_*`` for each category, and ``toxic``.
+
+    By default the threshold is that with the best F1 on the training rows' out-of-fold probabilities.
+    """
     chain = train(docs, labels, sample)
+    threshold = chain.threshold if threshold is None else threshold
     names = [f"p_{c}" for c in CATEGORIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            got = chain.probabilities(*distinct_words(batch.column("text")))
+            got = chain.probabilities(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[:, c]) for c in range(len(names)))], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
