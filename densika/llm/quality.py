@@ -182,11 +182,11 @@ def score(docs: DataFrame, machine: Machine, carry: list[str]) -> DataFrame:
         for batch in pieces(batches, "text_"):
             index, value, counts = features(batch.column("text_"), _declared(batch))
             got = 1 / (1 + np.exp(-np.clip(machine.margins(index, value, counts).astype(np.float64), -30, 30)))
-            kept = [batch.column(f"c{k}") for k in range(len(carry))]
+            kept = [batch.column("text_" if c == "text" else f"c{k}") for k, c in enumerate(carry)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(got)], [*(f"c{k}" for k in range(len(carry))), "score"])
 
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col("text").alias("text_"), _with_length(docs).alias("n_chars"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry) if c != "text"], F.col("text").alias("text_"), _with_length(docs).alias("n_chars"))
     out = rows.mapInArrow(run, ", ".join([*(f"c{k} {kind}" for k, kind in enumerate(kinds)), "score double"]))
     return out.select(F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)]).alias("doc"), "score")
 
