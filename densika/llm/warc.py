@@ -28,22 +28,26 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 RECORDS_PER_FILE = 50_000
 
 
-def base32_sha1(payload: Column) -> Column:
+def base32(hexed: Column) -> Column:
     """160 bits in eight groups of twenty, each five hexadecimal digits and four letters."""
-    hexed = F.sha1(payload.cast("binary"))
+    groups = F.array(*[F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int") for g in range(8)])
 
-    def group(i: Column) -> Column:
-        value = F.conv(F.substring(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        letters = [F.substring(F.lit(ALPHABET), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-        return F.concat(*letters)
+    def letters(value: Column) -> Column:
+        return F.concat(*[F.substring(F.lit(ALPHABET), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group), "")
+    return F.array_join(F.transform(groups, letters), "")
+
+
+def _hex(payload: Column) -> Column:
+    return F.sha1(payload.cast("binary"))
 
 
 def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, digest, bytes, refers_to``; the last is null for responses."""
     payload = F.coalesce("html", F.lit(""))
-    own = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), base32_sha1(payload).alias("digest"))
+    own = pages.select("page_id", "url", payload.alias("payload"))
+    own = own.select("*", F.octet_length("payload").cast("long").alias("bytes"), _hex(F.col("payload")).alias("hexed"))
+    own = own.select("page_id", "url", "payload", "bytes", base32(F.col("hexed")).alias("digest"))
     same = own.where(F.col("bytes") >= min_bytes).groupBy(F.col("digest").alias("twin"), F.col("bytes").alias("twin_bytes")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = store(same.where("n > 1").drop("n"), "twins")  # pages without a twin need no partner
     joined = own.join(shared, (F.col("digest") == F.col("twin")) & (F.col("bytes") == F.col("twin_bytes")), "left")
@@ -99,24 +103,33 @@ def _field(head: Column, name: str) -> Column:
 
 def _parsed(rows: DataFrame) -> DataFrame:
     """Fields of a candidate; ``extent`` is what the record declares, from its magic to its successor's."""
-    parts = F.split("value", CRLF * 2, 3)
-    head = F.get(parts, F.lit(0))
-    rest = F.get(parts, F.lit(2))
-    payload = F.substring(rest, F.lit(1), F.length(rest) - 4)
-    length = _field(head, "Content-Length").try_cast("long")
-    page = F.regexp_extract(head, r"WARC-Record-ID: <urn:page:(-?\d+)>", 1)
-    refers = F.regexp_extract(head, r"WARC-Refers-To: <urn:page:(-?\d+)>", 1)
-    revisit = _field(head, "WARC-Type") == "revisit"
+    # One projection builds on the other, so that no costly expression is written out, and run, twice.
+    own = [c for c in rows.columns if c != "value"]
+    rows = rows.select(*own, F.octet_length("value").alias("size"), F.split("value", CRLF * 2, 3).alias("parts"))
+    rows = rows.select(*own, "size", F.get("parts", F.lit(0)).alias("head"), F.get("parts", F.lit(2)).alias("rest"))
+    rows = rows.select(*own, "size", "head", F.substring("rest", F.lit(1), F.length("rest") - 4).alias("payload"))
+    rows = rows.select(*own, "size", "head", F.octet_length("payload").cast("long").alias("bytes"), _hex(F.col("payload")).alias("hexed"))
+    head = F.col("head")
+    rows = rows.select(
+        *own, "size", "bytes", "hexed", F.octet_length("head").alias("head_bytes"), (_field(head, "WARC-Type") == "revisit").alias("revisit"),
+        _field(head, "Content-Length").try_cast("long").alias("length"), _field(head, "WARC-Payload-Length").try_cast("long").alias("full"),
+        _field(head, "WARC-Payload-Digest").alias("named"), _field(head, "WARC-Record-ID").alias("page"), _field(head, "WARC-Refers-To").alias("first"),
+    )
+
+    def number(urn: str) -> Column:
+        return F.regexp_extract(urn, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+
+    revisit = F.col("revisit")
     return rows.select(
-        *[c for c in rows.columns if c != "value"],
-        F.octet_length("value").alias("size"),
-        (F.lit(len(MAGIC) + 4 + 4) + F.octet_length(head) + length).alias("extent"),
-        F.when(page != "", page.cast("long")).alias("page_id"),
-        F.when(refers != "", refers.cast("long")).alias("refers_to"),
+        *own,
+        "size",
+        (F.lit(len(MAGIC) + 4 + 4) + F.col("head_bytes") + F.col("length")).alias("extent"),
+        number("page").alias("page_id"),
+        number("first").alias("refers_to"),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(revisit, _field(head, "WARC-Payload-Length").cast("long")).otherwise(F.octet_length(payload).cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha1:", "")).otherwise(base32_sha1(payload)).alias("payload_digest"),
-    )
+        F.when(revisit, F.col("full")).otherwise(F.col("bytes")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("named", "^sha1:", "")).otherwise(base32(F.col("hexed"))).alias("payload_digest"),
+    )
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
