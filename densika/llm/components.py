@@ -30,10 +30,9 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = store(_star(both, True), "edges")
-        small = store(_star(large, False), "edges")
-        drop(edges, large)
-        edges = small
+        turned = store(_star(_star(both, True), False), "edges")
+        drop(edges)
+        edges = turned
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark or not now[0]:
             break

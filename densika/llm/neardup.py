@@ -3,13 +3,15 @@
 A document's set is its distinct two-word shingles (``width`` words in general), hashed to 64 bits.  A
 HyperMinHash register keeps of its bucket's smallest hash the number of leading zeros and ten bits of
 mantissa, sixteen bits in all; ``BANDS`` bands of ``ROWS`` registers are compared as wholes.  At similarity
-0.8 a link escapes all bands with a chance of 4e-9, and empty registers only help small sets.
+0.8 a link escapes all bands with a chance of 4e-9.  For banding, empty registers borrow from others, so that
+no band of a small set rests on a single shingle.
 
 Links are found in rounds that never pair up a bucket's members: each bucket tests its members against its
 first one, then, among the members whose components still differ, against the next.  A document first tests
-only the leader it shares most bands with; other leaders follow where the components differ.  After
-``ROUNDS`` rounds the members of a bucket that still belong to different components are compared outright,
-so nothing is capped.  Tests run on distinct sets: copies share one, whatever their number.
+only the leader it shares most bands with; other leaders follow where the components differ.  Nothing is
+capped: what ``ROUNDS`` rounds leave in buckets of several components meets in an exact prefix-filter join,
+which pairs sets of different components that share one of the rarest shingles that two linked sets must
+share.  Tests run on distinct sets: copies share one, whatever their number.
 
 A pair passes on the collision-corrected Jaccard estimate of its sketches, less five standard errors, and is
 then decided on the full sets.
@@ -36,9 +38,12 @@ from densika.llm.wordbytes import Words, finish, pieces, words
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-ROUNDS = 4
+ROUNDS = 1
 _MULTIPLIERS = np.random.default_rng(6).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_CHOICES = [np.random.default_rng(100 + k).permutation(REGISTERS) for k in range(8)]
+_PRIORITY = np.random.default_rng(99).integers(0, 1 << 31, (REGISTERS, REGISTERS), dtype=np.int32)
+
 
 def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, sorted by text and hash, and their number by text."""
@@ -75,11 +80,26 @@ def registers(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def filled(sketches: np.ndarray) -> np.ndarray:
+    """Sketches with each empty register filled from another, so that a band always compares ``ROWS`` elements.
+
+    Which one is drawn alike for all sets: the first of eight fixed choices that is not empty, else the one
+    of the smallest fixed priority.  Two filled registers agree about as often as the sets overlap.
+    """
+    out = sketches.copy()
+    for choice in _CHOICES:
+        out = np.where(out == 0, sketches[:, choice], out)
+    for i in np.flatnonzero((out == 0).any(1)):
+        have, lack = np.flatnonzero(sketches[i]), np.flatnonzero(out[i] == 0)
+        if len(have):
+            out[i, lack] = sketches[i, have[_PRIORITY[np.ix_(lack, have)].argmin(1)]]
+    return out
+
+
 def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """64-bit keys by band; 0 stands for a band without elements."""
-    bands = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    keys = finish((bands * _MULTIPLIERS[:ROWS]).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLIERS[15])
-    return np.where(bands.any(2), keys | np.uint64(1), np.uint64(0))
+    """64-bit keys by band."""
+    bands = filled(sketches).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return finish((bands * _MULTIPLIERS[:ROWS]).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLIERS[15])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +144,8 @@ def _bands(sketches: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 keys = band_keys(_matrix(part.column("sketch")))
-                filled = keys != 0
-                node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), filled.sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[filled].view(np.int64)), pa.array(node)], ["key", "node"])
+                node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], ["key", "node"])
 
     return sketches.select("node", "sketch").mapInArrow(run, "key long, node long")
 
@@ -184,42 +203,90 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, hashes binary")
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` (node, component) of different components that may reach ``percent``; none is missed.
+
+    With shingles ordered from the rarest, the first common shingle of two linked sets of n and m has
+    ceil(t / (1 + t) (n + m)) shingles or more from it on in both.  Components that share a shingle are paired
+    first, by the bounds of their members, so that pairs inside a component are never looked at.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                raw = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("hashes")]
+                sizes = np.array([len(x) for x in raw], np.int64)
+                node, component = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("node", "component"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, component, np.repeat(sizes, sizes), np.concatenate(raw))], ["node", "component", "n", "shingle"])
+
+    rows = store(nodes.join(sets, "node").select("node", "component", "hashes").mapInArrow(run, "node long, component long, n long, shingle long"), "shingles")
+    rarity = rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
+    ranked = rows.join(rarity, "shingle").withColumn("rank", rank)
+    # ceil(a / b) of whole numbers is (a + b - 1) div b
+    least = F.expr(f"(n * {percent} + 99) div 100")
+    rest = F.col("n") - F.col("rank") + 1  # shingles from this one on
+    ranked = ranked.where(F.col("mixed") & (rest >= least)).select("shingle", "component", "node", "n", rest.alias("rest"))
+    ranked = store(ranked, "prefixes")
+
+    def may(n1: str, n2: str, rest1: str, rest2: str) -> str:
+        """Linked sets of these sizes have so many shingles in common, all from their first common one on."""
+        common = f"({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent}"
+        return f"{rest1} >= {common} and {rest2} >= {common}"
+
+    groups = ranked.groupBy("shingle", "component").agg(F.max("rest").alias("r"), F.min("n").alias("low"), F.max("n").alias("high"))
+    others = groups.select("shingle", F.col("component").alias("other"), F.col("r").alias("r2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    near = f"component < other and 100 * high >= {percent} * low2 and 100 * high2 >= {percent} * low and {may('low', 'low2', 'r', 'r2')}"
+    crossed = groups.join(others, "shingle").where(near).select("shingle", "component", "other")
+    one = ranked.join(crossed, ["shingle", "component"])
+    two = ranked.select("shingle", F.col("component").alias("other"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("s"))
+    close = f"100 * n >= {percent} * m and 100 * m >= {percent} * n and {may('n', 'm', 'rest', 's')}"
+    pairs = one.join(two, ["shingle", "other"]).where(close)
+    return pairs.select(F.least("v", "node").alias("u"), F.greatest("v", "node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; a component keeps its smallest ``doc_id``."""
     sketches = store(sketch(docs, width), "sketches")
     real = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = store(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").cast("long").alias("node")), "classes")
     heads = real.withColumn("node", F.col("doc_id").cast("long")).join(classes, ["node", "s1", "s2", "n"], "left_semi").dropDuplicates(["node", "s1", "s2"])
-    heads = store(heads.select("node", "sketch"), "heads")
+    heads = heads.select("node", "sketch")
 
     by_key = Window.partitionBy("key").orderBy("node")
     met = _bands(heads).select("key", "node", F.first("node").over(by_key).alias("leader"), F.lead("node").over(by_key).alias("next"))
     met = store(met.where((F.col("leader") < F.col("node")) | (F.col("next") > F.col("node"))).select("key", "node", "leader"), "buckets")
-
-    starred = met.where(F.col("leader") < F.col("node")).groupBy(F.col("leader").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("bands"))
-    starred = store(starred, "stars")
     some = met.select("node").distinct()
+    heads = store(heads.join(some, "node", "left_semi"), "heads")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(some, "node", "left_semi")
     sets = store(_full_sets(texts, width), "sets")
 
-    best = starred.groupBy("v").agg(F.max_by("u", F.struct("bands", -F.col("u"))).alias("u"))
-    links = store(_verified(_likely(best, heads, percent / 100), sets, percent), "links")
-    labels = components(links)
+    def tested(pairs: DataFrame) -> DataFrame:
+        return _verified(_likely(pairs, heads, percent / 100), sets, percent)
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         at_u = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
         at_v = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
         own = pairs.join(at_u, "u", "left").join(at_v, "v", "left")
-        return own.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+        return own.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu != cv")
 
-    def grown(links: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = store(_verified(_likely(apart(pairs, labels), heads, percent / 100), sets, percent), "links")
+    def grown(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Labels after the links among ``pairs``: components are found on the graph of the former ones."""
+        pairs = store(apart(pairs, labels), "pairs")
+        new = store(pairs.join(tested(pairs), ["u", "v"], "left_semi").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "links")
         if new.isEmpty():
-            return links, labels
-        links = links.unionByName(new)
-        return links, components(links)
+            return labels
+        merged = components(new)
+        moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+        moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+        return store(moved.unionByName(merged.join(labels, "node", "left_anti").select("node", "component")), "labels")
 
-    links, labels = grown(links, labels, starred)
+    starred = met.where(F.col("leader") < F.col("node")).groupBy(F.col("leader").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("bands"))
+    starred = store(starred, "stars")
+    best = starred.groupBy("v").agg(F.max_by("u", F.struct("bands", -F.col("u"))).alias("u")).select("u", "v")
+    labels = components(store(tested(best), "links"))
+    labels = grown(labels, starred.select("u", "v"))
     left = met.where(F.col("leader") != F.col("node")).select("key", "node")
     for turn in range(ROUNDS + 1):
         left = left.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -227,12 +294,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         left = store(left.join(split.select("key", "leader"), "key"), "buckets")
         if left.isEmpty():
             break
-        if turn < ROUNDS:
-            pairs = left.where("leader < node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-        else:
-            other = left.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
-            pairs = left.withColumnRenamed("node", "u").join(other, "key").where("u < v and component != cv").select("u", "v").distinct()
-        links, labels = grown(links, labels, store(pairs, "pairs"))
+        if turn == ROUNDS:
+            labels = grown(labels, _prefix_pairs(left.select("node", "component").distinct(), sets, percent))
+            break
+        labels = grown(labels, left.where("leader < node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
         left = left.where("leader < node").select("key", "node")
 
     own = sketches.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes.withColumnRenamed("n", "n_shingles"), ["s1", "s2", "n_shingles"], "left")
