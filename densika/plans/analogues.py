@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from densika.runtime import visible
+
 N_MAPS = 7
 DIMS, SPACING = (40, 40, 40), 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return visible(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
