@@ -246,6 +246,13 @@ SQL["job_pending"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SEL
 SQL["manifest_lines"] = f"WITH {SCREEN} SELECT id || '|' || pdb || '|' || mtz AS value FROM best"
 SQL["selection_text"] = f"WITH {KEYS} SELECT crystal, string_agg('(chain A and resseq ' || (n // 3) || ' and name ' || (n % 3) || ')', ' or ' ORDER BY n // 3, key) AS selection FROM keys GROUP BY 1"
 SQL["common_prefix"] = "SELECT '/data/ref' AS prefix"
+SQL["map_files"] = f"WITH {LISTING} SELECT stem, string_agg(path, ',' ORDER BY path) AS paths FROM pth WHERE cap <> 50 GROUP BY 1"
+SQL["manifest_reflections"] = f"""WITH {SCREEN} SELECT 'x' || row AS stem, coalesce(CASE WHEN a IS NOT NULL THEN b END, CASE WHEN row % 2 = 0 THEN e END) AS reflections FROM scr"""
+SQL["selection_union"] = "SELECT c_nationkey AS crystal, c_custkey AS key FROM customer WHERE c_nationkey < 7"
+SQL["omission_json"] = f"WITH {SCHEDULE} SELECT crystal, key, CAST(CASE WHEN maps = '' THEN 0 ELSE len(string_split(maps, ',')) END AS BIGINT) AS n_maps FROM sparse"
+SQL["atom_csv_rows"] = "SELECT vec_id AS atom_id, printf('%.6f', (vec_id * 37 % 101) / CAST(100.0 AS DOUBLE)) AS score, printf('%.4f', -(vec_id * 11 % 50) / CAST(100.0 AS DOUBLE)) AS score_negative FROM embeddings"
+SQL["scored_model"] = f"""WITH {atoms_sql(BOND_SCALE)} SELECT atom_id, printf('%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s', 'ATOM', atom_id, ' C' || (atom_id % 8), ' ', resname, chain, resnum, ' ', floor(x), floor(y), floor(z), 1.0,
+CASE WHEN atom_id % 3 = 0 THEN (atom_id * 37 % 101) / CAST(100.0 AS DOUBLE) * 100 ELSE CAST(0 AS DOUBLE) END, 'C') AS value FROM atoms"""
 SQL["t_sf"] = f"WITH {atoms_sql(10)}, z AS (SELECT atom_id, (x - CAST(0.1 AS DOUBLE)) / CAST(0.5 AS DOUBLE) AS z FROM atoms) SELECT atom_id, {r4('0.5 - z / (2 * sqrt(2 + z * z))')} AS p_value FROM z"
 SQL["t_sf_by_group"] = f"""WITH {atoms_sql(10)}, z AS (SELECT atom_id, chain, x, (x - CAST(0.1 AS DOUBLE)) / CAST(0.5 AS DOUBLE) AS z FROM atoms)
 SELECT atom_id, {r4("CASE chain WHEN 'A' THEN 0.5 - atan(x) / pi() WHEN 'B' THEN 0.5 - z / (2 * sqrt(2 + z * z)) END")} AS p_value FROM z"""

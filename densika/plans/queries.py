@@ -465,6 +465,55 @@ def common_prefix(s: SparkSession, d: str) -> DataFrame:
     return workspace.common_prefix(_screening(s, d).where("RefinementPDB_latest is not null").select(F.col("RefinementPDB_latest").alias("path")))
 
 
+@query
+def map_files(s: SparkSession, d: str) -> DataFrame:
+    got = workspace.maps_by_suffix(_listing(s, d).withColumn("path", F.when(F.col("path").contains("cap_50"), F.regexp_replace("path", "_snr", "_mean")).otherwise(F.col("path"))), "snr")
+    return got.select("stem", F.array_join("paths", ",").alias("paths"))
+
+
+@query
+def manifest_reflections(s: SparkSession, d: str) -> DataFrame:
+    o = _screening(s, d)
+    stems = o.select(F.concat(F.lit("x"), F.col("row").cast("string")).alias("stem"))
+    manifest = o.where("RefinementPDB_latest is not null").select(F.col("RefinementPDB_latest").alias("model"), F.col("RefinementMTZ_latest").alias("reflections"))
+    parsed = o.where("row % 2 = 0").select(F.concat(F.lit("x"), F.col("row").cast("string")).alias("stem"), F.col("DimplePathToMTZ").alias("value"))
+    return workspace.original_reflections(stems, manifest, parsed)
+
+
+@query
+def selection_union(s: SparkSession, d: str) -> DataFrame:
+    """Distinct parts left out of any map."""
+    chunks = omission.sample_batches(_customers(s, d).where("crystal < 5"), 0.3, 2, _order(), ["crystal"])
+    fixed = _customers(s, d).where("crystal >= 3 and crystal < 7")
+    return chunks.select("crystal", "key").unionByName(fixed).distinct()
+
+
+@query
+def omission_json(s: SparkSession, d: str) -> DataFrame:
+    """Omission maps written as JSON objects by crystal and read again."""
+    held = _omission_maps(s, d).groupBy("crystal").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "map_ids")))).alias("value"))
+    read = held.select("crystal", F.explode(F.from_json("value", "map<string,array<int>>")).alias("key", "map_ids"))
+    return read.select("crystal", "key", F.size("map_ids").cast("long").alias("n_maps"))
+
+
+@query
+def atom_csv_rows(s: SparkSession, d: str) -> DataFrame:
+    return _scores(s, d).select("atom_id", F.format_string("%.6f", "score").alias("score"), F.format_string("%.4f", F.col("score_negative")).alias("score_negative"))
+
+
+@query
+def scored_model(s: SparkSession, d: str) -> DataFrame:
+    """Model lines with scores as B factors; atoms without score have 0."""
+    from densika.sources import structures
+
+    a = A.atoms(s, d, BOND_SCALE).select(
+        "atom_id", F.lit("ATOM").alias("record"), F.col("atom_id").alias("serial"), F.concat(F.lit("C"), (F.col("atom_id") % 8).cast("string")).alias("atom"), "altloc", "resname", "chain", "resnum", "icode",
+        *[F.floor(c).cast("double").alias(c) for c in "xyz"], F.lit(1.0).alias("occupancy"), F.lit("C").alias("element"),
+    )
+    scores = a.where("atom_id % 3 = 0").select("chain", "resnum", "icode", "atom", ((F.col("atom_id") * 37 % 101) / 100.0).alias("score"))
+    return structures.scored_lines(a, scores)
+
+
 # Statistics
 
 

@@ -145,3 +145,38 @@ def common_prefix(paths: DataFrame, column: str = "path") -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "|").schema("id string, model string, reflections string").csv(path)
+
+
+def maps_by_suffix(listing: DataFrame, suffix: str) -> DataFrame:
+    """``(stem, paths)``: the sorted map files of each experiment whose names end in ``_<suffix>.ccp4``."""
+    return listing.where(F.col("path").endswith(f"_{suffix}.ccp4")).groupBy("stem").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def original_reflections(experiments: DataFrame, manifest: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``(stem, reflections)``: by the manifest's model name, else by the parameters ``(stem, value)`` of a job."""
+    named = manifest.select(F.regexp_extract("model", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"), F.col("reflections").alias("listed")).groupBy("stem").agg(F.min("listed").alias("listed"))
+    written = parsed.groupBy("stem").agg(F.min("value").alias("written"))
+    out = experiments.select("stem").join(named, "stem", "left").join(written, "stem", "left")
+    return out.select("stem", F.coalesce("listed", "written").alias("reflections"))
+
+
+def write_null_parameters(params: dict[str, float], path: str | Path) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps({k: float(params[k]) for k in ("df", "loc", "scale")}), encoding="utf-8")
+
+
+def read_null_parameters(path: str | Path) -> dict[str, float] | None:
+    return json.loads(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else None
+
+
+def layout(root: str | Path, crystals: list[str]) -> list[tuple[str, str | None]]:
+    """Folders of each crystal; one that can't be made is reported and doesn't stop the others."""
+    out = []
+    for name in crystals:
+        try:
+            for part in ("processed", "metadata", "params", "results", "quantify_results", "analyse_results"):
+                (Path(root) / name / part).mkdir(parents=True, exist_ok=True)
+            out.append((name, None))
+        except OSError as fault:
+            out.append((name, str(fault)))
+    return out
