@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from densika.llm.storage import store
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, before and after A-Z are lower-cased.
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CASED_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Splitting takes a tenth of the time of matching; empty strings come of gaps at the ends."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAPS), "")
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
@@ -69,9 +72,9 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: int = 20) -> DataFrame:
-    """Every row as ``doc`` with ``n_words, n_hit, items, contaminated`` (a hit, and 1 in ``one_in`` words or more)."""
-    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("mark"), F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(WORD)).cast("long").alias("n_words"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: int = 20, carry: list[str] | None = None) -> DataFrame:
+    """Every row as ``doc`` (its columns ``carry``, by default all) with ``n_words, n_hit, items, contaminated`` (a hit, and 1 in ``one_in`` words or more)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc"), F.xxhash64("text").alias("mark"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), CASED_GAPS), "")).cast("long").alias("n_words"))
     found = hits(docs, benchmark, n).withColumnRenamed("mark", "mark_")
     joined = rows.join(found, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("mark_")), "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
@@ -80,7 +83,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: in
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    got = decontaminate(docs.select("doc_id", "text"), benchmark)
+    got = decontaminate(docs.select("doc_id", "text"), benchmark, carry=["doc_id"])
     return got.select(
         "doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
