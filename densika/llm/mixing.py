@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from densika.llm.storage import store
 
-WORD = r"[^\x20\x09-\x0D]+"
+GAPS = r"[\x20\x09-\x0D]+"
 PREFIX = 3  # hex digits of the digest: 4096 sums a source
 
 
 def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS), "")).cast("long")
 
 
 def source_key(source: Column) -> Column:
