@@ -104,16 +104,20 @@ def duplicate_ranges(docs: DataFrame, window: int) -> DataFrame:
     """``(doc, mark, lo, hi)``: starts of windows whose words also start in a document with a smaller number."""
     index = index_rows(docs, window)
     met = index.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), (F.min("block") != F.max("block")).alias("mixed"))
-    shared = store(index.join(met.where("a < z").select("anchor", "mixed"), "anchor"), "shared-blocks")
-    heads = shared.groupBy("anchor", "block").agg(F.min("doc").alias("head"))
+    # Minima are stored before they are joined: both sides of each join then come straight from a shuffle,
+    # and adaptive execution splits a hot anchor or block.
+    met = store(met.where("a < z").select("anchor", "mixed"), "shared-anchors")
+    shared = store(index.join(met, "anchor"), "shared-blocks")
+    heads = store(shared.groupBy("anchor", "block").agg(F.min("doc").alias("head")), "heads")
     owned = shared.join(heads, ["anchor", "block"])
     whole = store(owned.where("doc > head").select("doc", "mark", "lo", "hi"), "whole-blocks")
     cut = owned.where("mixed and doc = head").groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     near = store(_boundary_windows(docs.join(cut, ["doc", "mark"]).select("doc", "mark", "text", "ranges"), window), "boundary-windows")
     least = near.groupBy("a", "b").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last")
-    edges = near.join(least.select("a", "b", "head"), ["a", "b"]).where("doc > head").select("doc", "mark", "lo", F.col("lo").alias("hi"))
+    least = store(least.select("a", "b", "head"), "window-heads")
+    edges = near.join(least, ["a", "b"]).where("doc > head").select("doc", "mark", "lo", F.col("lo").alias("hi"))
     found = store(whole.unionByName(edges), "duplicate-windows")
-    drop(shared, whole, near)
+    drop(met, shared, heads, whole, near, least)
     return found
 
 
