@@ -16,6 +16,7 @@ an empty one, and columns besides ``text`` are carried in ``doc`` untouched.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Texts without a match of this have no span at all, so that one pass over them is enough.
 ANY = r"""[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|[A-Za-z0-9+/_=-]{20}"""
 WINDOW = 20
+CHUNK = 256  # matches whose offsets are added up together
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Class of a candidate, and the bits a window needs.
 CLASSES = ((r"^[0-9A-Fa-f]+$", 3.0), (r"^([0-9a-z]+|[0-9A-Z]+)$", 3.6), (r".", 3.9))
@@ -41,19 +43,41 @@ ALLOWED = (
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` as ``array<struct<start, text>>``: the pieces between them give the positions."""
+    """Matches of ``pattern`` as ``array<struct<start, text>>``: the pieces between them give the positions.
+
+    Offsets run within chunks of matches first and then over the chunks, so that lists grow by short appends.
+    """
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,text:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["piece"])
         found = F.array(F.struct(at.alias("start"), x["hit"].alias("text")))
         return F.struct((at + F.length(x["hit"])).alias("at"), F.concat(acc["out"], found).alias("out"))
 
-    pairs = F.arrays_zip(hit.alias("hit"), F.slice(pieces, 1, F.size(hit)).alias("piece"))
-    return F.when(F.size(hit) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+    def chunked(pairs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        chunks = F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK))
+        return F.transform(chunks, lambda c: F.aggregate(F.slice(pairs, c, F.lit(CHUNK)), start, step))
+
+    def shifted(chunks: Column) -> Column:
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases"))
+        bases = F.aggregate(chunks, empty, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")))
+        moved = F.zip_with(chunks, bases["bases"], lambda x, base: F.transform(x["out"], lambda m: F.struct((m["start"] + base).alias("start"), m["text"].alias("text"))))
+        return F.flatten(moved)
+
+    def of(hit: Column) -> Column:
+        pieces = F.split(text, pattern, -1)
+        pairs = F.arrays_zip(hit.alias("hit"), F.slice(pieces, 1, F.size(hit)).alias("piece"))
+        return F.when(F.size(hit) > 0, let(let(pairs, chunked), shifted))
+
+    return let(hit, of)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -62,8 +86,8 @@ def _spans(found: Column, kind: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Spans of the three base patterns, sorted by start and kind.  Short matches are consumed, then dropped."""
-    value = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = F.filter(_spans(located(text, ASSIGN), 0), lambda x, i: F.length(F.get(value, i)) >= 6)
+    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+    assign = let(values, lambda value: F.filter(_spans(located(text, ASSIGN), 0), lambda x, i: F.length(F.get(value, i)) >= 6))
     none = F.array().cast(SPAN)
     found = [F.coalesce(x.cast(SPAN), none) for x in (assign, _spans(located(text, ACCESS), 1), _spans(located(text, HEX), 2))]
     return F.array_sort(F.concat(*found))
@@ -73,25 +97,44 @@ def window_hull(candidate: Column, bits: Column) -> Column:
     """First start and last end of the windows whose entropy reaches ``bits``; null if there is none."""
     cost = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
     state = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("sum"),
+        F.lit("A" * len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"),  # a letter for each count: A is 0
         F.lit(-1).alias("first"), F.lit(-1).alias("last"),
     )
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(candidate, i, F.lit(1)))
+    def step(acc: Column, i: Column, letters: Column) -> Column:
+        def place(i: Column) -> Column:
+            return F.instr(F.lit(ALPHABET), F.get(letters, i - 1))
 
-    def step(acc: Column, i: Column) -> Column:
-        into, out = place(i), F.when(i > WINDOW, place(i - WINDOW)).otherwise(F.lit(0))
-        moves = into != out
-        total = acc["sum"] + F.when(moves, F.get(cost, F.get(acc["n"], into) + 1) - F.get(cost, F.get(acc["n"], into))).otherwise(F.lit(0.0))
-        total = total - F.when(moves & (out > 0), F.get(cost, F.get(acc["n"], out)) - F.get(cost, F.get(acc["n"], out) - 1)).otherwise(F.lit(0.0))
-        n = F.transform(acc["n"], lambda c, j: c + (j == into).cast("int") - ((j == out) & (out > 0)).cast("int"))
+        def held(counts: Column, at: Column) -> Column:
+            return F.ascii(F.substring(counts, at, F.lit(1))) - ord("A")
+
+        def put(counts: Column, at: Column, n: Column) -> Column:
+            return F.overlay(counts, F.chr((n + ord("A")).cast("long")), at, F.lit(1))
+
+        def leave(acc: Column) -> Column:
+            at = place(i - WINDOW)
+            n = held(acc["n"], at)
+            return F.struct(put(acc["n"], at, n - 1).alias("n"), (acc["sum"] - F.get(cost, n) + F.get(cost, n - 1)).alias("sum"))
+
+        def enter(acc: Column) -> Column:
+            at = place(i)
+            n = held(acc["n"], at)
+            return F.struct(put(acc["n"], at, n + 1).alias("n"), (acc["sum"] - F.get(cost, n) + F.get(cost, n + 1)).alias("sum"))
+
+        kept = F.struct(acc["n"].alias("n"), acc["sum"].alias("sum"))
+        moved = let(F.when(i > WINDOW, leave(acc)).otherwise(kept), enter)
+        return let(moved, lambda m: judged(acc, i, m["n"], m["sum"]))
+
+    def judged(acc: Column, i: Column, n: Column, total: Column) -> Column:
         flagged = (i >= WINDOW) & (F.round(F.lit(math.log2(WINDOW)) - total / WINDOW, 6) >= bits)
         first = F.when(flagged & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"])
         return F.struct(n.alias("n"), total.alias("sum"), first.alias("first"), F.when(flagged, i).otherwise(acc["last"]).alias("last"))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.length(candidate)), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-    return F.when(done["first"] >= 0, done)
+    def slid(letters: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(candidate))
+        return F.aggregate(places, state, lambda acc, i: step(acc, i, letters), lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return let(let(F.split(candidate, ""), slid), lambda done: F.when(done["first"] >= 0, done))
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
@@ -106,7 +149,7 @@ def entropy_spans(text: Column, base: Column) -> Column:
 
     left = F.filter(located(text, CANDIDATE), lambda x: ~allowed(x["text"]))
     left = F.filter(left, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["start"] + F.length(x["text"]))))
-    hulls = F.transform(left, lambda x: F.struct(x["start"].alias("start"), window_hull(x["text"], bits(x["text"])).alias("hull")))
+    hulls = F.transform(left, lambda x: F.struct(x["start"].alias("start"), let(bits(x["text"]), lambda b: window_hull(x["text"], b)).alias("hull")))
     hulls = F.filter(hulls, lambda x: x["hull"].isNotNull())
     spans = F.transform(hulls, lambda x: F.struct((x["start"] + x["hull"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["hull"]["last"]).alias("end")))
     spans = F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
