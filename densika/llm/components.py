@@ -16,6 +16,8 @@ from densika.llm.storage import drop, store
 def _star(both: DataFrame, large: bool) -> DataFrame:
     """``both`` holds every edge once as (u, v), u > v for the small star and in both directions for the large."""
     least = both.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("m")).select("hub", F.least("hub", "m").alias("m"))
+    if large:  # stored, so that the join of a hub's many neighbours can be split
+        least = store(least, "hubs")
     joined = both.join(least, F.col("u") == F.col("hub"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

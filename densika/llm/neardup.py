@@ -221,7 +221,7 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, component, np.repeat(sizes, sizes), np.concatenate(raw))], ["node", "component", "n", "shingle"])
 
     rows = store(nodes.join(sets, "node").select("node", "component", "hashes").mapInArrow(run, "node long, component long, n long, shingle long"), "shingles")
-    rarity = rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed"))
+    rarity = store(rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed")), "rarity")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
     ranked = rows.join(rarity, "shingle").withColumn("rank", rank)
     # ceil(a / b) of whole numbers is (a + b - 1) div b
@@ -252,11 +252,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     real = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = store(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").cast("long").alias("node")), "classes")
     heads = real.withColumn("node", F.col("doc_id").cast("long")).join(classes, ["node", "s1", "s2", "n"], "left_semi").dropDuplicates(["node", "s1", "s2"])
-    heads = heads.select("node", "sketch")
+    heads = store(heads.select("node", "sketch"), "heads")
 
-    by_key = Window.partitionBy("key").orderBy("node")
-    met = _bands(heads).select("key", "node", F.first("node").over(by_key).alias("leader"), F.lead("node").over(by_key).alias("next"))
-    met = store(met.where((F.col("leader") < F.col("node")) | (F.col("next") > F.col("node"))).select("key", "node", "leader"), "buckets")
+    bands = _bands(heads)
+    # What is joined back is stored first: adaptive execution can then split the join of a hot bucket.
+    leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
+    met = store(bands.join(store(leaders, "leaders"), "key").select("key", "node", "leader"), "buckets")
     some = met.select("node").distinct()
     heads = store(heads.join(some, "node", "left_semi"), "heads")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(some, "node", "left_semi")
@@ -291,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for turn in range(ROUNDS + 1):
         left = left.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         split = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).where("low < high")
-        left = store(left.join(split.select("key", "leader"), "key"), "buckets")
+        left = store(left.join(store(split.select("key", "leader"), "leaders"), "key"), "buckets")
         if left.isEmpty():
             break
         if turn == ROUNDS:
