@@ -43,7 +43,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("copies > 0").select("doc.*", F.col("copies").alias("repeats"))
+    """``repeats``, with underscores after it if the table has a column of that name."""
+    name = "repeats"
+    while name in docs.columns:
+        name += "_"
+    return mixing.mix(docs).where("copies > 0").select("doc.*", F.col("copies").alias(name))
 
 
 STAGES = [

@@ -55,6 +55,8 @@ def test_secret_stage(spark):
 def test_mixing_stage(spark, sf_dir, odd_docs):
     out = STAGE["source mixing"](spark, odd_docs, sf_dir).collect()
     assert out and all(r.repeats in (1, 2) for r in out)
+    clash = STAGE["source mixing"](spark, odd_docs.withColumnRenamed("mark", "repeats"), sf_dir)
+    assert clash.columns[-1] == "repeats_" and clash.count() == len(out)
 
 
 @pytest.mark.parametrize("name", list(STAGE))
