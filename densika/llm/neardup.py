@@ -3,7 +3,7 @@
 A document's set is its distinct two-word shingles (``width`` words in general), hashed to 64 bits.  A
 HyperMinHash register keeps of its bucket's smallest hash the number of leading zeros and ten bits of
 mantissa, sixteen bits in all; ``BANDS`` bands of ``ROWS`` registers are compared as wholes.  At similarity
-0.8 a link escapes all bands with a chance of 4e-9.  For banding, empty registers borrow from others, so that
+0.8 a link escapes all bands with a chance of 4e-9 if all registers are full.  For banding, empty registers borrow from others, so that
 no band of a small set rests on a single shingle.
 
 Links are found in rounds that never pair up a bucket's members: each bucket tests its members against its
