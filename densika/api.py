@@ -144,7 +144,7 @@ ATOM_COLUMNS = ("chain", "resname", "resnum", "icode", "atom", "element", "score
 
 
 def export(result: dict[str, DataFrame], folder: str, stem: str) -> None:
-    six = {n: 6 for n in ("score", "score_positive", "score_negative", "musem_score", "min_atom_score", "median_atom_score", "max_atom_score")}
+    six = {n: 6 for n in ("score", "score_positive", "score_negative", "residue_score", "min_atom_score", "median_atom_score", "max_atom_score")}
     maps.write_table_csv(result["atoms"].select(*[c for c in ATOM_COLUMNS if c in result["atoms"].columns]), f"{folder}/{stem}_atoms", six | {"radius": 4})
     maps.write_table_csv(result["residues"].orderBy("chain", "resnum"), f"{folder}/{stem}_residues", six)
     result["summary"].write.mode("overwrite").json(f"{folder}/{stem}_summary")

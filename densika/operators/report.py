@@ -19,7 +19,7 @@ AMINO = (
     "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL", "SEC", "PYL", "MSE",
 )
 #: Badge bounds, green and yellow.
-OPIA_BADGE, MUSE_BADGE = (0.8, 0.6), (0.7, 0.4)
+OPIA_BADGE, SCORE_BADGE = (0.8, 0.6), (0.7, 0.4)
 
 
 def category(resname: Column) -> Column:
@@ -57,7 +57,7 @@ def ligand_centroid(atoms: DataFrame, ligand: str = "LIG", by: Sequence[str] = (
 
 def ligand_scores(residues: DataFrame, scores: DataFrame, ligand: str = "LIG", by: Sequence[str] = ()) -> DataFrame:
     """The first ligand residue's score with all ligand atoms, as a sorted list."""
-    first = residues.where(F.upper("resname") == ligand.upper()).groupBy(*by).agg(F.min_by("musem_score", F.struct("chain", "resnum", "icode")).alias("musem_score"))
+    first = residues.where(F.upper("resname") == ligand.upper()).groupBy(*by).agg(F.min_by("residue_score", F.struct("chain", "resnum", "icode")).alias("residue_score"))
     atoms = scores.where(F.upper("resname") == ligand.upper()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("atom_id", "score"))).alias("atoms"))
     return first.join(atoms, list(by), "full") if by else first.crossJoin(atoms)  # one row each
 

@@ -184,10 +184,10 @@ SELECT atom_id, coalesce(score, CAST(0 AS DOUBLE)) AS score, coalesce(n, 0) AS n
 SCORES = f"""{NEAR}, scores AS (SELECT *, '' AS icode, (atom_id * 37 % 101) / CAST(100.0 AS DOUBLE) AS score, -(atom_id * 11 % 50) / CAST(100.0 AS DOUBLE) AS score_negative, resname = 'HOH' AS is_water FROM atoms),
 clash AS (SELECT DISTINCT a.atom_id FROM ra a, ra b WHERE a.atom_id <> b.atom_id AND {CLASH}),
 diag AS (SELECT scores.*, clash.atom_id IS NOT NULL AS has_clash, score < CAST(0.8 AS DOUBLE) AS missing, abs(score_negative) > CAST(0.2 AS DOUBLE) AS extra FROM scores LEFT JOIN clash USING (atom_id))"""
-MUSEM = "greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) / sqrt(avg(CAST(1 AS DOUBLE) / (greatest(score + CAST(0.1 AS DOUBLE), CAST(1e-10 AS DOUBLE)) * greatest(score + CAST(0.1 AS DOUBLE), CAST(1e-10 AS DOUBLE))))) - CAST(0.1 AS DOUBLE))"
-SQL["residue_musem"] = f"""WITH {SCORES} SELECT chain, resname, resnum, icode, {r4(MUSEM)} AS musem_score, min(score) AS min_atom_score, {r4('median(score)')} AS median_atom_score, max(score) AS max_atom_score, count(*) AS n_atoms,
+POWER_MEAN = "greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) / sqrt(avg(CAST(1 AS DOUBLE) / (greatest(score + CAST(0.1 AS DOUBLE), CAST(1e-10 AS DOUBLE)) * greatest(score + CAST(0.1 AS DOUBLE), CAST(1e-10 AS DOUBLE))))) - CAST(0.1 AS DOUBLE))"
+SQL["residue_power_mean"] = f"""WITH {SCORES} SELECT chain, resname, resnum, icode, {r4(POWER_MEAN)} AS residue_score, min(score) AS min_atom_score, {r4('median(score)')} AS median_atom_score, max(score) AS max_atom_score, count(*) AS n_atoms,
 count(*) FILTER (has_clash) AS n_clashes, count(*) FILTER (missing) AS n_missing_density, count(*) FILTER (extra) AS n_unaccounted_density FROM diag GROUP BY 1, 2, 3, 4"""
-SQL["residue_profile"] = f"WITH {SCORES} SELECT chain, resnum, {r4(MUSEM)} AS value FROM scores WHERE chain = 'A' GROUP BY 1, 2"
+SQL["residue_profile"] = f"WITH {SCORES} SELECT chain, resnum, {r4(POWER_MEAN)} AS value FROM scores WHERE chain = 'A' GROUP BY 1, 2"
 SQL["opia"] = f"""WITH RECURSIVE {SCORES}, {bonded(BOND_SCALE)}, good AS (SELECT atom_id FROM scores WHERE score >= CAST(0.5 AS DOUBLE)),
 links AS (SELECT src, dst FROM bonded JOIN good g ON g.atom_id = src JOIN good h ON h.atom_id = dst),
 reach(root, atom_id) AS (SELECT atom_id, atom_id FROM good UNION SELECT reach.root, links.dst FROM reach JOIN links ON links.src = reach.atom_id),
@@ -205,8 +205,8 @@ nb AS (SELECT DISTINCT a.chain, a.resnum, a.resname, CASE WHEN a.resname = 'HOH'
 SQL["lig_neighbourhood"] = f"WITH {LIGAND} SELECT * FROM nb"
 SQL["lig_counts"] = f"WITH {LIGAND} SELECT count(*) FILTER (category = 'protein') AS n_protein, count(*) FILTER (category = 'water') AS n_water, count(*) FILTER (category = 'other_solvent') AS n_other FROM nb"
 SQL["lig_centroid"] = f"""WITH {LIGAND} SELECT {r4('avg(x)', 3)} AS cx, {r4('avg(y)', 3)} AS cy, {r4('avg(z)', 3)} AS cz, count(*) AS n_atoms, arg_max(chain, atom_id) AS lig_chain, arg_max(resnum, atom_id) AS lig_seqid FROM lg"""
-SQL["lig_extract"] = f"""WITH {SCORES}, res AS (SELECT chain, resnum, {MUSEM} AS m FROM scores WHERE resname = 'LIG' GROUP BY 1, 2)
-SELECT {r4('(SELECT m FROM res ORDER BY chain, resnum LIMIT 1)')} AS musem_score, count(*) AS n_atoms, {r4('sum(score)')} AS total FROM scores WHERE resname = 'LIG'"""
+SQL["lig_extract"] = f"""WITH {SCORES}, res AS (SELECT chain, resnum, {POWER_MEAN} AS m FROM scores WHERE resname = 'LIG' GROUP BY 1, 2)
+SELECT {r4('(SELECT m FROM res ORDER BY chain, resnum LIMIT 1)')} AS residue_score, count(*) AS n_atoms, {r4('sum(score)')} AS total FROM scores WHERE resname = 'LIG'"""
 
 RESULTS = "results AS (SELECT CAST(o_orderkey AS VARCHAR) AS stem, CASE WHEN o_orderkey % 11 <> 0 THEN round((o_orderkey * 7 % 1000) / CAST(1000.0 AS DOUBLE), 3) END AS opia FROM orders)"
 SQL["screen_rank"] = f"WITH {RESULTS} SELECT stem, opia, CAST(row_number() OVER (ORDER BY opia DESC NULLS LAST, stem) AS INTEGER) AS rank, CASE WHEN opia IS NULL THEN 'none' WHEN opia >= 0.8 THEN 'green' WHEN opia >= 0.6 THEN 'yellow' ELSE 'red' END AS badge FROM results"

@@ -293,14 +293,14 @@ def _diagnosed(s: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def residue_musem(s: SparkSession, d: str) -> DataFrame:
+def residue_power_mean(s: SparkSession, d: str) -> DataFrame:
     got = aggregates.residue_scores(_diagnosed(s, d), flags=True)
-    return rounded(got, "musem_score", "median_atom_score")
+    return rounded(got, "residue_score", "median_atom_score")
 
 
 @query
 def residue_profile(s: SparkSession, d: str) -> DataFrame:
-    return rounded(report.residue_profile(aggregates.residue_scores(_scores(s, d)), "musem_score", "A"), "value")
+    return rounded(report.residue_profile(aggregates.residue_scores(_scores(s, d)), "residue_score", "A"), "value")
 
 
 @query
@@ -344,7 +344,7 @@ def lig_centroid(s: SparkSession, d: str) -> DataFrame:
 @query
 def lig_extract(s: SparkSession, d: str) -> DataFrame:
     got = report.ligand_scores(aggregates.residue_scores(_scores(s, d)), _scores(s, d))
-    return rounded(got.select("musem_score", F.size("atoms").cast("long").alias("n_atoms"), F.aggregate("atoms", F.lit(0.0), lambda a, x: a + x["score"]).alias("total")), "musem_score", "total")
+    return rounded(got.select("residue_score", F.size("atoms").cast("long").alias("n_atoms"), F.aggregate("atoms", F.lit(0.0), lambda a, x: a + x["score"]).alias("total")), "residue_score", "total")
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:

@@ -61,14 +61,14 @@ def test_density_keeps_nan(spark):
 
 
 def test_power_mean(spark):
-    def musem(scores):
+    def mean(scores):
         df = spark.createDataFrame([(float(s),) for s in scores], "score double")
         return df.agg(curves.power_mean(F.col("score")).alias("m")).first().m
 
-    assert musem([]) == 0.0
-    assert musem([1, 1, 1]) == pytest.approx(1.0, abs=0.05)
-    assert musem([1, 1, 0.1]) < musem([0.7, 0.7, 0.7])
-    assert musem([-5, -5]) == 0.0
+    assert mean([]) == 0.0
+    assert mean([1, 1, 1]) == pytest.approx(1.0, abs=0.05)
+    assert mean([1, 1, 0.1]) < mean([0.7, 0.7, 0.7])
+    assert mean([-5, -5]) == 0.0
 
 
 def test_radii(spark):
