@@ -10,7 +10,9 @@ the base patterns.  An entropy span inside a base span adds nothing and is left
 
 Positions are code points, the end exclusive.  A null text counts as empty, and a row without spans has the
 digest of the empty string.  Rows are independent: repeated rows repeat their result, an empty table gives
-an empty one, and columns besides ``text`` are carried in ``doc`` untouched.
+an empty one, and columns besides ``text`` are carried in ``doc`` untouched, whatever their names.  Texts of
+any length are searched whole: no pattern repeats a group, so that the matcher's stack does not grow with a
+run, and lists of matches are worked off in chunks, so that time grows with the matches and not their square.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ ALLOWED = (
     r"^[A-Za-z]+$",
     r"^[0-9]+$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[A-Za-z]*([-_/=+][A-Za-z]*)+[0-9]{0,4}$",
+    r"^[A-Za-z]*[-_/=+][-_/=+A-Za-z]*[0-9]{0,4}$",
     r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]",
 )
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -84,6 +86,45 @@ def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["text"])).alias("end")))
 
 
+def reached(spans: Column, counts: Callable[[Column], Column]) -> Column:
+    """Chunks of the sorted ``spans``, each span with ``reach``: the largest end of those before it that count.
+
+    Chunks give their own largest end first, then run from the largest end before them.
+    """
+
+    def chunked(spans: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(CHUNK)), lambda c: F.slice(spans, c, F.lit(CHUNK)))
+
+    def further(at: Column, x: Column) -> Column:
+        return F.when(counts(x), F.greatest(at, x["end"])).otherwise(at)
+
+    def run(chunk: Column, at: Column) -> Column:
+        first = F.slice(chunk, 1, 0)
+        start = F.struct(at.alias("at"), F.transform(first, lambda x: F.struct(x.alias("span"), F.lit(0).alias("reach"))).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(further(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(F.struct(x.alias("span"), acc["at"].alias("reach")))).alias("out"))
+
+        return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+
+    def of(chunks: Column) -> Column:
+        own = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), further))
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(own, empty, lambda acc, x: F.struct(F.greatest(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        return F.zip_with(chunks, before["out"], run)
+
+    return F.when(F.size(spans) > 0, let(let(spans, chunked), of))
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` (start, end, text) that lie in no base span, in the order of their starts."""
+    own = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(True).alias("own"), x["end"].alias("end"), x["text"].alias("text")))
+    bases = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(False).alias("own"), b["end"].alias("end"), F.lit(None).cast("string").alias("text")))
+    both = F.array_sort(F.concat(bases, own))  # of equal starts the base spans come first
+    open_ = F.filter(F.flatten(let(both, lambda x: reached(x, lambda s: ~s["own"]))), lambda x: x["span"]["own"] & (x["reach"] < x["span"]["end"]))
+    return F.when(F.size(spans) > 0, F.transform(open_, lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["span"]["text"].alias("text"))))
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the three base patterns, sorted by start and kind.  Short matches are consumed, then dropped."""
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
@@ -148,12 +189,18 @@ def entropy_spans(text: Column, base: Column) -> Column:
         return out
 
     left = F.filter(located(text, CANDIDATE), lambda x: ~allowed(x["text"]))
-    left = F.filter(left, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["start"] + F.length(x["text"]))))
-    hulls = F.transform(left, lambda x: F.struct(x["start"].alias("start"), let(bits(x["text"]), lambda b: window_hull(x["text"], b)).alias("hull")))
-    hulls = F.filter(hulls, lambda x: x["hull"].isNotNull())
-    spans = F.transform(hulls, lambda x: F.struct((x["start"] + x["hull"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["hull"]["last"]).alias("end")))
-    spans = F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    return F.coalesce(spans.cast(SPAN), F.array().cast(SPAN))
+    left = F.transform(left, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
+
+    def hulls(open_: Column) -> Column:
+        found = F.transform(open_, lambda x: F.struct(x["start"].alias("start"), let(bits(x["text"]), lambda b: window_hull(x["text"], b)).alias("hull")))
+        found = F.filter(found, lambda x: x["hull"].isNotNull())
+        return F.transform(
+            found, lambda x: F.struct((x["start"] + x["hull"]["first"]).alias("start"), (x["start"] + x["hull"]["last"]).alias("end"), F.lit(None).cast("string").alias("text"))
+        )
+
+    # What lies inside a base span is left out before the entropy is counted; a shorter hull may do so after.
+    spans = let(outside(left, base), lambda x: let(hulls(x), lambda h: outside(h, base)))
+    return F.coalesce(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"))).cast(SPAN), F.array().cast(SPAN))
 
 
 def written(spans: Column) -> Column:
@@ -172,18 +219,28 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
-    """``text`` with every span, overlapping ones together, replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
+    """``text`` with every span, overlapping and touching ones together, replaced by ``mark``.
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["end"] + 1, F.greatest(F.lit(0), x["start"] - acc["end"]))
-        fresh = (x["start"] >= acc["end"]) & ~((acc["end"] > 0) & (x["start"] == acc["end"]))
-        return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["end"], x["end"]).alias("end"))
+    Each chunk of spans cuts its part of the text once, so that places are counted within that part only.
+    """
+
+    def last(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0), lambda at, x: F.greatest(at, x["reach"], x["span"]["end"]))
+
+    def cut(chunk: Column) -> Column:
+        base = F.get(chunk, F.lit(0))["reach"]
+
+        def gap(part: Column, x: Column) -> Column:
+            fresh = (x["reach"] == 0) | (x["span"]["start"] > x["reach"])
+            return F.when(fresh, F.concat(F.substring(part, x["reach"] - base + 1, x["span"]["start"] - x["reach"]), F.lit(mark))).otherwise(F.lit(""))
+
+        return let(F.substring(text, base + 1, last(chunk) - base), lambda part: F.array_join(F.transform(chunk, lambda x: gap(part, x)), ""))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["end"] + 1, F.length(text)))
+    def joined(chunks: Column) -> Column:
+        end = last(F.get(chunks, F.size(chunks) - 1))
+        return F.concat(F.array_join(F.transform(chunks, cut), ""), let(end, lambda e: F.substring(text, e + 1, F.length(text))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
+    return F.when(F.size(spans) == 0, text).otherwise(let(reached(spans, lambda x: F.lit(True)), joined))
 
 
 def op1(docs: DataFrame) -> DataFrame:

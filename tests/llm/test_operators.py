@@ -78,6 +78,27 @@ def secret_spans(t):
     return sorted(base), sorted(base + more)
 
 
+def secret_spans_sorted(t):
+    """``secret_spans`` for texts of very many matches that don't overlap."""
+    base = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PATTERNS) for m in p.finditer(t) if ok(m))
+    covered, end = [], 0
+    for a, _, z in base:
+        covered.append((a, end := max(end, z)))
+    import bisect
+
+    def inside(a, z):
+        at = bisect.bisect_right(covered, (a, math.inf)) - 1
+        return at >= 0 and covered[at][1] >= z
+
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, t):
+        if not inside(m.start(), m.end()) and not any(re.search(a, m[0]) for a in secrets.ALLOWED):
+            bits = next(b for p, b in secrets.CLASSES if re.search(p, m[0]))
+            if (hull := entropy_hull(m[0], bits)) and not inside(m.start() + hull[0], m.start() + hull[1]):
+                more.append((m.start() + hull[0], 3, m.start() + hull[1]))
+    return base, sorted(base + more)
+
+
 def written(spans):
     return ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in spans)
 
@@ -107,6 +128,36 @@ def test_redaction(spark):
         assert r.t == (t if t is None else out + t[end:])
 
 
+def test_secrets_in_long_runs(spark):
+    """Runs that a repeated group would put on the matcher's stack, and windows by the hundred thousand."""
+    texts = ["=" * 10**6, "-" * 10**6, "ab-" * 333_334, "x" * 10**6 + "9", "ab-" * 20_000 + "99999", "".join(f"{i:x}Zq" for i in range(12_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.op1(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].n_assign == got[i].n_access == got[i].n_hex == 0
+        assert got[i].spans == ("" if i < 4 else written(secret_spans(t)[1]))
+
+
+def test_many_secrets_in_one_text(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    letters_ = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    parts = ["".join(rng.choice(letters_, 8 if i % 4 else 26)) for i in range(100_000)]
+    text = "é" + " ".join(f"password={p}" if i % 4 else p for i, p in enumerate(parts))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.op1(df).first()
+    base, every = secret_spans_sorted(text)
+    assert len(base) == 75_000 and got.base_sha256 == sha(written(base)) and got.spans == written(every)
+    out = secrets.scan(df).select(secrets.redacted(F.col("doc.text"), F.col("spans")).alias("t")).first().t
+    want, end = [], 0
+    for a, _, z in every:
+        if a >= end and not (end and a == end):
+            want.append(text[end:a] + "<SECRET>")
+        end = max(end, z)
+    assert out == "".join(want) + text[end:]
+
+
 # 2. Quality
 
 
