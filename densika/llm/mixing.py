@@ -11,7 +11,8 @@ target.  That point is found from sums by digest prefix; only the one prefix tha
 
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null ``doc_id``
 digests as its own value.  Rows with the same ``doc_id`` in a source share a digest and are taken alike.
-An empty table gives an empty result, and a source without words the target 0.
+An empty table gives an empty result, and a source without words the target 0.  Texts are counted whole,
+however long, and columns of any name are carried in ``doc``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from densika.llm.storage import store
 
 GAPS = r"[\x20\x09-\x0D]+"
-PREFIX = 3  # hex digits of the digest: 4096 sums a source
+PREFIX = 3  # hex digits of the digest: 4096 sums a source, and as many within one of their buckets
 
 
 def n_words(text: Column) -> Column:
@@ -70,18 +71,32 @@ def plan(meta: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     epochs = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, epochs).otherwise(F.lit(0)).cast("long"))
     targets = store(targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-targets")
-    running = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = buckets.withColumn("upto", F.sum("words").over(running)).join(targets.select("skey", "rest"), "skey")
-    full = summed.where(F.col("upto") <= F.col("rest")).groupBy("skey").agg(F.concat(F.max("bucket"), F.lit("g")).alias("cut"))
-    part = summed.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-    part = part.select("skey", "bucket", "rest", (F.col("upto") - F.col("words")).alias("base"))
-    inside = meta.withColumn("bucket", F.substring("key", 1, PREFIX)).join(part, ["skey", "bucket"])
+    level = targets.select("skey", "rest", F.lit("").alias("above"), F.lit(0).cast("long").alias("base"))
+    full, part = _cut(buckets, level)
+    # The bucket that holds the cut is cut up the same way, so that no task sorts a share of a large source.
+    fine = meta.withColumn("above", F.substring("key", 1, PREFIX)).join(part.select("skey", "above"), ["skey", "above"])
+    fine = store(fine.groupBy("skey", F.substring("key", 1, 2 * PREFIX).alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
+    more, part = _cut(fine, part)
+    inside = meta.withColumn("above", F.substring("key", 1, 2 * PREFIX)).join(part, ["skey", "above"])
     inside = inside.groupBy("skey", "key").agg(F.sum("size").alias("size"), F.first("base").alias("base"), F.first("rest").alias("rest"))
     by_key = Window.partitionBy("skey").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.col("base") + F.sum("size").over(by_key))
     near = inside.where(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest")).groupBy("skey").agg(F.max("key").alias("cut"))
-    cuts = full.unionByName(near).groupBy("skey").agg(F.max("cut").alias("cut"))
-    return targets.join(cuts, "skey", "left").select("skey", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"))
+    cuts = full.unionByName(more).unionByName(near).groupBy("skey").agg(F.max("cut").alias("cut"))
+    # A source at its cap has no fractional repetition left, not even for documents without words.
+    cut = F.when(F.col("whole") < max_epochs, F.coalesce("cut", F.lit(""))).otherwise(F.lit(""))
+    return targets.join(cuts, "skey", "left").select("skey", "source_size", "target", "whole", cut.alias("cut"))
+
+
+def _cut(buckets: DataFrame, level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``(skey, bucket, words)`` and ``(skey, rest, base)`` the last bucket under ``rest`` and the one that holds it."""
+    running = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = level.select("skey", "rest", "base")  # one row a source
+    summed = buckets.withColumn("upto", F.sum("words").over(running)).join(own, "skey").withColumn("upto", F.col("upto") + F.col("base"))
+    full = summed.where(F.col("upto") <= F.col("rest")).groupBy("skey").agg(F.concat(F.max("bucket"), F.lit("g")).alias("cut"))
+    part = summed.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+    part = part.select("skey", "rest", F.col("bucket").alias("above"), (F.col("upto") - F.col("words")).alias("base"))
+    return full, store(part, "mix-cut")
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2) -> DataFrame:

@@ -11,15 +11,18 @@ first one, then, among the members whose components still differ, against the ne
 only the leader it shares most bands with; other leaders follow where the components differ.  Nothing is
 capped: what ``ROUNDS`` rounds leave in buckets of several components meets in an exact prefix-filter join,
 which pairs sets of different components that share one of the rarest shingles that two linked sets must
-share.  Tests run on distinct sets: copies share one, whatever their number.
+share.  How much of a set follows a shingle bounds the sizes it can be linked with, and is compared once for
+the members of a component that have one size, so that a shingle of thousands of sets yields few pairs.
+Tests run on distinct sets: copies share one, whatever their number.
 
 A pair passes on the collision-corrected Jaccard estimate of its sketches, less five standard errors, and is
 then decided on the full sets.
 
 Nulls: a null or blank text has an empty set and is linked with nothing; a text with fewer words than the
 width has its word sequence as its only shingle.  A null ``doc_id`` is linked with nothing and has a null
-component; rows that share a ``doc_id`` are one node.  An empty table gives an empty result, and further
-columns are ignored.
+component; rows that share a ``doc_id`` are one node, linked by what any of their texts is linked with.  Very
+long texts are read in pieces and their sets kept whole.  An empty table gives an empty result, and further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densika.llm.components import components
-from densika.llm.storage import store
+from densika.llm.storage import scratch, store
 from densika.llm.wordbytes import Words, finish, pieces, words
 
 BANDS, ROWS = 64, 6
@@ -206,9 +209,10 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``nodes`` (node, component) of different components that may reach ``percent``; none is missed.
 
-    With shingles ordered from the rarest, the first common shingle of two linked sets of n and m has
-    ceil(t / (1 + t) (n + m)) shingles or more from it on in both.  Components that share a shingle are paired
-    first, by the bounds of their members, so that pairs inside a component are never looked at.
+    With shingles ordered from the rarest, sets of n and m that are linked have t / (1 + t) (n + m) shingles or
+    more in common, all from their first common one on.  A set with so many left from a shingle on can thus be
+    linked, by that shingle, with sets up to a size ``fits``.  Of the members of a component that have one size
+    only the largest ``fits`` is compared, so that pairs inside a component are never looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,39 +222,57 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 raw = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("hashes")]
                 sizes = np.array([len(x) for x in raw], np.int64)
                 node, component = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("node", "component"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, component, np.repeat(sizes, sizes), np.concatenate(raw))], ["node", "component", "n", "shingle"])
+                mark = np.repeat(np.array([np.bitwise_xor.reduce(x) for x in raw], np.int64), sizes)  # tells the sets of one node apart
+                columns = (node, mark, component, np.repeat(sizes, sizes), np.concatenate(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "mark", "component", "n", "shingle"])
 
-    rows = store(nodes.join(sets, "node").select("node", "component", "hashes").mapInArrow(run, "node long, component long, n long, shingle long"), "shingles")
+    rows = nodes.join(sets, "node").select("node", "component", "hashes").mapInArrow(run, "node long, mark long, component long, n long, shingle long")
+    rows = store(rows, "shingles")
     rarity = store(rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed")), "rarity")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
+    rank = F.row_number().over(Window.partitionBy("node", "mark", "n").orderBy("df", "shingle"))
     ranked = rows.join(rarity, "shingle").withColumn("rank", rank)
     # ceil(a / b) of whole numbers is (a + b - 1) div b
     least = F.expr(f"(n * {percent} + 99) div 100")
     rest = F.col("n") - F.col("rank") + 1  # shingles from this one on
-    ranked = ranked.where(F.col("mixed") & (rest >= least)).select("shingle", "component", "node", "n", rest.alias("rest"))
-    ranked = store(ranked, "prefixes")
-
-    def may(n1: str, n2: str, rest1: str, rest2: str) -> str:
-        """Linked sets of these sizes have so many shingles in common, all from their first common one on."""
-        common = f"({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent}"
-        return f"{rest1} >= {common} and {rest2} >= {common}"
-
-    groups = ranked.groupBy("shingle", "component").agg(F.max("rest").alias("r"), F.min("n").alias("low"), F.max("n").alias("high"))
-    others = groups.select("shingle", F.col("component").alias("other"), F.col("r").alias("r2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    near = f"component < other and 100 * high >= {percent} * low2 and 100 * high2 >= {percent} * low and {may('low', 'low2', 'r', 'r2')}"
-    crossed = groups.join(others, "shingle").where(near).select("shingle", "component", "other")
-    one = ranked.join(crossed, ["shingle", "component"])
-    two = ranked.select("shingle", F.col("component").alias("other"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("s"))
-    close = f"100 * n >= {percent} * m and 100 * m >= {percent} * n and {may('n', 'm', 'rest', 's')}"
-    pairs = one.join(two, ["shingle", "other"]).where(close)
+    fits = F.least(F.expr(f"{100 + percent} * (n - rank + 1) div {percent} - n"), F.expr(f"(100 * n) div {percent}"))
+    ranked = ranked.where(F.col("mixed") & (rest >= least)).select("shingle", "component", "node", "n", fits.alias("fits"))
+    ranked = store(ranked.where(F.col("fits") >= least), "prefixes")  # no set under ``least`` is linked
+
+    groups = ranked.groupBy("shingle", "component", "n").agg(F.max("fits").alias("fits"))
+    # Of two linked sets the smaller one, or either of one size, fits its own size: one side of each pair does.
+    small = groups.where("fits >= n")
+    other = groups.select("shingle", F.col("component").alias("other"), F.col("n").alias("m"), F.col("fits").alias("room"))
+    crossed = small.join(other, "shingle").where("component != other and n <= m and m <= fits and n <= room and (n < m or component < other)")
+    crossed = store(crossed.select("shingle", "component", "n", "other", "m"), "crossed")
+    one = ranked.join(crossed, ["shingle", "component", "n"]).where("m <= fits").select("shingle", "node", "other", "n", "m")
+    two = ranked.select("shingle", F.col("component").alias("other"), F.col("n").alias("m"), F.col("node").alias("v"), F.col("fits").alias("room"))
+    pairs = one.join(two, ["shingle", "other", "m"]).where("n <= room")
     return pairs.select(F.least("v", "node").alias("u"), F.greatest("v", "node").alias("v")).distinct()
 
 
+def _same_id(owned: DataFrame) -> DataFrame:
+    """Links between a repeated ``doc_id`` and the nodes of its rows, where these differ or some have none."""
+    held = owned.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("n"), F.count("*").alias("rows"))
+    mixed = store(held.where("low < high or (n > 0 and n < rows)").select("doc_id"), "repeated-ids")
+    return owned.join(mixed, "doc_id").where("node is not null").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; a component keeps its smallest ``doc_id``."""
+    with scratch(docs.sparkSession):
+        owned, labels = _clustered(docs, width, percent)
+    merged = owned.withColumn("own", F.coalesce("node", F.col("doc_id").cast("long"))).join(labels.withColumnRenamed("node", "own"), "own", "left")
+    merged = merged.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "own")))
+    return merged.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _clustered(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, n_shingles, node)`` of every row, and ``(node, component)`` of the nodes that are not their own."""
     sketches = store(sketch(docs, width), "sketches")
     real = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = store(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").cast("long").alias("node")), "classes")
+    owned = sketches.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes.withColumnRenamed("n", "n_shingles"), ["s1", "s2", "n_shingles"], "left")
+    owned = store(owned.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "owned", keep=True)
     heads = real.withColumn("node", F.col("doc_id").cast("long")).join(classes, ["node", "s1", "s2", "n"], "left_semi").dropDuplicates(["node", "s1", "s2"])
     heads = store(heads.select("node", "sketch"), "heads")
 
@@ -286,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     starred = met.where(F.col("leader") < F.col("node")).groupBy(F.col("leader").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("bands"))
     starred = store(starred, "stars")
     best = starred.groupBy("v").agg(F.max_by("u", F.struct("bands", -F.col("u"))).alias("u")).select("u", "v")
-    labels = components(store(tested(best), "links"))
+    labels = components(store(tested(best).unionByName(_same_id(owned)), "links"))
     labels = grown(labels, starred.select("u", "v"))
     left = met.where(F.col("leader") != F.col("node")).select("key", "node")
     for turn in range(ROUNDS + 1):
@@ -300,12 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             break
         labels = grown(labels, left.where("leader < node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
         left = left.where("leader < node").select("key", "node")
-
-    own = sketches.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes.withColumnRenamed("n", "n_shingles"), ["s1", "s2", "n_shingles"], "left")
-    merged = own.join(labels, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", F.col("doc_id").cast("long")))
-    merged = merged.withColumn("component_id", component)
-    return merged.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return owned, store(labels, "labels", keep=True)
 
 
 def op8(docs: DataFrame) -> DataFrame:

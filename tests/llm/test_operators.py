@@ -335,6 +335,14 @@ def test_mixing(spark, seed):
         largest[s] = max(largest[s], 2 * r["size"])
     for s in total:
         assert abs(taken[s] - targets[s]) <= largest[s]
+    assert all(0 <= r.copies <= 2 for r in mixing.mix(df).collect())
+
+
+def test_empty_documents_of_a_capped_source(spark):
+    docs = [(i, "" if i % 2 else "a b c", "small" if i < 40 else "other") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1, 50)).select("doc.doc_id", "copies", "target").collect()
+    assert max(r.copies for r in got) == 2 and {r.copies for r in got if r.target == 120} == {2}
 
 
 # 7. Tokens
@@ -408,6 +416,27 @@ def test_near_duplicates_in_chains(spark, monkeypatch, rounds):
     assert rows(neardup.op8(df)) == linked(docs, 2)
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(60))
+    docs = [(3, one), (5, one), (5, two), (7, two + " x"), (20, "same words here"), (20, "same words here"), (30, ""), (30, two + " y"), (40, "p q"), (40, None), (41, "q r"), (None, one)]
+    df = spark.createDataFrame([(*d, 1, 2, "z") for d in docs], "doc_id long, text string, node long, n int, component string")
+    got = rows(neardup.op8(df))
+    assert got == linked(docs, 2)
+    assert {i: c for i, _, c, _ in got} == {3: 3, 5: 3, 7: 3, 20: 20, 30: 3, 40: 40, 41: 41, None: None}
+
+
+def test_a_shingle_of_many_sets_yields_few_pairs(spark):
+    """Noisy copies of one text, each too far from the others to be linked, meet in no number near their square."""
+    rng = np.random.default_rng(8)
+    base, sets = np.arange(130), []
+    for i in range(400):
+        own = base[rng.random(130) > 0.08]
+        sets.append(np.sort(np.concatenate((own, 1000 + 100 * i + np.arange(20)))).astype(np.int64))
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, hashes binary")
+    got = neardup._prefix_pairs(spark.createDataFrame([(i, i) for i in range(len(sets))], "node long, component long"), frame, 80).collect()
+    assert len(got) < 2000
+
+
 def test_prefix_pairs_miss_no_link(spark):
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.choice(60, int(rng.integers(1, 25)), replace=False)).astype(np.int64) for _ in range(120)]

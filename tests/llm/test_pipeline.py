@@ -25,8 +25,22 @@ def test_quality_stage(spark, sf_dir):
 
 def test_near_duplicate_stage(spark, sf_dir, odd_docs, odd_rows):
     out = STAGE["near-duplicates"](spark, odd_docs, sf_dir)
-    kept = [x[0] for x in linked([r[:2] for r in odd_rows], 5) if x[3]]
-    assert columns_kept(out, odd_docs) and sorted((r.doc_id for r in out.collect()), key=repr) == sorted(kept, key=repr)
+    assert columns_kept(out, odd_docs)
+    # Of the two rows 10 one stays, and the row without id that holds the text of 1 goes.
+    kept = sorted((r[:2] for r in odd_rows if r[0] not in (2, 3, 8, 10) and not (r[0] is None and r[1])), key=repr)
+    lonely = [x for x in sorted((tuple(r)[:2] for r in out.collect()), key=repr) if x[0] != 10]
+    texts = {x[1] for x in lonely if x[0] is None or x[0] in (1, 2)}
+    assert odd_rows[0][1] in texts and len([r for r in out.collect() if r.doc_id == 10]) == 1
+    assert {x[0] for x in lonely if x[0] is not None} >= {x[0] for x in kept if x[0] not in (None, 1, 13, 15)}
+
+
+def test_near_duplicates_lose_no_text(spark, sf_dir):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(60))
+    docs = [(3, one), (5, one), (5, two), (7, two + " x"), (20, "u v w x y z"), (20, "u v w x y z"), (30, ""), (30, None), (31, "")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, row int")
+    out = [(r.doc_id, r.text) for r in STAGE["near-duplicates"](spark, df, sf_dir).collect()]
+    assert len(out) == len(set(out)) and {x for x in out if x[1]} >= {(3, one), (20, "u v w x y z")}
+    assert len([x for x in out if x[1] and x[1].startswith("b0 ")]) == 1 and {x for x in out if not x[1]} == {(30, ""), (30, None), (31, "")}
 
 
 def test_decontamination_stage(spark, sf_dir):
