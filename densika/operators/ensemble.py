@@ -6,7 +6,7 @@ array arithmetic in that row, so an ensemble is shuffled once however many maps
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +15,10 @@ from densika.functions.curves import ratio_or_zero
 
 
 def packed(ensemble: DataFrame, keys: Sequence[str], n_maps: int, missing: str = "zero") -> DataFrame:
-    """``(keys, map_id, value)`` to ``(keys, vals)`` with the maps 0 .. n_maps-1.
+    """``(keys, map_id, value)`` to ``(keys, vals)`` with the maps 0 .. n_maps-1, by position.
 
-    A missing map is all zero and still counts (``missing="zero"``), or is left out (``"skip"``); maps from
-    ``n_maps`` on are not read.  Several values of a voxel in a map are averaged.
+    A missing map is all zero and still counts (``missing="zero"``), or is null and doesn't (``"skip"``); maps
+    from ``n_maps`` on are not read.  Several values of a voxel in a map are averaged.
     """
     if missing not in ("zero", "skip"):
         raise ValueError("missing must be 'zero' or 'skip'")
@@ -27,7 +27,7 @@ def packed(ensemble: DataFrame, keys: Sequence[str], n_maps: int, missing: str =
     single = used.groupBy(*keys, "map_id").agg(F.avg("value").alias("value"))
     held = single.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("map_id", "value"))).alias("held"))
     by_map = F.transform(F.sequence(F.lit(0), F.lit(n_maps - 1)), lambda m: F.try_element_at(F.col("held"), m))
-    vals = F.transform(by_map, lambda v: F.coalesce(v, F.lit(0.0))) if missing == "zero" else F.filter(by_map, lambda v: v.isNotNull())
+    vals = F.transform(by_map, lambda v: F.coalesce(v, F.lit(0.0))) if missing == "zero" else by_map
     return held.select(*keys, vals.alias("vals"))
 
 
@@ -37,26 +37,46 @@ def require_first_map(ensemble: DataFrame) -> None:
         raise FileNotFoundError("map 0 of the ensemble is missing")
 
 
-def array_stats(vals: Column) -> dict[str, Column]:
-    """Mean, sample deviation (null of fewer than two) and their ratio."""
-    n = F.size(vals)
-    mean = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / n
-    spread = F.aggregate(vals, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    std = F.when(n > 1, F.sqrt(spread / (n - 1)))
-    return {"mean": mean, "std": std}
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def array_stats(vals: Column) -> Column:
+    """Mean, sample deviation (null of fewer than two) and their ratio as a struct; nulls don't count."""
+
+    def spread(x: Column, n: Column, mean: Column) -> Column:
+        total = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+        return F.struct(mean.alias("mean"), F.when(n > 1, F.sqrt(total / (n - 1))).alias("std"))
+
+    def of(x: Column) -> Column:
+        n = F.nullif(F.size(x), F.lit(0))
+        return let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n, lambda mean: spread(x, n, mean))
+
+    return let(F.filter(vals, lambda v: v.isNotNull()), of)
 
 
 def stats(voxels: DataFrame, keys: Sequence[str], vals: str = "vals") -> DataFrame:
-    out = voxels.select(*keys, *[c.alias(k) for k, c in array_stats(F.col(vals)).items()])
+    out = voxels.select(*keys, array_stats(F.col(vals)).alias("stats")).select(*keys, "stats.mean", "stats.std")
     return out.withColumn("snr", ratio_or_zero(F.col("mean"), F.col("std")))
 
 
-def owner_bias(vals: Column, omitted: Column) -> Column:
+def _total(vals: Column) -> Column:
+    """Sum and number of the maps that are there."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    return F.aggregate(vals, start, lambda a, v: F.struct((a["sum"] + F.coalesce(v, F.lit(0.0))).alias("sum"), (a["n"] + v.isNotNull().cast("int")).alias("n")))
+
+
+def owner_bias(vals: Column, omitted: Column, total: Column | None = None) -> Column:
     """Mean of the maps with the part present less that of those without; 0 if either is empty."""
-    n, n0 = F.size(vals), F.size(omitted)
-    total = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v)
-    without = F.aggregate(omitted, F.lit(0.0), lambda a, m: a + F.get(vals, m))
-    return F.when((n0 > 0) & (n0 < n), (total - without) / (n - n0) - without / n0).otherwise(F.lit(0.0))
+    if total is None:
+        return let(_total(vals), lambda t: owner_bias(vals, omitted, t))
+
+    def of(without: Column) -> Column:
+        n, n0 = total["n"], without["n"]
+        return F.when((n0 > 0) & (n0 < n), (total["sum"] - without["sum"]) / (n - n0) - without["sum"] / n0).otherwise(F.lit(0.0))
+
+    return let(_total(F.transform(omitted, lambda m: F.get(vals, m))), of)
 
 
 def schedules(omission: DataFrame, n_maps: int, keys: Sequence[str] = ("owner",)) -> DataFrame:
@@ -80,13 +100,21 @@ def cleaned(vals: Column, omits: Column) -> Column:
     All biases are taken off at once, and those of the parts omitted from a map are put back: only the sparse
     omissions are looked at, not the matrix of parts by maps.
     """
-    biases = F.transform(omits, lambda o: F.struct(owner_bias(vals, o["omitted"]).alias("b"), o["omitted"].alias("z")))
-    everything = F.aggregate(biases, F.lit(0.0), lambda a, x: a + x["b"])
 
-    def back(m: Column) -> Column:
-        return F.aggregate(biases, F.lit(0.0), lambda a, x: a + F.when(F.array_contains(x["z"], m), x["b"]).otherwise(F.lit(0.0)))
+    def of(biases: Column, everything: Column) -> Column:
+        def back(m: Column) -> Column:
+            return F.aggregate(biases, F.lit(0.0), lambda a, x: a + F.when(F.array_contains(x["z"], m), x["b"]).otherwise(F.lit(0.0)))
+
+        return F.transform(vals, lambda v, m: v - everything + back(m))
+
+    def summed(biases: Column) -> Column:
+        # A part whose bias is 0 is never put back.
+        return let(F.aggregate(biases, F.lit(0.0), lambda a, x: a + x["b"]), lambda everything: of(F.filter(biases, lambda x: x["b"] != 0), everything))
+
+    def found(total: Column) -> Column:
+        return F.transform(omits, lambda o: F.struct(owner_bias(vals, o["omitted"], total).alias("b"), o["omitted"].alias("z")))
 
-    return F.transform(vals, lambda v, m: v - everything + back(m))
+    return let(let(_total(vals), found), summed)
 
 
 def bias_table(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:

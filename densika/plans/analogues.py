@@ -30,12 +30,30 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 OWNS = "owns AS (SELECT DISTINCT l_partkey AS voxel, l_suppkey AS owner FROM lineitem)"
 
 
-def omission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("owner"), F.explode(F.sequence(F.lit(0), F.lit(N_MAPS - 1))).alias("map_id"))
+def omission(spark: SparkSession, sf_dir: str, n_maps: int = N_MAPS) -> DataFrame:
+    maps = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("owner"), F.explode(F.sequence(F.lit(0), F.lit(n_maps - 1))).alias("map_id"))
     return maps.where((F.col("owner") + 3 * F.col("map_id")) % 5 == 0)
 
 
-OMISSION = f"omission AS (SELECT s_suppkey AS owner, m AS map_id FROM supplier, (SELECT unnest(range(0, {N_MAPS})) AS m) WHERE (s_suppkey + 3 * m) % 5 = 0)"
+def omission_sql(n_maps: int = N_MAPS) -> str:
+    return f"omission AS (SELECT s_suppkey AS owner, m AS map_id FROM supplier, (SELECT unnest(range(0, {n_maps})) AS m) WHERE (s_suppkey + 3 * m) % 5 = 0)"
+
+
+OMISSION = omission_sql()
+
+
+def many_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ensemble of 50 maps of few voxels."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select((F.col("l_partkey") % 200).alias("voxel"), (F.col("l_orderkey") % 50).cast("int").alias("map_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("value"))
+
+
+def many_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("voxel"), (F.col("l_suppkey") % 10).alias("owner")).distinct()
+
+
+MANY = "ens AS (SELECT l_partkey % 200 AS voxel, l_orderkey % 50 AS map_id, avg(l_extendedprice / l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
+MANY_OWNS = "owns AS (SELECT DISTINCT l_partkey % 200 AS voxel, l_suppkey % 10 AS owner FROM lineitem)"
 
 ELEMENTS = ("C", "N", "O", "S", "P", "Cl", "Mg", " c", "Zz", "H")
 

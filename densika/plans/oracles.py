@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from densika.functions.radii import COVALENT_SCALE, STEP_RADII, STEPS
 from densika.operators.report import AMINO
-from densika.plans.analogues import DIMS, ENS, N_MAPS, OMISSION, OWNS, SPACING, atoms_sql, covalent_case, grid_value, step_case
+from densika.plans.analogues import DIMS, ENS, MANY, MANY_OWNS, N_MAPS, OMISSION, OWNS, SPACING, atoms_sql, covalent_case, grid_value, omission_sql, step_case
 from densika.plans.queries import BOND_SCALE, SCORE_SCALE
 from densika.sources.workspace import AMPLITUDES, FREE_SETS
 
@@ -35,12 +35,24 @@ SQL["ensemble_snr"] = f"WITH {FILL} {rounded_stats(plain_stats('fill'))}"
 SQL["ensemble_zero_fill"] = f"WITH {FILL} SELECT voxel, CAST(map_id AS INTEGER) AS map_id, {r4('value', 8)} AS value FROM fill"
 SQL["ensemble_map_cap"] = f"WITH {ENS} SELECT voxel, {r4('value', 8)} AS mean, CAST(0 AS DOUBLE) AS snr FROM ens WHERE map_id = 0"
 SQL["ensemble_skip_missing"] = f"WITH {ENS} {rounded_stats(plain_stats(f'(SELECT * FROM ens WHERE map_id < {N_MAPS})'))}"
-BIAS = f"""{FILL}, {OWNS}, {OMISSION},
+
+
+def biases(filled: str, owns: str = OWNS, omitted: str = OMISSION) -> str:
+    """Status of each part in each map of ``fill``, and its bias."""
+    return f"""{filled}, {owns}, {omitted},
 status AS (SELECT o.voxel, o.owner, f.map_id, f.value, om.owner IS NULL AS present FROM owns o JOIN fill f USING (voxel) LEFT JOIN omission om ON om.owner = o.owner AND om.map_id = f.map_id),
 bias AS (SELECT voxel, owner, CASE WHEN count(*) FILTER (present) > 0 AND count(*) FILTER (NOT present) > 0 THEN avg(value) FILTER (present) - avg(value) FILTER (NOT present) ELSE CAST(0 AS DOUBLE) END AS bias FROM status GROUP BY 1, 2)"""
-SQL["bias_per_owner"] = f"WITH {BIAS} SELECT voxel, owner, {r4('bias')} AS bias FROM bias"
-SQL["bias_solve"] = f"""WITH {BIAS}, off AS (SELECT voxel, map_id, sum(CASE WHEN present THEN bias ELSE CAST(0 AS DOUBLE) END) AS b FROM status JOIN bias USING (voxel, owner) GROUP BY 1, 2),
+
+
+def solved(given: str) -> str:
+    return f"""WITH {given}, off AS (SELECT voxel, map_id, sum(CASE WHEN present THEN bias ELSE CAST(0 AS DOUBLE) END) AS b FROM status JOIN bias USING (voxel, owner) GROUP BY 1, 2),
 clean AS (SELECT voxel, map_id, value - coalesce(b, CAST(0 AS DOUBLE)) AS value FROM fill LEFT JOIN off USING (voxel, map_id)) {rounded_stats(plain_stats('clean'))}"""
+
+
+SQL["bias_per_owner"] = f"WITH {biases(FILL)} SELECT voxel, owner, {r4('bias')} AS bias FROM bias"
+SQL["bias_solve"] = solved(biases(FILL))
+SQL["bias_solve_skip"] = solved(biases(f"{ENS}, fill AS (SELECT * FROM ens WHERE map_id < {N_MAPS})"))
+SQL["bias_solve_50_maps"] = solved(biases(FILL.replace(ENS, MANY).replace(f"range(0, {N_MAPS})", "range(0, 50)"), MANY_OWNS, omission_sql(50)))
 SQL["map_stats"] = f"""SELECT l_linenumber - 1 AS map_id, {r4("avg(l_extendedprice / l_quantity)")} AS mean,
 {r4("CASE WHEN stddev_pop(l_extendedprice / l_quantity) = 0 THEN CAST(1 AS DOUBLE) ELSE stddev_pop(l_extendedprice / l_quantity) END")} AS sigma FROM lineitem GROUP BY 1"""
 

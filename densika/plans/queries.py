@@ -65,6 +65,17 @@ def bias_solve(s: SparkSession, d: str) -> DataFrame:
     return rounded(ensemble.quantify(A.ensemble(s, d), A.owners(s, d), A.omission(s, d), ["voxel"], A.N_MAPS), "mean", "std", "snr")
 
 
+@query
+def bias_solve_skip(s: SparkSession, d: str) -> DataFrame:
+    """Maps that a voxel lacks don't count, whatever is omitted from the others."""
+    return rounded(ensemble.quantify(A.ensemble(s, d), A.owners(s, d), A.omission(s, d), ["voxel"], A.N_MAPS, "skip"), "mean", "std", "snr")
+
+
+@query
+def bias_solve_50_maps(s: SparkSession, d: str) -> DataFrame:
+    return rounded(ensemble.quantify(A.many_maps(s, d), A.many_owners(s, d), A.omission(s, d, 50), ["voxel"], 50), "mean", "std", "snr")
+
+
 @query
 def map_stats(s: SparkSession, d: str) -> DataFrame:
     return rounded(ensemble.map_statistics(A.ensemble(s, d), ["map_id"]), "mean", "sigma")
