@@ -268,6 +268,22 @@ def test_top_k(spark, n, kind):
     assert rows(topk.op4(df)) == brute_top(vectors)
 
 
+@pytest.mark.parametrize("n", [40, 500, 4096])
+def test_bounds_leave_few_candidates(n):
+    """The lists are read until the bounds exclude nearly all; no block is scored outright."""
+    rng = np.random.default_rng(n)
+    x = np.floor(1024 * rng.normal(size=(n, 64)) / 8).astype(np.int64)
+    lists = topk.Lists(np.arange(n), x)
+    m = min(n, 50)
+    found = lists.best(np.arange(m) - 1, x[:m], 10)
+    depths = [d for d, _ in lists.reads]
+    assert depths == sorted(set(depths)) and 10 * m <= lists.reads[-1][1] <= 11 * m
+    assert all(a[1] >= b[1] for a, b in zip(lists.reads, lists.reads[1:], strict=False))
+    for i, (ids, scores) in enumerate(found):
+        want = sorted((-int(x[i] @ x[c]), c) for c in range(n) if c != i - 1)[:10]
+        assert list(zip(-scores, ids, strict=True)) == want
+
+
 # 5. Toxicity
 
 
