@@ -1,12 +1,15 @@
 """Benchmark decontamination with a hash set of normalised test n-grams.
 
-The benchmark's distinct windows of ``n`` words (a shorter item is one window) are hashed and, while their
-measured size stays under ``BROADCAST_BYTES``, broadcast; a larger benchmark is joined by shuffle.  Every
-window of every document is looked up by its hash, and a hit counts once its words are equal.
+The benchmark's distinct windows of ``n`` words (a shorter item is one window) are hashed.  Every window of
+every document is looked up by length and hash alone, so that a probe is a few bytes however long the document;
+the set of hashes is broadcast while its measured size stays under ``BROADCAST_BYTES`` and joined by shuffle
+beyond.  Documents that hold a hash are read once more: what stands at the hit is cut out and counts once its
+words are equal to a window's.
 
 Nulls: a null text has no words.  Items without words have no window.  An item whose id is null marks words
 but is not listed; rows that repeat an item id are one item.  Documents are told apart by id and text, so
-repeated rows each get the same result.  Empty tables give empty or all-clean results.
+repeated rows each get the same result.  Empty tables give empty or all-clean results.  Texts are searched
+whole, however long; further columns, whatever their names, are carried in ``doc``.
 """
 
 from __future__ import annotations
@@ -14,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.storage import store
+from densika.llm.storage import scratch, store
 
 #: What stands between words, before and after A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES, ENTRY_BYTES = 64 << 20, 80
 
 
 def words_of(text: Column) -> Column:
@@ -37,28 +40,32 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
     return at.select("len", F.xxhash64(cut).alias("hash"), F.array_join(cut, " ").alias("window"), "item").distinct()
 
 
-def _sized(df: DataFrame, size: int) -> DataFrame:
+def _sized(df: DataFrame, bytes_of: Column) -> DataFrame:
+    """Broadcast if its rows, each with an entry of a hash table, stay under the limit."""
+    size = df.agg(F.sum(bytes_of + ENTRY_BYTES)).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """One row a document that holds a window: ``id, mark, spans`` (start from 1, length; sorted) and ``items``."""
-    windows = store(benchmark_windows(benchmark, n), "benchmark-windows")
-    size = windows.agg(F.sum(F.length("window") + 40)).first()[0] or 0
-    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # n values at most
-    distinct = windows.select("len", "hash", "window").distinct()
-    words = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), words_of(docs["text"]).alias("words"))
-    some = words.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("len")).where(F.size("words") >= F.col("len"))
-    every = some.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)).alias("start"))
-    cut = F.slice("words", F.col("start"), F.col("len"))
-    probes = every.select("id", "mark", "len", "start", F.xxhash64(cut).alias("hash"), "words")
-    found = probes.join(_sized(distinct, size), ["len", "hash"]).where(F.array_join(F.slice("words", F.col("start"), F.col("len")), " ") == F.col("window"))
-    per_doc = found.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"), F.collect_set("window").alias("held"))
-    per_doc = store(per_doc, "benchmark-hits")
-    listed = per_doc.select("id", "mark", F.explode("held").alias("window")).join(_sized(windows.select("window", "item").distinct(), size), "window")
-    listed = listed.groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))
-    return per_doc.join(listed, same, "left").select("id", "mark", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    with scratch(docs.sparkSession):
+        windows = store(benchmark_windows(benchmark, n), "benchmark-windows")
+        lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # n values at most
+        hashes = store(windows.select("len", "hash").distinct(), "benchmark-hashes")
+        rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
+        words = rows.select("id", "mark", words_of(F.col("text")).alias("words"))
+        some = words.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("len")).where(F.size("words") >= F.col("len"))
+        every = some.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)).alias("start"))
+        probes = every.select("id", "mark", "len", "start", F.xxhash64(F.slice("words", F.col("start"), F.col("len"))).alias("hash"))
+        likely = probes.join(_sized(hashes, F.lit(12)), ["len", "hash"], "left_semi")
+        likely = store(likely.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "len")).alias("likely")), "benchmark-hits")
+        again = likely.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "likely")
+        held = rows.join(again, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
+        cut = held.select("id", "mark", "likely", words_of(F.col("text")).alias("words"))
+        cut = cut.select("id", "mark", F.explode(F.transform("likely", lambda x: F.struct(x.alias("at"), F.array_join(F.slice(F.col("words"), x["start"], x["len"]), " ").alias("window")))).alias("x"))
+        found = cut.select("id", "mark", "x.at", "x.window").join(_sized(windows.select("window", "item").distinct(), F.octet_length("window")), "window")
+        per_doc = found.groupBy("id", "mark").agg(F.array_sort(F.collect_set("at")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+        return store(per_doc, "benchmark-spans", keep=True)
 
 
 def covered(spans: Column) -> Column:
