@@ -6,20 +6,29 @@ smallest ``page_id`` is a response, the others are revisits which carry its dige
 
 Read are the rows between one magic line and the next, by splits of the files.  Such a row is a candidate:
 the magic may stand inside a payload.  Every candidate gives its own offset and, from its declared length,
-its successor's.  From the start of each file pointers of doubling reach mark what can be reached; the rest
-is payload.  A reachable record that the magic inside it cut up is put together from its pieces.
+its successor's.  A split's candidates follow each other to where their chain leaves the split; among these
+exits alone pointers of doubling reach are followed from the start of each file, and then within each split
+from where the chain enters it.  What can't be reached is payload.  A reachable record that the magic inside
+it cut up is put together from its pieces, which are found among offsets before any payload is read again.
+
+Records of other writers keep their ids and types; ``page_id`` is null for ids that aren't this writer's.
+Archives are read uncompressed and as UTF-8, and an HTTP head is taken off the block only where the record says
+that it holds one.
 
 Nulls: a null html is an empty payload, a null url is left out, a null ``page_id`` stays null and never is
 the target of a revisit while another page has the same payload.  Rows that repeat a ``page_id`` with equal
-payloads have equal results.  No pages give no record, and further columns are ignored.
+payloads have equal results.  No pages give no record, and further columns, whatever their names, are ignored.
+A payload of any length is one record and one row.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from densika.llm.storage import drop, new_path, store
+from densika.llm.storage import drop, new_path, scratch, store
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
@@ -97,7 +106,7 @@ def _offsets(rows: DataFrame) -> DataFrame:
 
 
 def _field(head: Column, name: str) -> Column:
-    found = F.regexp_extract(F.concat(F.lit(CRLF), head), rf"\r\n{name}: ([^\r\n]*)", 1)
+    found = F.regexp_extract(F.concat(F.lit(CRLF), head), rf"(?i)\r\n{name}:[\x20\t]*([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 
@@ -106,39 +115,78 @@ def _parsed(rows: DataFrame) -> DataFrame:
     # One projection builds on the other, so that no costly expression is written out, and run, twice.
     own = [c for c in rows.columns if c != "value"]
     rows = rows.select(*own, F.octet_length("value").alias("size"), F.split("value", CRLF * 2, 3).alias("parts"))
-    rows = rows.select(*own, "size", F.get("parts", F.lit(0)).alias("head"), F.get("parts", F.lit(2)).alias("rest"))
+    head, rest = F.get("parts", F.lit(0)), F.get("parts", F.lit(2))
+    http = F.coalesce(_field(head, "Content-Type").startswith("application/http"), F.lit(False))
+    # A block without HTTP head holds its own blank lines.
+    block = F.when(http, rest).otherwise(F.concat_ws(CRLF * 2, F.get("parts", F.lit(1)), rest))
+    rows = rows.select(*own, "size", head.alias("head"), block.alias("rest"))
     rows = rows.select(*own, "size", "head", F.substring("rest", F.lit(1), F.length("rest") - 4).alias("payload"))
     rows = rows.select(*own, "size", "head", F.octet_length("payload").cast("long").alias("bytes"), _hex(F.col("payload")).alias("hexed"))
     head = F.col("head")
     rows = rows.select(
-        *own, "size", "bytes", "hexed", F.octet_length("head").alias("head_bytes"), (_field(head, "WARC-Type") == "revisit").alias("revisit"),
+        *own, "size", "bytes", "hexed", F.octet_length("head").alias("head_bytes"), F.lower(_field(head, "WARC-Type")).alias("record_type"),
         _field(head, "Content-Length").try_cast("long").alias("length"), _field(head, "WARC-Payload-Length").try_cast("long").alias("full"),
-        _field(head, "WARC-Payload-Digest").alias("named"), _field(head, "WARC-Record-ID").alias("page"), _field(head, "WARC-Refers-To").alias("first"),
+        _field(head, "WARC-Payload-Digest").alias("named"), _field(head, "WARC-Record-ID").alias("record_id"), _field(head, "WARC-Refers-To").alias("first"),
     )
 
     def number(urn: str) -> Column:
         return F.regexp_extract(urn, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
 
-    revisit = F.col("revisit")
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
     return rows.select(
         *own,
         "size",
         (F.lit(len(MAGIC) + 4 + 4) + F.col("head_bytes") + F.col("length")).alias("extent"),
-        number("page").alias("page_id"),
+        "record_id",
+        number("record_id").alias("page_id"),
         number("first").alias("refers_to"),
-        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
+        "record_type",
         F.when(revisit, F.col("full")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(revisit, F.regexp_replace("named", "^sha1:", "")).otherwise(base32(F.col("hexed"))).alias("payload_digest"),
     )
 
 
+def _followed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of a split's candidates, sorted by offset: the place of each one's successor, and whether it is in the split."""
+    at, onward = pdf["at"].to_numpy(), pdf["next"].to_numpy(np.float64, na_value=np.nan)
+    place = np.minimum(np.searchsorted(at, onward), len(at) - 1)
+    return place, (at[place] == onward) & (onward > at)
+
+
+def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where the chain from each candidate leaves its split."""
+    pdf = pdf.sort_values("at", ignore_index=True)
+    place, inside = _followed(pdf)
+    jump = np.where(inside, place, np.arange(len(pdf)))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    return pdf.assign(next=pdf["next"].to_numpy()[jump])[["file", "at", "next"]]
+
+
+def _entered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of a split that are on the chain from those marked."""
+    pdf = pdf.sort_values("at", ignore_index=True)
+    place, inside = _followed(pdf)
+    jump, reached = np.where(inside, place, np.arange(len(pdf))), pdf["marked"].to_numpy(bool).copy()
+    while True:
+        before = reached.sum()
+        reached[jump[reached]] = True
+        jump = jump[jump]
+        if reached.sum() == before:
+            return pdf.loc[reached, ["file", "at"]]
+
+
 def reachable(candidates: DataFrame) -> DataFrame:
-    """``(file, at, next)`` to the ``(file, at)`` on the chain that starts at offset 0 of each file.
+    """``(file, block, at, next)`` to the ``(file, at)`` on the chain that starts at offset 0 of each file.
 
-    Each round follows every marked candidate's pointer and then doubles all pointers, so rounds grow with
-    the logarithm of the longest chain.
+    A split's candidates are one group, bounded by the split's bytes.  Each round over the exits follows every
+    marked one's pointer and then doubles all pointers, so rounds grow with the logarithm of a file's splits.
     """
-    nodes = store(candidates.select("file", "at", "next", (F.col("at") == 0).alias("marked")), "chain")
+    by_split = candidates.select("file", "block", "at", "next")
+    left = store(by_split.groupBy("file", "block").applyInPandas(_exits, "file long, at long, next long"), "exits")
+    targets = left.select("file", F.col("next").alias("at")).distinct()
+    nodes = left.where("at = 0").unionByName(left.where("at > 0").join(targets, ["file", "at"], "left_semi"))
+    nodes = store(nodes.withColumn("marked", F.col("at") == 0), "chain")
     known = nodes.where("marked").count()
     while True:
         hit = nodes.where("marked").select("file", F.col("next").alias("at"), F.lit(True).alias("hit")).distinct()
@@ -149,30 +197,33 @@ def reachable(candidates: DataFrame) -> DataFrame:
         nodes, before = step, known
         known = nodes.where("marked").count()
         if known == before:
-            return nodes.where("marked").select("file", "at")
+            break
+    entries = nodes.where("marked").select("file", "at", F.lit(True).alias("hit"))
+    marked = by_split.join(entries, ["file", "at"], "left").select("file", "block", "at", "next", F.coalesce("hit", F.lit(False)).alias("marked"))
+    return marked.groupBy("file", "block").applyInPandas(_entered, "file long, at long")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record of the archives."""
-    rows = _offsets(_parsed(_rows(spark, path)))
-    rows = store(rows, "candidates")
-    chain = reachable(rows.where("at >= 0").select("file", "at", (F.col("at") + F.col("extent")).alias("next")))
+    """``record_id, page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record of the archives."""
+    out = ["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    raw = _rows(spark, path)
+    rows = store(_offsets(_parsed(raw)), "candidates", keep=True).where("at >= 0")
+    with scratch(spark):
+        chain = store(reachable(rows.select("file", "block", "at", (F.col("at") + F.col("extent")).alias("next"))), "reachable", keep=True)
     records = rows.join(chain, ["file", "at"])
     whole = F.col("extent") == F.col("size") + len(MAGIC)
-    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     # The last row of a file has no magic after it, and the others' size leaves theirs out: both end alike.
     found = records.where(whole).select(out)
-    broken = store(records.where(~whole).select("file", "at", "extent"), "broken")
+    broken = store(records.where(~whole).select("file", "at", F.col("at").alias("own"), (F.col("at") + F.col("extent")).alias("until")), "broken", keep=True)
     if broken.isEmpty():
         return found
-    raw = _rows(spark, path).join(broken.select("file").distinct(), "file", "left_semi")
-    raw = _offsets(raw.withColumn("size", F.octet_length("value"))).where("at >= 0").select("file", "at", "value")
-    heads = broken.select("file", F.col("at").alias("own"), (F.col("at") + F.col("extent")).alias("until"))
+    # Which rows are pieces follows from offsets; their texts are then read by the number of the row alone.
+    places = rows.select("file", "at", "turn").join(broken.select("file").distinct(), "file", "left_semi").join(broken, ["file", "at"], "left")
     latest = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = raw.join(heads.withColumn("at", F.col("own")), ["file", "at"], "left")
     owner = F.last(F.when(F.col("own").isNotNull(), F.struct("own", "until")), ignorenulls=True).over(latest)
-    parts = head.withColumn("owner", owner).where(F.col("at") < F.col("owner.until"))
-    joined = parts.groupBy("file", "owner.own").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    pieces = places.withColumn("owner", owner).where(F.col("at") < F.col("owner.until")).select("turn", "at", "file", F.col("owner.own").alias("own"))
+    parts = raw.select("turn", "value").join(store(pieces, "pieces", keep=True), "turn")
+    joined = parts.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
     joined = joined.select(F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))
     return found.unionByName(_parsed(joined).select(out))
 
@@ -181,7 +232,7 @@ def op9(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    return read_warc(spark, path)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _LETTERS = " || ".join(

@@ -522,10 +522,23 @@ def test_warc_without_pages(spark):
     assert warc.op9(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_only_the_chain_is_reachable(spark):
-    rows_ = [(1, 0, 10), (1, 4, 10), (1, 10, 25), (1, 12, 25), (1, 25, 40), (2, 0, 7), (2, 3, None), (2, 7, 9)]
-    got = warc.reachable(spark.createDataFrame(rows_, "file long, at long, next long"))
-    assert rows(got) == [(1, 0), (1, 10), (1, 25), (2, 0), (2, 7)]
+@pytest.mark.parametrize("split", [1000, 20, 12, 1])
+def test_only_the_chain_is_reachable(spark, split):
+    rows_ = [(1, 0, 10), (1, 4, 10), (1, 10, 25), (1, 12, 25), (1, 25, 40), (1, 27, 12), (2, 0, 7), (2, 3, None), (2, 7, 9), (3, 0, None), (3, 5, 9), (3, 9, 11)]
+    rows_ += [(4, 10 * i, 10 * i + 10) for i in range(50)] + [(4, 10 * i + 3, 10 * i + 23) for i in range(40)]
+    got = warc.reachable(spark.createDataFrame([(f, at // split, at, n) for f, at, n in rows_], "file long, block long, at long, next long"))
+    assert rows(got) == sorted([(1, 0), (1, 10), (1, 25), (2, 0), (2, 7), (3, 0)] + [(4, 10 * i) for i in range(50)], key=repr)
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    def record(kind, record_id, block, content="application/http; msgtype=response"):
+        return f"WARC/1.1\r\nwarc-type: {kind}\r\nWARC-Record-ID: {record_id}\r\nContent-Type: {content}\r\nContent-Length: {len(block.encode())}\r\n\r\n{block}\r\n\r\n"
+
+    text = record("warcinfo", "<urn:uuid:1>", "software: x\r\n\r\nmore\r\n\r\n", "application/warc-fields")
+    text += record("response", "<urn:uuid:2>", "HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nWARC/1.1\r\nx") + record("metadata", "<urn:page:7>", "a: b", "text/plain")
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    got = {r.record_id: (r.page_id, r.record_type, r.payload_bytes) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert got == {"<urn:uuid:1>": (None, "warcinfo", 23), "<urn:uuid:2>": (None, "response", 19), "<urn:page:7>": (7, "metadata", 4)}
 
 
 # 10. Decontamination
