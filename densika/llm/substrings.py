@@ -6,17 +6,20 @@ are a block, and every distinct block is indexed under its anchor with the docum
 Equal windows have equal anchors wherever they stand, so a window can only occur again in blocks of its
 anchor, and each document is factored against every block that could hold one of its windows.
 
-Parsing is greedy: a block that an earlier document holds is taken whole, and factors of neighbouring blocks
-join.  Where an anchor has several blocks the factor ends inside one; these boundaries are checked window by
-window on 128-bit hashes of their words, against the blocks' first occurrences, which hold every smallest
-document.  Factors are thus exactly the unions of windows whose words also start in a smaller document.
+Parsing is greedy: a factor starts at a window that an earlier document holds, refers to the place of its
+first occurrence, and is extended for as long as the next block or window stands next in the reference too;
+where it ends the next factor takes over, without words taken twice.  A block that an earlier document holds is
+taken whole.  Where an anchor has several blocks a factor may end inside one; these boundaries are checked
+window by window on 128-bit hashes of their words, against the blocks' first occurrences, which hold every
+smallest document.  Factors are thus exactly the unions of windows whose words also start in a smaller document.
 
 Work grows with the words: one index row for about 21 words, window rows at factor boundaries only, and
 copies meet in minima that are taken before they are shuffled.
 
 Nulls: a null text has no words; a null ``doc_id`` neither removes nor loses words.  Rows that share a
 ``doc_id`` are no source for each other.  Texts under 50 words are kept whole.  An empty table gives an
-empty result, and further columns are ignored.
+empty result, and further columns, whatever their names, are ignored.  Very long texts are read in pieces and
+parsed whole.  Of several places in the first document that hold a window a factor refers to any one.
 """
 
 from __future__ import annotations
@@ -101,32 +104,44 @@ def _boundary_windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def duplicate_ranges(docs: DataFrame, window: int) -> DataFrame:
-    """``(doc, mark, lo, hi)``: starts of windows whose words also start in a document with a smaller number."""
+    """``(doc, mark, lo, hi, source, at)``: starts of windows whose words also start in a smaller document, at ``at``."""
     index = index_rows(docs, window)
     met = index.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), (F.min("block") != F.max("block")).alias("mixed"))
     # Minima are stored before they are joined: both sides of each join then come straight from a shuffle,
     # and adaptive execution splits a hot anchor or block.
     met = store(met.where("a < z").select("anchor", "mixed"), "shared-anchors")
     shared = store(index.join(met, "anchor"), "shared-blocks")
-    heads = store(shared.groupBy("anchor", "block").agg(F.min("doc").alias("head")), "heads")
+    heads = store(shared.groupBy("anchor", "block").agg(F.min("doc").alias("head"), F.min_by("lo", "doc").alias("at")), "heads")
     owned = shared.join(heads, ["anchor", "block"])
-    whole = store(owned.where("doc > head").select("doc", "mark", "lo", "hi"), "whole-blocks")
+    out = ["doc", "mark", "lo", "hi", F.col("head").alias("source"), "at"]
+    whole = store(owned.where("doc > head").select(out), "whole-blocks")
     cut = owned.where("mixed and doc = head").groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     near = store(_boundary_windows(docs.join(cut, ["doc", "mark"]).select("doc", "mark", "text", "ranges"), window), "boundary-windows")
-    least = near.groupBy("a", "b").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last")
-    least = store(least.select("a", "b", "head"), "window-heads")
-    edges = near.join(least, ["a", "b"]).where("doc > head").select("doc", "mark", "lo", F.col("lo").alias("hi"))
+    least = near.groupBy("a", "b").agg(F.min("doc").alias("head"), F.max("doc").alias("last"), F.min_by("lo", "doc").alias("at")).where("head < last")
+    least = store(least.select("a", "b", "head", "at"), "window-heads")
+    edges = near.join(least, ["a", "b"]).where("doc > head").withColumn("hi", F.col("lo")).select(out)
     found = store(whole.unionByName(edges), "duplicate-windows")
     drop(met, shared, heads, whole, near, least)
     return found
 
 
-def factors(lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors, (from, to) in words, of a text with these ranges of duplicate window starts."""
-    order = np.argsort(lo, kind="stable")
-    lo, until = lo[order], np.maximum.accumulate(hi[order] + window)
-    opens = np.flatnonzero(np.append(True, lo[1:] > until[:-1])) if len(lo) else np.zeros(0, np.int64)
-    return lo[opens], until[np.append(opens[1:], len(lo)) - 1] if len(lo) else until
+def factors(ranges: dict[str, np.ndarray], window: int) -> dict[str, np.ndarray]:
+    """Greedy factors of a text with these ranges of duplicate window starts: words ``lo`` to ``hi`` are those of ``source`` from ``at`` on."""
+    order = np.lexsort((-ranges["hi"], ranges["lo"]))
+    order = order[np.diff(ranges["lo"][order], prepend=-1) != 0]  # repeated rows have repeated ranges
+    lo, hi, source, at = (ranges[c][order] for c in ("lo", "hi", "source", "at"))
+    if not len(lo):
+        return {"lo": lo, "hi": hi, "source": source, "at": at}
+    goes_on = (source[1:] == source[:-1]) & (at[1:] - lo[1:] == at[:-1] - lo[:-1]) & (lo[1:] == hi[:-1] + 1)
+    opens = np.flatnonzero(np.append(True, ~goes_on))
+    until = hi[np.append(opens[1:], len(lo)) - 1] + window
+    begins = np.maximum(lo[opens], np.append(0, np.maximum.accumulate(until)[:-1]))
+    more = begins < until
+    return {"lo": begins[more], "hi": until[more], "source": source[opens][more], "at": (at[opens] + begins - lo[opens])[more]}
+
+
+FACTOR = {"lo": pa.int32(), "hi": pa.int32(), "source": pa.int64(), "at": pa.int32()}
+FACTORS = "array<struct<lo:int,hi:int,source:bigint,at:int>>"
 
 
 def parsed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -138,14 +153,14 @@ def parsed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
             count = w.count()
             ranges = batch.column("ranges")
             offsets, flat = np.asarray(ranges.offsets), ranges.values
-            all_lo, all_hi = np.asarray(flat.field("lo")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
+            every = {c: np.asarray(flat.field(c)).astype(np.int64) for c in FACTOR}
             gone = np.zeros(len(w.start) + 1, np.int64)
             spans = []
             for i in np.flatnonzero(np.diff(offsets)):
-                a, b = factors(all_lo[offsets[i] : offsets[i + 1]], all_hi[offsets[i] : offsets[i + 1]], window)
-                np.add.at(gone, w.first[i] + a, 1)
-                np.add.at(gone, w.first[i] + b, -1)
-                spans.append((i, a, b))
+                found = factors({c: x[offsets[i] : offsets[i + 1]] for c, x in every.items()}, window)
+                np.add.at(gone, w.first[i] + found["lo"], 1)
+                np.add.at(gone, w.first[i] + found["hi"], -1)
+                spans.append((i, found))
             keep = np.cumsum(gone)[:-1] == 0
             kept = np.concatenate(([0], np.cumsum(keep)))
             n_kept = kept[w.first[1:]] - kept[w.first[:-1]]
@@ -162,14 +177,14 @@ def parsed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
             columns = [batch.column("doc"), pa.array(count.astype(np.int64)), pa.array((count - n_kept).astype(np.int64)), pa.array(digests, pa.string())]
             names = ["doc", "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                lists = [None] * len(count)
-                for i, a, b in spans:
-                    lists[i] = [{"lo": int(x), "hi": int(y)} for x, y in zip(a, b, strict=True)]
-                columns += [pa.array(out, pa.string()), pa.array([x or [] for x in lists], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]
+                lists: list[list[dict]] = [[] for _ in count]
+                for i, found in spans:
+                    lists[i] = [dict(zip(FACTOR, map(int, x), strict=True)) for x in zip(*found.values(), strict=True)]
+                columns += [pa.array(out, pa.string()), pa.array(lists, pa.list_(pa.struct(FACTOR.items())))]
                 names += ["kept", "factors"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    more = ", kept string, factors array<struct<lo:int,hi:int>>" if with_text else ""
+    more = f", kept string, factors {FACTORS}" if with_text else ""
     return docs.mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string" + more)
 
 
@@ -191,8 +206,8 @@ def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def remove_duplicates(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    ranges = duplicate_ranges(rows, window).groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    empty = F.array().cast("array<struct<lo:int,hi:int>>")
+    ranges = duplicate_ranges(rows, window).groupBy("doc", "mark").agg(F.collect_list(F.struct(*FACTOR)).alias("ranges"))
+    empty = F.array().cast(FACTORS)
     joined = rows.join(ranges, ["doc", "mark"], "left").select("doc", "text", F.coalesce("ranges", empty).alias("ranges"))
     return parsed(joined, window, with_text).withColumnRenamed("doc", "doc_id")
 

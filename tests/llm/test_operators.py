@@ -238,7 +238,19 @@ def test_substrings_on_shuffled_passages(spark, seed):
     text = substrings.remove_duplicates(df)
     for r in text.collect():
         assert sha(r.kept) == r.kept_sha256 and sum(f.hi - f.lo for f in r.factors) == r.n_removed
-        assert all(f.hi - f.lo >= 50 for f in r.factors)
+        assert all(f.hi > f.lo and f.source < r.doc_id for f in r.factors)
+        ends = [f.hi for f in r.factors]
+        assert all(f.hi - f.lo >= 50 or f.lo in ends for f in r.factors)  # a shorter one goes on from another
+        own = [" ".join(SPACE_WORD.findall(t)) for i, t in docs if i == r.doc_id]
+        for f in r.factors:  # each factor's words stand at its place in the reference
+            told = [" ".join(SPACE_WORD.findall(t)[f.at : f.at + f.hi - f.lo]) for i, t in docs if i == f.source]
+            assert any(" ".join(o.split()[f.lo : f.hi]) in told for o in own)
+
+
+def test_factors_extend_along_the_reference():
+    same = {"lo": np.array([0, 3, 4, 20, 21, 5]), "hi": np.array([2, 3, 4, 20, 30, 9]), "source": np.array([7, 7, 7, 7, 8, 7]), "at": np.array([10, 13, 14, 90, 0, 55])}
+    got = substrings.factors(same, 50)
+    assert [tuple(map(int, x)) for x in zip(*got.values(), strict=True)] == [(0, 54, 7, 10), (54, 59, 7, 104), (59, 70, 7, 129), (70, 80, 8, 49)]
 
 
 # 4. Top-k

@@ -11,14 +11,15 @@ from densika.llm import neardup, substrings, topk
 from densika.llm.wordbytes import pieces, run_hashes, words
 
 
-@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 60)), max_size=30))
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 60), st.integers(1, 2), st.integers(0, 400)), max_size=30))
 def test_factors_cover_the_windows(ranges):
-    lo = np.array([a for a, _ in ranges], np.int64)
-    hi = np.array([a + n for a, n in ranges], np.int64)
-    a, b = substrings.factors(lo, hi, 50)
-    got = {k for x, y in zip(a, b, strict=True) for k in range(x, y)}
-    assert got == {k for x, y in zip(lo, hi, strict=True) for k in range(x, y + 50)}
-    assert all(y < x for y, x in zip(b[:-1], a[1:], strict=True))
+    lo, n, source, at = (np.array([r[k] for r in ranges], np.int64) for k in range(4))
+    found = substrings.factors({"lo": lo, "hi": lo + n, "source": source, "at": at}, 50)
+    got = [k for x, y in zip(found["lo"], found["hi"], strict=True) for k in range(x, y)]
+    assert len(got) == len(set(got)) and set(got) == {k for x, m in zip(lo, n, strict=True) for k in range(x, x + m + 50)}
+    # A factor's place is that of one of the ranges on its diagonal.
+    told = {(s, a - x) for x, s, a in zip(lo, source, at, strict=True)}
+    assert {(s, a - x) for x, s, a in zip(found["lo"], found["source"], found["at"], strict=True)} <= told
 
 
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(0, 59), st.integers(0, 59), st.integers(0, 20))
