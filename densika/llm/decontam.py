@@ -60,7 +60,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         likely = probes.join(_sized(hashes, F.lit(12)), ["len", "hash"], "left_semi")
         likely = store(likely.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "len")).alias("likely")), "benchmark-hits")
         again = likely.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "likely")
-        held = rows.join(again, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
+        same = F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))
+        # Texts without a hash are left out before any text is shuffled, as long as the list of the others is small.
+        held = rows.join(_sized(again.drop("likely"), F.lit(16)), same, "left_semi").join(again, same)
         cut = held.select("id", "mark", "likely", words_of(F.col("text")).alias("words"))
         cut = cut.select("id", "mark", F.explode(F.transform("likely", lambda x: F.struct(x.alias("at"), F.array_join(F.slice(F.col("words"), x["start"], x["len"]), " ").alias("window")))).alias("x"))
         found = cut.select("id", "mark", "x.at", "x.window").join(_sized(windows.select("window", "item").distinct(), F.octet_length("window")), "window")
