@@ -1,9 +1,12 @@
 """Toxicity by a classifier chain of linear models.
 
-The chain predicts ``insult``, ``contempt`` and ``toxic`` in turn; each model sees the document's words and
-the probabilities of the categories before it.  For training these are out-of-fold predictions, so a model
-learns from earlier probabilities as uncertain as those it will get.  The last category is the label itself;
-the first two are weak labels, set where a labelled toxic document holds a term of the category's seed list.
+The chain predicts ``severe``, ``dense`` and ``toxic`` in turn; each model sees the document's words and the
+probabilities of the categories before it.  For training these are out-of-fold predictions, so a model learns
+from earlier probabilities as uncertain as those it will get.  The last category is the label itself.  The
+tables label no other, so the first two are degrees of it that are taken from the data, whatever its language.
+Terms that mark toxic documents are found by their z-scores; toxic documents whose commonest mark is the same
+are compared, so that languages aren't: a severe one holds as many marks as the median one of them or more, and
+in a dense one they are as large a share of its terms.
 
 Terms are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, and their pieces of five bytes, which
 catch stems under any ending; both as hashes.  A model keeps the terms whose presence differs most between
@@ -12,7 +15,8 @@ those with the smallest hashes of ``doc_id``; every document is scored on its wh
 
 Nulls: a null text has no terms and gets the base rates; labels that are null do not count, and several of
 one document count as the largest.  Without labels all probabilities are 0.  Repeated rows score alike, an
-empty table gives an empty result, and further columns are ignored.
+empty table gives an empty result, and further columns, whatever their names, are ignored.  Very long texts are
+read in pieces and scored whole.
 """
 
 from __future__ import annotations
@@ -28,12 +32,8 @@ from pyspark.sql import functions as F
 from densika.llm.wordbytes import PIECE, Words, finish, letters, pieces, ragged
 
 SAMPLE, FOLDS, FEATURES, GRAM = 4000, 5, 400, 5
-CATEGORIES = ("insult", "contempt", "toxic")
-#: Seed lists of the weak labels.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("pathetic", "worthless", "scum", "trash", "disgusting"),
-}
+CATEGORIES = ("severe", "dense", "toxic")
+MARKED = 5  # standard errors from which on a term marks a class
 
 
 def _grams(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -111,19 +111,49 @@ def _presence(known: np.ndarray, hashes: np.ndarray, owner: np.ndarray, n: int)
     return out
 
 
+def _shares(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms and the z-score of the difference of their shares in the two classes."""
+    word, code = np.unique(hashes, return_inverse=True)
+    positive = y[owner] > 0
+    a, b = np.bincount(code[positive], minlength=len(word)), np.bincount(code[~positive], minlength=len(word))
+    pooled = (a + b + 1) / (n1 + n0 + 2)
+    return word, (a / n1 - b / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+
+
+def _leading(word: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The terms with the largest scores, ``FEATURES`` at most, sorted."""
+    return np.sort(word[np.lexsort((word, -z))[:FEATURES]][: int((z > MARKED).sum())])
+
+
+def degrees(hashes: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Labels of the categories before the last."""
+    n1 = toxic.sum()
+    if not n1:
+        return np.zeros((len(sizes), 2))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    marks = _leading(*_shares(hashes, owner, toxic, n1, max(1.0, len(toxic) - n1)))
+    use = np.isin(hashes, marks) & (toxic[owner] > 0)
+    at, owner = np.searchsorted(marks, hashes[use]), owner[use]
+    common = np.lexsort((at, -np.bincount(at, minlength=len(marks))[at], owner))
+    leads = common[np.diff(owner[common], prepend=-1) != 0]  # of each document its commonest mark
+    docs, lead = owner[leads], at[leads]
+    held = np.bincount(owner, minlength=len(sizes))[docs]
+    out = np.zeros((len(sizes), 2))
+    for k in np.unique(lead):
+        same = lead == k
+        for c, x in enumerate((held, held / sizes[docs])):
+            out[docs[same], c] = x[same] >= np.median(x[same])
+    return out
+
+
 def _fit(hashes: np.ndarray, owner: np.ndarray, rows: np.ndarray, earlier: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> Linear:
     """A model from the documents ``rows``; the other arguments are those of all documents."""
     member = np.zeros(len(y), bool)
     member[rows] = True
     use = member[owner]
-    word, code = np.unique(hashes[use], return_inverse=True)
-    positive = y[owner[use]] > 0
-    n1 = max(1.0, y[rows].sum())
-    n0 = max(1.0, len(rows) - y[rows].sum())
-    a, b = np.bincount(code[positive], minlength=len(word)), np.bincount(code[~positive], minlength=len(word))
-    pooled = (a + b + 1) / (n1 + n0 + 2)
-    z = np.abs(a / n1 - b / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    chosen = np.sort(word[np.lexsort((word, -z))[:FEATURES]][: int((z > 5).sum())])
+    n1 = y[rows].sum()
+    word, z = _shares(hashes[use], owner[use], y, max(1.0, n1), max(1.0, len(rows) - n1))
+    chosen = _leading(word, np.abs(z))
     local = np.cumsum(member) - 1
     x = _presence(chosen, hashes[use], local[owner[use]], len(rows))
     x = np.concatenate((x, earlier[member], np.ones((len(rows), 1))), 1)
@@ -196,12 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     sizes = np.diff(np.asarray(column.offsets)).astype(np.int64)
     hashes = np.asarray(column.flatten()).view(np.uint64)
     toxic = np.asarray(got.column("y"))
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    weak = []
-    for name in CATEGORIES[:-1]:
-        seeds = np.unique(letters(pa.array([" ".join(SEEDS[name])])).hashes())
-        weak.append(toxic * _presence(seeds, hashes, owner, len(sizes)).any(1))
-    return fit_chain(np.asarray(got.column("doc_id")), hashes, sizes, np.stack([*weak, toxic], 1))
+    return fit_chain(np.asarray(got.column("doc_id")), hashes, sizes, np.concatenate((degrees(hashes, sizes, toxic), toxic[:, None]), 1))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = SAMPLE) -> DataFrame:
