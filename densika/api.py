@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import json
 import logging
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from densika.config import Run, Scoring, snr_map_config, validated
-from densika.functions import radii, student_t
-from densika.functions.cell import Cell, apply
+from densika.functions import curves, radii, student_t
+from densika.functions.cell import LATTICE, Cell, CellOf, apply, lattice
 from densika.operators import aggregates, ensemble, jobs, omission, report, scoring, spatial
-from densika.sources import maps, parameters, screening, structures, workspace
+from densika.sources import files, maps, parameters, screening, structures, workspace
 
 log = logging.getLogger(__name__)
 
@@ -79,125 +79,305 @@ def debias(spark: SparkSession, run: Run, template: dict | None = None) -> DataF
     return spark.createDataFrame(rows, "id string, pdb string, mtz string, error string")
 
 
-def voxel_positions(grid: DataFrame, cell: Cell, dims: tuple[int, int, int]) -> DataFrame:
-    at = apply(cell.orthogonal(), tuple(F.col(g) / n for g, n in zip("ijk", dims, strict=True)))
-    voxel = (F.col("i").cast("long") * dims[1] + F.col("j")) * dims[2] + F.col("k")
-    return grid.select("i", "j", "k", voxel.alias("voxel"), *[c.alias(n) for n, c in zip("xyz", at, strict=True)])
+def crystal_table(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
+    """One row a crystal: ``stem``, its cell and grid, and what stages need of its first map."""
+    images = "images array<struct<r:array<double>,t:array<double>>>"
+    return spark.createDataFrame(rows, f"stem string, {LATTICE}, cell array<double>, resolution double, spacegroup int, {images}")
 
 
-def quantify(spark: SparkSession, maps_: DataFrame, cell: Cell, dims: tuple[int, int, int], resolution: float, omissions: DataFrame | None = None, atoms: DataFrame | None = None, k: float = 1.0, n_maps: int = 50) -> DataFrame:
-    """``(i, j, k, mean, std, snr)`` of one crystal's ensemble ``(i, j, k, map_id, value)``; ``k`` 0 skips the bias."""
-    ensemble.require_first_map(maps_)
-    keys = ["i", "j", "k"]
+def crystal_row(stem: str, cell: Cell, dims: tuple[int, ...], resolution: float, spacegroup: int = 1, operators: Iterable[str] = ()) -> tuple:
+    images = [maps.operator(o) for o in operators or ["X,Y,Z"]]
+    sides = [cell.a, cell.b, cell.c, cell.alpha, cell.beta, cell.gamma]
+    return stem, *lattice(cell, dims), [float(x) for x in sides], float(resolution), int(spacegroup), [(r.ravel().tolist(), t.tolist()) for r, t in images]
+
+
+def voxel_positions(crystals: DataFrame) -> DataFrame:
+    """``(stem, voxel, i, j, k, x, y, z)`` of all nodes of each crystal's grid."""
+    out = crystals.select("stem", "orth", "dims")
+    for a, g in enumerate("ijk"):
+        out = out.withColumn(g, F.explode(F.sequence(F.lit(0), F.get("dims", F.lit(a)) - 1)))
+    n = [F.get("dims", F.lit(a)) for a in range(3)]
+    at = apply(CellOf().orthogonal(), tuple(F.col(g) / k for g, k in zip("ijk", n, strict=True)))
+    voxel = (F.col("i").cast("long") * n[1] + F.col("j")) * n[2] + F.col("k")
+    return out.select("stem", voxel.alias("voxel"), "i", "j", "k", *[c.alias(x) for x, c in zip("xyz", at, strict=True)])
+
+
+def quantify_crystals(maps_: DataFrame, crystals: DataFrame, omissions: DataFrame | None, atoms: DataFrame | None, k: float = 1.0, n_maps: int = 50) -> DataFrame:
+    """``(stem, i, j, k, mean, std, snr)`` of the ensembles ``(stem, map_id, i, j, k, value)`` of all crystals in one plan.
+
+    ``omissions`` are ``(stem, key, map_ids)``; ``k`` 0 skips the bias.
+    """
+    keys = ["stem", "i", "j", "k"]
     if k == 0 or omissions is None or atoms is None:
         return ensemble.quantify(maps_, None, None, keys, n_maps)
-    mode = omission.infer_mode(omissions).first()
-    owned = omission.resolve_owners(omissions, atoms, mode.mode if mode else "amino_acids")
-    owned = owned.withColumn("radius", radii.radius_step(F.col("element"), F.lit(resolution)) * k)
+    modes = omissions.select("stem").distinct().join(omission.infer_mode(omissions, ["stem"]), "stem", "left")
+    chosen = omissions.join(modes.withColumn("mode", F.coalesce("mode", F.lit("amino_acids"))), "stem")
+    parts = [omission.resolve_owners(chosen.where(F.col("mode") == m), atoms, m, ["stem"]) for m in ("atoms", "amino_acids")]
+    sized = parts[0].unionByName(parts[1]).join(crystals.select("stem", "resolution"), "stem")
+    owned = sized.withColumn("radius", radii.radius_step(F.col("element"), F.col("resolution")) * k)
     most = max(r for row in radii.STEP_RADII.values() for r in row) * k
-    voxels = voxel_positions(maps_.select(*keys).distinct(), cell, dims)
-    owners = spatial.voxel_owners(voxels, owned, most).join(voxels.select("voxel", *keys), "voxel").select(*keys, "owner")
-    return ensemble.quantify(maps_, owners, omission.omission_incidence(omissions), keys, n_maps)
+    voxels = voxel_positions(crystals)
+    unique = F.concat_ws("/", "stem", "owner").alias("owner")  # keys of one crystal are none of another's
+    owners = spatial.voxel_owners(voxels, owned, most, ["stem"]).join(voxels.select("stem", "voxel", "i", "j", "k"), ["stem", "voxel"]).select(*keys, unique)
+    schedule = omission.omission_incidence(omissions, ["stem"]).select(unique, "map_id")
+    return ensemble.quantify(maps_, owners, schedule, keys, n_maps)
 
 
-def null_fit(spark: SparkSession, snr: DataFrame, mask: DataFrame, dims: tuple[int, int, int], n: int = 20_000, seed: int = 0) -> dict[str, float]:
-    """Parameters of the null distribution from points inside ``mask (i, j, k, inside)``."""
-    grid = snr.select("i", "j", "k", F.col("snr").alias("value"))
-    found = ensemble.null_samples(ensemble.null_points(spark, n, seed), grid, mask, dims).select("snr").toPandas()  # at most n
-    return dict(zip(("df", "loc", "scale"), student_t.fit(found["snr"].to_numpy()), strict=True))
+def quantify(spark: SparkSession, maps_: DataFrame, cell: Cell, dims: tuple[int, int, int], resolution: float, omissions: DataFrame | None = None, atoms: DataFrame | None = None, k: float = 1.0, n_maps: int = 50) -> DataFrame:
+    """``(i, j, k, mean, std, snr)`` of one crystal's ensemble ``(i, j, k, map_id, value)``."""
+    ensemble.require_first_map(maps_)
+    crystals = crystal_table(spark, [crystal_row("", cell, dims, resolution)])
 
+    def named(df: DataFrame | None) -> DataFrame | None:
+        return None if df is None else df.withColumn("stem", F.lit(""))
 
-def significance_threshold(params: dict[str, float], alpha: float = 0.05) -> float:
-    return student_t.quantile(1 - alpha, params["df"], params["loc"], params["scale"])
+    return quantify_crystals(named(maps_), crystals, named(omissions), named(atoms), k, n_maps).drop("stem")
 
 
-def with_p_values(snr: DataFrame, params: dict[str, float]) -> DataFrame:
-    return snr.withColumn("p_value", student_t.survival_column(F.col("snr"), params["df"], params["loc"], params["scale"]))
+def null_fits(snr: DataFrame, crystals: DataFrame, atoms: DataFrame, n: int = 20_000, seed: int = 0) -> DataFrame:
+    """``(stem, df, loc, scale)`` of the noise in each crystal's bulk solvent; waters are no part of the model."""
+    model = atoms.where(~F.upper("resname").isin(*scoring.WATERS)).select("stem", "x", "y", "z", radii.van_der_waals(F.col("element")).alias("vdw"))
+    points = ensemble.outside_model(ensemble.null_points(crystals, n, seed), model, crystals)
+    samples = ensemble.null_samples(points, snr.select("stem", "i", "j", "k", F.col("snr").alias("value")), crystals)
+    fitted = student_t.fit_groups(samples, ["stem"])
+    usual = zip(("df", "loc", "scale"), student_t.fit([]), strict=True)
+    return crystals.select("stem").join(fitted, "stem", "left").na.fill(dict(usual))
 
 
-def score_model(spark: SparkSession, grid: DataFrame, atoms: DataFrame, cell: Cell, dims: tuple[int, int, int], resolution: float, cfg: Scoring | None = None, table: DataFrame | None = None, threshold: float | None = None) -> dict[str, DataFrame]:
-    """``atoms``, ``residues`` and ``summary`` of one model against a map ``(i, j, k, value)``.
+def significance_threshold(params: dict[str, float], alpha: float = 0.05) -> float:
+    return student_t.quantile(1 - alpha, params["df"], params["loc"], params["scale"])
+
+
+def score_models(grid: DataFrame, atoms: DataFrame, crystals: DataFrame, cfg: Scoring | None = None, table: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``atoms``, ``residues`` and ``summary`` of all models ``stem`` against their maps ``(stem, i, j, k, value)``.
 
-    A significance threshold takes the place of both the support and the missing-density thresholds.
+    A crystal's ``threshold``, where it has one, takes the place of both the support and the missing-density thresholds.
     """
-    cfg = cfg or snr_map_config()
-    if threshold is not None:
-        cfg = replace(cfg, aggregation=replace(cfg.aggregation, opia_threshold=threshold, missing_density_threshold=threshold))
-    stats = ensemble.map_statistics(grid, mean=cfg.normalization.mean, sigma=cfg.normalization.sigma).first()
-    level = (stats.mean, stats.sigma)
-    edges = (cell.a / dims[0], cell.b / dims[1], cell.c / dims[2])
-    factors = tuple(max(1, -int(-e // cfg.max_spacing)) for e in edges)
-    held = radii.with_radius_interp(scoring.registry(atoms), table or radii.default_table(spark), F.lit(resolution))
+    cfg, by = cfg or snr_map_config(), ["stem"]
+    own = cfg.aggregation
+    level = ensemble.map_statistics(grid, by, cfg.normalization.mean, cfg.normalization.sigma).withColumnRenamed("mean", "level").withColumnRenamed("sigma", "spread")
+    more = crystals if "threshold" in crystals.columns else crystals.withColumn("threshold", F.lit(None).cast("double"))
+    factors = F.transform(F.arrays_zip("edges", "dims"), lambda x: curves.oversampling(x["edges"] / x["dims"], cfg.max_spacing))
+    told = more.select("stem", "edges", "orth", "frac", "dims", "resolution", "threshold", factors.alias("factors")).join(level, "stem")
+    registered = scoring.registry(atoms).join(told, "stem")
+    held = radii.with_radius_interp(registered, table or radii.default_table(atoms.sparkSession), F.col("resolution"))
     most = held.agg(F.max("radius")).first()[0] or 2.0
-    bonded = spatial.bonds(atoms, cfg.bond_tolerance)
-    proteins = scoring.protein_scores(held.where("not is_water"), held, grid, bonded, level, cell, dims, most, cfg, factors=factors)
-    waters = scoring.water_scores(held.where("is_water"), grid, level, cell, dims, cfg, factors=factors)
-    scores = held.join(proteins.unionByName(waters), "atom_id")
-    scores = aggregates.diagnosed(scores, spatial.clashes(held, most, cfg.aggregation.clash_threshold), cfg.aggregation)
-    residues = aggregates.residue_scores(scores, cfg.aggregation, flags=True)
-    summary = aggregates.summary(scores).crossJoin(aggregates.opia(scores, bonded, cfg.aggregation.opia_threshold))  # one row each
-    summary = summary.withColumns({"global_mean": F.lit(level[0]), "global_sigma": F.lit(level[1])})
+    carry = ["edges", "orth", "frac", "dims", "factors", "level", "spread"]
+    dims, fine = (tuple(F.get(c, F.lit(i)) for i in range(3)) for c in ("dims", "factors"))
+    stats = F.col("level"), F.col("spread")
+    bonded = spatial.bonds(atoms, cfg.bond_tolerance, by=by)
+    proteins = scoring.protein_scores(held.where("not is_water"), held, grid, bonded, stats, CellOf(), dims, most, cfg, by, fine, carry)
+    waters = scoring.water_scores(held.where("is_water"), grid, stats, CellOf(), dims, cfg, by, fine, carry)
+    scores = held.drop(*carry).join(proteins.unionByName(waters), ["stem", "atom_id"])
+    support, missing = (F.coalesce(F.col("threshold"), F.lit(x)) for x in (own.opia_threshold, own.missing_density_threshold))
+    scores = aggregates.diagnosed(scores, spatial.clashes(held, most, own.clash_threshold, by), replace(own, missing_density_threshold=missing), by)
+    residues = aggregates.residue_scores(scores, own, by, flags=True)
+    summary = aggregates.summary(scores, by).join(aggregates.opia(scores, bonded, support, by), by)
+    summary = summary.join(told.select("stem", F.col("level").alias("global_mean"), F.col("spread").alias("global_sigma"), "threshold"), by)
     return {"atoms": scores, "residues": residues, "summary": summary}
 
 
-ATOM_COLUMNS = ("chain", "resname", "resnum", "icode", "atom", "element", "score", "score_positive", "score_negative", "is_water", "has_clash", "has_missing_density", "has_unaccounted_density", "radius", "n_grid_points")
-
+def score_model(spark: SparkSession, grid: DataFrame, atoms: DataFrame, cell: Cell, dims: tuple[int, int, int], resolution: float, cfg: Scoring | None = None, table: DataFrame | None = None, threshold: float | None = None) -> dict[str, DataFrame]:
+    """``score_models`` of one model against a map ``(i, j, k, value)``."""
+    one = crystal_table(spark, [crystal_row("", cell, dims, resolution)]).withColumn("threshold", F.lit(threshold).cast("double"))
+    found = score_models(grid.withColumn("stem", F.lit("")), atoms.withColumn("stem", F.lit("")), one, cfg, table)
+    return {name: df.drop("stem") for name, df in found.items()}
 
-def export(result: dict[str, DataFrame], folder: str, stem: str) -> None:
-    six = {n: 6 for n in ("score", "score_positive", "score_negative", "residue_score", "min_atom_score", "median_atom_score", "max_atom_score")}
-    maps.write_table_csv(result["atoms"].select(*[c for c in ATOM_COLUMNS if c in result["atoms"].columns]), f"{folder}/{stem}_atoms", six | {"radius": 4})
-    maps.write_table_csv(result["residues"].orderBy("chain", "resnum"), f"{folder}/{stem}_residues", six)
-    result["summary"].write.mode("overwrite").json(f"{folder}/{stem}_summary")
 
+#: Columns of the exported tables, with the decimals of numbers.
+ATOM_COLUMNS = {
+    "chain": None, "resname": None, "resnum": None, "icode": None, "atom": None, "element": None, "score": 6, "score_positive": 6, "score_negative": 6, "is_water": None,
+    "has_clash": None, "has_missing_density": None, "has_unaccounted_density": None, "radius": 4, "n_grid_points": None,
+}
+RESIDUE_COLUMNS = {
+    "chain": None, "resname": None, "resnum": None, "icode": None, "residue_score": 6, "min_atom_score": 6, "median_atom_score": 6, "max_atom_score": 6,
+    "n_atoms": None, "n_clashes": None, "n_missing_density": None, "n_unaccounted_density": None,
+}
 
-def screen_report(spark: SparkSession, experiments: DataFrame, folder: str, out: str | Path) -> DataFrame:
-    """Ranked results of all experiments, with nulls for those without analysis, as HTML and JSON."""
-    found = [json.loads(p.read_text()) | {"stem": d.name.removesuffix("_summary")} for d in sorted(Path(folder).glob("*_summary")) for p in sorted(d.glob("part-*.json"))]
-    names = ("opia", "mean_atom_score", "n_atoms")
-    raw = spark.createDataFrame([(f["stem"], *[str(f[n]) if f.get(n) is not None else None for n in names]) for f in found], "stem string, " + ", ".join(f"{n} string" for n in names))
-    results = report.assembled(experiments.select("stem"), report.typed_summaries(raw))
-    out = Path(out)
-    out.mkdir(parents=True, exist_ok=True)
-    (out / "report.html").write_text(report.html_report(results), encoding="utf-8")
-    (out / "summary.json").write_text(report.screen_summary(results).toJSON().first(), encoding="utf-8")
-    for r in report.experiment_json(report.screen_rank(results)).toLocalIterator():
-        (out / f"{r.stem}.json").write_text(r.json, encoding="utf-8")
-    return report.screen_rank(results)
 
+def export(result: dict[str, DataFrame], folders: DataFrame, models: DataFrame) -> None:
+    """Files of each crystal in its folder ``(stem, folder)``: atoms and residues as CSV, the summary as JSON, the scored model.
 
-def run_quantification(spark: SparkSession, root: str, out: str, cell: Cell, dims: tuple[int, int, int], resolution: float, k: float = 1.0, n_maps: int = 50, force: bool = False) -> DataFrame:
-    """All experiments under ``root``; each has its ensemble as Parquet in ``results``.  Failures are rows with ``error``."""
+    The summary comes last and tells that the others are there.
+    """
+    place = F.concat("folder", F.lit("/"), "stem")
+    atoms, header = files.csv_lines(result["atoms"].join(folders, "stem"), ATOM_COLUMNS)
+    files.write_lines(atoms.select(F.concat(place, F.lit("_atoms.csv")).alias("path"), F.col("atom_id").alias("turn"), "value"), header)
+    order = F.struct("chain", "resnum", "icode", "resname")
+    turn = F.row_number().over(Window.partitionBy("stem").orderBy(order))
+    residues, header = files.csv_lines(result["residues"].join(folders, "stem"), RESIDUE_COLUMNS)
+    files.write_lines(residues.select(F.concat(place, F.lit("_residues.csv")).alias("path"), turn.alias("turn"), "value"), header)
+    scored = structures.scored_lines(models, result["atoms"].select("stem", "chain", "resnum", "icode", "atom", "score"), by=["stem"])
+    files.write_lines(scored.join(folders, "stem").select(F.concat(place, F.lit("_scored.pdb")).alias("path"), F.col("atom_id").alias("turn"), "value"))
+    named = result["summary"].withColumnRenamed("threshold", "significance_snr_threshold").join(folders, "stem")
+    told = F.to_json(F.struct(*[c for c in named.columns if c != "folder"]), {"ignoreNullFields": "false"})
+    files.write_lines(named.select(F.concat(place, F.lit("_summary.json")).alias("path"), F.lit(0).alias("turn"), told.alias("value")))
+
+
+Outcome = tuple[str, str | None, str | None]
+
+
+def isolated(batch: list, work: Callable[[list], list[Outcome]], name: Callable) -> list[Outcome]:
+    """``work`` on the whole batch at once; if that fails, on its halves, until the faulty crystal stands alone."""
+    if not batch:
+        return []
+    try:
+        return work(batch)
+    except Exception as fault:
+        if len(batch) == 1:
+            log.warning("%s failed: %s", name(batch[0]), fault)
+            return [(name(batch[0]), None, str(fault).splitlines()[0])]
+    half = len(batch) // 2
+    return isolated(batch[:half], work, name) + isolated(batch[half:], work, name)
+
+
+def first_maps(spark: SparkSession, found: list[workspace.Experiment], cap: int) -> tuple[list[tuple], list[Outcome]]:
+    """Rows of the crystals' table from the headers of their maps, and crystals that have no map or unlike ones."""
+    listed = {e.stem: e.map_files(cap) for e in found}
+    faults = [(s, None, f"no first map of {s}") for s, m in listed.items() if 0 not in m]
+    paths = [str(p) for s, m in listed.items() if 0 in m for p in m.values()]
+    if not paths:
+        return [], faults
+    heads = maps.read_mtz_headers(spark, paths).select("*", *workspace.map_name(F.col("path")))
+    odd = F.max(F.when(F.col("error").isNotNull(), F.col("error")))
+    unlike = F.when(F.count_distinct("dims") > 1, F.lit("maps of different grids"))
+    first = F.max_by(F.struct("edges", "orth", "frac", "dims", "cell", "resolution", "spacegroup", "operators"), -F.col("map_id"))
     rows = []
-    for e in workspace.find_experiments(root):
-        target = Path(out) / f"{e.stem}_k_{k}_cap_{n_maps}_snr.parquet"
+    for r in heads.groupBy("stem").agg(F.coalesce(odd, unlike).alias("fault"), first.alias("first")).toLocalIterator():  # a row a crystal
+        if r.fault:
+            faults.append((r.stem, None, r.fault))
+        else:
+            rows.append(crystal_row(r.stem, Cell(*r.first.cell), r.first.dims, r.first.resolution, r.first.spacegroup, r.first.operators))
+    return rows, faults
+
+
+def run_quantification(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | None = 50, force: bool = False, n_null: int = 20_000, seed: int = 0) -> DataFrame:
+    """Signal, noise, their ratio and p-values of all experiments under ``root``; ``(stem, path, error)``.
+
+    Crystals have cells, grids and resolutions of their own and are worked on together.  Each gets its maps in
+    ``quantify_results/k_<k>_cap_<cap>``, the ratio last, which marks it as done, and its null parameters in
+    ``metadata``; all voxels also make a table under ``root``.  ``n_maps`` None takes all maps there are.
+    """
+    found = list(workspace.find_experiments(root))
+    if not found:
+        raise ValueError(f"no experiment at {root}")
+    rows, todo = [], {}
+    for e in found:
+        cap = len(e.map_files(None)) if n_maps is None else n_maps
+        target = e.quantify_dir / f"k_{k}_cap_{cap}" / f"{e.stem}_snr.ccp4"
         if target.exists() and not force:
             rows.append((e.stem, str(target), None))
-            continue
-        try:
-            held = workspace.read_omissions(spark, str(e.omission_json)).select("key", "map_ids")
-            atoms = structures.read_structure(spark, str(e.processed))
-            quantify(spark, spark.read.parquet(str(e.results)), cell, dims, resolution, held, atoms, k, n_maps).write.mode("overwrite").parquet(str(target))
-            rows.append((e.stem, str(target), None))
-        except Exception as fault:
-            log.warning("%s failed: %s", e.stem, fault)
-            rows.append((e.stem, None, str(fault)))
+        else:
+            todo.setdefault(cap, []).append(e)
+    for cap, some in todo.items():
+        rows += isolated(some, lambda batch, cap=cap: _quantify_batch(spark, root, batch, k, cap, n_null, seed), lambda e: e.stem)
     return spark.createDataFrame(rows, "stem string, path string, error string")
 
 
-def run_analysis(spark: SparkSession, root: str, quantified: str, out: str, cell: Cell, dims: tuple[int, int, int], resolution: float, k: float = 1.0, n_maps: int | None = None, threshold: float | None = None) -> DataFrame:
-    """Scores of all experiments, then the report; an experiment without a map or model is a row with ``error``."""
-    files = [(e.name.split("_k_")[0], str(e)) for e in Path(quantified).glob("*_snr.parquet")]
-    chosen = {r.stem: r.path for r in workspace.chosen_maps(spark.createDataFrame(files, "stem string, path string"), k, n_maps).toLocalIterator()}
+def _quantify_batch(spark: SparkSession, root: str, batch: list[workspace.Experiment], k: float, cap: int, n_null: int, seed: int) -> list[Outcome]:
+    heads, faults = first_maps(spark, batch, cap)
+    known = {h[0] for h in heads}
+    good = [e for e in batch if e.stem in known]
+    if not good:
+        return faults
+    crystals = crystal_table(spark, heads)
+    voxels = maps.read_mtz_maps(spark, [str(p) for e in good for p in e.map_files(cap).values()])
+    voxels = voxels.select("i", "j", "k", "value", *workspace.map_name(F.col("path")))
+    models = structures.read_structures(spark, {e.stem: str(e.processed) for e in good})
+    held = workspace.read_omissions(spark, [str(e.omission_json) for e in good])
+    held = held.select(F.regexp_extract(files.local_path(F.col("path")), "([^/]*)_omission_map[.]json$", 1).alias("stem"), "key", "map_ids")
+    table = f"{root}/quantify_table/k_{k}_cap_{cap}"
+    written = quantify_crystals(voxels, crystals, held, models, k, cap).write.partitionBy("stem").mode("overwrite")
+    written.option("partitionOverwriteMode", "dynamic").parquet(table)
+    snr = spark.read.schema("i int, j int, k int, mean double, std double, snr double, stem string").parquet(table).join(crystals.select("stem"), "stem", "left_semi")
+    originals = structures.read_structures(spark, {e.stem: str(e.original or e.processed) for e in good})
+    params = {r.stem: r for r in null_fits(snr, crystals, originals, n_null, seed).toLocalIterator()}  # a row a crystal
+    for e in good:
+        workspace.write_null_parameters(params[e.stem].asDict(), e.null_json(k, cap))
+    fitted = spark.createDataFrame([(s, p["df"], p["loc"], p["scale"]) for s, p in params.items()], "stem string, df double, loc double, scale double")
+    full = student_t.p_values(snr, fitted, ["stem"])
+    folders = spark.createDataFrame([(e.stem, str(e.quantify_dir / f"k_{k}_cap_{cap}")) for e in good], "stem string, folder string")
+    for name in ("mean", "std", "p_value", "snr"):
+        path = F.concat("folder", F.lit("/"), "stem", F.lit(f"_{name}.ccp4"))
+        maps.write_ccp4(full.join(folders, "stem").select("stem", path.alias("path"), "i", "j", "k", F.coalesce(F.col(name), F.lit(0.0)).cast("float").alias("value")), crystals)
+    return faults + [(e.stem, str(e.quantify_dir / f"k_{k}_cap_{cap}" / f"{e.stem}_snr.ccp4"), None) for e in good]
+
+
+def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | None = 50, alpha: float = 0.05, map_path: str | None = None, model_path: str | None = None, cfg: Scoring | None = None, ligand: str = "LIG", reach: float = 10.0) -> DataFrame:
+    """Scores of all experiments in ``analyse_results`` of each, then the report; ``(stem, path, error)``.
+
+    The null parameters of a crystal's quantification set its thresholds by ``alpha``; without any the usual
+    ones hold.  A map or model that is given takes the place of those found, as for a single experiment.
+    """
     found = list(workspace.find_experiments(root))
+    if not found:
+        raise ValueError(f"no experiment at {root}")
+    listing = [(e.stem, str(p)) for e in found for p in e.quantify_dir.glob(f"k_*_cap_*/{e.stem}_snr.ccp4")]
+    chosen = workspace.chosen_maps(spark.createDataFrame(listing, "stem string, path string"), k, n_maps)
+    named = {r.stem: r.path for r in chosen.toLocalIterator()}  # a row a crystal
+    todo, rows = [], []
     for e in found:
-        try:
-            if e.stem not in chosen or e.original is None:
-                raise FileNotFoundError(f"no map or model of {e.stem}")
-            grid = spark.read.parquet(chosen[e.stem]).select("i", "j", "k", F.col("snr").alias("value"))
-            export(score_model(spark, grid, structures.read_structure(spark, str(e.original)), cell, dims, resolution, threshold=threshold), out, e.stem)
-        except Exception as fault:
-            log.warning("%s failed: %s", e.stem, fault)
-    return screen_report(spark, spark.createDataFrame([(e.stem,) for e in found], "stem string"), out, out)
+        grid, model = map_path or named.get(e.stem), model_path or e.original
+        lacking = [str(what) for what, there in (("map", grid and Path(grid).exists()), ("model", model and Path(model).exists()), ("first map", e.map_files(None))) if not there]
+        if lacking:
+            rows.append((e.stem, None, f"no {', '.join(lacking)} found for {e.stem}"))
+        else:
+            todo.append((e, str(grid), str(model)))
+    rows += isolated(todo, lambda batch: _analyse_batch(spark, batch, k, n_maps or 50, alpha, cfg), lambda x: x[0].stem)
+    out = spark.createDataFrame(rows, "stem string, path string, error string")
+    screen_report(spark, root, {r[0]: r[2] for r in rows if r[2]}, ligand, reach)
+    return out
+
+
+def _analyse_batch(spark: SparkSession, batch: list[tuple[workspace.Experiment, str, str]], k: float, cap: int, alpha: float, cfg: Scoring | None) -> list[Outcome]:
+    listed = spark.createDataFrame([(e.stem, grid) for e, grid, _ in batch], "stem string, file string")
+
+    def with_stem(df: DataFrame) -> DataFrame:
+        return df.withColumn("file", files.local_path(F.col("path"))).join(listed, "file").drop("file", "path")
+
+    grids = sorted({grid for _, grid, _ in batch})
+    heads = with_stem(maps.read_ccp4_headers(spark, grids)).where("error is null").drop("error")
+    fine = maps.read_mtz_headers(spark, [str(p) for e, *_ in batch for p in e.map_files(None).values()]).select("resolution", *workspace.map_name(F.col("path")))
+    fine = fine.where("resolution is not null").groupBy("stem").agg(F.min_by("resolution", "map_id").alias("resolution"))
+    stored = [str(p) for e, *_ in batch for p in e.root.glob(f"metadata/{e.stem}_null_params_k*_cap*.json")]
+    none = spark.createDataFrame([], "stem string, df double, loc double, scale double, exact boolean")
+    params = workspace.null_parameters(workspace.read_null_tables(spark, stored), k, cap) if stored else none
+    limit = F.pandas_udf(lambda df, loc, scale: pd.Series([student_t.quantile(1 - alpha, *x) for x in zip(df, loc, scale, strict=True)]), "double")
+    params = params.select("stem", limit("df", "loc", "scale").alias("threshold"))
+    crystals = heads.join(fine, "stem").join(params, "stem", "left")
+    grid = with_stem(maps.read_ccp4(spark, grids)).where(~F.isnan("value")).withColumn("value", F.col("value").cast("double"))
+    models = structures.read_structures(spark, {e.stem: model for e, _, model in batch})
+    result = score_models(grid, models, crystals, cfg)
+    result["summary"] = result["summary"].withColumn("significance_alpha", F.lit(alpha))
+    folders = {e.stem: str(e.root / "analyse_results") for e, *_ in batch}
+    export(result, spark.createDataFrame(list(folders.items()), "stem string, folder string"), models)
+    done = [(s, f"{f}/{s}_summary.json", None) for s, f in folders.items()]
+    return [d if Path(d[1]).exists() else (d[0], None, f"no result of {d[0]}: unreadable map or reflections") for d in done]
+
+
+def screen_report(spark: SparkSession, root: str, errors: dict[str, str] | None = None, ligand: str = "LIG", reach: float = 10.0) -> DataFrame:
+    """All experiments under ``root``, ranked, as ``index.html`` and JSON in its ``metadata``; scripts for a viewer beside them.
+
+    An experiment without analysis has nulls, and the reason in ``error``.
+    """
+    found = list(workspace.find_experiments(root))
+    rows = [(e.stem, str(e.original) if e.original else None, (errors or {}).get(e.stem)) for e in found]
+    experiments = spark.createDataFrame(rows, "stem string, model string, error string")
+    results = report.collected(spark, experiments, found, ligand, reach)
+    ranked = report.screen_rank(results)
+    out = Path(root)
+    (out / "metadata").mkdir(parents=True, exist_ok=True)
+    report.write_html(ranked, out / "index.html")
+    (out / "metadata" / "screen_summary.json").write_text(report.screen_summary(results).toJSON().first(), encoding="utf-8")
+    for r in report.experiment_json(ranked.drop("atoms")).toLocalIterator():
+        (out / "metadata" / f"{r.stem}_screen_result.json").write_text(r.json, encoding="utf-8")
+    for r in results.select("stem", "model", "snr_maps", "mean_maps", "reflections", "cx", "cy", "cz", "significance_snr_threshold").toLocalIterator():
+        centre = None if r.cx is None else (r.cx, r.cy, r.cz)
+        maps_ = [*(r.snr_maps or [])[:1], *(r.mean_maps or [])[:1]]
+        if r.model or maps_:
+            text = report.viewer_script(r.stem, r.model or "", maps_, centre, r.significance_snr_threshold, r.reflections)
+            (out / "metadata" / f"{r.stem}_view.py").write_text(text, encoding="utf-8")
+    return ranked
 
 
 def stems(experiments: Iterable[workspace.Experiment]) -> list[str]:

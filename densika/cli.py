@@ -10,8 +10,6 @@ from pyspark.sql import SparkSession
 
 from densika import api
 from densika.config import Run, layered
-from densika.functions.cell import Cell
-from densika.sources import workspace
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -28,19 +26,19 @@ def _parser() -> argparse.ArgumentParser:
     d.add_argument("--force", action="store_true")
     for stage in ("quantify", "analyse"):
         s = sub.add_parser(stage)
-        s.add_argument("root")
-        s.add_argument("--cell", type=float, nargs=6, required=True)
-        s.add_argument("--dims", type=int, nargs=3, required=True)
-        s.add_argument("--resolution", type=float, required=True)
-        s.add_argument("--k", type=float, default=1.0)
-        s.add_argument("--cap", type=int, default=50, help="0: all maps")
-        s.add_argument("--output", required=True)
-        if stage == "analyse":
-            s.add_argument("--maps", required=True)
-    r = sub.add_parser("report")
-    r.add_argument("root")
-    r.add_argument("--results", required=True)
-    r.add_argument("--output", required=True)
+        s.add_argument("root", help="an experiment's folder, or one of many")
+        s.add_argument("--k", type=float, default=1.0, help="factor of the radii; 0: no bias is removed")
+        s.add_argument("--cap", type=int, default=50, help="maps that are read; 0: all")
+        if stage == "quantify":
+            s.add_argument("--force", action="store_true")
+        else:
+            s.add_argument("--alpha", type=float, default=0.05)
+            s.add_argument("--map")
+            s.add_argument("--model")
+    for s in (sub.choices["analyse"], sub.add_parser("report")):
+        s.add_argument("--ligand", default="LIG")
+        s.add_argument("--reach", type=float, default=10.0)
+    sub.choices["report"].add_argument("root")
     return top
 
 
@@ -53,12 +51,11 @@ def main(argv: list[str] | None = None) -> int:
         file = json.loads(Path(a.config).read_text()) if a.config else {}
         api.debias(spark, layered(Run(), file, over)).show(truncate=False)
     elif a.stage == "quantify":
-        api.run_quantification(spark, a.root, a.output, Cell(*a.cell), tuple(a.dims), a.resolution, a.k, a.cap or 50).show(truncate=False)
+        api.run_quantification(spark, a.root, a.k, a.cap or None, a.force).show(truncate=False)
     elif a.stage == "analyse":
-        api.run_analysis(spark, a.root, a.maps, a.output, Cell(*a.cell), tuple(a.dims), a.resolution, a.k, a.cap or None).show(truncate=False)
+        api.run_analysis(spark, a.root, a.k, a.cap or None, a.alpha, a.map, a.model, ligand=a.ligand, reach=a.reach).show(truncate=False)
     else:
-        found = [(e.stem,) for e in workspace.find_experiments(a.root)]
-        api.screen_report(spark, spark.createDataFrame(found, "stem string"), a.results, a.output).show(truncate=False)
+        api.screen_report(spark, a.root, ligand=a.ligand, reach=a.reach).select("rank", "stem", "opia", "badge", "error").show(truncate=False)
     return 0
 
 

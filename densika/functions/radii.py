@@ -29,6 +29,12 @@ COVALENT = {
     "NI": 1.24, "CU": 1.32, "ZN": 1.22, "SE": 1.20, "BR": 1.20, "I": 1.39,
 }
 UNKNOWN_COVALENT = 0.77
+#: Van der Waals radii in angstrom (Bondi 1964, J. Phys. Chem. 68, 441).
+VAN_DER_WAALS = {
+    "H": 1.20, "D": 1.20, "C": 1.70, "N": 1.55, "O": 1.52, "F": 1.47, "P": 1.80, "S": 1.80, "CL": 1.75, "BR": 1.85, "I": 1.98, "SE": 1.90,
+    "SI": 2.10, "NA": 2.27, "MG": 1.73, "K": 2.75, "NI": 1.63, "CU": 1.40, "ZN": 1.39,
+}
+UNKNOWN_VAN_DER_WAALS = 1.70
 
 
 def _lookup(element: Column, table: dict[str, float], otherwise: float) -> Column:
@@ -40,6 +46,10 @@ def covalent_radius(element: Column) -> Column:
     return _lookup(F.upper(F.trim(element)), COVALENT, UNKNOWN_COVALENT)
 
 
+def van_der_waals(element: Column) -> Column:
+    return _lookup(F.upper(F.trim(element)), VAN_DER_WAALS, UNKNOWN_VAN_DER_WAALS)
+
+
 def radius_step(element: Column, resolution: Column) -> Column:
     """The radius of the largest bound not above the resolution; the first below all, carbon's if unknown."""
     pairs = [x for e, r in STEP_RADII.items() for x in (F.lit(e), F.array(*map(F.lit, r)))]

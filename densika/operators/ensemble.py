@@ -6,12 +6,17 @@ array arithmetic in that row, so an ensemble is shuffled once however many maps
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.functions.curves import ratio_or_zero
+from densika.functions.cell import CellOf, apply
+from densika.functions.curves import distance, ratio_or_zero
+from densika.operators.spatial import XYZ, range_join, with_values, xyz
+
+FRACTIONS = ("fa", "fb", "fc")
 
 
 def packed(ensemble: DataFrame, keys: Sequence[str], n_maps: int, missing: str = "zero") -> DataFrame:
@@ -140,13 +145,52 @@ def map_statistics(grid: DataFrame, by: Sequence[str] = (), mean: float | None =
     return grid.groupBy(*by).agg(m.alias("mean"), s.alias("sigma"))
 
 
-def null_points(spark, n: int = 20_000, seed: int = 0) -> DataFrame:
-    """Seeded standard normal fractional coordinates; the samples are those whose mask is set."""
-    return spark.range(n).select("id", *[F.randn(seed + i).alias(c) for i, c in enumerate(("fa", "fb", "fc"))])
+def null_points(crystals: DataFrame, n: int = 20_000, seed: int = 0, by: str = "stem") -> DataFrame:
+    """``(by, id, fa, fb, fc)``: standard normal fractional coordinates of each crystal.
+
+    They follow from hashes of crystal, number and seed, and so are the same however the rows are dealt.
+    """
+
+    def uniform(k: int) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(F.col(by).cast("string"), "id", F.lit(seed), F.lit(k)), 11)
+        return (bits + 0.5) * 2.0**-53
+
+    def normal(k: int) -> Column:
+        return F.sqrt(F.log(uniform(2 * k)) * -2.0) * F.cos(uniform(2 * k + 1) * (2.0 * math.pi))
+
+    numbered = crystals.select(by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("id"))
+    return numbered.select(by, "id", *[normal(k).alias(c) for k, c in enumerate(FRACTIONS)])
 
 
-def null_samples(points: DataFrame, grid: DataFrame, mask: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    """``snr`` at the nearest node of each point for which ``mask (i, j, k, inside)`` holds."""
-    at = points.select("id", *[F.pmod(F.round(F.col(f) * n), F.lit(n)).cast("int").alias(g) for g, f, n in zip("ijk", ("fa", "fb", "fc"), dims, strict=True)])
-    inside = at.join(mask.where("inside"), list("ijk"), "left_semi")
-    return inside.join(grid, list("ijk")).select("id", F.col("value").alias("snr"))
+def outside_model(points: DataFrame, atoms: DataFrame, crystals: DataFrame, probe: float = 1.1, shrink: float = 0.9, by: str = "stem") -> DataFrame:
+    """Points in the bulk solvent: none of the model's images reaches them.
+
+    ``atoms`` have ``vdw``, their van der Waals radius; a point is in an atom's reach within that and the probe's
+    radius less what the solvent takes back.  Images are those of the crystal's ``images`` (rotations of nine and
+    translations of three numbers) in the cells around, kept where they come near the unit cell.
+    """
+    cell, cells = CellOf(), F.array(*[F.lit(float(i)) for i in (-1, 0, 1)])
+    model = atoms.join(crystals.select(by, "edges", "orth", "frac", "images"), by)
+    most = (model.agg(F.max("vdw")).first()[0] or 0.0) + probe - shrink
+    own = model.select(by, "edges", "orth", "vdw", F.explode("images").alias("image"), *[c.alias(f) for c, f in zip(apply(cell.fractional(), xyz()), FRACTIONS, strict=True)])
+    turned = [sum((F.col("image.r")[3 * r + c] * F.col(f) for c, f in enumerate(FRACTIONS)), F.col("image.t")[r]) for r in range(3)]
+    own = own.select(by, "edges", "orth", "vdw", *[(t - F.floor(t)).alias(f) for t, f in zip(turned, FRACTIONS, strict=True)])
+    for i, f in enumerate(FRACTIONS):
+        reach = F.lit(most) / F.get("edges", F.lit(i)) * 2.0  # skewed cells have planes nearer than their edges
+        own = own.withColumn("_cell", F.explode(cells)).withColumn(f, F.col(f) + F.col("_cell")).where((F.col(f) >= -reach) & (F.col(f) <= reach + 1)).drop("_cell")
+    images = own.select(by, "vdw", *[c.alias(n) for n, c in zip(XYZ, apply(cell.orthogonal(), tuple(map(F.col, FRACTIONS))), strict=True)])
+    inside = [F.col(f) - F.floor(f) for f in FRACTIONS]
+    wrapped = points.join(crystals.select(by, "orth"), by)
+    wrapped = wrapped.select(by, "id", *[c.alias(n) for n, c in zip(XYZ, apply(cell.orthogonal(), tuple(inside)), strict=True)])
+    near = range_join(wrapped, images, max(most, 0.1), [by])
+    hit = near.where(distance(xyz("a_"), xyz("b_")) <= F.col("b_vdw") + (probe - shrink))
+    return points.join(hit.select(F.col(f"a_{by}").alias(by), F.col("a_id").alias("id")).distinct(), [by, "id"], "left_anti")
+
+
+def null_samples(points: DataFrame, grid: DataFrame, crystals: DataFrame, by: str = "stem") -> DataFrame:
+    """``(by, id, snr)``: the map ``(by, i, j, k, value)`` at the points, by trilinear interpolation."""
+    fine = 1 << 20  # points as nodes of a grid so much finer
+    dims = tuple(F.get("dims", F.lit(i)) for i in range(3))
+    at = points.join(crystals.select(by, "dims"), by)
+    at = at.select(by, "id", "dims", *[F.round(F.col(f) * n * fine).cast("long").alias(u) for u, f, n in zip("uvw", FRACTIONS, dims, strict=True)])
+    return with_values(at, grid, dims, (fine, fine, fine), [by]).select(by, "id", F.col("value").alias("snr"))

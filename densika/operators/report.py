@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from densika.functions.curves import badge, distance, safe_float, safe_int
 from densika.operators.scoring import WATERS
 from densika.operators.spatial import HYDROGENS, range_join, xyz
+from densika.sources import parameters
+from densika.sources.files import local_path
+from densika.sources.structures import read_structures
+from densika.sources.workspace import Experiment, maps_by_suffix, original_reflections, read_manifest
 
 #: Names of amino acids.
 AMINO = (
@@ -45,6 +51,11 @@ def neighbour_counts(near: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return near.groupBy(*by).agg(*[F.count_if(F.col("category") == c).alias(n) for c, n in (("protein", "n_protein"), ("water", "n_water"), ("other_solvent", "n_other"))])
 
 
+def neighbour_lists(near: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``neighbours``: the residues around, sorted by kind, chain and number; as many as fit around a ligand."""
+    return near.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("category", "chain", "resnum", "resname"))).alias("neighbours"))
+
+
 def ligand_centroid(atoms: DataFrame, ligand: str = "LIG", by: Sequence[str] = ()) -> DataFrame:
     """Centre of the heavy ligand atoms, their number, and the chain and number of the last ligand residue."""
     own = _heavy(atoms).where(F.upper("resname") == ligand.upper())
@@ -104,27 +115,84 @@ def experiment_json(results: DataFrame) -> DataFrame:
     return results.select("stem", F.to_json(F.struct(*cells)).alias("json"))
 
 
-def html_report(results: DataFrame, title: str = "Screen report", limit: int = 10_000) -> str:
-    """A table of the ranked experiments; a page has room for so many, the JSON holds all."""
-    rows = [r.asDict() for r in screen_rank(results).orderBy("rank").limit(limit).collect()]
-    names = list(rows[0]) if rows else results.columns
+STYLE = ".green{background:#dfd}.yellow{background:#ffd}.red{background:#fdd}"
+
+
+def html_pages(names: Sequence[str], rows: Iterable[dict], title: str = "Screen report") -> Iterator[str]:
+    """A page in parts: a table of all rows, one at a time."""
 
     def cell(v: object) -> str:
         return f"<td>{html.escape('N/A' if v is None else f'{v:.4f}' if isinstance(v, float) else str(v))}</td>"
 
     head = "".join(f"<th>{html.escape(n)}</th>" for n in names)
-    body = "\n".join(f"<tr class='{r['badge']}'>{''.join(cell(r[n]) for n in names)}</tr>" for r in rows)
-    style = ".green{background:#dfd}.yellow{background:#ffd}.red{background:#fdd}"
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>\n{body}</table></body></html>"
-
-
-def viewer_script(stem: str, model: str, maps: Sequence[str], centre: Sequence[float] | None, level: float | None) -> str:
-    """Python for a molecular viewer: opens the model and maps, and goes to the ligand."""
-    lines = [f"# {stem}", f"model = read_pdb({json.dumps(model)})"]
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{STYLE}</style></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>\n"
+    for r in rows:
+        yield f"<tr class='{r.get('badge', 'none')}'>{''.join(cell(r[n]) for n in names)}</tr>\n"
+    yield "</table></body></html>"
+
+
+def write_html(ranked: DataFrame, path: str | Path, title: str = "Screen report") -> None:
+    """All experiments by rank; they pass the driver one partition after the other."""
+    names = [f.name for f in ranked.schema if not isinstance(f.dataType, (ArrayType, StructType))]
+    with Path(path).open("w", encoding="utf-8") as out:
+        for part in html_pages(names, (r.asDict() for r in ranked.orderBy("rank").toLocalIterator()), title):
+            out.write(part)
+
+
+SUMMARY = "stem string, opia double, mean_atom_score double, median_atom_score double, n_atoms long, n_residues long, n_clashes long, n_missing_density long, n_unaccounted_density long, significance_alpha double, significance_snr_threshold double"
+ATOMS = "chain string, resname string, resnum int, icode string, atom string, element string, score double, score_positive double, score_negative double, is_water boolean, has_clash boolean, has_missing_density boolean, has_unaccounted_density boolean, radius double, n_grid_points long"
+RESIDUES = "chain string, resname string, resnum int, icode string, residue_score double, min_atom_score double, median_atom_score double, max_atom_score double, n_atoms long, n_clashes long, n_missing_density long, n_unaccounted_density long"
+
+
+def read_results(spark: SparkSession, paths: Sequence[str], schema: str, suffix: str) -> DataFrame:
+    """Exported CSV tables of many experiments with ``stem``; without files an empty table."""
+    if not paths:
+        return spark.createDataFrame([], "stem string, " + schema)
+    raw = spark.read.option("header", True).schema(schema).csv(list(paths))
+    return raw.select(F.regexp_extract(local_path(F.col("_metadata.file_path")), f"([^/]*)_{suffix}[.]csv$", 1).alias("stem"), "*")
+
+
+def collected(spark: SparkSession, experiments: DataFrame, found: Sequence[Experiment], ligand: str = "LIG", reach: float = 10.0) -> DataFrame:
+    """Everything known of each experiment: summary, the ligand's scores and surroundings, maps, reflections."""
+
+    def there(suffix: str) -> list[str]:
+        return [str(p) for e in found if (p := e.root / "analyse_results" / f"{e.stem}_{suffix}").exists()]
+
+    jsons = there("summary.json")
+    summaries = spark.read.schema(SUMMARY).json(jsons) if jsons else spark.createDataFrame([], SUMMARY)
+    summaries = summaries.withColumns({c: F.round(c, 4) for c in ("opia", "mean_atom_score", "median_atom_score")})
+    scores = read_results(spark, there("atoms.csv"), ATOMS, "atoms").withColumn("atom_id", F.monotonically_increasing_id())
+    residues = read_results(spark, there("residues.csv"), RESIDUES, "residues")
+    by, parts = ["stem"], [ligand_scores(residues, scores, ligand, ["stem"])]
+    models = {e.stem: str(e.original) for e in found if e.original}
+    if models:
+        atoms = read_structures(spark, models)
+        near = ligand_neighbours(atoms, reach, ligand, by)
+        centre = ligand_centroid(atoms, ligand, by).withColumnRenamed("n_atoms", "n_ligand_atoms")
+        parts += [neighbour_counts(near, by), neighbour_lists(near, by), centre]
+    else:
+        parts.append(spark.createDataFrame([], "stem string, n_protein long, n_water long, n_other long, cx double, cy double, cz double"))
+    listing = spark.createDataFrame([(e.stem, str(p)) for e in found for p in e.quantify_dir.glob("k_*_cap_*/*.ccp4")], "stem string, path string")
+    parts += [maps_by_suffix(listing, s).withColumnRenamed("paths", f"{s}_maps") for s in ("snr", "mean")]
+    jobs = [(e.stem, str(parameters.get(parameters.load(p), "input.xray_data.file_name", ""))) for e in found for p in sorted((e.root / "params").glob(f"{e.stem}_0.params"))]
+    named = spark.createDataFrame(jobs, "stem string, value string")
+    manifest = [str(p) for p in {e.root.parent / "manifest.txt" for e in found} if p.exists()]
+    told = read_manifest(spark, manifest) if manifest else spark.createDataFrame([], "id string, model string, reflections string")
+    parts.append(original_reflections(experiments, told, named))
+    return assembled(experiments, summaries, *parts)
+
+
+def viewer_script(stem: str, model: str, maps: Sequence[str], centre: Sequence[float] | None, level: float | None, reflections: str | None = None) -> str:
+    """Python for a molecular viewer: opens the model, its reflections and maps, and goes to the ligand."""
+    lines = [f"# {stem}"]
+    if model:
+        lines.append(f"model = read_pdb({json.dumps(model)})")
+    if reflections:
+        lines.append(f"reflections = auto_read_make_and_draw_maps({json.dumps(reflections)})")
     for i, path in enumerate(maps):
         lines.append(f"map_{i} = handle_read_ccp4_map({json.dumps(path)}, 0)")
-        if level is not None:
-            lines.append(f"set_contour_level_absolute(map_{i}, {level:.4f})")
+        # The first map holds the ratio, which the significance threshold is about.
+        lines.append(f"set_contour_level_absolute(map_{i}, {(level if level is not None and i == 0 else 1.0):.4f})")
     if centre is not None:
         lines.append(f"set_rotation_centre({', '.join(f'{c:.3f}' for c in centre)})")
     return "\n".join(lines) + "\n"

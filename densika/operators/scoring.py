@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densika.config import Scoring
-from densika.functions.cell import Cell
+from densika.functions.cell import Cell, CellOf
 from densika.functions.curves import density_score, distance, gaussian_weight, parabola_weight
 from densika.operators.spatial import HYDROGENS, neighbours, sphere_points, with_values, xyz
 
@@ -30,7 +30,7 @@ def ownership(points: DataFrame, near: DataFrame, bonded: DataFrame, by: Sequenc
     A point belongs to atoms whose sphere holds it, without those bonded to the atom; else to those whose
     ring does.  Several share it by distance.  Per point only counts and sums of distances are needed.
     """
-    mine = near.select(*by, F.col("a_atom_id").alias("atom_id"), F.col("b_atom_id").alias("other"), *[F.col(f"b_{c}").alias(f"o{c}") for c in "xyz"], F.col("b_radius").alias("oradius"))
+    mine = near.select(*[F.col(f"a_{k}").alias(k) for k in by], F.col("a_atom_id").alias("atom_id"), F.col("b_atom_id").alias("other"), *[F.col(f"b_{c}").alias(f"o{c}") for c in "xyz"], F.col("b_radius").alias("oradius"))
     tied = bonded.select(*by, F.col("src").alias("atom_id"), F.col("dst").alias("other"), F.lit(True).alias("bonded"))
     mine = mine.join(tied, [*by, "atom_id", "other"], "left").withColumn("bonded", F.coalesce("bonded", F.lit(False)))
     keys = [*by, "atom_id"]
@@ -62,17 +62,20 @@ def ownership(points: DataFrame, near: DataFrame, bonded: DataFrame, by: Sequenc
     return sums.withColumn("share", share).drop("n_inner", "n_free", "d_free", "n_ring", "d_ring")
 
 
-def protein_scores(atoms: DataFrame, all_atoms: DataFrame, grid: DataFrame, bonded: DataFrame, stats: tuple[float, float], cell: Cell, dims: tuple[int, int, int], max_radius: float, cfg: Scoring = Scoring(), by: Sequence[str] = (), factors: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
-    """``(atom_id, score, score_positive, score_negative, n_grid_points)``; atoms without positive weight score 0."""
-    slim = atoms.select(*by, "atom_id", "x", "y", "z", "radius").withColumn("sphere", F.col("radius") * 2.0)
+def protein_scores(atoms: DataFrame, all_atoms: DataFrame, grid: DataFrame, bonded: DataFrame, stats: tuple, cell: Cell | CellOf, dims: Sequence, max_radius: float, cfg: Scoring = Scoring(), by: Sequence[str] = (), factors: Sequence = (1, 1, 1), carry: Sequence[str] = ()) -> DataFrame:
+    """``(atom_id, score, score_positive, score_negative, n_grid_points)``; atoms without positive weight score 0.
+
+    ``stats``, ``cell``, ``dims`` and ``factors`` may be made of the columns ``carry`` of ``atoms``.
+    """
+    slim = atoms.select(*by, *carry, "atom_id", "x", "y", "z", "radius").withColumn("sphere", F.col("radius") * 2.0)
     points = sphere_points(slim, cell, dims, factors)
     points = with_values(points, grid, dims, factors, by).withColumn("d", distance(tuple(map(F.col, POINT)), xyz()))
-    points = points.select(*by, "atom_id", "radius", "u", "v", "w", *POINT, "d", "value")
+    z = density_score(F.col("value"), F.lit(stats[0]), F.lit(stats[1]), cfg.density, cfg.normalization)
+    points = points.select(*by, "atom_id", "radius", "u", "v", "w", *POINT, "d", z.alias("z"))
     near = neighbours(all_atoms.select(*by, "atom_id", "x", "y", "z", "radius"), max_radius, cfg.neighbour_buffer, by)
     shared = ownership(points, near, bonded, by)
     weight = parabola_weight(F.col("d"), F.col("radius"), cfg.weighting)
-    z = density_score(F.col("value"), F.lit(stats[0]), F.lit(stats[1]), cfg.density, cfg.normalization)
-    rows = shared.select(*by, "atom_id", weight.alias("weight"), (weight * F.col("share") * z).alias("product"))
+    rows = shared.select(*by, "atom_id", weight.alias("weight"), (weight * F.col("share") * F.col("z")).alias("product"))
     positive = F.sum(F.when(F.col("weight") > 0, F.col("weight")))
     sums = rows.groupBy(*by, "atom_id").agg(
         positive.alias("total"), F.sum("product").alias("all"),
@@ -87,18 +90,18 @@ def protein_scores(atoms: DataFrame, all_atoms: DataFrame, grid: DataFrame, bond
     return _complete(atoms, scored, by)
 
 
-def water_scores(waters: DataFrame, grid: DataFrame, stats: tuple[float, float], cell: Cell, dims: tuple[int, int, int], cfg: Scoring = Scoring(), by: Sequence[str] = (), factors: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
-    mean, sigma = stats
-    slim = waters.select(*by, "atom_id", "x", "y", "z").withColumn("sphere", F.lit(cfg.water.vdw_radius))
+def water_scores(waters: DataFrame, grid: DataFrame, stats: tuple, cell: Cell | CellOf, dims: Sequence, cfg: Scoring = Scoring(), by: Sequence[str] = (), factors: Sequence = (1, 1, 1), carry: Sequence[str] = ()) -> DataFrame:
+    mean, sigma = map(F.lit, stats)
+    slim = waters.select(*by, *carry, "atom_id", "x", "y", "z").withColumn("sphere", F.lit(cfg.water.vdw_radius))
     points = with_values(sphere_points(slim, cell, dims, factors), grid, dims, factors, by)
     weight = gaussian_weight(distance(tuple(map(F.col, POINT)), xyz()), cfg.water)
     value, least = F.col("value"), mean + cfg.water.sigma_threshold * sigma
     if cfg.normalization.normalize:
         part = F.when(value >= least, (value - mean) / sigma).otherwise(F.lit(0.0))
-    elif cfg.water.sigma_threshold > 0 and sigma > 0:
-        part = F.when(value >= least, value).otherwise(F.lit(0.0))
     else:
         part = F.greatest(value, F.lit(0.0))
+        if cfg.water.sigma_threshold > 0:
+            part = F.when(sigma > 0, F.when(value >= least, value).otherwise(F.lit(0.0))).otherwise(part)
     sums = points.select(*by, "atom_id", weight.alias("weight"), (weight * part).alias("product")).groupBy(*by, "atom_id")
     sums = sums.agg(F.sum("weight").alias("total"), F.sum("product").alias("all"), F.count("*").alias("n_grid_points"))
     score = F.when(F.col("total") != 0, F.col("all") / F.col("total")).otherwise(F.lit(0.0))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.functions.cell import Cell, apply
+from densika.functions.cell import Cell, CellOf, apply
 from densika.functions.curves import distance, squared_distance
 from densika.functions.radii import covalent_radius
 
@@ -83,10 +83,11 @@ def voxel_owners(voxels: DataFrame, owned: DataFrame, max_radius: float, by: Seq
     return inside.select(*[F.col(f"a_{k}").alias(k) for k in by], F.col("a_voxel").alias("voxel"), F.col("b_owner").alias("owner")).distinct()
 
 
-def sphere_points(atoms: DataFrame, cell: Cell, dims: tuple[int, int, int], factors: tuple[int, int, int] = (1, 1, 1), radius: str = "sphere") -> DataFrame:
+def sphere_points(atoms: DataFrame, cell: Cell | CellOf, dims: Sequence, factors: Sequence = (1, 1, 1), radius: str = "sphere") -> DataFrame:
     """Grid points in each atom's sphere: the atom's columns, ``u, v, w`` and the point's ``px, py, pz``.
 
-    ``dims`` times ``factors`` is the sampling; indices are not wrapped, so a position may lie outside the cell.
+    ``dims`` times ``factors``, numbers or columns, is the sampling; indices are not wrapped, so a position may
+    lie outside the cell.
     """
     n = [d * f for d, f in zip(dims, factors, strict=True)]
     frac = apply(cell.fractional(), xyz())
@@ -100,19 +101,26 @@ def sphere_points(atoms: DataFrame, cell: Cell, dims: tuple[int, int, int], fact
     return out.where(squared_distance((F.col("px"), F.col("py"), F.col("pz")), xyz()) <= F.col(radius) * F.col(radius))
 
 
-def with_values(points: DataFrame, grid: DataFrame, dims: tuple[int, int, int], factors: tuple[int, int, int] = (1, 1, 1), by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``value``: the periodic map's node, or between nodes the trilinear mean of the eight around."""
-    if factors == (1, 1, 1):
+def with_values(points: DataFrame, grid: DataFrame, dims: Sequence, factors: Sequence = (1, 1, 1), by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``value``: the periodic map's node, or between nodes the trilinear mean of the eight around.
+
+    ``dims`` and ``factors`` are numbers, or columns of ``points`` that are the same in all rows of a ``by``.
+    """
+    nodes = grid.select(*[F.col(g).alias(f"_{g}") for g in "ijk"], F.col("value").alias("_node"), *by)
+    cells = ["_i", "_j", "_k", *by]
+    if all(isinstance(f, int) and f == 1 for f in factors):
         keys = {f"_{g}": F.pmod(F.col(p), F.lit(n)).cast("int") for g, p, n in zip("ijk", "uvw", dims, strict=True)}
-        nodes = grid.select(*[F.col(g).alias(f"_{g}") for g in "ijk"], "value", *by)
-        return points.withColumns(keys).join(nodes, [*keys, *by]).drop(*keys)
-    corners = F.array(*[F.struct(*[F.lit(b).alias(g) for g, b in zip("ijk", bits, strict=True)]) for bits in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]])
-    out = points.withColumn("_corner", F.explode(corners)).withColumn("_weight", F.lit(1.0))
-    for g, p, n, f in zip("ijk", "uvw", dims, factors, strict=True):
+        return points.withColumns(keys).join(nodes, cells).withColumnRenamed("_node", "value").drop("_i", "_j", "_k")
+    # Spheres share their points: each is looked up once, in narrow rows, and then joined back.
+    own = [*by, "u", "v", "w"]
+    sizes = F.array(*[F.lit(n).cast("int") for n in dims]).alias("_dims"), F.array(*[F.lit(f).cast("int") for f in factors]).alias("_factors")
+    corners = F.array(*[F.array(*map(F.lit, bits)) for bits in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]])
+    out = points.select(*own, *sizes).distinct().withColumn("_corner", F.explode(corners)).withColumn("_weight", F.lit(1.0))
+    for a, (g, p) in enumerate(zip("ijk", "uvw", strict=True)):
+        n, f, bit = F.get("_dims", F.lit(a)), F.get("_factors", F.lit(a)), F.get("_corner", F.lit(a))
         low = F.floor(F.col(p) / f)
         share = F.col(p) / f - low
-        out = out.withColumn("_weight", F.col("_weight") * F.when(F.col(f"_corner.{g}") == 1, share).otherwise(1 - share))
-        out = out.withColumn(f"_{g}", F.pmod(low + F.col(f"_corner.{g}"), F.lit(n)).cast("int"))
-    nodes = grid.select(*[F.col(g).alias(f"_{g}") for g in "ijk"], F.col("value").alias("_node"), *by)
-    out = out.where("_weight > 0").join(nodes, ["_i", "_j", "_k", *by])
-    return out.groupBy(*points.columns).agg(F.sum(F.col("_weight") * F.col("_node")).alias("value"))
+        out = out.withColumn("_weight", F.col("_weight") * F.when(bit == 1, share).otherwise(1 - share))
+        out = out.withColumn(f"_{g}", F.pmod(low + bit, n).cast("int"))
+    out = out.where("_weight > 0").select(*own, "_weight", "_i", "_j", "_k").join(nodes, cells)
+    return points.join(out.groupBy(*own).agg(F.sum(F.col("_weight") * F.col("_node")).alias("value")), own)

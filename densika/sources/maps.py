@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densika.functions.cell import Cell
+from densika.functions.cell import LATTICE, Cell, lattice
+from densika.sources import files
 
 VOXELS = "path string, i int, j int, k int, value float"
+_LATTICE = ["edges", "orth", "frac", "dims"]
 #: Map amplitude labels, in order of priority, with their phases.
 MAP_LABELS = (
     ("2FOFCWT", "PH2FOFCWT"), ("2FOFC", "PH2FOFC"), ("2FOFCWT_no_fill", "PH2FOFCWT_no_fill"),
@@ -40,7 +42,25 @@ def parse_ccp4(data: bytes) -> tuple[np.ndarray, Cell, int]:
         index[axis] = (first + np.arange(n)) % size[axis]
     by_axis = np.transpose(values, [(2, 1, 0)[axes.index(a)] for a in range(3)])
     full[np.ix_(*index)] = by_axis
-    return full, Cell(*head[10:16]), head[22]
+    text = data[1024 : 1024 + head[23]].decode("ascii", "replace")
+    return expanded(full, [t for i in range(0, len(text), 80) if (t := text[i : i + 80].strip())]), Cell(*head[10:16]), head[22]
+
+
+def expanded(values: np.ndarray, operators: list[str]) -> np.ndarray:
+    """Nodes without a value take it from a node that a symmetry operator carries onto them; others stay NaN."""
+    known = np.argwhere(np.isfinite(values))
+    size = np.array(values.shape)
+    for text in operators:
+        if not np.isnan(values).any():
+            break
+        rotation, shift = operator(text)
+        at = (known / size) @ rotation.T + shift
+        node = np.rint(at * size).astype(int)
+        on = (np.abs(node - at * size) < 1e-3).all(1)
+        to, source = tuple((node[on] % size).T), tuple(known[on].T)
+        free = np.isnan(values[to])
+        values[tuple(t[free] for t in to)] = values[source][free]
+    return values
 
 
 def format_ccp4(values: np.ndarray, cell: Cell, spacegroup: int = 1) -> bytes:
@@ -51,7 +71,7 @@ def format_ccp4(values: np.ndarray, cell: Cell, spacegroup: int = 1) -> bytes:
     return head.ljust(1024, b"\0") + np.transpose(v, (2, 1, 0)).tobytes()
 
 
-def read_ccp4(spark: SparkSession, path: str) -> DataFrame:
+def read_ccp4(spark: SparkSession, path: str | list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -63,6 +83,35 @@ def read_ccp4(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, VOXELS)
 
 
+def read_ccp4_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path`` with the cell and the grid of CCP4 maps, or ``error``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    order = ">" if content[212:213] == b"\x11" else "<"
+                    head = struct.unpack(f"{order}10i6f", content[:64])
+                    rows.append((file, *lattice(Cell(*head[10:16]), head[7:10]), None))
+                except (ValueError, ZeroDivisionError, struct.error) as fault:
+                    rows.append((file, None, None, None, None, str(fault)))
+            yield pd.DataFrame(rows, columns=["path", *_LATTICE, "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", F.col("content")).mapInPandas(run, f"path string, {LATTICE}, error string")
+
+
+def write_ccp4(voxels: DataFrame, crystals: DataFrame, by: str = "stem") -> int:
+    """CCP4 files at ``path`` of voxels ``(by, path, i, j, k, value)``, a whole cell each; nodes without a row are 0."""
+
+    def content(pdf: pd.DataFrame) -> bytes:
+        out = np.zeros(tuple(pdf["dims"].iloc[0]), np.float32)
+        out[pdf["i"], pdf["j"], pdf["k"]] = pdf["value"]
+        return format_ccp4(out, Cell(*pdf["cell"].iloc[0]), int(pdf["spacegroup"].iloc[0]))
+
+    return files.write_groups(voxels.join(crystals.select(by, "dims", "cell", "spacegroup"), by), content)
+
+
 def ccp4_files(voxels: DataFrame, by: str, cell: Cell, dims: tuple[int, int, int]) -> DataFrame:
     """``(by, content)``: a CCP4 file of each group of ``(i, j, k, value)``; a group is one crystal's map."""
 
@@ -97,6 +146,13 @@ def parse_mtz(data: bytes) -> tuple[list[tuple[str, str]], np.ndarray, Cell, lis
     return columns, table, cell, operators
 
 
+def spacegroup_number(data: bytes) -> int:
+    """Of the symmetry record of an MTZ file; 1 if it has none."""
+    found = data.rfind(b"SYMINF")
+    words = data[found : found + 80].split() if found >= 0 else []
+    return int(words[4]) if len(words) > 4 and words[4].isdigit() else 1
+
+
 def resolution_limit(table: np.ndarray, cell: Cell) -> float:
     """The finest spacing among the reflections, whose first three columns are h, k, l."""
     m = np.array(cell.fractional())
@@ -113,7 +169,7 @@ def map_labels(columns: list[tuple[str, str]], candidates: tuple[tuple[str, str]
     raise ValueError(f"no map amplitude among the columns {names}")
 
 
-def _operator(text: str) -> tuple[np.ndarray, np.ndarray]:
+def operator(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A symmetry operator such as ``-X, Y+1/2, -Z`` as a rotation and a translation."""
     rotation, shift = np.zeros((3, 3)), np.zeros(3)
     for row, part in enumerate(text.replace(" ", "").lower().split(",")):
@@ -158,7 +214,7 @@ def density(table: np.ndarray, columns: list[tuple[str, str]], cell: Cell, opera
     size = grid_size(table, cell, sample_rate)
     space = np.zeros(size, complex)
     for text in operators or ["X,Y,Z"]:
-        rotation, shift = _operator(text)
+        rotation, shift = operator(text)
         turned = np.rint(hkl @ rotation).astype(int)
         moved = value * np.exp(-2j * np.pi * (hkl @ shift))
         for index, v in ((turned, moved), (-turned, np.conj(moved))):
@@ -166,7 +222,7 @@ def density(table: np.ndarray, columns: list[tuple[str, str]], cell: Cell, opera
     return (np.fft.fftn(space).real / cell.volume()).astype(np.float32)
 
 
-def read_mtz_maps(spark: SparkSession, path: str) -> DataFrame:
+def read_mtz_maps(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Voxels of the maps of MTZ files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +237,26 @@ def read_mtz_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, VOXELS)
 
 
-def read_mtz_columns(spark: SparkSession, path: str) -> DataFrame:
+def read_mtz_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Of MTZ files ``path``, cell, map grid, finest resolution, space group and operators; ``error`` of those without a map."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    columns, table, cell, operators = parse_mtz(content)
+                    map_labels(columns)
+                    rows.append((file, *lattice(cell, grid_size(table, cell)), [cell.a, cell.b, cell.c, cell.alpha, cell.beta, cell.gamma], resolution_limit(table, cell), spacegroup_number(content), operators, None))
+                except (ValueError, ZeroDivisionError, OverflowError) as fault:
+                    rows.append((file, *[None] * 8, str(fault)))
+            yield pd.DataFrame(rows, columns=["path", *_LATTICE, "cell", "resolution", "spacegroup", "operators", "error"])
+
+    schema = f"path string, {LATTICE}, cell array<double>, resolution double, spacegroup int, operators array<string>, error string"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_mtz_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(crystal, label, type, resolution)`` of MTZ files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

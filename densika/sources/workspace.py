@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from densika.sources.files import local_path
+
 log = logging.getLogger(__name__)
 MODEL_EXTENSIONS = (".pdb", ".cif")
 
@@ -47,6 +49,18 @@ class Experiment:
     def quantify_dir(self) -> Path:
         return self.root / "quantify_results"
 
+    def map_files(self, cap: int | None) -> dict[int, Path]:
+        """The maps there are, by number, below ``cap``."""
+        found = {}
+        for path in self.results.glob(f"{self.stem}_*/{self.stem}_*.mtz"):
+            number = path.stem.removeprefix(f"{self.stem}_")
+            if number.isdigit() and path.parent.name == path.stem and (cap is None or int(number) < cap):
+                found[int(number)] = path
+        return found
+
+    def null_json(self, k: float, cap: int) -> Path:
+        return self.root / "metadata" / f"{self.stem}_null_params_k{k}_cap{cap}.json"
+
     def missing(self) -> list[Path]:
         return [p for p in (self.processed, self.omission_json) if not p.exists()]
 
@@ -71,7 +85,20 @@ def experiments_frame(spark: SparkSession, path: str | Path) -> DataFrame:
     return spark.createDataFrame(rows, "stem string, root string, processed_pdb string, original_pdb string, omission_json string")
 
 
-def read_omissions(spark: SparkSession, path: str) -> DataFrame:
+def map_name(path: Column) -> list[Column]:
+    """``stem`` and ``map_id`` of a map's file name."""
+    name = local_path(path)
+    return [F.regexp_extract(name, r"([^/]*)_[0-9]+[.]mtz$", 1).alias("stem"), F.regexp_extract(name, r"_([0-9]+)[.]mtz$", 1).cast("int").alias("map_id")]
+
+
+def read_null_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(stem, path, k, cap, df, loc, scale)`` of files of null parameters."""
+    raw = spark.read.text(paths, wholetext=True).select(local_path(F.col("_metadata.file_path")).alias("path"), F.from_json("value", "df double, loc double, scale double").alias("p"))
+    pattern = r"([^/]*)_null_params_k([0-9.]+)_cap([0-9]+)[.]json$"
+    return raw.select(F.regexp_extract("path", pattern, 1).alias("stem"), "path", F.regexp_extract("path", pattern, 2).cast("double").alias("k"), F.regexp_extract("path", pattern, 3).cast("int").alias("cap"), "p.*")
+
+
+def read_omissions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, key, map_ids)`` of omission files, each one JSON object of lists."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     held = raw.select("path", F.from_json("value", "map<string,array<int>>").alias("m"))
@@ -143,7 +170,7 @@ def common_prefix(paths: DataFrame, column: str = "path") -> DataFrame:
     return out.select(F.array_join(F.transform(F.filter("l", lambda x: F.col("b").isNull() | (x["depth"] < F.col("b"))), lambda x: x["part"]), "/").alias("prefix"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("sep", "|").schema("id string, model string, reflections string").csv(path)
 
 

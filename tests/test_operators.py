@@ -114,6 +114,11 @@ def test_pdb(spark, tmp_path):
     scores = spark.createDataFrame([("A", 1856, "", "CA", 0.5)], "chain string, resnum int, icode string, atom string, score double")
     lines = [r.value for r in structures.scored_lines(structures.read_pdb(spark, str(path)), scores).orderBy("atom_id").collect()]
     assert lines[1][60:66] == " 50.00" and lines[0][60:66] == "  0.00" and lines[0][30:54] == "  12.340  -1.250   3.000"
+    two = [PDB[0], "MODEL        1", *PDB[1:3], "ENDMDL", "MODEL        2", *PDB[1:3], "ENDMDL"]
+    (tmp_path / "two.pdb").write_text("\n".join(two))
+    assert structures.read_pdb(spark, str(tmp_path / "two.pdb")).count() == 2
+    both = structures.read_structures(spark, {"a": str(path), "b": str(tmp_path / "two.pdb")})
+    assert {(r.stem, r["count"]) for r in both.groupBy("stem").count().collect()} == {("a", 5), ("b", 2)}
     ids = omission.polymer_ids(structures.read_pdb(spark, str(path)), "amino_acids").collect()
     assert [r.key for r in ids] == ["A|1856|SER"]
 
@@ -139,8 +144,20 @@ def test_ccp4_round_trip(spark, tmp_path):
     assert np.array_equal(maps.parse_ccp4(bytes(out.content))[0], values)
 
 
+def test_ccp4_symmetry():
+    """A file that holds half of the cell is completed by its operators; what none reaches stays NaN."""
+    rng = np.random.default_rng(0)
+    half = rng.normal(size=(4, 4, 2)).astype(np.float32)
+    full = np.full((4, 4, 4), np.nan, np.float32)
+    full[:, :, :2] = half
+    got = maps.expanded(full.copy(), ["X,Y,Z", "X,Y,Z+1/2"])
+    assert np.array_equal(got[:, :, 2:], half) and np.array_equal(got[:, :, :2], half)
+    turned = maps.expanded(full.copy(), ["-X,-Y,-Z"])
+    assert turned[1, 3, 3] == half[3, 1, 1] and np.isnan(turned[1, 1, 2])
+
+
 def mtz_bytes(columns, table, cell):
-    lines = ["VERS MTZ:V1.1", f"NCOL {len(columns)} {len(table)} 0", f"CELL {cell.a} {cell.b} {cell.c} {cell.alpha} {cell.beta} {cell.gamma}", "SYMM X,Y,Z", "SYMM -X,Y+1/2,-Z"]
+    lines = ["VERS MTZ:V1.1", f"NCOL {len(columns)} {len(table)} 0", f"CELL {cell.a} {cell.b} {cell.c} {cell.alpha} {cell.beta} {cell.gamma}", "SYMINF 2 2 P 4 'P 1 21 1' PG2", "SYMM X,Y,Z", "SYMM -X,Y+1/2,-Z"]
     lines += [f"COLUMN {a} {b} 0 1 0" for a, b in columns] + ["END"]
     body = np.asarray(table, "<f4").tobytes()
     head = b"MTZ " + (21 + len(body) // 4).to_bytes(4, "little") + b"\x44\x41\0\0"
@@ -156,13 +173,11 @@ def test_mtz_map(spark, tmp_path):
     assert got == columns and len(ops) == 2 and read == cell and maps.map_labels(got) == ("2FOFCWT", "PH2FOFCWT")
     rho = maps.density(data, got, read, ops)
     assert maps.resolution_limit(data, cell) == pytest.approx(1 / math.sqrt(0.04 + 4 / 121 + 4 / 144))
-    x = np.array([0.25, 0.5, 0.25])
-    direct = 0.0
-    for h, k, l, *_, f, phi in table:
-        for point in (x, np.array([-x[0], x[1] + 0.5, -x[2]])):
-            direct += 2 * f * math.cos(2 * math.pi * float(np.dot((h, k, l), point)) - math.radians(phi))
-    at = tuple(int(a * n) for a, n in zip(x, rho.shape, strict=True))
-    if all(float(a * n).is_integer() for a, n in zip(x, rho.shape, strict=True)):
+    for at in ((0, 0, 0), (3, 5, 7), (9, 2, 11), (1, 11, 4)):
+        x, direct = np.array(at) / rho.shape, 0.0
+        for h, k, l, *_, f, phi in table:
+            for point in (x, np.array([-x[0], x[1] + 0.5, -x[2]])):
+                direct += 2 * f * math.cos(2 * math.pi * float(np.dot((h, k, l), point)) - math.radians(phi))
         assert rho[at] == pytest.approx(direct / cell.volume(), rel=1e-3, abs=1e-4)
     (tmp_path / "a.mtz").write_bytes(mtz_bytes(columns, table, cell))
     labels = workspace.first_label(maps.read_mtz_columns(spark, str(tmp_path / "a.mtz")), [("F", "SIGF"), ("FWT", "PHWT")], ["FREE"]).first()
@@ -231,7 +246,7 @@ def test_trilinear_values(spark):
 def test_reports(spark):
     df = spark.createDataFrame([("a", 0.9), ("b<", None), ("c", 0.65)], "stem string, opia double")
     assert [(r.stem, r.rank, r.badge) for r in report.screen_rank(df).orderBy("rank").collect()] == [("a", 1, "green"), ("c", 2, "yellow"), ("b<", 3, "none")]
-    page = report.html_report(df)
+    page = "".join(report.html_pages(["stem", "opia"], [r.asDict() for r in report.screen_rank(df).orderBy("rank").collect()]))
     assert "b&lt;" in page and "N/A" in page and page.index("a</td>") < page.index("c</td>")
     assert '"opia":"N/A"' in report.experiment_json(df).where("opia is null or stem = 'b<'").first().json
     assert "set_contour_level_absolute(map_0, 1.5000)" in report.viewer_script("s", "m.pdb", ["a.ccp4"], (1, 2, 3), 1.5)
