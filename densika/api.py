@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 from pathlib import Path
@@ -32,51 +33,89 @@ def discover(spark: SparkSession, run: Run) -> DataFrame:
     raise ValueError("a screening table must be .csv or .sqlite")
 
 
-def debias_crystal(spark: SparkSession, run: Run, crystal: str, structure: str) -> DataFrame:
-    """``(key, map_ids)`` of a crystal, also written as its omission file."""
-    d = run.debias
-    atoms = structures.read_structure(spark, structure)
-    keys = [r.key for r in omission.polymer_ids(atoms, d.omit_type).orderBy("ordinal").toLocalIterator()]  # one model's atoms
-    chosen = omission.sample_keys(keys, omission.parse_selectors(d.always_omit), d.omit_fraction, d.iterations, d.seed)
-    items = spark.createDataFrame([(k,) for k in keys], "key string")
-    held = omission.omission_map(items, omission.selections_frame(spark, chosen))
-    workspace.write_omissions(held, Path(run.output_dir) / crystal / "metadata" / f"{crystal}_omission_map.json")
-    return held
+Outcome = tuple[str, str | None, str | None]
+
+
+def isolated(batch: list, work: Callable[[list], list[Outcome]], name: Callable) -> list[Outcome]:
+    """``work`` on the whole batch at once; if that fails, on its halves, until the faulty crystal stands alone."""
+    if not batch:
+        return []
+    try:
+        return work(batch)
+    except Exception as fault:
+        if len(batch) == 1:
+            log.warning("%s failed: %s", name(batch[0]), fault)
+            return [(name(batch[0]), None, str(fault).splitlines()[0])]
+    half = len(batch) // 2
+    return isolated(batch[:half], work, name) + isolated(batch[half:], work, name)
 
 
-def debias(spark: SparkSession, run: Run, template: dict | None = None) -> DataFrame:
+def debias(spark: SparkSession, run: Run, template: str | dict = parameters.MAP_TEMPLATE) -> DataFrame:
     """Omissions, parameter files, manifests and scripts of all crystals not done yet; the crystals' table.
 
-    A crystal that fails is reported in ``error`` and doesn't stop the others.
+    All are worked on together; one that fails is reported in ``error`` and doesn't stop the others.
     """
     out = Path(run.output_dir)
     done = [(p.parent.name,) for p in out.glob("*/results") if any(p.iterdir())]
     todo = jobs.pending(discover(spark, run), spark.createDataFrame(done, "id string"), ["id"], run.force)
-    rows, manifest = [], []
-    for r in todo.orderBy("id").toLocalIterator():
-        try:
-            held = debias_crystal(spark, run, r.id, r.pdb)
-            chosen = omission.omission_incidence(held).withColumnRenamed("owner", "key")
-            for m in jobs.selection_text(chosen, ["map_id"]).orderBy("map_id").toLocalIterator():
-                path = out / r.id / "params" / f"{r.id}_{m.map_id}.params"
-                labels = run.debias.mtz_f_labels or "", run.debias.mtz_rfree_label or ""
-                parameters.save(parameters.map_job(template or {}, r.pdb, r.mtz, *labels, f"{r.id}_{m.map_id}", m.selection), path)
-                manifest.append(str(path))
-            rows.append((r.id, r.pdb, r.mtz, None))
-        except Exception as fault:
-            log.warning("%s failed: %s", r.id, fault)
-            rows.append((r.id, r.pdb, r.mtz, str(fault)))
+    crystals = [(r.id, r.pdb, r.mtz) for r in todo.orderBy("id").toLocalIterator()]  # a row a crystal, as in the manifest
+    made = {s: error for s, _, error in isolated(crystals, lambda batch: _debias_batch(spark, run, batch, template), lambda c: c[0])}
+    good = [c for c in crystals if made[c[0]] is None]
+    (out / "jobs").mkdir(parents=True, exist_ok=True)
+    lines = jobs.manifest_lines(spark.createDataFrame(good, "id string, model string, reflections string"))
+    (out / "manifest.txt").write_text("".join(f"{r.value}\n" for r in lines.orderBy("value").toLocalIterator()), encoding="utf-8")
+    manifest = [str(p) for s, *_ in good for p in sorted((out / s / "params").glob(f"{s}_*.params"), key=lambda p: int(p.stem.rpartition("_")[2]))]
     size, scripts = run.slurm.chunk_size, []
     for n in range(0, len(manifest), size):
-        lines = manifest[n : n + size]
+        part = manifest[n : n + size]
         target = out / "jobs" / f"maps_{n // size}"
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.with_suffix(".txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
-        target.with_suffix(".sh").write_text(jobs.array_script(run.slurm, len(lines), "compute-map", str(target.with_suffix(".txt"))), encoding="utf-8")
+        target.with_suffix(".txt").write_text("\n".join(part) + "\n", encoding="utf-8")
+        target.with_suffix(".sh").write_text(jobs.array_script(run.slurm, len(part), "compute-map", str(target.with_suffix(".txt"))), encoding="utf-8")
         scripts.append(str(target.with_suffix(".sh")))
     if scripts:
         (out / "jobs" / "submit.sh").write_text(jobs.chain_script(scripts), encoding="utf-8")
-    return spark.createDataFrame(rows, "id string, pdb string, mtz string, error string")
+    return spark.createDataFrame([(*c, made[c[0]]) for c in crystals], "id string, pdb string, mtz string, error string")
+
+
+def detected_labels(spark: SparkSession, run: Run, crystals: DataFrame) -> DataFrame:
+    """``(stem, f_label, rfree_label, error)``: the settings' labels, and those of the reflections for what they leave open."""
+    given = F.lit(run.debias.mtz_f_labels or None).cast("string"), F.lit(run.debias.mtz_rfree_label or None).cast("string")
+    if run.debias.mtz_f_labels and run.debias.mtz_rfree_label:
+        return crystals.select("stem", given[0].alias("f_label"), given[1].alias("rfree_label"), F.lit(None).cast("string").alias("error"))
+    paths = [r.mtz for r in crystals.select("mtz").distinct().toLocalIterator()]
+    columns = maps.read_mtz_columns(spark, paths).select(files.local_path(F.col("crystal")).alias("crystal"), "label")
+    found = workspace.first_label(columns, workspace.AMPLITUDES, workspace.FREE_SETS)
+    both = crystals.join(found, crystals["mtz"] == found["crystal"], "left")
+    f, free = F.coalesce(given[0], "f_label"), F.coalesce(given[1], "rfree_label")
+    return both.select("stem", f.alias("f_label"), free.alias("rfree_label"), F.when(f.isNull() | free.isNull(), F.coalesce("error", F.lit("no labels found"))).alias("error"))
+
+
+def _debias_batch(spark: SparkSession, run: Run, batch: list[tuple], template: str | dict) -> list[Outcome]:
+    d, out = run.debias, os.path.abspath(run.output_dir)
+    crystals = spark.createDataFrame([(s, os.path.abspath(p), os.path.abspath(m), os.path.splitext(p)[1].lower()) for s, p, m in batch], "stem string, pdb string, mtz string, extension string")
+    labels = detected_labels(spark, run, crystals)
+    faults = {r.stem: r.error for r in labels.where("error is not null").toLocalIterator()}
+    good = [c for c in batch if c[0] not in faults]
+    if good:
+        keys = omission.polymer_ids(structures.read_structures(spark, {s: p for s, p, _ in good}), d.omit_type, ["stem"])
+        chosen = omission.sample_crystals(keys, omission.parse_selectors(d.always_omit), d.omit_fraction, d.iterations, d.seed)
+        held = omission.omission_map(chosen.select("stem", "key").distinct(), chosen, ["stem"])
+        place = F.concat(F.lit(f"{out}/"), "stem", F.lit("/metadata/"), "stem", F.lit("_omission_map.json"))
+        files.write_groups(held.select(place.alias("path"), "key", "map_ids"), workspace.omission_bytes)
+        told = jobs.selection_text(chosen, ["stem", "map_id"]).join(crystals, "stem").join(labels.drop("error"), "stem").withColumn("run", F.concat_ws("_", "stem", "map_id"))
+        told = told.withColumn("path", F.concat(F.lit(f"{out}/"), "stem", F.lit("/params/"), "run", F.lit(".params")))
+        files.write_groups(told, lambda pdf: _map_parameters(pdf.iloc[0].to_dict(), out, d.simulated_annealing, template))
+        for s, p, _ in good:
+            folder = f"{out}/{s}/processed"
+            for name, values in parameters.preparation_jobs(folder, s, os.path.splitext(p)[1].lower()).items():
+                parameters.save(values, f"{folder}/{name}")
+    return [(c[0], f"{out}/{c[0]}/params", faults.get(c[0])) for c in batch]
+
+
+def _map_parameters(r: dict, out: str, anneal: bool, template: str | dict) -> bytes:
+    model, result = f"{out}/{r['stem']}/processed/{r['stem']}_updated{r['extension']}", f"{out}/{r['stem']}/results/{r['run']}/{r['run']}.mtz"
+    job = parameters.map_job(model, r["mtz"], r["f_label"], r["rfree_label"], result, r["run"], r["selection"], anneal, template)
+    return (parameters.written(job) + "\n").encode()
 
 
 def crystal_table(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
@@ -214,23 +253,6 @@ def export(result: dict[str, DataFrame], folders: DataFrame, models: DataFrame)
     files.write_lines(named.select(F.concat(place, F.lit("_summary.json")).alias("path"), F.lit(0).alias("turn"), told.alias("value")))
 
 
-Outcome = tuple[str, str | None, str | None]
-
-
-def isolated(batch: list, work: Callable[[list], list[Outcome]], name: Callable) -> list[Outcome]:
-    """``work`` on the whole batch at once; if that fails, on its halves, until the faulty crystal stands alone."""
-    if not batch:
-        return []
-    try:
-        return work(batch)
-    except Exception as fault:
-        if len(batch) == 1:
-            log.warning("%s failed: %s", name(batch[0]), fault)
-            return [(name(batch[0]), None, str(fault).splitlines()[0])]
-    half = len(batch) // 2
-    return isolated(batch[:half], work, name) + isolated(batch[half:], work, name)
-
-
 def first_maps(spark: SparkSession, found: list[workspace.Experiment], cap: int) -> tuple[list[tuple], list[Outcome]]:
     """Rows of the crystals' table from the headers of their maps, and crystals that have no map or unlike ones."""
     listed = {e.stem: e.map_files(cap) for e in found}

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import argparse
-import json
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from densika import api
-from densika.config import Run, layered
+from densika.config import Run, layered, read_settings
 
 
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="densika", description=__doc__)
     sub = top.add_subparsers(dest="stage", required=True)
     d = sub.add_parser("debias", help="sample omissions and write jobs")
-    d.add_argument("--config", help="JSON of settings")
+    d.add_argument("--config", help="settings, JSON or YAML")
     for name in ("structure", "reflections", "screening"):
         d.add_argument(f"--{name}")
     d.add_argument("--output", default=".")
@@ -48,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.stage == "debias":
         given = {"structure_path": a.structure, "reflections_path": a.reflections, "screening_path": a.screening, "omit_fraction": a.fraction, "iterations": a.iterations, "seed": a.seed}
         over = {"output_dir": a.output, "force": a.force, "debias": {k: v for k, v in given.items() if v is not None}}
-        file = json.loads(Path(a.config).read_text()) if a.config else {}
+        file = read_settings(a.config) if a.config else {}
         api.debias(spark, layered(Run(), file, over)).show(truncate=False)
     elif a.stage == "quantify":
         api.run_quantification(spark, a.root, a.k, a.cap or None, a.force).show(truncate=False)

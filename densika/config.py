@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field, fields, is_dataclass, replace
+from pathlib import Path
 from typing import Any
 
 
+# The numbers below are those of the published scoring method and must equal them.
+
+
 @dataclass(frozen=True)
 class DensityScore:
     zeta: float = 1.2
@@ -83,6 +89,7 @@ class Debias:
     seed: int | None = None
     mtz_f_labels: str | None = None
     mtz_rfree_label: str | None = None
+    simulated_annealing: bool = False
 
 
 @dataclass(frozen=True)
@@ -104,6 +111,48 @@ class Run:
     slurm: Slurm = field(default_factory=Slurm)
 
 
+def read_settings(path: str | Path) -> dict[str, Any]:
+    """Nested settings of a file: JSON, or by its extension YAML, of which blocks, plain values and comments are read."""
+    text = Path(path).read_text(encoding="utf-8")
+    return yaml_blocks(text) if Path(path).suffix in (".yaml", ".yml") else json.loads(text)
+
+
+def yaml_blocks(text: str) -> dict[str, Any]:
+    """Nested ``name: value`` blocks by indentation; lists, anchors and texts of several lines are refused."""
+    words = {"null": None, "~": None, "": None, "none": None, "true": True, "false": False}
+
+    def value(raw: str) -> Any:
+        if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"":
+            return raw[1:-1]
+        if raw.lower() in words:
+            return words[raw.lower()]
+        for kind in (int, float):
+            try:
+                return kind(raw)
+            except ValueError:
+                continue
+        return raw
+
+    root: dict[str, Any] = {}
+    blocks = [(-1, root)]
+    for number, line in enumerate(text.splitlines(), 1):
+        body = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not body.strip() or body.strip() == "---":
+            continue
+        found = re.fullmatch(r"(\s*)([\w.-]+):(?:\s+([^&*|>\[{-].*|-[\d.].*))?", body)
+        if found is None:
+            raise ValueError(f"line {number} of the settings is neither a block nor a value: {line.strip()}")
+        depth, name = len(found[1]), found[2]
+        while blocks[-1][0] >= depth:
+            blocks.pop()
+        if found[3] is None:
+            blocks[-1][1][name] = child = {}
+            blocks.append((depth, child))
+        else:
+            blocks[-1][1][name] = value(found[3].strip())
+    return root
+
+
 def layered(base: Any, *layers: dict[str, Any]) -> Any:
     """``base`` with nested dictionaries laid over it, the last on top; unknown names are refused."""
     for layer in layers:
@@ -113,6 +162,8 @@ def layered(base: Any, *layers: dict[str, Any]) -> Any:
         new = {}
         for name, value in layer.items():
             old = getattr(base, name)
+            if isinstance(value, dict) and not is_dataclass(old):
+                value = value or None  # a name without anything under it
             new[name] = layered(old, value) if is_dataclass(old) and isinstance(value, dict) else value
         base = replace(base, **new)
     return base

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +30,11 @@ def default_iterations(iterations: int | None, fraction: float) -> int:
     return math.ceil(TARGET_MAPS / math.ceil(1 / min(fraction, 1 - fraction)))
 
 
-def polymer_ids(atoms: DataFrame, mode: str) -> DataFrame:
+def polymer_ids(atoms: DataFrame, mode: str, by: Sequence[str] = ()) -> DataFrame:
     """``(key, ordinal)`` of the polymer's atoms or residues, each once, in the order first seen."""
     parts = ["chain", "resnum", "resname"] + (["atom", "altloc"] if mode == "atoms" else [])
-    keyed = atoms.where("record = 'ATOM'").select(id_key(*map(F.col, parts)).alias("key"), "serial")
-    return keyed.groupBy("key").agg(F.min("serial").alias("ordinal"))
+    keyed = atoms.where("record = 'ATOM'").select(*by, id_key(*map(F.col, parts)).alias("key"), "serial")
+    return keyed.groupBy(*by, "key").agg(F.min("serial").alias("ordinal"))
 
 
 def split_always(items: DataFrame, selectors: DataFrame, prefix: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -84,6 +85,18 @@ def sample_keys(keys: Sequence[str], always: Sequence[str], fraction: float, ite
     return out
 
 
+def sample_crystals(keys: DataFrame, always: Sequence[str], fraction: float, iterations: int | None, seed: int | None, by: str = "stem") -> DataFrame:
+    """``(by, map_id, key)``: ``sample_keys`` of each crystal ``(by, key, ordinal)``; a group is one model's parts."""
+    validate_sampling(fraction, iterations)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pdf.sort_values(["ordinal", "key"])["key"].tolist()
+        chosen = sample_keys(names, always, fraction, iterations, seed)
+        return pd.DataFrame([(key[0], m, k) for m, part in enumerate(chosen) for k in part], columns=[by, "map_id", "key"])
+
+    return keys.groupBy(by).applyInPandas(run, f"`{by}` {keys.schema[by].dataType.simpleString()}, map_id int, key string")
+
+
 def sample_batches(items: DataFrame, fraction: float, iterations: int, order: Sequence, by: Sequence[str] = ()) -> DataFrame:
     """``(by, iteration, batch, key)`` for all crystals at once: disjoint batches in the order of ``order``.
 

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from densika.sources.files import local_path
+from densika.sources.files import local_path, write_groups
 
 log = logging.getLogger(__name__)
 MODEL_EXTENSIONS = (".pdb", ".cif")
@@ -105,11 +107,14 @@ def read_omissions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return held.select("path", F.explode("m").alias("key", "map_ids"))
 
 
+def omission_bytes(pdf: pd.DataFrame) -> bytes:
+    """One crystal's rows ``(key, map_ids)`` as its file holds them."""
+    return json.dumps({k: [int(m) for m in ids] for k, ids in sorted(zip(pdf["key"], pdf["map_ids"], strict=True))}).encode()
+
+
 def write_omissions(omissions: DataFrame, path: str | Path) -> None:
     """One crystal's omission file; its size is that of one model."""
-    found = {r["key"]: list(r["map_ids"]) for r in omissions.select("key", "map_ids").toLocalIterator()}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(dict(sorted(found.items()))), encoding="utf-8")
+    write_groups(omissions.select(F.lit(os.path.abspath(path)).alias("path"), "key", "map_ids"), omission_bytes)
 
 
 def chosen_maps(listing: DataFrame, k: float, cap: int | None) -> DataFrame:

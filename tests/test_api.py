@@ -11,7 +11,7 @@ from densika.config import Debias, Run, Scoring
 from densika.functions import student_t
 from densika.functions.cell import Cell
 from densika.operators import ensemble
-from densika.sources import maps, structures, workspace
+from densika.sources import maps, parameters, structures, workspace
 from densika.streaming import incremental
 from tests.test_operators import PDB, mtz_bytes, workspace_at
 
@@ -126,17 +126,49 @@ def test_null_distribution(spark):
     assert abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05
 
 
+DATA = [("H", "H"), ("K", "H"), ("L", "H"), ("FP", "F"), ("SIGFP", "Q"), ("FREE", "I")]
+
+
 def test_debias(spark, tmp_path):
-    (tmp_path / "m.pdb").write_text("\n".join(PDB))
-    run = Run(output_dir=str(tmp_path / "out"), debias=Debias(structure_path=str(tmp_path / "m.pdb"), reflections_path="m.mtz", omit_fraction=0.4, iterations=2, seed=1))
-    got = api.debias(spark, run, {"input": {"pdb": {"file_name": None}}}).collect()
-    assert [(r.id, r.error) for r in got] == [("m", None)]
-    held = workspace.read_omissions(spark, str(tmp_path / "out" / "m" / "metadata")).collect()
+    """Two crystals of a screening table at once; a third has no model, a fourth no free set."""
+    for s in ("m", "n"):
+        (tmp_path / f"{s}.pdb").write_text("\n".join(PDB))
+        (tmp_path / f"{s}.mtz").write_bytes(mtz_bytes(DATA, [(1, 1, 1, 5, 1, 0)], Cell(9, 9, 9)))
+    (tmp_path / "q.mtz").write_bytes(mtz_bytes(DATA[:-1], [(1, 1, 1, 5, 1)], Cell(9, 9, 9)))
+    rows = [("m", "m"), ("n", "n"), ("none", "m"), ("m", "q")]
+    (tmp_path / "s.csv").write_text("pdb,mtz\n" + "".join(f"{tmp_path}/{p}.pdb,{tmp_path}/{m}.mtz\n" for p, m in rows[:3]))
+    out = tmp_path / "out"
+    run = Run(output_dir=str(out), debias=Debias(screening_path=str(tmp_path / "s.csv"), omit_fraction=0.4, iterations=2, seed=1, simulated_annealing=True))
+    got = {r.id: r.error for r in api.debias(spark, run).collect()}
+    assert got["m"] is None and got["n"] is None and got["none"]
+    held = workspace.read_omissions(spark, str(out / "m" / "metadata")).collect()
     assert len(held) == 3 and all(len(r.map_ids) == 2 for r in held)
-    assert len(list((tmp_path / "out" / "m" / "params").iterdir())) == 6
-    assert "--array=1-6" in (tmp_path / "out" / "jobs" / "maps_0.sh").read_text()
-    bad = Run(output_dir=str(tmp_path / "bad"), debias=Debias(structure_path="/none/n.pdb", reflections_path="n.mtz"))
-    assert api.debias(spark, bad).first().error
+    names = sorted(p.name for p in (out / "n" / "params").iterdir())
+    assert names == [f"n_{i}.params" for i in range(6)]
+    job = parameters.load(out / "n" / "params" / "n_0.params")
+    assert parameters.get(job, "input.xray_data.labels") == "FP,SIGFP" and parameters.get(job, "input.xray_data.r_free_flags.label") == "FREE"
+    assert parameters.get(job, "output.job_title") == "n_0" and parameters.get(job, "output.file_name").endswith("n/results/n_0/n_0.mtz")
+    assert parameters.get(job, "omit_map.boxing.refinement.main.simulated_annealing") is True
+    assert parameters.get(job, "omit_map.boxing.selection").startswith("(chain A and resseq 1856 and name ")
+    assert parameters.get(parameters.load(out / "m" / "processed" / "ready_set.params"), "ready_set.input.output_file_name").endswith("processed/m_updated")
+    assert "--array=1-12" in (out / "jobs" / "maps_0.sh").read_text() and len((out / "manifest.txt").read_text().splitlines()) == 2
+    keys = [f"A|1856|SER|{a}" for a in ("N", "CA", "H")]
+    bad = Run(output_dir=str(tmp_path / "bad"), debias=Debias(structure_path=str(tmp_path / "m.pdb"), reflections_path=str(tmp_path / "q.mtz")))
+    assert "free-set" in api.debias(spark, bad).first().error and len(keys) == 3
+    told = Run(output_dir=str(tmp_path / "told"), debias=Debias(structure_path=str(tmp_path / "m.pdb"), reflections_path="none.mtz", mtz_f_labels="A,B", mtz_rfree_label="C"))
+    assert api.debias(spark, told).first().error is None
+
+
+def test_settings(tmp_path):
+    from densika.config import layered, read_settings
+
+    (tmp_path / "c.yaml").write_text("# top\noutput_dir: /data/x  # where\nforce: true\ndebias:\n  omit_fraction: 0.2\n  iterations: null\n  always_omit: 'A 1 SER'\n  seed: -3\nslurm:\n  chunk_size: 10\n  partition:\n")
+    run = layered(Run(), read_settings(tmp_path / "c.yaml"), {"debias": {"seed": 4}})
+    assert run.force and run.output_dir == "/data/x" and run.debias.omit_fraction == 0.2 and run.debias.iterations is None
+    assert run.debias.always_omit == "A 1 SER" and run.debias.seed == 4 and run.slurm.chunk_size == 10 and run.slurm.partition is None
+    (tmp_path / "bad.yaml").write_text("a:\n  - 1\n")
+    with pytest.raises(ValueError, match="line 2"):
+        read_settings(tmp_path / "bad.yaml")
 
 
 def test_threshold_replaces_both(spark, tmp_path):
