@@ -188,8 +188,9 @@ SQL["atom_score"] = f"""WITH {SHARE}, wt AS (SELECT *, {parabola('d', 'radius')}
 sc AS (SELECT atom_id, {over_positive('true')} AS score, {over_positive('weight > 0')} AS score_positive, {over_positive('weight < 0')} AS score_negative, count(*) AS n_grid_points FROM wt GROUP BY 1)
 SELECT a.atom_id, coalesce(score, CAST(0 AS DOUBLE)) AS score, coalesce(score_positive, CAST(0 AS DOUBLE)) AS score_positive, coalesce(score_negative, CAST(0 AS DOUBLE)) AS score_negative, coalesce(n_grid_points, 0) AS n_grid_points
 FROM reg a LEFT JOIN sc USING (atom_id) WHERE NOT a.is_water"""
-SQL["water_score"] = f"""WITH {FAR}, wa AS (SELECT * FROM fa WHERE resname = 'HOH' AND upper(trim(element)) NOT IN ('H', 'D')), pts AS ({points('wa', 'CAST(1.52 AS DOUBLE)')}),
-wt AS (SELECT atom_id, {gaussian('d')} AS weight, value FROM pts),
+WATER_POINTS = f"""{FAR}, wa AS (SELECT * FROM fa WHERE resname = 'HOH' AND upper(trim(element)) NOT IN ('H', 'D')), pts AS ({points('wa', 'CAST(1.52 AS DOUBLE)')}),
+wt AS (SELECT atom_id, {gaussian('d')} AS weight, value FROM pts)"""
+SQL["water_score"] = f"""WITH {WATER_POINTS},
 sc AS (SELECT atom_id, {r4("CASE WHEN sum(weight) <> 0 THEN sum(weight * CASE WHEN value >= CAST(2.5 AS DOUBLE) THEN value ELSE CAST(0 AS DOUBLE) END) / sum(weight) ELSE CAST(0 AS DOUBLE) END")} AS score, count(*) AS n FROM wt GROUP BY 1)
 SELECT atom_id, coalesce(score, CAST(0 AS DOUBLE)) AS score, coalesce(n, 0) AS n_grid_points FROM wa LEFT JOIN sc USING (atom_id)"""
 
@@ -260,9 +261,6 @@ SQL["selection_text"] = f"WITH {KEYS} SELECT crystal, string_agg('(chain A and r
 SQL["common_prefix"] = "SELECT '/data/ref' AS prefix"
 SQL["map_files"] = f"WITH {LISTING} SELECT stem, string_agg(path, ',' ORDER BY path) AS paths FROM pth WHERE cap <> 50 GROUP BY 1"
 SQL["manifest_reflections"] = f"""WITH {SCREEN} SELECT 'x' || row AS stem, coalesce(CASE WHEN a IS NOT NULL THEN b END, CASE WHEN row % 2 = 0 THEN e END) AS reflections FROM scr"""
-SQL["selection_union"] = "SELECT c_nationkey AS crystal, c_custkey AS key FROM customer WHERE c_nationkey < 7"
-SQL["omission_json"] = f"WITH {SCHEDULE} SELECT crystal, key, CAST(CASE WHEN maps = '' THEN 0 ELSE len(string_split(maps, ',')) END AS BIGINT) AS n_maps FROM sparse"
-SQL["atom_csv_rows"] = "SELECT vec_id AS atom_id, printf('%.6f', (vec_id * 37 % 101) / CAST(100.0 AS DOUBLE)) AS score, printf('%.4f', -(vec_id * 11 % 50) / CAST(100.0 AS DOUBLE)) AS score_negative FROM embeddings"
 SQL["scored_model"] = f"""WITH {atoms_sql(BOND_SCALE)} SELECT atom_id, printf('%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s', 'ATOM', atom_id, ' C' || (atom_id % 8), ' ', resname, chain, resnum, ' ', floor(x), floor(y), floor(z), 1.0,
 CASE WHEN atom_id % 3 = 0 THEN (atom_id * 37 % 101) / CAST(100.0 AS DOUBLE) * 100 ELSE CAST(0 AS DOUBLE) END, 'C') AS value FROM atoms"""
 SQL["t_sf"] = f"WITH {atoms_sql(10)}, z AS (SELECT atom_id, (x - CAST(0.1 AS DOUBLE)) / CAST(0.5 AS DOUBLE) AS z FROM atoms) SELECT atom_id, {r4('0.5 - z / (2 * sqrt(2 + z * z))')} AS p_value FROM z"
@@ -272,4 +270,6 @@ SQL["t_threshold"] = f"SELECT CAST(i AS INTEGER) AS percent, {r4('1 + 2 * (1 - 2
 
 
 def oracle_sql() -> dict[str, str]:
+    from densika.plans import file_oracles  # noqa: F401  adds its own
+
     return dict(SQL)

@@ -491,27 +491,6 @@ def manifest_reflections(s: SparkSession, d: str) -> DataFrame:
     return workspace.original_reflections(stems, manifest, parsed)
 
 
-@query
-def selection_union(s: SparkSession, d: str) -> DataFrame:
-    """Distinct parts left out of any map."""
-    chunks = omission.sample_batches(_customers(s, d).where("crystal < 5"), 0.3, 2, _order(), ["crystal"])
-    fixed = _customers(s, d).where("crystal >= 3 and crystal < 7")
-    return chunks.select("crystal", "key").unionByName(fixed).distinct()
-
-
-@query
-def omission_json(s: SparkSession, d: str) -> DataFrame:
-    """Omission maps written as JSON objects by crystal and read again."""
-    held = _omission_maps(s, d).groupBy("crystal").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "map_ids")))).alias("value"))
-    read = held.select("crystal", F.explode(F.from_json("value", "map<string,array<int>>")).alias("key", "map_ids"))
-    return read.select("crystal", "key", F.size("map_ids").cast("long").alias("n_maps"))
-
-
-@query
-def atom_csv_rows(s: SparkSession, d: str) -> DataFrame:
-    return _scores(s, d).select("atom_id", F.format_string("%.6f", "score").alias("score"), F.format_string("%.4f", F.col("score_negative")).alias("score_negative"))
-
-
 @query
 def scored_model(s: SparkSession, d: str) -> DataFrame:
     """Model lines with scores as B factors; atoms without score have 0."""
@@ -554,4 +533,6 @@ def t_fit(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from densika.plans import file_queries  # noqa: F401  adds its own
+
     return dict(QUERIES)

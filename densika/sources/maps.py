@@ -123,6 +123,17 @@ def ccp4_files(voxels: DataFrame, by: str, cell: Cell, dims: tuple[int, int, int
     return voxels.groupBy(by).applyInPandas(run, f"`{by}` {voxels.schema[by].dataType.simpleString()}, content binary")
 
 
+def format_mtz(columns: list[tuple[str, str]], table: np.ndarray, cell: Cell, operators: list[str] | None = None, spacegroup: int = 1) -> bytes:
+    """An MTZ file of reflections; ``columns`` are labels and types, the first three h, k and l."""
+    operators = operators or ["X,Y,Z"]
+    lines = ["VERS MTZ:V1.1", f"NCOL {len(columns)} {len(table)} 0", f"CELL {cell.a} {cell.b} {cell.c} {cell.alpha} {cell.beta} {cell.gamma}"]
+    lines += [f"SYMINF {len(operators)} {len(operators)} P {spacegroup} 'unknown' PG1", *[f"SYMM {o}" for o in operators]]
+    lines += [f"COLUMN {label} {kind} 0 1 0" for label, kind in columns] + ["END"]
+    body = np.asarray(table, "<f4").tobytes()
+    head = b"MTZ " + (21 + len(body) // 4).to_bytes(4, "little") + b"\x44\x41\0\0"
+    return head.ljust(80, b"\0") + body + b"".join(line.ljust(80).encode() for line in lines)
+
+
 def parse_mtz(data: bytes) -> tuple[list[tuple[str, str]], np.ndarray, Cell, list[str]]:
     """Columns (label, type), the reflection table, the cell and the symmetry operators."""
     if data[:4] != b"MTZ ":

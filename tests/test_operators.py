@@ -157,11 +157,7 @@ def test_ccp4_symmetry():
 
 
 def mtz_bytes(columns, table, cell):
-    lines = ["VERS MTZ:V1.1", f"NCOL {len(columns)} {len(table)} 0", f"CELL {cell.a} {cell.b} {cell.c} {cell.alpha} {cell.beta} {cell.gamma}", "SYMINF 2 2 P 4 'P 1 21 1' PG2", "SYMM X,Y,Z", "SYMM -X,Y+1/2,-Z"]
-    lines += [f"COLUMN {a} {b} 0 1 0" for a, b in columns] + ["END"]
-    body = np.asarray(table, "<f4").tobytes()
-    head = b"MTZ " + (21 + len(body) // 4).to_bytes(4, "little") + b"\x44\x41\0\0"
-    return head.ljust(80, b"\0") + body + b"".join(line.ljust(80).encode() for line in lines)
+    return maps.format_mtz(columns, table, cell, ["X,Y,Z", "-X,Y+1/2,-Z"], 4)
 
 
 def test_mtz_map(spark, tmp_path):
