@@ -416,6 +416,35 @@ def test_tokens(odd_docs, odd_rows, spark):
     assert [r[:3] for r in rows(tokens.count_tokens(df, P.path("word_bpe_49k.json"), 50))] == want
 
 
+def test_tokens_of_texts_without_spaces(spark):
+    """Lines, scripts without spaces and minified text, long enough to be cut, against the library on the whole text."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(4)
+    alphabet = list("abzé漢字かが\u3099\u0301ﬁİΣ½²٣9071.,;:!?。、！'’s<|>_-=\u00a0\u2028\u3000\n\t") + ["'s", "'LL", "<|endoftext|>", "<|startoftext|>", "3.5", "१"]
+    texts = ["".join(rng.choice(alphabet, n)) for n in (5000, 9000, 20_000, 4097)] + ["漢字。" * 3000, "1" * 9000, "a,b;c1" * 2000, "x\ny\r\nz\t" * 3000, "がか\u3099" * 3000, "'" * 5000]
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in enumerate(texts)], "doc_id long, text string, n_bytes int, n_tokens int")
+    want = [(i, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for i, x in enumerate(texts)]
+    assert [r[:3] for r in rows(tokens.op7(df))] == want
+    assert tokens.Lengths(P.path("word_bpe_49k.json")).parts_add_up
+
+
+def test_tokens_of_other_tokenizers(spark):
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["It's  two\n\nlines", "", "漢字 é", "<|endoftext|> x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    byte, piece = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    t, m = Tokenizer.from_file(byte), sentencepiece.SentencePieceProcessor(model_file=piece)
+    assert not tokens.Lengths(byte).parts_add_up
+    assert [r[2] for r in rows(tokens.count_tokens(df, byte))] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert [r[2] for r in rows(tokens.count_tokens(df, piece))] == [len(m.encode(x)) for x in texts]
+
+
 # 8. Near duplicates
 
 
