@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own, above 2**62 and so after plain ids, and one may go while another stays; of rows with one id and one
     text a single one stays.  Texts that are null or empty are no copies of each other.
     """
-    repeated = store(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("of")), "repeated-ids", keep=True)
+    repeated = store(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("of")), "repeated-ids")
     rows = docs.select(F.struct("*").alias("doc"))
     rows = rows.join(repeated.withColumn("again", F.lit(True)), F.col("doc.doc_id").eqNullSafe(F.col("of")), "left")
     again = F.col("again").isNotNull()
