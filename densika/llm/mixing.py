@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from densika.llm.storage import store
+from densika.llm.storage import scratch, store
 
 GAPS = r"[\x20\x09-\x0D]+"
 PREFIX = 3  # hex digits of the digest: 4096 sums a source, and as many within one of their buckets
@@ -110,12 +110,14 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5, 2, 1), s
         source_key(docs["source"]).alias("skey"),
         digest(docs["doc_id"], seed).alias("key"),
     )
-    return _apply(sized, plan(store(sized.select("skey", "key", "size"), "mix-meta"), weights, share, max_epochs))
+    with scratch(docs.sparkSession):
+        sources = store(plan(store(sized.select("skey", "key", "size"), "mix-meta"), weights, share, max_epochs), "mix-plan", keep=True)
+    return _apply(sized, sources)
 
 
 def _apply(sized: DataFrame, sources: DataFrame) -> DataFrame:
     copies = F.col("whole") + (F.col("key") <= F.col("cut")).cast("long")
-    return sized.join(store(sources, "mix-plan"), "skey").select("doc", "size", "source_size", "target", copies.alias("copies"))
+    return sized.join(sources, "skey").select("doc", "size", "source_size", "target", copies.alias("copies"))
 
 
 def op6(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -125,8 +127,10 @@ def op6(docs: DataFrame, seed: int = 17) -> DataFrame:
         source_key(docs["source"]).alias("skey"),
         digest(docs["doc_id"], seed).alias("key"),
     )
-    meta = store(meta, "mix-meta")
-    mixed = _apply(meta, plan(meta.select("skey", "key", "size")))
+    with scratch(docs.sparkSession):
+        meta = store(meta, "mix-meta", keep=True)
+        sources = store(plan(meta.select("skey", "key", "size")), "mix-plan", keep=True)
+    mixed = _apply(meta, sources)
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -11,7 +11,8 @@ with the smallest hashes of ``doc_id``; every document is scored on its whole te
 
 Nulls: a null text is an empty one and gets a score too.  A null ``doc_id`` is never held out nor a label's.
 Several labels of a document count as the smallest.  Without labels the score is 1.  Repeated rows score
-alike, an empty table gives an empty result, and further columns are carried in ``doc``.
+alike, an empty table gives an empty result, and further columns, whatever their names, are carried in ``doc``.
+Very long texts are read in pieces and scored whole.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Paths written since the innermost ``scratch`` began.
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: Paths written since each open ``scratch`` began, the innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +38,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
-    A table that isn't to be kept goes with the ``scratch`` that it was written in.
+    A table goes with the ``scratch`` that it was written in; one that is kept goes with the one around that.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if not keep and (written := _written.get()) is not None:
-        written.append(path)
+    if open_ := _written.get()[: -1 if keep else None]:
+        open_[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,11 +51,11 @@ def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are deleted at the end, but for those to be kept, which a lazy result still reads."""
-    token = _written.set([])
+    paths: list[str] = []
+    token = _written.set((*_written.get(), paths))
     try:
         yield
     finally:
-        paths = _written.get()
         _written.reset(token)
         _delete(spark, paths)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.storage import drop, store
+from densika.llm.storage import scratch, store
 from densika.llm.wordbytes import finish, pieces, run_hashes, words
 
 GRAM = 10  # words of an anchor
@@ -105,6 +105,11 @@ def _boundary_windows(rows: DataFrame, window: int) -> DataFrame:
 
 def duplicate_ranges(docs: DataFrame, window: int) -> DataFrame:
     """``(doc, mark, lo, hi, source, at)``: starts of windows whose words also start in a smaller document, at ``at``."""
+    with scratch(docs.sparkSession):
+        return _duplicate_ranges(docs, window)
+
+
+def _duplicate_ranges(docs: DataFrame, window: int) -> DataFrame:
     index = index_rows(docs, window)
     met = index.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), (F.min("block") != F.max("block")).alias("mixed"))
     # Minima are stored before they are joined: both sides of each join then come straight from a shuffle,
@@ -120,9 +125,7 @@ def duplicate_ranges(docs: DataFrame, window: int) -> DataFrame:
     least = near.groupBy("a", "b").agg(F.min("doc").alias("head"), F.max("doc").alias("last"), F.min_by("lo", "doc").alias("at")).where("head < last")
     least = store(least.select("a", "b", "head", "at"), "window-heads")
     edges = near.join(least, ["a", "b"]).where("doc > head").withColumn("hi", F.col("lo")).select(out)
-    found = store(whole.unionByName(edges), "duplicate-windows")
-    drop(met, shared, heads, whole, near, least)
-    return found
+    return store(whole.unionByName(edges), "duplicate-windows", keep=True)
 
 
 def factors(ranges: dict[str, np.ndarray], window: int) -> dict[str, np.ndarray]:

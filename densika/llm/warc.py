@@ -207,14 +207,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record of the archives."""
     out = ["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     raw = _rows(spark, path)
-    rows = store(_offsets(_parsed(raw)), "candidates", keep=True).where("at >= 0")
+    rows = store(_offsets(_parsed(raw)), "candidates").where("at >= 0")
     with scratch(spark):
         chain = store(reachable(rows.select("file", "block", "at", (F.col("at") + F.col("extent")).alias("next"))), "reachable", keep=True)
     records = rows.join(chain, ["file", "at"])
     whole = F.col("extent") == F.col("size") + len(MAGIC)
     # The last row of a file has no magic after it, and the others' size leaves theirs out: both end alike.
     found = records.where(whole).select(out)
-    broken = store(records.where(~whole).select("file", "at", F.col("at").alias("own"), (F.col("at") + F.col("extent")).alias("until")), "broken", keep=True)
+    broken = store(records.where(~whole).select("file", "at", F.col("at").alias("own"), (F.col("at") + F.col("extent")).alias("until")), "broken")
     if broken.isEmpty():
         return found
     # Which rows are pieces follows from offsets; their texts are then read by the number of the row alone.
@@ -222,7 +222,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     latest = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owner = F.last(F.when(F.col("own").isNotNull(), F.struct("own", "until")), ignorenulls=True).over(latest)
     pieces = places.withColumn("owner", owner).where(F.col("at") < F.col("owner.until")).select("turn", "at", "file", F.col("owner.own").alias("own"))
-    parts = raw.select("turn", "value").join(store(pieces, "pieces", keep=True), "turn")
+    parts = raw.select("turn", "value").join(store(pieces, "pieces"), "turn")
     joined = parts.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
     joined = joined.select(F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))
     return found.unionByName(_parsed(joined).select(out))

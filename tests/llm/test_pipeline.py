@@ -81,6 +81,28 @@ def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs, name):
         assert out.count() <= docs.count()
 
 
+def test_intermediate_tables_are_deleted(spark, sf_dir, tmp_path):
+    from densika.llm import mixing, neardup, storage, substrings
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    old = storage.shared_dir(spark)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+
+    def tables():
+        return sorted(p.name.rpartition("-")[0] for p in tmp_path.glob("*/*"))
+
+    try:
+        for f, left in ((neardup.op8, ["labels", "owned"]), (substrings.op3, ["duplicate-windows"]), (mixing.op6, ["mix-meta", "mix-plan"])):
+            with storage.scratch(spark):
+                out = f(docs)
+                assert tables() == left and out.count() == docs.count()
+            assert tables() == []
+        corpus_pipeline.run(spark, sf_dir)
+        assert tables() == ["source-mixing"]
+    finally:
+        spark.sparkContext.setCheckpointDir(old)
+
+
 def test_run(spark, sf_dir):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = corpus_pipeline.run(spark, sf_dir).collect()
