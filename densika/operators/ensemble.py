@@ -99,8 +99,19 @@ def with_omissions(voxels: DataFrame, owners: DataFrame, omission: DataFrame, ke
     return voxels.join(listed, list(keys), "left").withColumn("omits", F.coalesce("omits", empty))
 
 
+def with_schedules(voxels: DataFrame, owners: DataFrame, omission: DataFrame, keys: Sequence[str], n_maps: int) -> DataFrame:
+    """Adds ``omits``, an array of omitted maps and of how many distinct owners share that schedule.
+
+    Owners of one schedule have one bias, and those without any have none: both are counted before they are shuffled.
+    """
+    shared = owners.join(schedules(omission, n_maps), "owner").groupBy(*keys, "omitted").agg(F.count("*").alias("n"))
+    listed = shared.groupBy(*keys).agg(F.collect_list(F.struct("omitted", "n")).alias("omits"))
+    empty = F.array().cast(listed.schema["omits"].dataType)
+    return voxels.join(listed, list(keys), "left").withColumn("omits", F.coalesce("omits", empty))
+
+
 def cleaned(vals: Column, omits: Column) -> Column:
-    """Values less the biases of the parts present in each map.
+    """Values less the biases of the parts present in each map; ``omits`` are those of ``with_schedules``.
 
     All biases are taken off at once, and those of the parts omitted from a map are put back: only the sparse
     omissions are looked at, not the matrix of parts by maps.
@@ -117,7 +128,7 @@ def cleaned(vals: Column, omits: Column) -> Column:
         return let(F.aggregate(biases, F.lit(0.0), lambda a, x: a + x["b"]), lambda everything: of(F.filter(biases, lambda x: x["b"] != 0), everything))
 
     def found(total: Column) -> Column:
-        return F.transform(omits, lambda o: F.struct(owner_bias(vals, o["omitted"], total).alias("b"), o["omitted"].alias("z")))
+        return F.transform(omits, lambda o: F.struct((owner_bias(vals, o["omitted"], total) * o["n"]).alias("b"), o["omitted"].alias("z")))
 
     return let(let(_total(vals), found), summed)
 
@@ -133,7 +144,7 @@ def quantify(ensemble: DataFrame, owners: DataFrame | None, omission: DataFrame
     voxels = packed(ensemble, keys, n_maps, missing)
     if owners is None or omission is None:
         return stats(voxels, keys)
-    voxels = with_omissions(voxels, owners, omission, keys, n_maps)
+    voxels = with_schedules(voxels, owners, omission, keys, n_maps)
     return stats(voxels.withColumn("vals", F.when(F.size("omits") > 0, cleaned(F.col("vals"), F.col("omits"))).otherwise(F.col("vals"))), keys)
 
 

@@ -9,7 +9,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densika import api
@@ -272,14 +272,19 @@ def trilinear_values(s: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.with_values(e, A.grid(s), A.DIMS, (4, 2, 5)), "value", digits=6)
 
 
+def _both() -> Column:
+    return F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("stem")
+
+
 def _sample_points(s: SparkSession, d: str) -> DataFrame:
-    return A.table(s, d, "embeddings").select(F.lit("c").alias("stem"), F.col("vec_id").alias("id"), *[(F.floor(F.element_at("embedding", i + 4).cast("double") * 256.0) / 256.0).alias(c) for i, c in enumerate(ensemble.FRACTIONS)])
+    """Points of two crystals, by turns."""
+    return A.table(s, d, "embeddings").select(F.concat(F.lit("c"), (F.col("vec_id") % 2).cast("string")).alias("stem"), F.col("vec_id").alias("id"), *[(F.floor(F.element_at("embedding", i + 4).cast("double") * 256.0) / 256.0).alias(c) for i, c in enumerate(ensemble.FRACTIONS)])
 
 
 @query
 def null_sampling(s: SparkSession, d: str) -> DataFrame:
-    grid = A.grid(s).withColumn("stem", F.lit("c"))
-    crystals = api.crystal_table(s, [api.crystal_row("c", CELL, A.DIMS, 2.0)])
+    grid = A.grid(s).select("*", _both())
+    crystals = api.crystal_table(s, [api.crystal_row(c, CELL, A.DIMS, 2.0) for c in ("c0", "c1")])
     return rounded(ensemble.null_samples(_sample_points(s, d), grid, crystals).select("id", "snr"), "snr", digits=3)
 
 
@@ -287,8 +292,8 @@ def null_sampling(s: SparkSession, d: str) -> DataFrame:
 def solvent_points(s: SparkSession, d: str) -> DataFrame:
     """Points that no image of the model reaches, in a cell of two symmetric copies."""
     cell = Cell(30.0, 40.0, 50.0)
-    crystals = api.crystal_table(s, [api.crystal_row("c", cell, (10, 10, 10), 2.0, 4, ["X,Y,Z", "-X,Y+1/2,-Z"])])
-    atoms = A.atoms(s, d, SCORE_SCALE).select(F.lit("c").alias("stem"), "x", "y", "z", (F.lit(1.0) + F.col("label") / 10.0).alias("vdw"))
+    crystals = api.crystal_table(s, [api.crystal_row(c, cell, (10, 10, 10), 2.0, 4, ["X,Y,Z", "-X,Y+1/2,-Z"]) for c in ("c0", "c1")])
+    atoms = A.atoms(s, d, SCORE_SCALE).select(_both(), "x", "y", "z", (F.lit(1.0) + F.col("label") / 10.0).alias("vdw"))
     return ensemble.outside_model(_sample_points(s, d), atoms, crystals).select("id")
 
 
