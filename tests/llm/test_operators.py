@@ -187,6 +187,46 @@ def test_quality_ignores_what_it_must(spark, odd_docs):
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, h, *_ in one)
 
 
+def plain_features(text, declared):
+    """The features of one text, character by character and word by word."""
+    data = (text or "").encode()
+    kinds = [0] * 10
+    for b in data:
+        c = chr(b)
+        rules = ("a" <= c <= "z", "A" <= c <= "Z", "0" <= c <= "9", c == " ", c == "\n", c in ".,;:'\"()-?", c in "!$%#&*", c in "|<>{}[]\\/", b >= 128)
+        kinds[rules.index(True) if True in rules else 9] += 1
+    own = [m[0] for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    share, n = [k / max(1, len(data)) for k in kinds], max(1, len(own))
+    kind_of = lambda b: next((k for k, cs in ((1, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (5, b".,;:'\"()-?"), (6, b"!$%#&*")) if b in cs), -1)
+    stats = [*share, math.sqrt(share[6]), sum(a == b for a, b in zip(own, own[1:], strict=False)) / n, sum(kind_of(w[0]) == 1 for w in own) / n, sum(kind_of(w[-1]) == 6 for w in own) / n]
+    stats += [sum(kind_of(w[-1]) == 5 for w in own) / n, sum(len(w) == 1 for w in own) / n, min(sum(map(len, own)) / n / 16, 1), math.log1p(len(own)) / 12, min(share[4] * 20, 1), math.log1p(max(declared, 0)) / 16]
+    counts = Counter(own)
+    stats += [1 - len(counts) / n, max(counts.values(), default=0) / n]
+    found = [(k * quality.BINS + min(int(x * quality.BINS), quality.BINS - 1), quality.BIN_VALUE) for k, x in enumerate(stats)]
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+    for w, c in counts.items():
+        import pyarrow as pa
+
+        hashed = int(words(pa.array([w.decode()])).hashes()[0]) >> (64 - quality.BITS)
+        found.append((len(stats) * quality.BINS + hashed, math.log1p(c) * quality.WORD_NORM / norm))
+    return found
+
+
+def test_quality_against_brute_force(spark, odd_docs, odd_rows):
+    """Scores from features found one by one and all pairs of them."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels)
+    got = {(r.doc.doc_id, r.doc.text): r.score for r in quality.score(odd_docs, m, odd_docs.columns).collect()}
+    for r in odd_rows:
+        if r[1] is not None and len(r[1]) > 20_000:
+            continue
+        f = plain_features(r[1], r[4] or 0)
+        margin = m.bias + sum(m.w[i] * x for i, x in f)
+        margin += sum(float(m.v[i] @ m.v[j]) * x * y for a, (i, x) in enumerate(f) for j, y in f[:a])
+        assert math.isclose(got[r[0], r[1]], 1 / (1 + math.exp(-max(-30, min(30, margin)))), abs_tol=2e-4)
+
+
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, quality.RANK)))
@@ -335,6 +375,32 @@ def test_toxicity_of_rows_never_seen(spark):
     assert f1["chain"] > f1["single"] - 0.03
 
 
+def test_toxicity_against_brute_force(spark, odd_rows):
+    """Probabilities from terms found one by one, link by link of the chain."""
+    import pyarrow as pa
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels)
+    some = [(r.doc_id, r.text) for r in docs.where("length(text) < 3000").limit(60).collect()] + [(1000 + i, r[1]) for i, r in enumerate(odd_rows) if r[1] is None or len(r[1]) < 3000]
+    assert len(chain.models) == 3 and any(len(m.words) for m in chain.models)
+    got = {r.doc_id: r for r in toxicity.classify(spark.createDataFrame(some, "doc_id long, text string"), labels.where("false")).collect()}
+    assert {r.p_toxic for r in got.values()} == {0.0}
+    told = chain.probabilities(pa.array([t for _, t in some]))
+    for row, (_, text) in zip(told, some, strict=True):
+        held = set()
+        for m in re.finditer(rb"[0-9a-z\x80-\xff]+", lower(text or "").encode()):
+            held.add(int(letters(pa.array([m[0]], pa.binary()).cast(pa.string(), safe=False)).hashes()[0]))
+            for k in range(len(m[0]) - 4):
+                held.add(int(toxicity.finish(np.array([int.from_bytes(m[0][k : k + 5], "big")], np.uint64))[0]))
+        earlier = []
+        for model, p in zip(chain.models, row, strict=True):
+            n = len(model.words)
+            margin = sum(w for h, w in zip(model.words.tolist(), model.weights, strict=False) if h in held) + sum(a * b for a, b in zip(earlier, model.weights[n:], strict=False)) + model.weights[-1]
+            earlier.append(1 / (1 + math.exp(-max(-30, min(30, margin)))))
+            assert math.isclose(p, earlier[-1], abs_tol=1e-9)
+
+
 def test_toxicity_on_odd_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.p_toxic for r in toxicity.op5(odd_docs, none).collect()} == {0.0}
