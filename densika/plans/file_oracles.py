@@ -84,7 +84,7 @@ def interpolated(source: str, at: list[str], key: str) -> str:
 _uvw = f"(SELECT vec_id AS atom_id, {', '.join(f'CAST(floor(CAST(embedding[{i + 1}] AS DOUBLE) * 100) AS BIGINT) AS {u}' for i, u in enumerate('uvw'))} FROM embeddings)"
 SQL["trilinear_values"] = f"SELECT atom_id, u, v, w, {r4('value', 6)} AS value FROM ({interpolated(_uvw, ['u / CAST(4 AS DOUBLE)', 'v / CAST(2 AS DOUBLE)', 'w / CAST(5 AS DOUBLE)'], 'atom_id, u, v, w')})"
 _points = f"(SELECT vec_id AS id, {', '.join(f'floor(CAST(embedding[{i + 4}] AS DOUBLE) * 256) / 256 AS {c}' for i, c in enumerate(('fa', 'fb', 'fc')))} FROM embeddings)"
-SQL["null_sampling"] = f"SELECT id, {r4('value', 3)} AS snr FROM ({interpolated(_points, [f'(f{c} * {n})' for c, n in zip('abc', DIMS, strict=True)], 'id')})"
+SQL["null_sampling"] = f"SELECT id, {r4('value + CAST(1e-9 AS DOUBLE)', 6)} AS snr FROM ({interpolated(_points, [f'(f{c} * {n})' for c, n in zip('abc', DIMS, strict=True)], 'id')})"
 
 
 def least_image(edge: int, a: str, b: str) -> str:

@@ -258,7 +258,9 @@ SQL["job_fan_out"] = "SELECT c_custkey, CAST(unnest(range(0, CAST(c_custkey % 4
 SQL["job_pending"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
 SQL["manifest_lines"] = f"WITH {SCREEN} SELECT id || '|' || pdb || '|' || mtz AS value FROM best"
 SQL["selection_text"] = f"WITH {KEYS} SELECT crystal, string_agg('(chain A and resseq ' || (n // 3) || ' and name ' || (n % 3) || ')', ' or ' ORDER BY n // 3, key) AS selection FROM keys GROUP BY 1"
-SQL["common_prefix"] = "SELECT '/data/ref' AS prefix"
+SQL["common_prefix"] = f"""WITH {SCREEN}, p AS (SELECT string_split(a, '/') AS s FROM scr WHERE a IS NOT NULL), parts AS (SELECT i, s[i] AS part FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p)),
+g AS (SELECT i, count(DISTINCT part) AS k, count(*) AS n, min(part) AS part FROM parts GROUP BY i), bad AS (SELECT coalesce(min(i), 1000) AS b FROM g WHERE k > 1 OR n < (SELECT count(*) FROM p))
+SELECT string_agg(part, '/' ORDER BY i) AS prefix FROM g, bad WHERE i < b"""
 SQL["map_files"] = f"WITH {LISTING} SELECT stem, string_agg(path, ',' ORDER BY path) AS paths FROM pth WHERE cap <> 50 GROUP BY 1"
 SQL["manifest_reflections"] = f"""WITH {SCREEN} SELECT 'x' || row AS stem, coalesce(CASE WHEN a IS NOT NULL THEN b END, CASE WHEN row % 2 = 0 THEN e END) AS reflections FROM scr"""
 SQL["scored_model"] = f"""WITH {atoms_sql(BOND_SCALE)} SELECT atom_id, printf('%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s', 'ATOM', atom_id, ' C' || (atom_id % 8), ' ', resname, chain, resnum, ' ', floor(x), floor(y), floor(z), 1.0,
