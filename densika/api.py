@@ -325,7 +325,7 @@ def _quantify_batch(spark: SparkSession, root: str, batch: list[workspace.Experi
     return faults + [(e.stem, str(e.quantify_dir / f"k_{k}_cap_{cap}" / f"{e.stem}_snr.ccp4"), None) for e in good]
 
 
-def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | None = 50, alpha: float = 0.05, map_path: str | None = None, model_path: str | None = None, cfg: Scoring | None = None, ligand: str = "LIG", reach: float = 10.0) -> DataFrame:
+def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | None = 50, alpha: float = 0.05, map_path: str | None = None, model_path: str | None = None, cfg: Scoring | None = None, ligand: str = "LIG", reach: float = 10.0, table: DataFrame | None = None) -> DataFrame:
     """Scores of all experiments in ``analyse_results`` of each, then the report; ``(stem, path, error)``.
 
     The null parameters of a crystal's quantification set its thresholds by ``alpha``; without any the usual
@@ -345,13 +345,13 @@ def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | N
             rows.append((e.stem, None, f"no {', '.join(lacking)} found for {e.stem}"))
         else:
             todo.append((e, str(grid), str(model)))
-    rows += isolated(todo, lambda batch: _analyse_batch(spark, batch, k, n_maps or 50, alpha, cfg), lambda x: x[0].stem)
+    rows += isolated(todo, lambda batch: _analyse_batch(spark, batch, k, n_maps or 50, alpha, cfg, table), lambda x: x[0].stem)
     out = spark.createDataFrame(rows, "stem string, path string, error string")
     screen_report(spark, root, {r[0]: r[2] for r in rows if r[2]}, ligand, reach)
     return out
 
 
-def _analyse_batch(spark: SparkSession, batch: list[tuple[workspace.Experiment, str, str]], k: float, cap: int, alpha: float, cfg: Scoring | None) -> list[Outcome]:
+def _analyse_batch(spark: SparkSession, batch: list[tuple[workspace.Experiment, str, str]], k: float, cap: int, alpha: float, cfg: Scoring | None, table: DataFrame | None) -> list[Outcome]:
     listed = spark.createDataFrame([(e.stem, grid) for e, grid, _ in batch], "stem string, file string")
 
     def with_stem(df: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def _analyse_batch(spark: SparkSession, batch: list[tuple[workspace.Experiment,
     crystals = heads.join(fine, "stem").join(params, "stem", "left")
     grid = with_stem(maps.read_ccp4(spark, grids)).where(~F.isnan("value")).withColumn("value", F.col("value").cast("double"))
     models = structures.read_structures(spark, {e.stem: model for e, _, model in batch})
-    result = score_models(grid, models, crystals, cfg)
+    result = score_models(grid, models, crystals, cfg, table)
     result["summary"] = result["summary"].withColumn("significance_alpha", F.lit(alpha))
     folders = {e.stem: str(e.root / "analyse_results") for e, *_ in batch}
     export(result, spark.createDataFrame(list(folders.items()), "stem string, folder string"), models)

