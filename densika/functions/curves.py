@@ -76,6 +76,25 @@ def badge(value: Column, green: float, yellow: float) -> Column:
     return F.when(value.isNull(), "none").when(value >= green, "green").when(value >= yellow, "yellow").otherwise("red")
 
 
+#: Colours of scores from 0 to the usual clip, and of p-values.
+SCORE_COLOURS = ((0.0, "#D62728"), (0.4, "#FF9896"), (0.8, "#AEC7E8"), (1.2, "#1F77B4"))
+P_VALUE_COLOURS = ((0.0, "#D62728"), (0.5, "#FFDD71"), (1.0, "#2CA02C"))
+
+
+def colour(value: Column, stops: tuple[tuple[float, str], ...] = SCORE_COLOURS) -> Column:
+    """``#RRGGBB`` of a value on a scale of colours, linear between its stops and constant outside; null of null and NaN."""
+    at = F.least(F.greatest(value, F.lit(stops[0][0])), F.lit(stops[-1][0]))
+
+    def channel(k: int) -> Column:
+        part = [int(c[1 + 2 * k : 3 + 2 * k], 16) for _, c in stops]
+        out = F.lit(float(part[-1]))
+        for (a, _), (b, _), low, high in reversed(list(zip(stops, stops[1:], part, part[1:], strict=False))):
+            out = F.when(at <= b, (at - a) / (b - a) * (high - low) + low).otherwise(out)
+        return F.round(out).cast("int")
+
+    return F.when(~F.isnan(value), F.format_string("#%02X%02X%02X", channel(0), channel(1), channel(2)))
+
+
 def safe_float(text: Column) -> Column:
     return F.round(text.try_cast("double"), 4)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -115,6 +115,36 @@ def experiment_json(results: DataFrame) -> DataFrame:
     return results.select("stem", F.to_json(F.struct(*cells)).alias("json"))
 
 
+def _svg(body: str, title: str, width: int = 840, height: int = 240) -> str:
+    return f"<svg xmlns='http://www.w3.org/2000/svg' viewBox='0 0 {width} {height}' font-size='11'><title>{html.escape(title)}</title><text x='40' y='14'>{html.escape(title)}</text>{body}</svg>"
+
+
+def _axis(values: Sequence[float], marks: Sequence[float]) -> Callable[[float], float]:
+    low, high = min([0.0, *values, *marks]), max([1e-9, *values, *marks])
+    return lambda v: 220.0 - 190.0 * (v - low) / (high - low or 1.0)
+
+
+def profile_svg(profile: Sequence[tuple[int, float]], title: str = "Residue profile", marks: Sequence[float] = (0.4, 0.8)) -> str:
+    """A line of one model's residue scores by number, with marks where support is poor and good."""
+    rows = sorted(profile)
+    y = _axis([v for _, v in rows], marks)
+    first, last = (rows[0][0], rows[-1][0]) if rows else (0, 1)
+    points = " ".join(f"{40 + 780 * (n - first) / max(1, last - first):.1f},{y(v):.1f}" for n, v in rows)
+    lines = "".join(f"<line x1='40' x2='820' y1='{y(m):.1f}' y2='{y(m):.1f}' stroke='#999' stroke-dasharray='4'/><text x='4' y='{y(m):.1f}'>{m:g}</text>" for m in marks)
+    return _svg(f"{lines}<polyline points='{points}' fill='none' stroke='#4878CF'/>", title)
+
+
+def waters_svg(waters: Sequence[tuple[int, float, bool]], threshold: float, title: str = "Support of waters") -> str:
+    """One model's waters by rank, those under the threshold in red, with their numbers."""
+    if not waters:
+        raise ValueError("no waters to show")
+    y = _axis([v for _, v, _ in waters], [threshold])
+    kept = sum(k for *_, k in waters)
+    dots = "".join(f"<circle cx='{40 + 780 * (r - 1) / max(1, len(waters) - 1):.1f}' cy='{y(v):.1f}' r='3' fill='{'#2CA02C' if k else '#D62728'}'/>" for r, v, k in sorted(waters))
+    line = f"<line x1='40' x2='820' y1='{y(threshold):.1f}' y2='{y(threshold):.1f}' stroke='#555' stroke-dasharray='4'/>"
+    return _svg(f"{line}{dots}<text x='500' y='14'>threshold {threshold:.2f}: keep {kept}, remove {len(waters) - kept}</text>", title)
+
+
 STYLE = ".green{background:#dfd}.yellow{background:#ffd}.red{background:#fdd}"
 
 

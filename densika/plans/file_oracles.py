@@ -140,3 +140,16 @@ SQL["radius_literals"] = """WITH e AS (SELECT * FROM (VALUES ('H', [1.08, 1.20,
 SELECT element, unnest([CAST(0.2 AS DOUBLE), 1.0, 1.4, 2.6, 9.0]) AS resolution, CAST(unnest(r) AS DOUBLE) AS radius, CAST(covalent AS DOUBLE) AS covalent, CAST(vdw AS DOUBLE) AS vdw FROM e"""
 SQL["name_literals"] = """SELECT * FROM (VALUES ('ALA', 'protein'), ('mse', 'protein'), ('HOH', 'water'), ('dod', 'water'), ('LIG', 'other_solvent'), ('SEC', 'protein'), ('SO4', 'other_solvent'), ('PYL', 'protein'), ('WAT', 'water'),
 ('1', 'FP,SIGFP/Status'), ('2', '-/FREE')) AS t(resname, category)"""
+
+
+def ramp(value: str, stops: list[tuple[float, tuple[int, int, int]]]) -> str:
+    at = f"least(greatest({value}, {stops[0][0]}), {stops[-1][0]})"
+    parts = []
+    for k in range(3):
+        pieces = " ".join(f"WHEN {at} <= {b} THEN (({at}) - {a}) / CAST({b - a} AS DOUBLE) * ({y[k] - x[k]}) + {x[k]}" for (a, x), (b, y) in zip(stops, stops[1:], strict=False))
+        parts.append(f"upper(lpad(to_hex(CAST(round(CASE {pieces} END) AS BIGINT)), 2, '0'))")
+    return "'#' || " + " || ".join(parts)
+
+
+SQL["score_colours"] = f"""SELECT vec_id AS atom_id, {ramp("((vec_id % 29) / CAST(20 AS DOUBLE) - CAST(0.1 AS DOUBLE))", [(0, (214, 39, 40)), (0.4, (255, 152, 150)), (0.8, (174, 199, 232)), (1.2, (31, 119, 180))])} AS score,
+{ramp("((vec_id % 11) / CAST(10 AS DOUBLE))", [(0, (214, 39, 40)), (0.5, (255, 221, 113)), (1, (44, 160, 44))])} AS p_value FROM embeddings"""

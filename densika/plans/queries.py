@@ -206,6 +206,13 @@ def badge_bucket(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "orders").select("o_orderkey", curves.badge(v, *report.OPIA_BADGE).alias("badge"))
 
 
+@query
+def score_colours(s: SparkSession, d: str) -> DataFrame:
+    v = A.atoms(s, d, 1)
+    score = (F.col("atom_id") % 29) / 20.0 - 0.1
+    return v.select("atom_id", curves.colour(score).alias("score"), curves.colour((F.col("atom_id") % 11) / 10.0, curves.P_VALUE_COLOURS).alias("p_value"))
+
+
 # Space
 
 

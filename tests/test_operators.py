@@ -248,6 +248,17 @@ def test_reports(spark):
     assert "set_contour_level_absolute(map_0, 1.5000)" in report.viewer_script("s", "m.pdb", ["a.ccp4"], (1, 2, 3), 1.5)
 
 
+def test_plots():
+    import xml.etree.ElementTree as ET
+
+    line = ET.fromstring(report.profile_svg([(3, 0.5), (1, 1.2), (2, 0.1)], "a < b")).find("{*}polyline")
+    assert len(line.get("points").split()) == 3 and line.get("points").startswith("40.0,30.0")
+    page = ET.fromstring(report.waters_svg([(1, 0.9, True), (2, 0.2, False), (3, 0.1, False)], 0.5))
+    assert [c.get("fill") for c in page.findall("{*}circle")] == ["#2CA02C", "#D62728", "#D62728"] and "keep 1, remove 2" in "".join(page.itertext())
+    with pytest.raises(ValueError):
+        report.waters_svg([], 0.5)
+
+
 def test_radii_tables(spark, tmp_path):
     from densika.functions import radii
 
