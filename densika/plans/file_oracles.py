@@ -153,3 +153,17 @@ def ramp(value: str, stops: list[tuple[float, tuple[int, int, int]]]) -> str:
 
 SQL["score_colours"] = f"""SELECT vec_id AS atom_id, {ramp("((vec_id % 29) / CAST(20 AS DOUBLE) - CAST(0.1 AS DOUBLE))", [(0, (214, 39, 40)), (0.4, (255, 152, 150)), (0.8, (174, 199, 232)), (1.2, (31, 119, 180))])} AS score,
 {ramp("((vec_id % 11) / CAST(10 AS DOUBLE))", [(0, (214, 39, 40)), (0.5, (255, 221, 113)), (1, (44, 160, 44))])} AS p_value FROM embeddings"""
+
+# Four maps of one crystal, scaled alike; owners within the radii that nitrogen and carbon have at 2.1 angstrom.
+_staged = f"""{_hkl}, node AS (SELECT i, j, k AS m, nu, nv, nw FROM dim, (SELECT unnest(range(0, 40)) AS i), (SELECT unnest(range(0, 40)) AS j), (SELECT unnest(range(0, 40)) AS k) WHERE i < nu AND j < nv AND k < nw),
+base AS (SELECT i, j, m, any_value(i / CAST(nu AS DOUBLE) * 10) AS x, any_value(j / CAST(nv AS DOUBLE) * 11) AS y, any_value(m / CAST(nw AS DOUBLE) * 12) AS z,
+  sum(2 * f * cos(2 * pi() * (h * i / CAST(nu AS DOUBLE) + hkl.k * j / CAST(nv AS DOUBLE) + l * m / CAST(nw AS DOUBLE)) - phi)) / 1320 AS b FROM node, hkl GROUP BY i, j, m),
+vox AS (SELECT i || '/' || j || '/' || m AS voxel, * FROM base), model AS (SELECT * FROM (VALUES ('N', CAST(2 AS DOUBLE), CAST(3 AS DOUBLE), CAST(4 AS DOUBLE), CAST(1.35 AS DOUBLE)), ('CA', CAST(5 AS DOUBLE), CAST(5 AS DOUBLE), CAST(5 AS DOUBLE), CAST(1.38 AS DOUBLE))) AS t(owner, x, y, z, radius)),
+ens AS (SELECT voxel, map_id, b * (1 + map_id * map_id / CAST(8 AS DOUBLE)) AS value FROM vox, (SELECT unnest(range(0, 4)) AS map_id)), fill AS (SELECT * FROM ens)"""
+_staged_owns = f"owns AS (SELECT voxel, owner FROM vox JOIN model ON {dist('vox', 'model')} <= model.radius)"
+_staged_omitted = "omission AS (SELECT * FROM (VALUES ('N', 0), ('N', 2), ('CA', 1)) AS t(owner, map_id))"
+_ijk = ", ".join(f"CAST(string_split(voxel, '/')[{n}] AS INTEGER) AS {g}" for n, g in enumerate("ijk", 1))
+SQL["stage_quantify"] = f"""SELECT {_ijk}, round(mean, 2) + CAST(0 AS DOUBLE) AS mean, round(std, 2) + CAST(0 AS DOUBLE) AS std FROM ({solved(biases(_staged, _staged_owns, _staged_omitted))})
+UNION ALL SELECT -1, -1, -1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)"""
+SQL["stage_analyse"] = """SELECT * FROM (VALUES ('x1', true, CAST(3 AS BIGINT), CAST(2 AS BIGINT), CAST(0.1 AS DOUBLE), true, true, CAST(3 AS BIGINT)), ('x2', false, NULL, NULL, NULL, NULL, true, NULL))
+AS t(stem, done, n_atoms, n_residues, significance_alpha, limited, shown, n_lines)"""

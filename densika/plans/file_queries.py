@@ -255,6 +255,52 @@ def settings_layers(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(run.output_dir, run.debias.omit_fraction, run.debias.iterations, run.debias.seed, run.slurm.chunk_size, run.debias.omit_type)], "output_dir string, omit_fraction double, iterations int, seed int, chunk_size int, omit_type string")
 
 
+MODEL = (("N", 2.0, 3.0, 4.0), ("CA", 5.0, 5.0, 5.0), ("O", 9.5, 10.5, 0.4))
+
+
+def _screen(s: SparkSession) -> str:
+    """Two experiments: one of four maps and three atoms, one without maps."""
+    out = folder(s, "screen")
+    lines = [f"ATOM  {n:5d}  {a:<3} SER A{n // 3 + 1:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00 20.00           {a[0]}" for n, (a, x, y, z) in enumerate(MODEL, 1)]
+    for stem in ("x1", "x2"):
+        e = workspace.Experiment(stem, Path(out) / stem)
+        for path in (f"{e.root}/{stem}.pdb", f"{e.root}/processed/{stem}_updated.pdb"):
+            files.put(path, "\n".join(lines).encode())
+        files.put(str(e.omission_json), b'{"A|1|SER|N|": [0, 2], "A|1|SER|CA|": [1], "A|2|SER|O|": []}')
+    columns = [("H", "H"), ("K", "H"), ("L", "H"), ("FWT", "F"), ("PHWT", "P")]
+    for m in range(4):
+        table = [(h, k, l, (10 + (7 * h + 5 * k + 3 * l) % 11) * (1 + m * m / 8), (40 * h + 70 * k + 110 * l) % 360) for h, k, l in HKL]
+        files.put(f"{out}/x1/results/x1_{m}/x1_{m}.mtz", maps.format_mtz(columns, np.array(table), MTZ_CELL))
+    return out
+
+
+@query
+def stage_quantify(s: SparkSession, d: str) -> DataFrame:
+    """The whole stage from MTZ files to CCP4 maps."""
+    out = _screen(s)
+    done = api.run_quantification(s, out, n_maps=4, n_null=200)
+    found = [r.path for r in done.where("error is null").toLocalIterator()]
+    parts = [maps.read_ccp4(s, [p.replace("_snr", f"_{name}") for p in found]).select("i", "j", "k", F.col("value").cast("double").alias(name)) for name in ("mean", "std")]
+    failed = done.where("error is not null").select("stem")
+    both = rounded(parts[0].join(parts[1], ["i", "j", "k"]), "mean", "std")  # files hold single precision
+    return rounded(both, "mean", "std", digits=2).unionByName(failed.select(*[F.lit(-1).alias(g) for g in "ijk"], *[F.lit(0.0).alias(n) for n in ("mean", "std")]))
+
+
+@query
+def stage_analyse(s: SparkSession, d: str) -> DataFrame:
+    """Quantified, analysed and reported: what the exported files and the report tell."""
+    out = _screen(s)
+    api.run_quantification(s, out, n_maps=4, n_null=200)
+    done = api.run_analysis(s, out, n_maps=4, alpha=0.1)
+    told = s.read.schema(report.SUMMARY).json(f"{out}/x1/analyse_results/x1_summary.json")
+    told = told.select("stem", "n_atoms", "n_residues", "significance_alpha", (F.col("significance_snr_threshold") > 0).alias("limited"))
+    shown = s.read.text(f"{out}/index.html").where("value like '<tr class%'").select(F.regexp_extract("value", ">(x[0-9])<", 1).alias("stem")).distinct()
+    stem = F.regexp_extract(files.local_path(F.col("_metadata.file_path")), "([^/]*)_scored[.]pdb$", 1)
+    lines = s.read.text(f"{out}/x1/analyse_results").where("value like 'ATOM%'").groupBy(stem.alias("stem")).agg(F.count("*").alias("n_lines"))
+    got = done.select("stem", F.col("error").isNull().alias("done")).join(told, "stem", "left").join(shown.withColumn("shown", F.lit(True)), "stem", "left")
+    return got.join(lines, "stem", "left")
+
+
 # Operators whose branches had no query
 
 

@@ -30,3 +30,18 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def frame(spark, sf_dir):
+    """A query's frame by name, made once for all that look at it."""
+    from densika.plans import queries
+
+    known, made = queries.queries(), {}
+
+    def of(name):
+        if name not in made:
+            made[name] = known[name](spark, sf_dir)
+        return made[name]
+
+    return of

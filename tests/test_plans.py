@@ -16,8 +16,8 @@ def physical(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
-def test_no_nested_loops(spark, sf_dir, name):
-    plan = physical(queries.queries()[name](spark, sf_dir))
+def test_no_nested_loops(frame, name):
+    plan = physical(frame(name))
     if name not in ONE_ROW:
         assert not re.search("CartesianProduct|NestedLoop", plan), plan
     assert "BatchEvalPython" not in plan

@@ -25,8 +25,8 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
-def test_query(spark, sf_dir, con, name):
-    df = queries.queries()[name](spark, sf_dir)
+def test_query(frame, con, name):
+    df = frame(name)
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr)
     if name not in oracles.oracle_sql():
