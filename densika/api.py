@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import logging
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 from pathlib import Path
 
@@ -17,6 +18,7 @@ from densika.functions import curves, radii, student_t
 from densika.functions.cell import LATTICE, Cell, CellOf, apply, lattice
 from densika.operators import aggregates, ensemble, jobs, omission, report, scoring, spatial
 from densika.sources import files, maps, parameters, screening, structures, workspace
+from densika.sources.events import EventLog
 
 log = logging.getLogger(__name__)
 
@@ -36,6 +38,19 @@ def discover(spark: SparkSession, run: Run) -> DataFrame:
 Outcome = tuple[str, str | None, str | None]
 
 
+@contextmanager
+def logged(root: str | Path, stage: str, **told: object) -> Iterator[Callable[[list[Outcome]], None]]:
+    """An action in ``logs/<stage>.json`` under ``root``; the function it gives adds a line for each outcome."""
+    events = EventLog(Path(root) / "logs" / f"{stage}.json")
+
+    def outcomes(rows: list[Outcome]) -> None:
+        for stem, path, error in rows:
+            events.message(f"{stage}:{'failed' if error else 'done'}", stem=stem, path=path, reason=error)
+
+    with events.action(f"{stage}:run", **told):
+        yield outcomes
+
+
 def isolated(batch: list, work: Callable[[list], list[Outcome]], name: Callable) -> list[Outcome]:
     """``work`` on the whole batch at once; if that fails, on its halves, until the faulty crystal stands alone."""
     if not batch:
@@ -59,7 +74,11 @@ def debias(spark: SparkSession, run: Run, template: str | dict = parameters.MAP_
     done = [(p.parent.name,) for p in out.glob("*/results") if any(p.iterdir())]
     todo = jobs.pending(discover(spark, run), spark.createDataFrame(done, "id string"), ["id"], run.force)
     crystals = [(r.id, r.pdb, r.mtz) for r in todo.orderBy("id").toLocalIterator()]  # a row a crystal, as in the manifest
-    made = {s: error for s, _, error in isolated(crystals, lambda batch: _debias_batch(spark, run, batch, template), lambda c: c[0])}
+    blocked = {s: fault for s, fault in workspace.layout(out, [c[0] for c in crystals]) if fault}
+    with logged(out, "debias", fraction=run.debias.omit_fraction, iterations=run.debias.iterations, seed=run.debias.seed) as outcomes:
+        rows = isolated([c for c in crystals if c[0] not in blocked], lambda batch: _debias_batch(spark, run, batch, template), lambda c: c[0])
+        outcomes(rows + [(s, None, fault) for s, fault in blocked.items()])
+    made = {s: error for s, _, error in rows} | blocked
     good = [c for c in crystals if made[c[0]] is None]
     (out / "jobs").mkdir(parents=True, exist_ok=True)
     lines = jobs.manifest_lines(spark.createDataFrame(good, "id string, model string, reflections string"))
@@ -291,8 +310,11 @@ def run_quantification(spark: SparkSession, root: str, k: float = 1.0, n_maps: i
             rows.append((e.stem, str(target), None))
         else:
             todo.setdefault(cap, []).append(e)
-    for cap, some in todo.items():
-        rows += isolated(some, lambda batch, cap=cap: _quantify_batch(spark, root, batch, k, cap, n_null, seed), lambda e: e.stem)
+    with logged(root, "quantify", k_factor=k, map_cap=n_maps) as outcomes:
+        for cap, some in todo.items():
+            new = isolated(some, lambda batch, cap=cap: _quantify_batch(spark, root, batch, k, cap, n_null, seed), lambda e: e.stem)
+            outcomes(new)
+            rows += new
     return spark.createDataFrame(rows, "stem string, path string, error string")
 
 
@@ -345,7 +367,9 @@ def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | N
             rows.append((e.stem, None, f"no {', '.join(lacking)} found for {e.stem}"))
         else:
             todo.append((e, str(grid), str(model)))
-    rows += isolated(todo, lambda batch: _analyse_batch(spark, batch, k, n_maps or 50, alpha, cfg, table), lambda x: x[0].stem)
+    with logged(root, "analyse", k_factor=k, map_cap=n_maps, significance_alpha=alpha) as outcomes:
+        rows += isolated(todo, lambda batch: _analyse_batch(spark, batch, k, n_maps or 50, alpha, cfg, table), lambda x: x[0].stem)
+        outcomes(rows)
     out = spark.createDataFrame(rows, "stem string, path string, error string")
     screen_report(spark, root, {r[0]: r[2] for r in rows if r[2]}, ligand, reach)
     return out

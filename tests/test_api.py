@@ -86,6 +86,8 @@ def test_three_stages(spark, tmp_path):
     assert result["opia"] == "N/A" and "first map" in result["error"]
     assert "set_contour_level_absolute" in (tmp_path / "metadata" / "x1_view.py").read_text()
     assert json.loads((tmp_path / "metadata" / "screen_summary.json").read_text())["n_complete"] == 2
+    events = [json.loads(x) for x in (tmp_path / "logs" / "quantify.json").read_text().splitlines()]
+    assert {e["stem"] for e in events if e["message_type"] == "quantify:failed"} == {"x3", "x4"} and events[-1]["status"] == "succeeded"
 
 
 def biased(series, cell, omitted, at, radius):
@@ -141,6 +143,7 @@ def test_debias(spark, tmp_path):
     run = Run(output_dir=str(out), debias=Debias(screening_path=str(tmp_path / "s.csv"), omit_fraction=0.4, iterations=2, seed=1, simulated_annealing=True))
     got = {r.id: r.error for r in api.debias(spark, run).collect()}
     assert got["m"] is None and got["n"] is None and got["none"]
+    assert (out / "n" / "quantify_results").is_dir() and "debias:failed" in (out / "logs" / "debias.json").read_text()
     held = workspace.read_omissions(spark, str(out / "m" / "metadata")).collect()
     assert len(held) == 3 and all(len(r.map_ids) == 2 for r in held)
     names = sorted(p.name for p in (out / "n" / "params").iterdir())
