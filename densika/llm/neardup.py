@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from densika.llm.components import components
 from densika.llm.storage import scratch, store
-from densika.llm.wordbytes import Words, finish, pieces, words
+from densika.llm.wordbytes import Words, finish, pieces, tidy, words
 
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
@@ -138,7 +138,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *digests, flat.cast(pa.binary())], ["doc_id", "n", "s1", "s2", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n long, s1 long, s2 long, sketch binary")
 
 
 def _bands(sketches: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _bands(sketches: DataFrame) -> DataFrame:
                 node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], ["key", "node"])
 
-    return sketches.select("node", "sketch").mapInArrow(run, "key long, node long")
+    return sketches.select("node", "sketch").mapInArrow(tidy(run), "key long, node long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -170,7 +170,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
 
     a = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x"))
     b = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(tidy(run), "u long, v long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x"))
     b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(tidy(run), "u long, v long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
             out = [raw[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "hashes"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return docs.select("node", "text").mapInArrow(tidy(run), "node long, hashes binary")
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 columns = (node, mark, component, np.repeat(sizes, sizes), np.concatenate(raw))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "mark", "component", "n", "shingle"])
 
-    rows = nodes.join(sets, "node").select("node", "component", "hashes").mapInArrow(run, "node long, mark long, component long, n long, shingle long")
+    rows = nodes.join(sets, "node").select("node", "component", "hashes").mapInArrow(tidy(run), "node long, mark long, component long, n long, shingle long")
     rows = store(rows, "shingles")
     rarity = store(rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed")), "rarity")
     rank = F.row_number().over(Window.partitionBy("node", "mark", "n").orderBy("df", "shingle"))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.wordbytes import PIECE, Words, pieces, ragged, words
+from densika.llm.wordbytes import PIECE, Words, pieces, ragged, tidy, words
 
 BITS, RANK, BINS = 16, 8, 16
 SIZE = 1 << BITS
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     rows = docs.select("doc_id", "text", _with_length(docs).alias("n_chars")).join(F.broadcast(marked), "doc_id")  # at most ``sample`` ids
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, y double, index array<int>, value array<float>").toArrow().combine_chunks()
+    got = rows.mapInArrow(tidy(run), f"doc_id {kind}, y double, index array<int>, value array<float>").toArrow().combine_chunks()
     got = got.sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0))
@@ -188,7 +188,7 @@ def score(docs: DataFrame, machine: Machine, carry: list[str]) -> DataFrame:
 
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry) if c != "text"], F.col("text").alias("text_"), _with_length(docs).alias("n_chars"))
-    out = rows.mapInArrow(run, ", ".join([*(f"c{k} {kind}" for k, kind in enumerate(kinds)), "score double"]))
+    out = rows.mapInArrow(tidy(run), ", ".join([*(f"c{k} {kind}" for k, kind in enumerate(kinds)), "score double"]))
     return out.select(F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)]).alias("doc"), "score")
 
 

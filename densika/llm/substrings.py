@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densika.llm.storage import scratch, store
-from densika.llm.wordbytes import finish, pieces, run_hashes, words
+from densika.llm.wordbytes import finish, pieces, run_hashes, tidy, words
 
 GRAM = 10  # words of an anchor
 
@@ -77,7 +77,7 @@ def index_rows(docs: DataFrame, window: int) -> DataFrame:
                 pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
             ], ["doc", "mark", "lo", "hi", "anchor", "block"])
 
-    return docs.where("doc is not null").mapInArrow(run, "doc long, mark long, lo int, hi int, anchor long, block long")
+    return docs.where("doc is not null").mapInArrow(tidy(run), "doc long, mark long, lo int, hi int, anchor long, block long")
 
 
 def _boundary_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _boundary_windows(rows: DataFrame, window: int) -> DataFrame:
             taken = batch.select(["doc", "mark"]).take(pa.array(owner))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(start.astype(np.int32)), pa.array(a), pa.array(b)], ["doc", "mark", "lo", "a", "b"])
 
-    return rows.mapInArrow(run, "doc long, mark long, lo int, a long, b long")
+    return rows.mapInArrow(tidy(run), "doc long, mark long, lo int, a long, b long")
 
 
 def duplicate_ranges(docs: DataFrame, window: int) -> DataFrame:
@@ -188,7 +188,7 @@ def parsed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     more = f", kept string, factors {FACTORS}" if with_text else ""
-    return docs.mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string" + more)
+    return docs.mapInArrow(tidy(run), "doc long, n_words long, n_removed long, kept_sha256 string" + more)
 
 
 def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

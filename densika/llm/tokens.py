@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.wordbytes import pieces
+from densika.llm.wordbytes import pieces, tidy
 
 CACHED = 400_000  # parts of up to 40 bytes kept by a worker
 BYTES = 4 << 20
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, path: str, bytes_per_batch: int = BYTES) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(token_counts(text, path))], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 def op7(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.wordbytes import PIECE, Words, finish, letters, pieces, ragged
+from densika.llm.wordbytes import PIECE, Words, finish, letters, pieces, ragged, tidy
 
 SAMPLE, FOLDS, FEATURES, GRAM = 4000, 5, 400, 5
 CATEGORIES = ("severe", "dense", "toxic")
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), ragged(hashes.view(np.int64), sizes, pa.int64())], ["doc_id", "y", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")  # at most ``sample`` ids
-    got = rows.mapInArrow(run, "doc_id long, y double, words array<long>").toArrow().combine_chunks()
+    got = rows.mapInArrow(tidy(run), "doc_id long, y double, words array<long>").toArrow().combine_chunks()
     got = got.sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return Chain()
@@ -244,7 +244,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[:, c]) for c in range(len(names)))], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} double" for n in names)]))
+    scored = docs.select("doc_id", "text").mapInArrow(tidy(run), ", ".join([f"doc_id {kind}", *(f"{n} double" for n in names)]))
     return scored.withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
 
 
