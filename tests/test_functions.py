@@ -74,11 +74,11 @@ def test_power_mean(spark):
 def test_radii(spark):
     got = one(spark, *[radii.radius_step(F.lit(e), F.lit(r)) for e, r in (("C", 0.1), ("C", 2.0), (" se ", 9.0), ("??", 1.49), ("O", 2.999))])
     assert got == (1.02, 1.38, 1.89, 1.14, 1.62)
-    df = spark.createDataFrame([(1, "C", 0), (2, "O", 5), (3, "ZN", 0), (4, "C", 2)], "atom_id int, element string, charge int")
+    df = spark.createDataFrame([(1, "C", 0), (2, "O", 5), (3, "ZR", 0), (4, "C", 2), (5, "ZN", 2)], "atom_id int, element string, charge int")
     table = radii.default_table(spark).unionByName(spark.createDataFrame([("C", 2, [1.0] * 6)], "element string, charge int, radii array<double>"))
     found = {r.atom_id: r.radius for r in radii.with_radius_interp(df, table, F.lit(1.75)).collect()}
     assert found[1] == pytest.approx(1.32) and found[2] == pytest.approx(1.26) and found[4] == 1.0
-    assert found[3] == pytest.approx(1.22 * (1.636 + 1.792) / 2)
+    assert found[3] == pytest.approx(1.75 * (1.636 + 1.792) / 2) and found[5] == pytest.approx((1.08 + 1.26) / 2)
 
 
 def test_cells_round_trip(spark):
