@@ -223,7 +223,7 @@ def score_models(grid: DataFrame, atoms: DataFrame, crystals: DataFrame, cfg: Sc
     carry = ["edges", "orth", "frac", "dims", "factors", "level", "spread"]
     dims, fine = (tuple(F.get(c, F.lit(i)) for i in range(3)) for c in ("dims", "factors"))
     stats = F.col("level"), F.col("spread")
-    bonded = spatial.bonds(atoms, cfg.bond_tolerance, by=by)
+    bonded = spatial.bonds(atoms, cfg.bond_tolerance, spatial.largest_covalent(atoms), by)
     proteins = scoring.protein_scores(held.where("not is_water"), held, grid, bonded, stats, CellOf(), dims, most, cfg, by, fine, carry)
     waters = scoring.water_scores(held.where("is_water"), grid, stats, CellOf(), dims, cfg, by, fine, carry)
     scores = held.drop(*carry).join(proteins.unionByName(waters), ["stem", "atom_id"])

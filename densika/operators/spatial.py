@@ -18,8 +18,7 @@ from densika.functions.curves import distance, squared_distance
 from densika.functions.radii import COVALENT, covalent_radius
 
 XYZ = ("x", "y", "z")
-#: Bounds of covalent radii: of elements that most atoms are, and of all.
-COMMON_COVALENT, MAX_COVALENT = 1.45, max(COVALENT.values())
+MAX_COVALENT = max(COVALENT.values())
 HYDROGENS = ("H", "D")
 
 
@@ -54,19 +53,19 @@ def neighbours(atoms: DataFrame, max_radius: float, buffer: float = 3.0, by: Seq
     return pairs.where((F.col("a_atom_id") != F.col("b_atom_id")) & (distance(xyz("a_"), xyz("b_")) <= reach))
 
 
+def largest_covalent(atoms: DataFrame) -> float:
+    """The largest radius of the atoms at hand, for the cells of ``bonds``: without heavy metals these are far smaller."""
+    return atoms.agg(F.max(covalent_radius(F.col("element")))).first()[0] or 1.0
+
+
 def bonds(atoms: DataFrame, tolerance: float = 0.4, max_covalent: float = MAX_COVALENT, by: Sequence[str] = ()) -> DataFrame:
     """``(src, dst)`` both ways for heavy atoms, all alternative locations, within the sum of covalent radii.
 
-    Pairs of small atoms meet in small cells; those of larger ones, which are rare, are joined in cells of their own.
+    No atom may have a radius over ``max_covalent``, which sets the cells' size.
     """
     heavy = atoms.where(~F.upper(F.trim("element")).isin(*HYDROGENS)).withColumn("covalent", covalent_radius(F.col("element")))
     heavy = heavy.select("atom_id", *XYZ, "covalent", *by)
-    # Of a pair with a large atom that one is copied to the cells, whichever of the two it is.
-    small, large = heavy.where(F.col("covalent") <= COMMON_COVALENT), heavy.where(F.col("covalent") > COMMON_COVALENT)
-    near = range_join(small, small, 2 * COMMON_COVALENT + tolerance, by)
-    mixed = range_join(heavy, large, 2 * max_covalent + tolerance, by)
-    turned = mixed.where(F.col("a_covalent") <= COMMON_COVALENT).select(*[F.col(("b_" if c[0] == "a" else "a_") + c[2:]).alias(c) for c in mixed.columns])
-    pairs = near.unionByName(mixed).unionByName(turned)
+    pairs = range_join(heavy, heavy, 2 * max_covalent + tolerance, by)
     close = distance(xyz("a_"), xyz("b_")) <= F.col("a_covalent") + F.col("b_covalent") + tolerance
     found = pairs.where((F.col("a_atom_id") != F.col("b_atom_id")) & close)
     return found.select(*[F.col(f"a_{k}").alias(k) for k in by], F.col("a_atom_id").alias("src"), F.col("b_atom_id").alias("dst"))

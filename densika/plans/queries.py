@@ -15,6 +15,8 @@ from densika.plans import analogues as A
 from densika.sources import screening, workspace
 
 BOND_SCALE, SCORE_SCALE = 40, 100
+#: The largest covalent radius among the analogue's elements.
+BOND_REACH = max(radii.COVALENT.get(e.strip().upper(), radii.UNKNOWN_COVALENT) for e in A.ELEMENTS)
 CELL = Cell(*[n * A.SPACING for n in A.DIMS])
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,7 +242,7 @@ def neighbour_pairs(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bond_edges(s: SparkSession, d: str) -> DataFrame:
-    return spatial.bonds(A.atoms(s, d, BOND_SCALE))
+    return spatial.bonds(A.atoms(s, d, BOND_SCALE), max_covalent=BOND_REACH)
 
 
 @query
@@ -251,7 +253,7 @@ def clash_flags(s: SparkSession, d: str) -> DataFrame:
 @query
 def clash_flags_unbonded(s: SparkSession, d: str) -> DataFrame:
     a = _with_radius(A.atoms(s, d, BOND_SCALE))
-    return spatial.clashes(a, MAX_RADIUS, bonded=spatial.bonds(a))
+    return spatial.clashes(a, MAX_RADIUS, bonded=spatial.bonds(a, max_covalent=BOND_REACH))
 
 
 @query
@@ -266,7 +268,7 @@ def sphere_points(s: SparkSession, d: str) -> DataFrame:
 
 def _scored_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a = _with_radius(scoring.registry(A.atoms(s, d, SCORE_SCALE)))
-    return a, spatial.bonds(A.atoms(s, d, SCORE_SCALE)), A.grid(s)
+    return a, spatial.bonds(A.atoms(s, d, SCORE_SCALE), max_covalent=BOND_REACH), A.grid(s)
 
 
 @query
@@ -323,7 +325,7 @@ def residue_profile(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def opia(s: SparkSession, d: str) -> DataFrame:
-    return rounded(aggregates.opia(_scores(s, d), spatial.bonds(A.atoms(s, d, BOND_SCALE)), 0.5), "opia")
+    return rounded(aggregates.opia(_scores(s, d), spatial.bonds(A.atoms(s, d, BOND_SCALE), max_covalent=BOND_REACH), 0.5), "opia")
 
 
 @query
