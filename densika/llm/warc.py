@@ -4,12 +4,17 @@ Written are uncompressed WARC/1.1 records through Spark's own text sink, whose l
 lines that end a record; the files are committed as any Spark output is.  Of equal payloads that of the
 smallest ``page_id`` is a response, the others are revisits which carry its digest and length but no body.
 
-Read are the rows between one magic line and the next, by splits of the files.  Such a row is a candidate:
-the magic may stand inside a payload.  Every candidate gives its own offset and, from its declared length,
+Read are the rows between one magic and the next, by splits of the files.  The magic is what all versions
+begin with; a row that goes on with a known version, 1.0 or 1.1, is a candidate, as the magic may stand
+inside a payload.  Every candidate gives its own offset and, from its declared length,
 its successor's.  A split's candidates follow each other to where their chain leaves the split; among these
 exits alone pointers of doubling reach are followed from the start of each file, and then within each split
 from where the chain enters it.  What can't be reached is payload.  A reachable record that the magic inside
-it cut up is put together from its pieces, which are found among offsets before any payload is read again.
+it cut up is put together from its pieces: offsets tell which rows these are, and the texts are then read again
+by file and digest, so that it doesn't matter how the files are dealt to tasks that time.
+
+A file whose chain doesn't end where the file does is refused: one of another version, with something before its
+first record, or cut short.  ``lenient`` reads such a file up to the break instead.
 
 Records of other writers keep their ids and types; ``page_id`` is null for ids that aren't this writer's.
 Archives are read uncompressed and as UTF-8, and an HTTP head is taken off the block only where the record says
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 
 from densika.llm.storage import drop, new_path, scratch, store
 
-MAGIC = "WARC/1.1\r\n"
+MAGIC = "WARC/1."
+VERSIONS = ("0\r\n", "1\r\n")
 CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
@@ -74,7 +80,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z",
         return F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
 
     head = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + VERSIONS[-1]),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))),
         line("WARC-Date", F.lit(date)),
@@ -100,9 +106,9 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _offsets(rows: DataFrame) -> DataFrame:
-    """``at``: the offset of the magic before each row; -10 for what stands before a file's first."""
+    """``at``: the offset of the magic before each row, under 0 for what stands before a file's first."""
     upto = Window.partitionBy("file").orderBy("block", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("at", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(upto), F.lit(0)) - len(MAGIC))
+    return rows.withColumn("at", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(upto), F.lit(0)) - len(MAGIC)).drop("turn")
 
 
 def _field(head: Column, name: str) -> Column:
@@ -123,8 +129,11 @@ def _parsed(rows: DataFrame) -> DataFrame:
     rows = rows.select(*own, "size", "head", F.substring("rest", F.lit(1), F.length("rest") - 4).alias("payload"))
     rows = rows.select(*own, "size", "head", F.octet_length("payload").cast("long").alias("bytes"), _hex(F.col("payload")).alias("hexed"))
     head = F.col("head")
+    known = F.lit(False)
+    for version in VERSIONS:
+        known = known | head.startswith(version)
     rows = rows.select(
-        *own, "size", "bytes", "hexed", F.octet_length("head").alias("head_bytes"), F.lower(_field(head, "WARC-Type")).alias("record_type"),
+        *own, "size", "bytes", "hexed", known.alias("known"), F.octet_length("head").alias("head_bytes"), F.lower(_field(head, "WARC-Type")).alias("record_type"),
         _field(head, "Content-Length").try_cast("long").alias("length"), _field(head, "WARC-Payload-Length").try_cast("long").alias("full"),
         _field(head, "WARC-Payload-Digest").alias("named"), _field(head, "WARC-Record-ID").alias("record_id"), _field(head, "WARC-Refers-To").alias("first"),
     )
@@ -136,7 +145,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.select(
         *own,
         "size",
-        (F.lit(len(MAGIC) + 4 + 4) + F.col("head_bytes") + F.col("length")).alias("extent"),
+        F.when(F.col("known"), F.lit(len(MAGIC) + 4 + 4) + F.col("head_bytes") + F.col("length")).alias("extent"),
         "record_id",
         number("record_id").alias("page_id"),
         number("first").alias("refers_to"),
@@ -203,27 +212,47 @@ def reachable(candidates: DataFrame) -> DataFrame:
     return marked.groupBy("file", "block").applyInPandas(_entered, "file long, at long")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def _read_again(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, key, value)``: the rows by what they hold, whatever their places."""
+    raw = _rows(spark, path)
+    return raw.select("file", F.md5(F.col("value").cast("binary")).alias("key"), "value")
+
+
+def _require_whole(rows: DataFrame, records: DataFrame) -> None:
+    """No file may go on after the last record that its chain reaches."""
+    ends = rows.groupBy("file").agg(F.max(F.col("at") + len(MAGIC) + F.col("size")).alias("end"))
+    until = records.groupBy("file").agg(F.max(F.col("at") + F.col("extent")).alias("until"))
+    broken = ends.join(until, "file", "left").where("end > 0 and not (end <=> until)")
+    if one := broken.orderBy("file").first():
+        raise ValueError(f"not a chain of WARC/1.0 or 1.1 records: {broken.count()} files, of which one is read up to byte {one.until or 0} of {one.end}")
+
+
+def read_warc(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """``record_id, page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record of the archives."""
     out = ["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    raw = _rows(spark, path)
-    rows = store(_offsets(_parsed(raw)), "candidates").where("at >= 0")
+    raw = _rows(spark, path).select("*", F.md5(F.col("value").cast("binary")).alias("key"))
+    every = store(_offsets(_parsed(raw)), "candidates")
+    rows = every.where("at >= 0")
     with scratch(spark):
         chain = store(reachable(rows.select("file", "block", "at", (F.col("at") + F.col("extent")).alias("next"))), "reachable", keep=True)
-    records = rows.join(chain, ["file", "at"])
+    records = rows.join(chain, ["file", "at"]).where("extent is not null")
+    if not lenient:
+        _require_whole(every, records)
     whole = F.col("extent") == F.col("size") + len(MAGIC)
     # The last row of a file has no magic after it, and the others' size leaves theirs out: both end alike.
     found = records.where(whole).select(out)
     broken = store(records.where(~whole).select("file", "at", F.col("at").alias("own"), (F.col("at") + F.col("extent")).alias("until")), "broken")
     if broken.isEmpty():
         return found
-    # Which rows are pieces follows from offsets; their texts are then read by the number of the row alone.
-    places = rows.select("file", "at", "turn").join(broken.select("file").distinct(), "file", "left_semi").join(broken, ["file", "at"], "left")
+    # Which rows are pieces follows from offsets.  Rows of one content are one another's copies, so the text is read by that.
+    places = rows.select("file", "at", "key").join(broken.select("file").distinct(), "file", "left_semi").join(broken, ["file", "at"], "left")
     latest = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owner = F.last(F.when(F.col("own").isNotNull(), F.struct("own", "until")), ignorenulls=True).over(latest)
-    pieces = places.withColumn("owner", owner).where(F.col("at") < F.col("owner.until")).select("turn", "at", "file", F.col("owner.own").alias("own"))
-    parts = raw.select("turn", "value").join(store(pieces, "pieces"), "turn")
-    joined = parts.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    placed = places.withColumn("owner", owner).where(F.col("at") < F.col("owner.until")).select("file", "key", "at", F.col("owner.own").alias("own"))
+    pieces = store(placed, "pieces")
+    texts = _read_again(spark, path).join(pieces.select("file", "key").distinct(), ["file", "key"], "left_semi")
+    texts = store(texts.groupBy("file", "key").agg(F.max("value").alias("value")), "texts")
+    joined = pieces.join(texts, ["file", "key"]).groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
     joined = joined.select(F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))
     return found.unionByName(_parsed(joined).select(out))
 
