@@ -7,7 +7,8 @@ counts; bins of structure statistics (kinds of characters, word and line lengths
 of the declared length, the one piece of metadata used.  Language, source, labels and ids are no features.
 
 The model is fitted on the driver on at most ``sample`` labelled rows outside the held-out quarter, those
-with the smallest hashes of ``doc_id``; every document is scored on its whole text where it lies.
+with the smallest hashes of ``doc_id``; of an id that repeats the smallest text counts, so that no more than
+``sample`` rows reach the driver.  Every document is scored on its whole text where it lies.
 
 Nulls: a null text is an empty one and gets a score too.  A null ``doc_id`` is never held out nor a label's.
 Several labels of a document count as the smallest.  Without labels the score is 1.  Repeated rows score
@@ -166,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), ragged(index, counts, pa.int32()), ragged(value, counts, pa.float32())], ["doc_id", "y", "index", "value"])
 
     rows = docs.select("doc_id", "text", _with_length(docs).alias("n_chars")).join(F.broadcast(marked), "doc_id")  # at most ``sample`` ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "n_chars")).alias("row")).select("doc_id", "y", "row.*")
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(tidy(run), f"doc_id {kind}, y double, index array<int>, value array<float>").toArrow().combine_chunks()
     got = got.sort_by("doc_id").combine_chunks()

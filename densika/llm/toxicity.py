@@ -10,8 +10,10 @@ in a dense one they are as large a share of its terms.
 
 Terms are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, and their pieces of five bytes, which
 catch stems under any ending; both as hashes.  A model keeps the terms whose presence differs most between
-its classes, by a z-score of the shares, and fits a ridge-penalised logistic regression by Newton steps.  It is fitted on the driver on at most ``sample`` labelled documents,
-those with the smallest hashes of ``doc_id``; every document is scored on its whole text.
+its classes, by a z-score of the shares, and fits a ridge-penalised logistic regression by Newton steps.  It is
+fitted on the driver on at most ``sample`` labelled documents, those with the smallest hashes of ``doc_id``; of an
+id that repeats the smallest text counts, so that no more than ``sample`` rows reach the driver.  Every document is
+scored on its whole text.
 
 Nulls: a null text has no terms and gets the base rates; labels that are null do not count, and several of
 one document count as the largest.  Without labels all probabilities are 0.  Repeated rows score alike, an
@@ -218,6 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), ragged(hashes.view(np.int64), sizes, pa.int64())], ["doc_id", "y", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")  # at most ``sample`` ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(tidy(run), "doc_id long, y double, words array<long>").toArrow().combine_chunks()
     got = got.sort_by("doc_id").combine_chunks()
     if not got.num_rows:

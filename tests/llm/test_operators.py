@@ -227,6 +227,33 @@ def test_quality_against_brute_force(spark, odd_docs, odd_rows):
         assert math.isclose(got[r[0], r[1]], 1 / (1 + math.exp(-max(-30, min(30, margin)))), abs_tol=2e-4)
 
 
+@pytest.mark.parametrize("sample", [2, 40])
+def test_training_rows_are_bounded_where_ids_repeat(spark, monkeypatch, sample):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    texts = ids.select("doc_id", F.concat(F.lit("some words of "), F.col("doc_id").cast("string")).alias("text"))
+    seen = {}
+
+    def kept(name, n):
+        def fit(*args, **kwargs):
+            seen.setdefault(name, []).append([np.array(a) for a in args])
+            raise RuntimeError(n(args))
+
+        return fit
+
+    monkeypatch.setattr(quality, "fit", kept("op2", lambda a: len(a[3])))
+    monkeypatch.setattr(toxicity, "fit_chain", kept("op5", lambda a: len(a[0])))
+    chosen = ids.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first().doc_id
+    copies = spark.range(100_000).select(F.lit(chosen).alias("doc_id"), F.concat(F.lit("zzz "), (F.col("id") % 7).cast("string")).alias("text"))
+    for docs in (texts, texts.unionByName(copies)):
+        for train, labelled in ((quality.train, ids.where(~quality.held_out(F.col("doc_id"))).count()), (toxicity.train, 40)):
+            with pytest.raises(RuntimeError, match=f"^{min(sample, labelled)}$"):
+                train(docs, ids, sample)
+    for one, two in seen.values():  # the copies weigh nothing: the smallest text of the id counts
+        assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
+
+
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, quality.RANK)))
@@ -673,6 +700,51 @@ def test_records_of_other_writers(spark, tmp_path):
     assert got == {"<urn:uuid:1>": (None, "warcinfo", 23), "<urn:uuid:2>": (None, "response", 19), "<urn:page:7>": (7, "metadata", 4)}
 
 
+def archived(version, *blocks):
+    head = "WARC-Type: response\r\nWARC-Record-ID: <urn:page:{}>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {}"
+    bodies = ["HTTP/1.1 200 OK\r\n\r\n" + b for b in blocks]
+    return "".join(f"WARC/{version}\r\n{head.format(i, len(b.encode()))}\r\n\r\n{b}\r\n\r\n" for i, b in enumerate(bodies)).encode()
+
+
+def test_warc_when_the_layout_changes_between_scans(spark, tmp_path, monkeypatch):
+    pages = [(i, "u", f"page {i} " + ("WARC/1.1\r\nx" * (i % 5 == 0)) + "y" * (i % 97)) for i in range(600)]
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(9), str(tmp_path / "a"))
+    again, old = warc._read_again, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def later(*args):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        return again(*args)
+
+    monkeypatch.setattr(warc, "_read_again", later)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    try:
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / "a")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {p: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for p, _, h in pages}
+
+
+def test_warc_of_both_versions(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "old.warc").write_bytes(archived("1.0", "a", "WARC/1.1\r\nno record", "WARC/1.0\r\n", "c"))
+    (tmp_path / "mixed.warc").write_bytes(archived("1.1", "WARC/1.0\r\nWARC-Type: x") + archived("1.0", "WARC/1."))
+    (tmp_path / "more.warc.gz").write_bytes(gzip.compress(archived("1.0", "zipped")) + gzip.compress(archived("1.1", "twice")))
+    got = Counter((r.page_id, r.payload_bytes) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == Counter([(0, 1), (1, 19), (2, 10), (3, 1), (0, 22), (0, 7), (0, 6), (0, 5)])
+
+
+@pytest.mark.parametrize("raw", [archived("0.18", "a"), b"x" + archived("1.0", "a"), archived("1.1", "a", "bb")[:-3], archived("1.1", "a") + b"rest", b"nothing", archived("1.2", "a")])
+def test_warc_that_breaks_off_is_refused(spark, tmp_path, raw):
+    (tmp_path / "good.warc").write_bytes(archived("1.0", "aaaa"))
+    (tmp_path / "bad.warc").write_bytes(raw)
+    with pytest.raises(ValueError, match="1 files"):
+        warc.read_warc(spark, str(tmp_path))
+    assert {r.payload_bytes for r in warc.read_warc(spark, str(tmp_path), lenient=True).collect()} >= {4}
+
+
 # 10. Decontamination
 
 NORMAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
