@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from densika.llm import decontam, mixing, neardup, quality, secrets, substrings, tokens, topk, toxicity, warc
+from densika.llm import decontam, mixing, neardup, periodic, quality, secrets, substrings, tokens, topk, toxicity, warc
 from densika.runtime import visible
 
 
@@ -54,8 +54,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.op11(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_substring_dedup, op4_topk, op5_toxicity, op6_mixing, op7_token_counts, op8_near_duplicates, op9_warc, op10_decontamination)}
+    made = (
+        op1_secret_scan, op2_quality, op3_substring_dedup, op4_topk, op5_toxicity, op6_mixing, op7_token_counts, op8_near_duplicates, op9_warc,
+        op10_decontamination, op11_periodic_runs,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
