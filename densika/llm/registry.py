@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from densika.llm import decontam, mixing, neardup, periodic, quality, secrets, substrings, tokens, topk, toxicity, warc
+from densika.llm import clusters, decontam, mixing, neardup, periodic, quality, secrets, substrings, tokens, topk, toxicity, warc
 from densika.runtime import visible
 
 
@@ -58,10 +58,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.op11(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.op13(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_secret_scan, op2_quality, op3_substring_dedup, op4_topk, op5_toxicity, op6_mixing, op7_token_counts, op8_near_duplicates, op9_warc,
-        op10_decontamination, op11_periodic_runs,
+        op10_decontamination, op11_periodic_runs, op13_centroid_clustering,
     )
     return {f.__name__: f for f in made}
 
@@ -69,5 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secrets.SQL, "op3_substring_dedup": substrings.SQL, "op4_topk": topk.SQL, "op6_mixing": mixing.SQL,
-        "op9_warc": warc.SQL, "op10_decontamination": decontam.SQL,
+        "op9_warc": warc.SQL, "op10_decontamination": decontam.SQL, "op13_centroid_clustering": clusters.SQL,
     }

@@ -790,7 +790,7 @@ def test_empty_tables(spark, no_docs):
         assert df.count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_secret_scan", "op3_substring_dedup", "op4_topk", "op6_mixing", "op9_warc", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op3_substring_dedup", "op4_topk", "op6_mixing", "op9_warc", "op10_decontamination", "op13_centroid_clustering"])
 def test_sql_agrees(spark, sf_dir, name):
     from densika.llm import registry
 
