@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from densika.llm import clusters, decontam, mixing, neardup, periodic, quality, secrets, substrings, tokens, topk, toxicity, warc
+from densika.llm import clusters, decontam, language, mixing, neardup, periodic, quality, secrets, substrings, tokens, topk, toxicity, warc
 from densika.runtime import visible
 
 
@@ -58,6 +58,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.op11(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op12(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.op13(table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_secret_scan, op2_quality, op3_substring_dedup, op4_topk, op5_toxicity, op6_mixing, op7_token_counts, op8_near_duplicates, op9_warc,
-        op10_decontamination, op11_periodic_runs, op13_centroid_clustering,
+        op10_decontamination, op11_periodic_runs, op12_language_id, op13_centroid_clustering,
     )
     return {f.__name__: f for f in made}
 
