@@ -274,6 +274,6 @@ SQL["t_threshold"] = f"SELECT CAST(i AS INTEGER) AS percent, {r4('1 + 2 * (1 - 2
 
 
 def oracle_sql() -> dict[str, str]:
-    from densika.plans import file_oracles  # noqa: F401  adds its own
+    from densika.plans import file_oracles, given_queries  # noqa: F401  add their own
 
     return dict(SQL)

@@ -542,6 +542,6 @@ def t_fit(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from densika.plans import file_queries  # noqa: F401  adds its own
+    from densika.plans import file_queries, given_queries  # noqa: F401  add their own
 
     return dict(QUERIES)

@@ -194,6 +194,22 @@ def test_stream(spark, tmp_path):
     assert incremental.finished(spark, str(tmp_path / "none")) is None
 
 
+@pytest.mark.parametrize("held_back", [False, True])
+def test_stream_of_one_file_a_batch_equals_one_batch(spark, tmp_path, held_back):
+    rows = [(c, i, 0, 0, m, float(v)) for c, values in (("c1", (3, 4, 5)), ("c2", (1, 1, 4)), ("007", (2, 2, 2))) for m, v in enumerate(values) for i in range(3)]
+    for m in range(3):
+        spark.createDataFrame([r for r in rows if r[4] == m], incremental.MAPS).coalesce(1).write.parquet(str(tmp_path / "in" / f"m{m}"))
+    expected = spark.createDataFrame([("c1", 3), ("c2", 3), ("007", 4)], "crystal string, n_maps int") if held_back else None
+    got = {}
+    for name, n in (("one", 1), ("all", 100)):
+        q = incremental.run_stream(incremental.ensemble_stream(spark, str(tmp_path / "in/*"), n), str(tmp_path / name), str(tmp_path / f"check-{name}"), 3, expected=expected)
+        assert q.awaitTermination(120)
+        assert len([p for p in q.recentProgress if p["numInputRows"]]) == (3 if n == 1 else 1)
+        table = spark.read.schema("crystal string, i int, mean double, std double").parquet(str(tmp_path / name))
+        got[name] = sorted((r.crystal, r.i, round(r.mean, 6), round(r.std, 6)) for r in table.collect())
+    assert got["one"] == got["all"] and {r[:1] + r[2:] for r in got["one"]} == {("c1", 4.0, 1.0), ("c2", 2.0, 1.732051)} | (set() if held_back else {("007", 2.0, 0.0)})
+
+
 def test_cli(spark, tmp_path, capsys):
     from densika import cli
 
