@@ -222,6 +222,7 @@ def score_models(grid: DataFrame, atoms: DataFrame, crystals: DataFrame, cfg: Sc
     most = held.agg(F.max("radius")).first()[0] or 2.0
     carry = ["edges", "orth", "frac", "dims", "factors", "level", "spread"]
     dims, fine = (tuple(F.get(c, F.lit(i)) for i in range(3)) for c in ("dims", "factors"))
+    grid = grid.join(more.select("stem", "dims"), "stem")
     stats = F.col("level"), F.col("spread")
     bonded = spatial.bonds(atoms, cfg.bond_tolerance, spatial.largest_covalent(atoms), by)
     proteins = scoring.protein_scores(held.where("not is_water"), held, grid, bonded, stats, CellOf(), dims, most, cfg, by, fine, carry)

@@ -204,4 +204,5 @@ def null_samples(points: DataFrame, grid: DataFrame, crystals: DataFrame, by: st
     dims = tuple(F.get("dims", F.lit(i)) for i in range(3))
     at = points.join(crystals.select(by, "dims"), by)
     at = at.select(by, "id", "dims", *[F.round(F.col(f) * n * fine).cast("long").alias(u) for u, f, n in zip("uvw", FRACTIONS, dims, strict=True)])
-    return with_values(at, grid, dims, (fine, fine, fine), [by]).select(by, "id", F.col("value").alias("snr"))
+    sized = grid.join(crystals.select(by, "dims"), by)
+    return with_values(at, sized, dims, (fine, fine, fine), [by]).select(by, "id", F.col("value").alias("snr"))

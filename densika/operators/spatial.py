@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from densika.functions.cell import Cell, CellOf, apply
 from densika.functions.curves import distance, squared_distance
 from densika.functions.radii import COVALENT, covalent_radius
+from densika.operators import bricks
 
 XYZ = ("x", "y", "z")
 MAX_COVALENT = max(COVALENT.values())
@@ -113,23 +114,7 @@ def sphere_points(atoms: DataFrame, cell: Cell | CellOf, dims: Sequence, factors
 def with_values(points: DataFrame, grid: DataFrame, dims: Sequence, factors: Sequence = (1, 1, 1), by: Sequence[str] = ()) -> DataFrame:
     """Adds ``value``: the periodic map's node, or between nodes the trilinear mean of the eight around.
 
-    ``dims`` and ``factors`` are numbers, or columns of ``points`` that are the same in all rows of a ``by``.
+    ``dims`` and ``factors`` are numbers, or columns of ``points``; ``grid`` then has its own ``dims``, an array.
     """
-    nodes = grid.select(*[F.col(g).alias(f"_{g}") for g in "ijk"], F.col("value").alias("_node"), *by)
-    cells = ["_i", "_j", "_k", *by]
-    if all(isinstance(f, int) and f == 1 for f in factors):
-        keys = {f"_{g}": F.pmod(F.col(p), F.lit(n)).cast("int") for g, p, n in zip("ijk", "uvw", dims, strict=True)}
-        return points.withColumns(keys).join(nodes, cells).withColumnRenamed("_node", "value").drop("_i", "_j", "_k")
-    # Spheres share their points: each is looked up once, in narrow rows, and then joined back.
-    own = [*by, "u", "v", "w"]
-    sizes = F.array(*[F.lit(n).cast("int") for n in dims]).alias("_dims"), F.array(*[F.lit(f).cast("int") for f in factors]).alias("_factors")
-    corners = F.array(*[F.array(*map(F.lit, bits)) for bits in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]])
-    out = points.select(*own, *sizes).distinct().withColumn("_corner", F.explode(corners)).withColumn("_weight", F.lit(1.0))
-    for a, (g, p) in enumerate(zip("ijk", "uvw", strict=True)):
-        n, f, bit = F.get("_dims", F.lit(a)), F.get("_factors", F.lit(a)), F.get("_corner", F.lit(a))
-        low = F.floor(F.col(p) / f)
-        share = F.col(p) / f - low
-        out = out.withColumn("_weight", F.col("_weight") * F.when(bit == 1, share).otherwise(1 - share))
-        out = out.withColumn(f"_{g}", F.pmod(low + bit, n).cast("int"))
-    out = out.where("_weight > 0").select(*own, "_weight", "_i", "_j", "_k").join(nodes, cells)
-    return points.join(out.groupBy(*own).agg(F.sum(F.col("_weight") * F.col("_node")).alias("value")), own)
+    sizes = [F.lit(n) for n in dims] if not any(isinstance(n, Column) for n in dims) else [F.get("dims", F.lit(a)) for a in range(3)]
+    return bricks.looked_up(points, bricks.packed(grid, sizes, by), [F.lit(n) if not isinstance(n, Column) else n for n in dims], factors, by)
