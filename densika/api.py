@@ -195,7 +195,7 @@ def quantify(spark: SparkSession, maps_: DataFrame, cell: Cell, dims: tuple[int,
 def null_fits(snr: DataFrame, crystals: DataFrame, atoms: DataFrame, n: int = 20_000, seed: int = 0) -> DataFrame:
     """``(stem, df, loc, scale)`` of the noise in each crystal's bulk solvent; waters are no part of the model."""
     model = atoms.where(~F.upper("resname").isin(*scoring.WATERS)).select("stem", "x", "y", "z", radii.van_der_waals(F.col("element")).alias("vdw"))
-    points = ensemble.outside_model(ensemble.null_points(crystals, n, seed), model, crystals)
+    points = ensemble.bulk_solvent(ensemble.null_points(crystals, n, seed), model, crystals)
     samples = ensemble.null_samples(points, snr.select("stem", "i", "j", "k", F.col("snr").alias("value")), crystals)
     fitted = student_t.fit_groups(samples, ["stem"])
     usual = zip(("df", "loc", "scale"), student_t.fit([]), strict=True)

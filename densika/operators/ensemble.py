@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from densika.functions.cell import CellOf, apply
 from densika.functions.curves import distance, ratio_or_zero
-from densika.operators.spatial import XYZ, range_join, with_values, xyz
-
-FRACTIONS = ("fa", "fb", "fc")
+from densika.operators.spatial import FRACTIONS, XYZ, range_join, symmetry_images, with_values, xyz
 
 
 def packed(ensemble: DataFrame, keys: Sequence[str], n_maps: int, missing: str = "zero") -> DataFrame:
@@ -174,30 +172,76 @@ def null_points(crystals: DataFrame, n: int = 20_000, seed: int = 0, by: str = "
 
 
 def outside_model(points: DataFrame, atoms: DataFrame, crystals: DataFrame, probe: float = 1.1, shrink: float = 0.9, by: str = "stem") -> DataFrame:
-    """Points in the bulk solvent: none of the model's images reaches them.
+    """Points ``(by, id, fa, fb, fc)`` that none of the model's images reaches.
 
     ``atoms`` have ``vdw``, their van der Waals radius; a point is in an atom's reach within that and the probe's
-    radius less what the solvent takes back.  Images are those of the crystal's ``images`` (rotations of nine and
-    translations of three numbers) in the cells around, kept where they come near the unit cell.
+    radius less what the solvent takes back.
     """
-    cell, cells = CellOf(), F.array(*[F.lit(float(i)) for i in (-1, 0, 1)])
-    model = atoms.join(crystals.select(by, "edges", "orth", "frac", "images"), by)
-    most = (model.agg(F.max("vdw")).first()[0] or 0.0) + probe - shrink
-    own = model.select(by, "edges", "orth", "vdw", F.explode("images").alias("image"), *[c.alias(f) for c, f in zip(apply(cell.fractional(), xyz()), FRACTIONS, strict=True)])
-    turned = [sum((F.col("image.r")[3 * r + c] * F.col(f) for c, f in enumerate(FRACTIONS)), F.col("image.t")[r]) for r in range(3)]
-    own = own.select(by, "edges", "orth", "vdw", *[(t - F.floor(t)).alias(f) for t, f in zip(turned, FRACTIONS, strict=True)])
-    for i, f in enumerate(FRACTIONS):
-        reach = F.lit(most) / F.get("edges", F.lit(i)) * 2.0  # skewed cells have planes nearer than their edges
-        own = own.withColumn("_cell", F.explode(cells)).withColumn(f, F.col(f) + F.col("_cell")).where((F.col(f) >= -reach) & (F.col(f) <= reach + 1)).drop("_cell")
-    images = own.select(by, "vdw", *[c.alias(n) for n, c in zip(XYZ, apply(cell.orthogonal(), tuple(map(F.col, FRACTIONS))), strict=True)])
+    images, most = _images(atoms, crystals, probe - shrink, by)
     inside = [F.col(f) - F.floor(f) for f in FRACTIONS]
     wrapped = points.join(crystals.select(by, "orth"), by)
-    wrapped = wrapped.select(by, "id", *[c.alias(n) for n, c in zip(XYZ, apply(cell.orthogonal(), tuple(inside)), strict=True)])
-    near = range_join(wrapped, images, max(most, 0.1), [by])
+    wrapped = wrapped.select(by, "id", *[c.alias(n) for n, c in zip(XYZ, apply(CellOf().orthogonal(), tuple(inside)), strict=True)])
+    near = range_join(wrapped, images, most, [by])
     hit = near.where(distance(xyz("a_"), xyz("b_")) <= F.col("b_vdw") + (probe - shrink))
     return points.join(hit.select(F.col(f"a_{by}").alias(by), F.col("a_id").alias("id")).distinct(), [by, "id"], "left_anti")
 
 
+def _images(atoms: DataFrame, crystals: DataFrame, beyond: float, by: str) -> tuple[DataFrame, float]:
+    """Images ``(by, vdw, x, y, z)`` of the model that may reach the unit cell, and the largest reach."""
+    most = max(0.1, (atoms.agg(F.max("vdw")).first()[0] or 0.0) + beyond)
+    return symmetry_images(atoms.select(by, "vdw", *XYZ), crystals, most, [by]).select(by, "vdw", *XYZ), most
+
+
+_NODE = ["ni", "nj", "nk"]
+
+
+def bulk_solvent(points: DataFrame, atoms: DataFrame, crystals: DataFrame, probe: float = 1.1, shrink: float = 0.9, spacing: float = 0.5, by: str = "stem") -> DataFrame:
+    """Points ``(by, id, fa, fb, fc)`` in the solvent that a probe reaches, and what the solvent takes back around it.
+
+    On a periodic grid of ``spacing`` or finer a node is free if the probe's centre may be there, further from all images
+    than van der Waals radius and probe.  Solvent are the free nodes and those within ``shrink`` of a free one, so that a
+    gap in which no probe fits is none, whatever the distance to its walls.  A point is kept where all nodes around it
+    are solvent.  Only nodes around points are looked at, and further ones only around those that the first pass
+    leaves open: within the probe of an atom, but not so near that no free node can be within ``shrink``.
+    """
+    images, most = _images(atoms, crystals, probe, by)
+    sizes = [F.ceil(F.get("edges", F.lit(a)) / spacing).cast("int") for a in range(3)]
+    told = crystals.select(by, "orth", "frac", F.array(*sizes).alias("sizes"))
+    n = [F.get("sizes", F.lit(a)) for a in range(3)]
+    around = points.select(by, "id", *FRACTIONS).join(told.select(by, "sizes"), by)
+    for f, k, size in zip(FRACTIONS, _NODE, n, strict=True):
+        low = F.floor(F.col(f) * size)
+        around = around.withColumn(k, F.explode(F.when(F.col(f) * size > low, F.array(low, low + 1)).otherwise(F.array(low)))).withColumn(k, F.pmod(k, size).cast("int"))
+    around = around.select(by, "id", *_NODE)
+
+    def classified(nodes: DataFrame) -> DataFrame:
+        """``free``, or ``lost``, or neither."""
+        at = nodes.join(told, by)
+        place = apply(CellOf().orthogonal(), tuple(F.col(k) / size for k, size in zip(_NODE, n, strict=True)))
+        at = at.select(by, *_NODE, *[c.alias(x) for x, c in zip(XYZ, place, strict=True)])
+        gap = distance(xyz("a_"), xyz("b_")) - F.col("b_vdw")
+        met = range_join(at, images, most, [by]).select(*[F.col(f"a_{k}").alias(k) for k in (by, *_NODE)], gap.alias("gap")).where(F.col("gap") <= probe)
+        least = met.groupBy(by, *_NODE).agg(F.min("gap").alias("gap"))
+        both = nodes.join(least, [by, *_NODE], "left")
+        return both.select(by, *_NODE, F.col("gap").isNull().alias("free"), (F.col("gap") <= probe - shrink).alias("lost"))
+
+    first = classified(around.select(by, *_NODE).distinct())
+    open_ = first.where("not free and not lost").select(by, *_NODE)
+    beside = open_.join(told, by)
+    for a, size in enumerate(n):
+        row = [F.get("frac", F.lit(3 * a + c)) for c in range(3)]
+        reach = F.ceil(F.sqrt(sum((x * x for x in row[1:]), row[0] * row[0])) * shrink * size)
+        beside = beside.withColumn(f"_d{a}", F.explode(F.sequence(-reach, reach)))
+    away = apply(CellOf().orthogonal(), tuple(F.col(f"_d{a}") / size for a, size in enumerate(n)))
+    beside = beside.where(sum((c * c for c in away[1:]), away[0] * away[0]) <= shrink * shrink)
+    beside = beside.select(by, *_NODE, *[F.pmod(F.col(k) + F.col(f"_d{a}"), size).cast("int").alias(f"o{k}") for a, (k, size) in enumerate(zip(_NODE, n, strict=True))])
+    others = beside.select(by, *[F.col(f"o{k}").alias(k) for k in _NODE]).distinct()
+    free = classified(others).where("free").select(by, *[F.col(k).alias(f"o{k}") for k in _NODE])
+    back = beside.join(free, [by, *[f"o{k}" for k in _NODE]], "left_semi").select(by, *_NODE).distinct()
+    bad = first.where("not free").select(by, *_NODE).join(back, [by, *_NODE], "left_anti")
+    return points.join(around.join(bad, [by, *_NODE], "left_semi").select(by, "id").distinct(), [by, "id"], "left_anti")
+
+
 def null_samples(points: DataFrame, grid: DataFrame, crystals: DataFrame, by: str = "stem") -> DataFrame:
     """``(by, id, snr)``: the map ``(by, i, j, k, value)`` at the points, by trilinear interpolation."""
     fine = 1 << 20  # points as nodes of a grid so much finer

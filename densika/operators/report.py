@@ -13,11 +13,11 @@ from pyspark.sql.types import ArrayType, StructType
 
 from densika.functions.curves import badge, distance, safe_float, safe_int
 from densika.operators.scoring import WATERS
-from densika.operators.spatial import HYDROGENS, range_join, xyz
-from densika.sources import parameters
+from densika.operators.spatial import HYDROGENS, bounding_box, range_join, symmetry_images, xyz
+from densika.sources import maps, parameters
 from densika.sources.files import local_path
-from densika.sources.structures import read_structures
-from densika.sources.workspace import Experiment, maps_by_suffix, original_reflections, read_manifest
+from densika.sources.structures import IMAGES, read_structures, read_symmetry
+from densika.sources.workspace import Experiment, map_name, maps_by_suffix, original_reflections, read_manifest
 
 #: Names of amino acids.
 AMINO = (
@@ -37,11 +37,19 @@ def _heavy(atoms: DataFrame) -> DataFrame:
     return atoms.where(~F.upper(F.trim("element")).isin(*HYDROGENS))
 
 
-def ligand_neighbours(atoms: DataFrame, radius: float = 10.0, ligand: str = "LIG", by: Sequence[str] = ()) -> DataFrame:
-    """Distinct ``(chain, resnum, resname, category)`` with a heavy atom within ``radius`` of a ligand's."""
+def ligand_neighbours(atoms: DataFrame, radius: float = 10.0, ligand: str = "LIG", by: Sequence[str] = (), crystals: DataFrame | None = None) -> DataFrame:
+    """Distinct ``(chain, resnum, resname, category)`` with a heavy atom within ``radius`` of a ligand's.
+
+    With ``crystals``, those of ``symmetry_images``, an image of either counts too; a crystal that is not among them has none.
+    """
     heavy = _heavy(atoms).select(*by, "chain", "resnum", "resname", "x", "y", "z")
     is_ligand = F.upper("resname") == ligand.upper()
-    pairs = range_join(heavy.where(~is_ligand), heavy.where(is_ligand).select(*by, "x", "y", "z"), radius, by)
+    around = heavy.where(is_ligand).select(*by, "x", "y", "z")
+    if crystals is not None:
+        # Ligands are few: theirs are the images, brought to where the model's atoms are.
+        images = symmetry_images(around, crystals, radius, by, bounding_box(heavy.where(~is_ligand), crystals, by))
+        around = around.unionByName(images.select(*by, "x", "y", "z"))
+    pairs = range_join(heavy.where(~is_ligand), around, radius, by)
     near = pairs.where(distance(xyz("a_"), xyz("b_")) <= radius)
     names = [*by, "chain", "resnum", "resname"]
     return near.select(*[F.col(f"a_{c}").alias(c) for c in names]).distinct().withColumn("category", category(F.col("resname")))
@@ -52,8 +60,8 @@ def neighbour_counts(near: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def neighbour_lists(near: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``neighbours``: the residues around, sorted by kind, chain and number; as many as fit around a ligand."""
-    return near.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("category", "chain", "resnum", "resname"))).alias("neighbours"))
+    """``neighbours``: the residues around, sorted by chain and number; as many as fit around a ligand."""
+    return near.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chain", "resnum", "resname", "category"))).alias("neighbours"))
 
 
 def ligand_centroid(atoms: DataFrame, ligand: str = "LIG", by: Sequence[str] = ()) -> DataFrame:
@@ -182,6 +190,19 @@ def read_results(spark: SparkSession, paths: Sequence[str], schema: str, suffix:
     return raw.select(F.regexp_extract(local_path(F.col("_metadata.file_path")), f"([^/]*)_{suffix}[.]csv$", 1).alias("stem"), "*")
 
 
+def symmetry(spark: SparkSession, found: Sequence[Experiment], models: dict[str, str]) -> DataFrame:
+    """Cells and operators of the models, those of the first map where a model names none."""
+    own = read_symmetry(spark, models)
+    lacking = {r.stem for r in own.where("size(images) < 2").select("stem").toLocalIterator()}  # a row a crystal
+    first = {e.stem: str(p) for e in found if e.stem in lacking and (p := e.map_files(None).get(0))}
+    if not first:
+        return own
+    heads = maps.read_mtz_headers(spark, list(first.values())).where("error is null").select("operators", *map_name(F.col("path")))
+    rows = [(r.stem, [(x.ravel().tolist(), t.tolist()) for x, t in map(maps.operator, r.operators or ["X,Y,Z"])]) for r in heads.toLocalIterator()]  # a row a crystal
+    named = spark.createDataFrame(rows, f"stem string, more {IMAGES}")
+    return own.join(named, "stem", "left").withColumn("images", F.coalesce("more", "images")).drop("more")
+
+
 def collected(spark: SparkSession, experiments: DataFrame, found: Sequence[Experiment], ligand: str = "LIG", reach: float = 10.0) -> DataFrame:
     """Everything known of each experiment: summary, the ligand's scores and surroundings, maps, reflections."""
 
@@ -197,7 +218,7 @@ def collected(spark: SparkSession, experiments: DataFrame, found: Sequence[Exper
     models = {e.stem: str(e.original) for e in found if e.original}
     if models:
         atoms = read_structures(spark, models)
-        near = ligand_neighbours(atoms, reach, ligand, by)
+        near = ligand_neighbours(atoms, reach, ligand, by, symmetry(spark, found, models))
         centre = ligand_centroid(atoms, ligand, by).withColumnRenamed("n_atoms", "n_ligand_atoms")
         parts += [neighbour_counts(near, by), neighbour_lists(near, by), centre]
     else:

@@ -47,6 +47,44 @@ def range_join(left: DataFrame, right: DataFrame, edge: float, by: Sequence[str]
     return one.join(two, on).drop(*[f"_{n}{i}" for n in ("cell", "near") for i in range(3)])
 
 
+FRACTIONS = ("fa", "fb", "fc")
+
+
+def fractions(points: DataFrame, names: Sequence[str] = FRACTIONS) -> DataFrame:
+    """Adds fractional coordinates to points with their crystal's ``edges`` and ``frac``."""
+    return points.withColumns(dict(zip(names, apply(CellOf().fractional(), xyz()), strict=True)))
+
+
+def bounding_box(points: DataFrame, crystals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(by, low, high)``: the ranges of the points' fractional coordinates, an array each."""
+    at = fractions(points.join(crystals.select(*by, "edges", "frac"), list(by)))
+    return at.groupBy(*by).agg(*[F.array(*[f(c) for c in FRACTIONS]).alias(name) for name, f in (("low", F.min), ("high", F.max))])
+
+
+def symmetry_images(points: DataFrame, crystals: DataFrame, reach: float, by: Sequence[str], box: DataFrame | None = None) -> DataFrame:
+    """The points' images under all operators and lattice shifts that may come within ``reach`` of ``box``, by default the unit cell.
+
+    ``crystals`` have a row for each ``by``, with ``edges``, ``orth``, ``frac`` and ``images``, rotations of nine and
+    translations of three numbers, the identity among them.  An image has its place in x, y, z, the operator's number in
+    ``image`` and the ``shift`` by whole cells; the other columns are its point's.  What is needed is copied before any
+    join by distance, so that this stays an equality on cells.
+    """
+    own = [c for c in points.columns if c not in (*XYZ, *by)]
+    told = crystals.select(*by, "edges", "orth", "frac", "images")
+    told = told.join(box, list(by)) if box is not None else told.withColumns({n: F.array(*[F.lit(v)] * 3) for n, v in (("low", 0.0), ("high", 1.0))})
+    out = fractions(points.select(*by, *own, *XYZ).join(told, list(by)))
+    out = out.select(*by, *own, "orth", "frac", "low", "high", *FRACTIONS, F.posexplode("images").alias("image", "_op"))
+    turned = [sum((F.col("_op.r")[3 * r + c] * F.col(f) for c, f in enumerate(FRACTIONS)), F.col("_op.t")[r]) for r in range(3)]
+    out = out.select(*by, *own, "image", "orth", "frac", "low", "high", *[t.alias(f) for t, f in zip(turned, FRACTIONS, strict=True)])
+    for a, f in enumerate(FRACTIONS):
+        row = [F.get("frac", F.lit(3 * a + c)) for c in range(3)]
+        margin = F.sqrt(sum((x * x for x in row[1:]), row[0] * row[0])) * reach + 1e-9  # between planes of the axis, in fractions
+        first, last = F.ceil(F.get("low", F.lit(a)) - margin - F.col(f)), F.floor(F.get("high", F.lit(a)) + margin - F.col(f))
+        out = out.withColumn(f"_n{a}", F.explode(F.when(first <= last, F.sequence(first, last))))
+    at = apply(CellOf().orthogonal(), tuple(F.col(f) + F.col(f"_n{a}") for a, f in enumerate(FRACTIONS)))
+    return out.select(*by, *own, "image", F.array("_n0", "_n1", "_n2").alias("shift"), *[c.alias(x) for x, c in zip(XYZ, at, strict=True)])
+
+
 def neighbours(atoms: DataFrame, max_radius: float, buffer: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
     """``(atom_id, radius, ...)`` pairs ``a``, ``b`` with b within ``2 * radius_a + buffer`` of a, without itself."""
     pairs = range_join(atoms, atoms, 2 * max_radius + buffer, by)

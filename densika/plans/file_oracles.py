@@ -117,7 +117,7 @@ SQL["sampler_iterations"] = """SELECT CAST(p AS INTEGER) AS percent, p > 0 AND p
 FROM (SELECT unnest(range(-10, 120)) AS p)"""
 SQL["sampled_coverage"] = "SELECT c_nationkey AS stem, 'A|' || c_custkey AS key, true AS as_told FROM customer"
 SQL["selection_union"] = "SELECT c_nationkey AS crystal, c_custkey AS key, CAST(CASE WHEN c_nationkey BETWEEN 3 AND 4 THEN 2 ELSE 1 END AS BIGINT) AS n FROM customer WHERE c_nationkey < 7"
-SQL["neighbour_list"] = SQL["lig_neighbourhood"].replace("SELECT * FROM nb", "SELECT CAST(row_number() OVER (ORDER BY category, chain, resnum, resname) - 1 AS INTEGER) AS place, category, chain, resnum, resname FROM nb")
+SQL["neighbour_list"] = SQL["lig_neighbourhood"].replace("SELECT * FROM nb", "SELECT CAST(row_number() OVER (ORDER BY chain, resnum, resname) - 1 AS INTEGER) AS place, category, chain, resnum, resname FROM nb")
 
 # Nodes of two grids, owners within the radius that the element has at the crystal's resolution.
 def _grid(stem: str, edges: tuple[int, int, int], dims: tuple[int, int, int]) -> str:

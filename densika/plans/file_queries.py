@@ -412,7 +412,7 @@ def selection_union(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def neighbour_list(s: SparkSession, d: str) -> DataFrame:
-    """Residues around the ligand in order of kind, chain and number."""
+    """Residues around the ligand in order of chain and number."""
     near = report.neighbour_lists(report.ligand_neighbours(A.atoms(s, d, BOND_SCALE), 4.0))
     return near.select(F.posexplode("neighbours").alias("place", "n")).select("place", "n.category", "n.chain", "n.resnum", "n.resname")
 
