@@ -92,11 +92,10 @@ def test_operators_of_the_map_where_the_model_has_none(spark, tmp_path):
     table = np.array([(h, k, l, 1.0, 0.0) for h in range(2) for k in range(2) for l in range(1, 3)])
     data = maps.format_mtz([("H", "H"), ("K", "H"), ("L", "H"), ("FWT", "F"), ("PHWT", "P")], table, Cell(30, 40, 50, 90, 100, 90))
     at = data.rfind(b"END" + b" " * 77)
-    operators = b"".join(f"SYMM {o}".ljust(80).encode() for o in SCREW)
-    files.put(str(tmp_path / "x1/results/x1_0/x1_0.mtz"), data[:at] + operators + data[at:])
+    screw = f"SYMM {SCREW[1]}".ljust(80).encode()  # the identity is there
+    files.put(str(tmp_path / "x1/results/x1_0/x1_0.mtz"), data[:at] + screw + data[at:])
     got = report.symmetry(spark, [e], {"x1": str(tmp_path / "m.pdb")}).first()
-    if [len(h.operators) for h in maps.read_mtz_headers(spark, str(tmp_path / "x1/results/x1_0/x1_0.mtz")).collect()] == [2]:
-        assert len(got.images) == 2 and got.images[1].t == [0.0, 0.5, 0.0]
+    assert len(got.images) == 2 and got.images[1].t == [0.0, 0.5, 0.0]
     assert got.images[0].r == [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
