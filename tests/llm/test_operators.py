@@ -336,8 +336,11 @@ def brute_top(vectors, k=10):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("block", [4096, 300])
 @pytest.mark.parametrize("n,kind", [(7, "normal"), (1500, "normal"), (1500, "ties"), (1500, "sparse"), (0, "normal")])
-def test_top_k(spark, n, kind):
+def test_top_k(spark, monkeypatch, n, kind, block):
+    monkeypatch.setattr(topk, "CANDIDATES", block)
+    monkeypatch.setattr(topk, "QUERIES", min(block, 9))
     rng = np.random.default_rng(n)
     e = rng.normal(size=(n, 6)) if kind == "normal" else rng.integers(-1, 2, (n, 6)).astype(float) if kind == "ties" else rng.normal(size=(n, 6)) ** 5
     vectors = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(e)]
@@ -363,6 +366,33 @@ def test_bounds_leave_few_candidates(n):
         assert list(zip(-scores, ids, strict=True)) == want
 
 
+@pytest.mark.parametrize("k", [1, 10])
+def test_reading_stops_early(k):
+    """Where all lists have one clear order a few entries tell the best; with a floor, a block without any is left at once."""
+    n = 4096
+    x = np.arange(n)[:, None] * np.ones((1, 64), np.int64) + np.arange(64)
+    asked = np.ones((3, 64), np.int64)
+    asked[1] = -1
+    asked[2, :32] = -1
+    lists = topk.Lists(np.arange(n), x[np.random.default_rng(1).permutation(n)])
+    found = lists.best(np.full(2, -1), asked[:2], k)
+    assert lists.reads[-1][0] < 64 and [len(a) for a, _ in found] == [k, k]
+    for q, (_, scores) in zip(asked, found, strict=False):
+        assert sorted(scores, reverse=True) == sorted((x @ q).tolist(), reverse=True)[:k]
+    lists.reads.clear()
+    assert not lists.survivors(np.array([-1]), asked[:1], k, np.array([1e9])).any() and lists.reads == [(topk.FIRST, 0)]
+    spread = topk.Lists(np.arange(n), np.random.default_rng(2).integers(-500, 500, (n, 64)))
+    best = sorted((spread.x @ asked[2]).tolist(), reverse=True)
+    free, held = spread.survivors(np.array([-1]), asked[2:], k), spread.survivors(np.array([-1]), asked[2:], k, np.array([float(best[0])]))
+    assert held.sum() <= free.sum() and held[np.argmax(spread.x @ asked[2])].all()
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(100, [1e6] * 64), (2, [1.0] * 64)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="may not fit 64 bits"):
+        topk.op4(df).collect()
+
+
 # 5. Toxicity
 
 
