@@ -7,7 +7,8 @@ clamped sources are a prefix, so running sums over the table of sources give the
 
 A target is met by whole repetitions of each document and one further, fractional repetition: documents in
 the order of a seeded digest take one more copy up to the point at which the source's words are nearest the
-target.  That point is found from sums by digest prefix; only the one prefix that holds it is looked into.
+target.  That point is found from sums by digest prefix; only the one prefix that holds it is looked into, by longer
+prefixes first where it has very many documents.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null ``doc_id``
 digests as its own value.  Rows with the same ``doc_id`` in a source share a digest and are taken alike.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from densika.llm.storage import scratch, store
 
 GAPS = r"[\x20\x09-\x0D]+"
-PREFIX = 3  # hex digits of the digest: 4096 sums a source, and as many within one of their buckets
+PREFIX = 3  # hex digits of the digest: 4096 sums a source, and as many within one of their buckets if it is large
+LARGE = 1_000_000  # documents of a bucket that one task sorts
 
 
 def n_words(text: Column) -> Column:
@@ -66,37 +68,49 @@ def plan(meta: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
 
     A document takes ``whole`` copies, and one more if its digest is at most ``cut``.
     """
-    buckets = store(meta.groupBy("skey", F.substring("key", 1, PREFIX).alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
+    bucket = F.substring("key", 1, PREFIX).alias("bucket")
+    buckets = store(meta.groupBy("skey", bucket).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-buckets")
     targets = water_fill(buckets.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     epochs = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, epochs).otherwise(F.lit(0)).cast("long"))
-    targets = store(targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-targets")
-    level = targets.select("skey", "rest", F.lit("").alias("above"), F.lit(0).cast("long").alias("base"))
-    full, part = _cut(buckets, level)
-    # The bucket that holds the cut is cut up the same way, so that no task sorts a share of a large source.
-    fine = meta.withColumn("above", F.substring("key", 1, PREFIX)).join(part.select("skey", "above"), ["skey", "above"])
-    fine = store(fine.groupBy("skey", F.substring("key", 1, 2 * PREFIX).alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
-    more, part = _cut(fine, part)
-    inside = meta.withColumn("above", F.substring("key", 1, 2 * PREFIX)).join(part, ["skey", "above"])
+    targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    level = targets.select("skey", "rest", F.lit(0).cast("long").alias("base"))
+    first = store(targets.join(_cut(buckets, level), "skey", "left"), "mix-targets")
+    cuts, digits, part = first.select("skey", F.col("full").alias("cut")), PREFIX, _part(first)
+    if (first.agg(F.max("part.n")).first()[0] or 0) > LARGE:
+        # The bucket that holds the cut is cut up the same way, so that no task sorts a share of a very large source.
+        above = F.substring("key", 1, digits).alias("above")
+        fine = meta.select("*", above).join(part, ["skey", "above"]).groupBy("skey", F.substring("key", 1, 2 * PREFIX).alias("bucket"))
+        fine = fine.agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        second = store(part.select("skey", "rest").join(_cut(fine, part), "skey"), "mix-cut")
+        cuts, digits, part = cuts.unionByName(second.select("skey", F.col("full").alias("cut"))), 2 * PREFIX, _part(second)
+    inside = meta.select("*", F.substring("key", 1, digits).alias("above")).join(part, ["skey", "above"])
     inside = inside.groupBy("skey", "key").agg(F.sum("size").alias("size"), F.first("base").alias("base"), F.first("rest").alias("rest"))
     by_key = Window.partitionBy("skey").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.col("base") + F.sum("size").over(by_key))
     near = inside.where(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest")).groupBy("skey").agg(F.max("key").alias("cut"))
-    cuts = full.unionByName(more).unionByName(near).groupBy("skey").agg(F.max("cut").alias("cut"))
+    cuts = cuts.unionByName(near).groupBy("skey").agg(F.max("cut").alias("cut"))
     # A source at its cap has no fractional repetition left, not even for documents without words.
     cut = F.when(F.col("whole") < max_epochs, F.coalesce("cut", F.lit(""))).otherwise(F.lit(""))
-    return targets.join(cuts, "skey", "left").select("skey", "source_size", "target", "whole", cut.alias("cut"))
+    return first.join(cuts, "skey", "left").select("skey", "source_size", "target", "whole", cut.alias("cut"))
 
 
-def _cut(buckets: DataFrame, level: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``(skey, bucket, words)`` and ``(skey, rest, base)`` the last bucket under ``rest`` and the one that holds it."""
+def _cut(buckets: DataFrame, level: DataFrame) -> DataFrame:
+    """``(skey, full, part)`` of ``(skey, bucket, words, n)`` and ``(skey, rest, base)``.
+
+    ``full`` is just beyond the last bucket that ends under ``rest``, and ``part`` the one that holds it, with what is before it.
+    """
     running = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = level.select("skey", "rest", "base")  # one row a source
-    summed = buckets.withColumn("upto", F.sum("words").over(running)).join(own, "skey").withColumn("upto", F.col("upto") + F.col("base"))
-    full = summed.where(F.col("upto") <= F.col("rest")).groupBy("skey").agg(F.concat(F.max("bucket"), F.lit("g")).alias("cut"))
-    part = summed.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-    part = part.select("skey", "rest", F.col("bucket").alias("above"), (F.col("upto") - F.col("words")).alias("base"))
-    return full, store(part, "mix-cut")
+    summed = buckets.withColumn("upto", F.sum("words").over(running)).join(level.select("skey", "rest", "base"), "skey")  # one row a source
+    upto = F.col("upto") + F.col("base")
+    before = upto - F.col("words")
+    under = F.max(F.when(upto <= F.col("rest"), F.concat("bucket", F.lit("g"))))
+    holds = F.max(F.when((upto > F.col("rest")) & (before < F.col("rest")), F.struct("bucket", before.alias("base"), "n")))
+    return summed.groupBy("skey").agg(under.alias("full"), holds.alias("part"))
+
+
+def _part(cut: DataFrame) -> DataFrame:
+    return cut.where("part is not null").select("skey", "rest", F.col("part.bucket").alias("above"), F.col("part.base").alias("base"))
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
