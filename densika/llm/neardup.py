@@ -27,7 +27,7 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 ROUNDS = 1
+SPREAD = 64  # groups that a leader's members are dealt to
 _MULTIPLIERS = np.random.default_rng(6).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _CHOICES = [np.random.default_rng(100 + k).permutation(REGISTERS) for k in range(8)]
@@ -157,42 +158,69 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose estimate, with five standard errors added, reaches the threshold."""
+def _met(pairs: DataFrame, held: DataFrame, column: str, passes: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """Pairs ``(u, v)`` of which some ``column`` of u and of v ``passes``.
+
+    A leader's value is not joined to each of its pairs: it is sent once to each of ``SPREAD`` groups of its members at
+    most, where it comes first and is held while theirs go by.
+    """
+    salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int").alias("salt"))
+    heads = salted.select("u", "salt").distinct().join(held.select(F.col("node").alias("u"), F.col(column).alias("data")), "u")
+    members = salted.join(held.select(F.col("node").alias("v"), F.col(column).alias("data")), "v")
+    rows = heads.select("u", "salt", F.lit(None).cast("long").alias("v"), "data").unionByName(members.select("u", "salt", "v", "data"))
+    rows = rows.repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                value, n = estimate(_matrix(part.column("x")), _matrix(part.column("y")))
-                keep = value + 5 * np.sqrt(threshold * (1 - threshold) / n) >= threshold
-                yield part.filter(pa.array(keep)).select(["u", "v"])
+            u, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "salt"))
+            head = batch.column("v").is_null().to_numpy(zero_copy_only=False)
+            first, second, row = [], [], []
+            for i, key in enumerate(zip(u.tolist(), salt.tolist(), strict=True)):
+                if head[i]:
+                    if key != now:
+                        now, own = key, []
+                    own.append(batch.column("data")[i].as_py())
+                elif key == now:
+                    data = batch.column("data")[i].as_py()
+                    first += own
+                    second += [data] * len(own)
+                    row += [i] * len(own)
+            keep = np.unique(np.array(row, np.int64)[passes(first, second)]) if row else np.zeros(0, np.int64)
+            yield batch.take(pa.array(keep)).select(["u", "v"])
+
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
-    a = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x"))
-    b = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(tidy(run), "u long, v long")
+
+def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose estimate, with five standard errors added, reaches the threshold."""
+
+    def passes(first: list[bytes], second: list[bytes]) -> np.ndarray:
+        out = []
+        for lo in range(0, len(first), 2000):
+            x, y = (np.frombuffer(b"".join(side[lo : lo + 2000]), np.uint16).reshape(-1, REGISTERS) for side in (first, second))
+            value, n = estimate(x, y)
+            out.append(value + 5 * np.sqrt(threshold * (1 - threshold) / n) >= threshold)
+        return np.concatenate(out)
+
+    return _met(pairs, sketches, "sketch", passes)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with ``100 * intersection >= percent * union`` on full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
+    def passes(first: list[bytes], second: list[bytes]) -> np.ndarray:
+        keep = np.zeros(len(first), bool)
+        for i, (x, y) in enumerate(zip(first, second, strict=True)):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
                 both = np.concatenate((a, b))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+                keep[i] = 100 * common >= percent * (len(both) - common)
+        return keep
 
-    a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x"))
-    b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(tidy(run), "u long, v long")
+    return _met(pairs, sets, "hashes", passes)
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -286,7 +314,7 @@ def _clustered(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     sets = store(_full_sets(texts, width), "sets")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        return _verified(_likely(pairs, heads, percent / 100), sets, percent)
+        return _verified(store(_likely(pairs, heads, percent / 100), "likely"), sets, percent)
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         at_u = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))

@@ -486,8 +486,9 @@ def filled(sizes, total, weights=(5, 2, 1)):
     return out
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2, 3])
-def test_mixing(spark, seed):
+@pytest.mark.parametrize(("seed", "large"), [(0, 10**6), (1, 10**6), (2, 0), (3, 0)])
+def test_mixing(spark, monkeypatch, seed, large):
+    monkeypatch.setattr(mixing, "LARGE", large)
     rng = np.random.default_rng(seed)
     names = ["a", "B", "é", None, "zz", "", "n", "s"][: rng.integers(1, 9)]
     docs = [(i, " ".join(["w"] * int(rng.integers(0, 40))) if rng.random() < 0.95 else None, names[int(rng.integers(len(names)) * rng.random())]) for i in range(600)]
@@ -642,6 +643,16 @@ def test_a_shingle_of_many_sets_yields_few_pairs(spark):
     assert len(got) < 2000
 
 
+def test_pairs_are_tested_with_all_values_of_their_nodes(spark):
+    """Nodes may hold several values; a leader's come once to each group of its members, and any that passes counts."""
+    values = {1: [b"aa", b"bb"], 2: [b"aa"], 3: [b"bb", b"cc"], 4: [b"dd"], 5: []}
+    values |= {n: [b"bb" if n % 3 else b"zz"] for n in range(100, 700)}
+    held = spark.createDataFrame([(n, v) for n, own in values.items() for v in own], "node long, hashes binary").repartition(3)
+    links = [(1, n) for n in values if n != 1] + [(2, 3), (3, 4), (5, 4), (4, 5)]
+    got = neardup._met(spark.createDataFrame(links, "u long, v long"), held, "hashes", lambda a, b: np.array([x == y for x, y in zip(a, b, strict=True)]))
+    assert rows(got) == sorted(((u, v) for u, v in links if set(values[u]) & set(values[v])), key=repr)
+
+
 def test_prefix_pairs_miss_no_link(spark):
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.choice(60, int(rng.integers(1, 25)), replace=False)).astype(np.int64) for _ in range(120)]
