@@ -21,6 +21,7 @@ from densika.sources import files, maps, parameters, screening, structures, work
 from densika.sources.events import EventLog
 
 log = logging.getLogger(__name__)
+VOXELS_A_FILE = 4_000_000
 
 
 def discover(spark: SparkSession, run: Run) -> DataFrame:
@@ -71,8 +72,8 @@ def debias(spark: SparkSession, run: Run, template: str | dict = parameters.MAP_
     All are worked on together; one that fails is reported in ``error`` and doesn't stop the others.
     """
     out = Path(run.output_dir)
-    done = [(p.parent.name,) for p in out.glob("*/results") if any(p.iterdir())]
-    todo = jobs.pending(discover(spark, run), spark.createDataFrame(done, "id string"), ["id"], run.force)
+    done = workspace.listing(spark, out).where(F.col("below").rlike("^[^/]+/results/")).select(F.substring_index("below", "/", 1).alias("id")).distinct()
+    todo = jobs.pending(discover(spark, run), done, ["id"], run.force)
     crystals = [(r.id, r.pdb, r.mtz) for r in todo.orderBy("id").toLocalIterator()]  # a row a crystal, as in the manifest
     blocked = {s: fault for s, fault in workspace.layout(out, [c[0] for c in crystals]) if fault}
     with logged(out, "debias", fraction=run.debias.omit_fraction, iterations=run.debias.iterations, seed=run.debias.seed) as outcomes:
@@ -83,7 +84,10 @@ def debias(spark: SparkSession, run: Run, template: str | dict = parameters.MAP_
     (out / "jobs").mkdir(parents=True, exist_ok=True)
     lines = jobs.manifest_lines(spark.createDataFrame(good, "id string, model string, reflections string"))
     (out / "manifest.txt").write_text("".join(f"{r.value}\n" for r in lines.orderBy("value").toLocalIterator()), encoding="utf-8")
-    manifest = [str(p) for s, *_ in good for p in sorted((out / s / "params").glob(f"{s}_*.params"), key=lambda p: int(p.stem.rpartition("_")[2]))]
+    named = workspace.listing(spark, out).select("below", F.regexp_extract("below", r"^([^/]+)/params/(.*)_([0-9]+)[.]params$", 1).alias("stem"), F.regexp_extract("below", r"_([0-9]+)[.]params$", 1).cast("int").alias("n"))
+    named = named.where((F.col("stem") != "") & (F.col("below") == F.concat("stem", F.lit("/params/"), "stem", F.lit("_"), "n", F.lit(".params"))))
+    written = named.join(spark.createDataFrame([(i, c[0]) for i, c in enumerate(good)], "turn int, stem string"), "stem").orderBy("turn", "n")
+    manifest = [str(out / r.below) for r in written.toLocalIterator()]  # a row a job, as in the manifest
     size, scripts = run.slurm.chunk_size, []
     for n in range(0, len(manifest), size):
         part = manifest[n : n + size]
@@ -120,10 +124,10 @@ def _debias_batch(spark: SparkSession, run: Run, batch: list[tuple], template: s
         chosen = omission.sample_crystals(keys, omission.parse_selectors(d.always_omit), d.omit_fraction, d.iterations, d.seed)
         held = omission.omission_map(chosen.select("stem", "key").distinct(), chosen, ["stem"])
         place = F.concat(F.lit(f"{out}/"), "stem", F.lit("/metadata/"), "stem", F.lit("_omission_map.json"))
-        files.write_groups(held.select(place.alias("path"), "key", "map_ids"), workspace.omission_bytes)
+        files.write_groups(held.select(place.alias("path"), "key", "map_ids"), workspace.omission_bytes, out)
         told = jobs.selection_text(chosen, ["stem", "map_id"]).join(crystals, "stem").join(labels.drop("error"), "stem").withColumn("run", F.concat_ws("_", "stem", "map_id"))
         told = told.withColumn("path", F.concat(F.lit(f"{out}/"), "stem", F.lit("/params/"), "run", F.lit(".params")))
-        files.write_groups(told, lambda pdf: _map_parameters(pdf.iloc[0].to_dict(), out, d.simulated_annealing, template))
+        files.write_groups(told, lambda pdf: _map_parameters(pdf.iloc[0].to_dict(), out, d.simulated_annealing, template), out)
         for s, p, _ in good:
             folder = f"{out}/{s}/processed"
             for name, values in parameters.preparation_jobs(folder, s, os.path.splitext(p)[1].lower()).items():
@@ -254,23 +258,23 @@ RESIDUE_COLUMNS = {
 }
 
 
-def export(result: dict[str, DataFrame], folders: DataFrame, models: DataFrame) -> None:
-    """Files of each crystal in its folder ``(stem, folder)``: atoms and residues as CSV, the summary as JSON, the scored model.
+def export(result: dict[str, DataFrame], folders: DataFrame, models: DataFrame, root: str) -> None:
+    """Files of each crystal in its folder ``(stem, folder)`` under ``root``: atoms and residues as CSV, the summary as JSON, the scored model.
 
     The summary comes last and tells that the others are there.
     """
     place = F.concat("folder", F.lit("/"), "stem")
     atoms, header = files.csv_lines(result["atoms"].join(folders, "stem"), ATOM_COLUMNS)
-    files.write_lines(atoms.select(F.concat(place, F.lit("_atoms.csv")).alias("path"), F.col("atom_id").alias("turn"), "value"), header)
+    files.write_lines(atoms.select(F.concat(place, F.lit("_atoms.csv")).alias("path"), F.col("atom_id").alias("turn"), "value"), root, header)
     order = F.struct("chain", "resnum", "icode", "resname")
     turn = F.row_number().over(Window.partitionBy("stem").orderBy(order))
     residues, header = files.csv_lines(result["residues"].join(folders, "stem"), RESIDUE_COLUMNS)
-    files.write_lines(residues.select(F.concat(place, F.lit("_residues.csv")).alias("path"), turn.alias("turn"), "value"), header)
+    files.write_lines(residues.select(F.concat(place, F.lit("_residues.csv")).alias("path"), turn.alias("turn"), "value"), root, header)
     scored = structures.scored_lines(models, result["atoms"].select("stem", "chain", "resnum", "icode", "atom", "score"), by=["stem"])
-    files.write_lines(scored.join(folders, "stem").select(F.concat(place, F.lit("_scored.pdb")).alias("path"), F.col("atom_id").alias("turn"), "value"))
+    files.write_lines(scored.join(folders, "stem").select(F.concat(place, F.lit("_scored.pdb")).alias("path"), F.col("atom_id").alias("turn"), "value"), root)
     named = result["summary"].withColumnRenamed("threshold", "significance_snr_threshold").join(folders, "stem")
     told = F.to_json(F.struct(*[c for c in named.columns if c != "folder"]), {"ignoreNullFields": "false"})
-    files.write_lines(named.select(F.concat(place, F.lit("_summary.json")).alias("path"), F.lit(0).alias("turn"), told.alias("value")))
+    files.write_lines(named.select(F.concat(place, F.lit("_summary.json")).alias("path"), F.lit(0).alias("turn"), told.alias("value")), root)
 
 
 def first_maps(spark: SparkSession, found: list[workspace.Experiment], cap: int) -> tuple[list[tuple], list[Outcome]]:
@@ -293,6 +297,18 @@ def first_maps(spark: SparkSession, found: list[workspace.Experiment], cap: int)
     return rows, faults
 
 
+def unreadable(spark: SparkSession, found: list[workspace.Experiment]) -> dict[str, str]:
+    """Faults of models and omission files, by stem: found before the plan that all crystals share, which they don't enter."""
+    if not found:
+        return {}
+    out = {}
+    for models in ({e.stem: str(e.processed) for e in found}, {e.stem: str(e.original) for e in found if e.original}):
+        out |= {r.stem: r.error for r in (structures.model_faults(spark, models).toLocalIterator() if models else ())}  # a row a faulty crystal
+    held = workspace.omission_faults(spark, [str(e.omission_json) for e in found])
+    stem = F.regexp_extract(files.local_path(F.col("path")), "([^/]*)_omission_map[.]json$", 1)
+    return out | {r.stem: r.error for r in held.select(stem.alias("stem"), "error").toLocalIterator()}
+
+
 def run_quantification(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | None = 50, force: bool = False, n_null: int = 20_000, seed: int = 0) -> DataFrame:
     """Signal, noise, their ratio and p-values of all experiments under ``root``; ``(stem, path, error)``.
 
@@ -300,14 +316,14 @@ def run_quantification(spark: SparkSession, root: str, k: float = 1.0, n_maps: i
     ``quantify_results/k_<k>_cap_<cap>``, the ratio last, which marks it as done, and its null parameters in
     ``metadata``; all voxels also make a table under ``root``.  ``n_maps`` None takes all maps there are.
     """
-    found = list(workspace.find_experiments(root))
+    found = workspace.experiments(spark, root)
     if not found:
         raise ValueError(f"no experiment at {root}")
     rows, todo = [], {}
     for e in found:
         cap = len(e.map_files(None)) if n_maps is None else n_maps
         target = e.quantify_dir / f"k_{k}_cap_{cap}" / f"{e.stem}_snr.ccp4"
-        if target.exists() and not force:
+        if e.has(target.relative_to(e.root).as_posix()) and not force:
             rows.append((e.stem, str(target), None))
         else:
             todo.setdefault(cap, []).append(e)
@@ -322,7 +338,10 @@ def run_quantification(spark: SparkSession, root: str, k: float = 1.0, n_maps: i
 def _quantify_batch(spark: SparkSession, root: str, batch: list[workspace.Experiment], k: float, cap: int, n_null: int, seed: int) -> list[Outcome]:
     heads, faults = first_maps(spark, batch, cap)
     known = {h[0] for h in heads}
-    good = [e for e in batch if e.stem in known]
+    bad = unreadable(spark, [e for e in batch if e.stem in known])
+    faults += [(s, None, fault) for s, fault in bad.items()]
+    heads = [h for h in heads if h[0] not in bad]
+    good = [e for e in batch if e.stem in known - bad.keys()]
     if not good:
         return faults
     crystals = crystal_table(spark, heads)
@@ -332,8 +351,11 @@ def _quantify_batch(spark: SparkSession, root: str, batch: list[workspace.Experi
     held = workspace.read_omissions(spark, [str(e.omission_json) for e in good])
     held = held.select(F.regexp_extract(files.local_path(F.col("path")), "([^/]*)_omission_map[.]json$", 1).alias("stem"), "key", "map_ids")
     table = f"{root}/quantify_table/k_{k}_cap_{cap}"
-    written = quantify_crystals(voxels, crystals, held, models, k, cap).write.partitionBy("stem").mode("overwrite")
-    written.option("partitionOverwriteMode", "dynamic").parquet(table)
+    # A crystal's voxels make as many files as its grid is large, however many tasks there are.
+    parts = F.ceil(F.aggregate("dims", F.lit(1).cast("long"), lambda a, n: a * n) / VOXELS_A_FILE)
+    dealt = quantify_crystals(voxels, crystals, held, models, k, cap).join(crystals.select("stem", parts.alias("parts")), "stem")
+    dealt = dealt.repartition("stem", F.pmod(F.xxhash64("i", "j", "k"), F.col("parts"))).drop("parts")
+    dealt.write.partitionBy("stem").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table)
     snr = spark.read.schema("i int, j int, k int, mean double, std double, snr double, stem string").parquet(table).join(crystals.select("stem"), "stem", "left_semi")
     originals = structures.read_structures(spark, {e.stem: str(e.original or e.processed) for e in good})
     params = {r.stem: r for r in null_fits(snr, crystals, originals, n_null, seed).toLocalIterator()}  # a row a crystal
@@ -344,7 +366,7 @@ def _quantify_batch(spark: SparkSession, root: str, batch: list[workspace.Experi
     folders = spark.createDataFrame([(e.stem, str(e.quantify_dir / f"k_{k}_cap_{cap}")) for e in good], "stem string, folder string")
     for name in ("mean", "std", "p_value", "snr"):
         path = F.concat("folder", F.lit("/"), "stem", F.lit(f"_{name}.ccp4"))
-        maps.write_ccp4(full.join(folders, "stem").select("stem", path.alias("path"), "i", "j", "k", F.coalesce(F.col(name), F.lit(0.0)).cast("float").alias("value")), crystals)
+        maps.write_ccp4(full.join(folders, "stem").select("stem", path.alias("path"), "i", "j", "k", F.coalesce(F.col(name), F.lit(0.0)).cast("float").alias("value")), crystals, os.path.abspath(root))
     return faults + [(e.stem, str(e.quantify_dir / f"k_{k}_cap_{cap}" / f"{e.stem}_snr.ccp4"), None) for e in good]
 
 
@@ -354,10 +376,10 @@ def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | N
     The null parameters of a crystal's quantification set its thresholds by ``alpha``; without any the usual
     ones hold.  A map or model that is given takes the place of those found, as for a single experiment.
     """
-    found = list(workspace.find_experiments(root))
+    found = workspace.experiments(spark, root)
     if not found:
         raise ValueError(f"no experiment at {root}")
-    listing = [(e.stem, str(p)) for e in found for p in e.quantify_dir.glob(f"k_*_cap_*/{e.stem}_snr.ccp4")]
+    listing = [(e.stem, str(p)) for e in found for p in e.matching(f"quantify_results/k_*_cap_*/{e.stem}_snr.ccp4")]
     chosen = workspace.chosen_maps(spark.createDataFrame(listing, "stem string, path string"), k, n_maps)
     named = {r.stem: r.path for r in chosen.toLocalIterator()}  # a row a crystal
     todo, rows = [], []
@@ -369,14 +391,14 @@ def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | N
         else:
             todo.append((e, str(grid), str(model)))
     with logged(root, "analyse", k_factor=k, map_cap=n_maps, significance_alpha=alpha) as outcomes:
-        rows += isolated(todo, lambda batch: _analyse_batch(spark, batch, k, n_maps or 50, alpha, cfg, table), lambda x: x[0].stem)
+        rows += isolated(todo, lambda batch: _analyse_batch(spark, root, batch, k, n_maps or 50, alpha, cfg, table), lambda x: x[0].stem)
         outcomes(rows)
     out = spark.createDataFrame(rows, "stem string, path string, error string")
     screen_report(spark, root, {r[0]: r[2] for r in rows if r[2]}, ligand, reach)
     return out
 
 
-def _analyse_batch(spark: SparkSession, batch: list[tuple[workspace.Experiment, str, str]], k: float, cap: int, alpha: float, cfg: Scoring | None, table: DataFrame | None) -> list[Outcome]:
+def _analyse_batch(spark: SparkSession, root: str, batch: list[tuple[workspace.Experiment, str, str]], k: float, cap: int, alpha: float, cfg: Scoring | None, table: DataFrame | None) -> list[Outcome]:
     listed = spark.createDataFrame([(e.stem, grid) for e, grid, _ in batch], "stem string, file string")
 
     def with_stem(df: DataFrame) -> DataFrame:
@@ -386,7 +408,7 @@ def _analyse_batch(spark: SparkSession, batch: list[tuple[workspace.Experiment,
     heads = with_stem(maps.read_ccp4_headers(spark, grids)).where("error is null").drop("error")
     fine = maps.read_mtz_headers(spark, [str(p) for e, *_ in batch for p in e.map_files(None).values()]).select("resolution", *workspace.map_name(F.col("path")))
     fine = fine.where("resolution is not null").groupBy("stem").agg(F.min_by("resolution", "map_id").alias("resolution"))
-    stored = [str(p) for e, *_ in batch for p in e.root.glob(f"metadata/{e.stem}_null_params_k*_cap*.json")]
+    stored = [str(p) for e, *_ in batch for p in e.matching(f"metadata/{e.stem}_null_params_k*_cap*.json")]
     none = spark.createDataFrame([], "stem string, df double, loc double, scale double, exact boolean")
     params = workspace.null_parameters(workspace.read_null_tables(spark, stored), k, cap) if stored else none
     limit = F.pandas_udf(lambda df, loc, scale: pd.Series([student_t.quantile(1 - alpha, *x) for x in zip(df, loc, scale, strict=True)]), "double")
@@ -397,9 +419,10 @@ def _analyse_batch(spark: SparkSession, batch: list[tuple[workspace.Experiment,
     result = score_models(grid, models, crystals, cfg, table)
     result["summary"] = result["summary"].withColumn("significance_alpha", F.lit(alpha))
     folders = {e.stem: str(e.root / "analyse_results") for e, *_ in batch}
-    export(result, spark.createDataFrame(list(folders.items()), "stem string, folder string"), models)
-    done = [(s, f"{f}/{s}_summary.json", None) for s, f in folders.items()]
-    return [d if Path(d[1]).exists() else (d[0], None, f"no result of {d[0]}: unreadable map or reflections") for d in done]
+    export(result, spark.createDataFrame(list(folders.items()), "stem string, folder string"), models, os.path.abspath(root))
+    told = workspace.listing(spark, root).where(F.col("below").rlike("analyse_results/[^/]*_summary[.]json$"))
+    there = {r.stem for r in told.select(F.regexp_extract("below", "([^/]*)_summary[.]json$", 1).alias("stem")).toLocalIterator()}  # a row a crystal
+    return [(s, f"{f}/{s}_summary.json", None) if s in there else (s, None, f"no result of {s}: unreadable map or reflections") for s, f in folders.items()]
 
 
 def screen_report(spark: SparkSession, root: str, errors: dict[str, str] | None = None, ligand: str = "LIG", reach: float = 10.0) -> DataFrame:
@@ -407,7 +430,7 @@ def screen_report(spark: SparkSession, root: str, errors: dict[str, str] | None
 
     An experiment without analysis has nulls, and the reason in ``error``.
     """
-    found = list(workspace.find_experiments(root))
+    found = workspace.experiments(spark, root)
     rows = [(e.stem, str(e.original) if e.original else None, (errors or {}).get(e.stem)) for e in found]
     experiments = spark.createDataFrame(rows, "stem string, model string, error string")
     results = report.collected(spark, experiments, found, ligand, reach)

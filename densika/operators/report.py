@@ -207,7 +207,7 @@ def collected(spark: SparkSession, experiments: DataFrame, found: Sequence[Exper
     """Everything known of each experiment: summary, the ligand's scores and surroundings, maps, reflections."""
 
     def there(suffix: str) -> list[str]:
-        return [str(p) for e in found if (p := e.root / "analyse_results" / f"{e.stem}_{suffix}").exists()]
+        return [str(e.root / name) for e in found if e.has(name := f"analyse_results/{e.stem}_{suffix}")]
 
     jsons = there("summary.json")
     summaries = spark.read.schema(SUMMARY).json(jsons) if jsons else spark.createDataFrame([], SUMMARY)
@@ -223,9 +223,9 @@ def collected(spark: SparkSession, experiments: DataFrame, found: Sequence[Exper
         parts += [neighbour_counts(near, by), neighbour_lists(near, by), centre]
     else:
         parts.append(spark.createDataFrame([], "stem string, n_protein long, n_water long, n_other long, cx double, cy double, cz double"))
-    listing = spark.createDataFrame([(e.stem, str(p)) for e in found for p in e.quantify_dir.glob("k_*_cap_*/*.ccp4")], "stem string, path string")
+    listing = spark.createDataFrame([(e.stem, str(p)) for e in found for p in e.matching("quantify_results/k_*_cap_*/*.ccp4")], "stem string, path string")
     parts += [maps_by_suffix(listing, s).withColumnRenamed("paths", f"{s}_maps") for s in ("snr", "mean")]
-    jobs = [(e.stem, str(parameters.get(parameters.load(p), "input.xray_data.file_name", ""))) for e in found for p in sorted((e.root / "params").glob(f"{e.stem}_0.params"))]
+    jobs = [(e.stem, str(parameters.get(parameters.load(p), "input.xray_data.file_name", ""))) for e in found for p in e.matching(f"params/{e.stem}_0.params")]
     named = spark.createDataFrame(jobs, "stem string, value string")
     manifest = [str(p) for p in {e.root.parent / "manifest.txt" for e in found} if p.exists()]
     told = read_manifest(spark, manifest) if manifest else spark.createDataFrame([], "id string, model string, reflections string")

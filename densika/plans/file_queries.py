@@ -37,7 +37,7 @@ def folder(s: SparkSession, name: str) -> str:
 def omission_json(s: SparkSession, d: str) -> DataFrame:
     out = folder(s, "omission")
     held = _omission_maps(s, d).withColumn("path", F.concat(F.lit(f"{out}/"), F.col("crystal").cast("string"), F.lit("_omission_map.json")))
-    files.write_groups(held.select("path", "key", "map_ids"), workspace.omission_bytes)
+    files.write_groups(held.select("path", "key", "map_ids"), workspace.omission_bytes, out)
     read = workspace.read_omissions(s, out)
     crystal = F.regexp_extract("path", "([0-9]+)_omission_map", 1).cast("int")
     return read.select(crystal.alias("crystal"), "key", F.size("map_ids").cast("long").alias("n_maps"))
@@ -74,7 +74,7 @@ def ccp4_round_trip(s: SparkSession, d: str) -> DataFrame:
     out = folder(s, "ccp4")
     crystals = api.crystal_table(s, [api.crystal_row("g", CELL, A.DIMS, 2.0)])
     voxels = A.grid(s).select(F.lit("g").alias("stem"), F.lit(f"{out}/g_snr.ccp4").alias("path"), "i", "j", "k", F.col("value").cast("float").alias("value"))
-    maps.write_ccp4(voxels, crystals)
+    maps.write_ccp4(voxels, crystals, out)
     return rounded(maps.read_ccp4(s, out).select("i", "j", "k", F.col("value").cast("double").alias("value")), "value")
 
 
@@ -91,7 +91,7 @@ def pdb_round_trip(s: SparkSession, d: str) -> DataFrame:
     out, atoms = folder(s, "pdb"), _model_atoms(s, d)
     none = s.createDataFrame([], "chain string, resnum int, icode string, atom string, score double")
     lines = structures.scored_lines(atoms, none).select(F.lit(f"{out}/m.pdb").alias("path"), F.col("atom_id").alias("turn"), "value")
-    files.write_lines(lines)
+    files.write_lines(lines, out)
     got = structures.read_structures(s, {"m": f"{out}/m.pdb"})
     return rounded(got.select("serial", "record", "atom", "resname", "chain", "resnum", "x", "y", "z", "b_iso"), "x", "y", "z", digits=3)
 
@@ -102,7 +102,7 @@ def mmcif_round_trip(s: SparkSession, d: str) -> DataFrame:
     names = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "auth_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "pdbx_PDB_model_num"]
     line = F.concat_ws(" ", "record", "serial", "element", "atom", "resname", "chain", "resnum", *[F.format_string("%.3f", c) for c in "xyz"], F.lit("1"))
     header = "\n".join(["data_m", "loop_", *[f"_atom_site.{n}" for n in names]])
-    files.write_lines(atoms.select(F.lit(f"{out}/m.cif").alias("path"), F.col("atom_id").alias("turn"), line.alias("value")), header)
+    files.write_lines(atoms.select(F.lit(f"{out}/m.cif").alias("path"), F.col("atom_id").alias("turn"), line.alias("value")), out, header)
     got = structures.read_structures(s, {"m": f"{out}/m.cif"})
     return rounded(got.select("serial", "record", "atom", "resname", "chain", "resnum", "x", "y", "z"), "x", "y", "z", digits=3)
 
@@ -204,7 +204,7 @@ def _exported(s: SparkSession, d: str) -> str:
     summary = aggregates.summary(scores, ["stem"]).join(aggregates.opia(scores, bonded, 0.5, ["stem"]), "stem").withColumn("threshold", F.when(F.col("stem") == "A", 0.75))
     models = _model_atoms(s, d).withColumn("stem", F.col("chain"))
     folders = s.createDataFrame([(c, f"{out}/{c}") for c in "ABC"], "stem string, folder string")
-    api.export({"atoms": scores, "residues": residues, "summary": summary}, folders, models)
+    api.export({"atoms": scores, "residues": residues, "summary": summary}, folders, models, out)
     return out
 
 

@@ -1,8 +1,6 @@
-"""One file for each group of rows, written by the task that holds the group.
+"""One file for each group of rows, made by the task that holds the group and committed with all others of the job.
 
-For files that are small by nature, as those of one model or one map: the target is a folder that all executors
-share, and a file is written beside its place and renamed, so that readers see all of it or nothing, however
-often a lost task is run again.
+For files that are small by nature, as those of one model or one map.
 """
 
 from __future__ import annotations
@@ -16,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from densika.sources.sink import write_files
+
 
 def local_path(path: Column) -> Column:
     """A file's path as the local file system has it, from the form in which readers give it."""
@@ -23,31 +23,30 @@ def local_path(path: Column) -> Column:
 
 
 def put(path: str, data: bytes) -> None:
+    """One file from the driver, written beside its place and renamed."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     beside = f"{path}.{uuid.uuid4().hex}"
     Path(beside).write_bytes(data)
     os.replace(beside, path)
 
 
-def write_groups(rows: DataFrame, content: Callable[[pd.DataFrame], bytes]) -> int:
-    """Writes ``content`` of the rows of each ``path`` there; the number of files."""
+def write_groups(rows: DataFrame, content: Callable[[pd.DataFrame], bytes], root: str) -> None:
+    """Writes ``content`` of the rows of each ``path`` there, all of them somewhere under ``root``: all files or none."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = content(pdf)
-        put(key[0], data)
-        return pd.DataFrame({"path": [key[0]], "bytes": [len(data)]})
+        return pd.DataFrame({"path": [key[0]], "data": [content(pdf)]})
 
-    return rows.groupBy("path").applyInPandas(run, "path string, bytes long").count()
+    write_files(rows.groupBy("path").applyInPandas(run, "path string, data binary"), root)
 
 
-def write_lines(rows: DataFrame, header: str | None = None) -> int:
-    """Text files of ``(path, turn, value)``, lines in order of ``turn``."""
+def write_lines(rows: DataFrame, root: str, header: str | None = None) -> None:
+    """Text files of ``(path, turn, value)`` under ``root``, lines in order of ``turn``."""
 
     def content(pdf: pd.DataFrame) -> bytes:
         lines = ([header] if header else []) + pdf.sort_values("turn")["value"].tolist()
         return ("\n".join(lines) + "\n").encode()
 
-    return write_groups(rows.select("path", "turn", "value"), content)
+    write_groups(rows.select("path", "turn", "value"), content, root)
 
 
 def csv_lines(df: DataFrame, columns: dict[str, int | None]) -> tuple[DataFrame, str]:

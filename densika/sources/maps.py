@@ -101,15 +101,15 @@ def read_ccp4_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("content")).mapInPandas(run, f"path string, {LATTICE}, error string")
 
 
-def write_ccp4(voxels: DataFrame, crystals: DataFrame, by: str = "stem") -> int:
-    """CCP4 files at ``path`` of voxels ``(by, path, i, j, k, value)``, a whole cell each; nodes without a row are 0."""
+def write_ccp4(voxels: DataFrame, crystals: DataFrame, root: str, by: str = "stem") -> None:
+    """CCP4 files at ``path``, under ``root``, of voxels ``(by, path, i, j, k, value)``, a whole cell each; nodes without a row are 0."""
 
     def content(pdf: pd.DataFrame) -> bytes:
         out = np.zeros(tuple(pdf["dims"].iloc[0]), np.float32)
         out[pdf["i"], pdf["j"], pdf["k"]] = pdf["value"]
         return format_ccp4(out, Cell(*pdf["cell"].iloc[0]), int(pdf["spacegroup"].iloc[0]))
 
-    return files.write_groups(voxels.join(crystals.select(by, "dims", "cell", "spacegroup"), by), content)
+    files.write_groups(voxels.join(crystals.select(by, "dims", "cell", "spacegroup"), by), content, root)
 
 
 def ccp4_files(voxels: DataFrame, by: str, cell: Cell, dims: tuple[int, int, int]) -> DataFrame:

@@ -9,13 +9,17 @@ from __future__ import annotations
 import json
 import logging
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from glob import escape
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from densika.sources.files import local_path, write_groups
 
@@ -25,28 +29,37 @@ MODEL_EXTENSIONS = (".pdb", ".cif")
 
 @dataclass(frozen=True)
 class Experiment:
+    """One crystal's folder; ``files`` are the paths below it that a listing found, else the folder itself is looked into."""
+
     stem: str
     root: Path
+    files: frozenset[str] | None = None
+
+    def has(self, name: str) -> bool:
+        return (self.root / name).is_file() if self.files is None else name in self.files
+
+    def matching(self, pattern: str) -> list[Path]:
+        """Sorted files below the folder; a ``*`` stays within one part of the path."""
+        if self.files is None:
+            return sorted(p for p in self.root.glob(pattern) if p.is_file())
+        parts = pattern.split("/")
+        fits = (f for f in self.files if f.count("/") == len(parts) - 1 and all(map(fnmatchcase, f.split("/"), parts)))
+        return sorted(self.root / f for f in fits)
 
     @property
     def processed(self) -> Path:
-        found = (self.root / "processed" / f"{self.stem}_updated{e}" for e in MODEL_EXTENSIONS)
-        return next((p for p in found if p.exists()), self.root / "processed" / f"{self.stem}_updated.pdb")
+        named = [f"processed/{self.stem}_updated{e}" for e in MODEL_EXTENSIONS]
+        return self.root / next((n for n in named if self.has(n)), named[0])
 
     @property
     def original(self) -> Path | None:
-        named = [self.root / f"{self.stem}{e}" for e in MODEL_EXTENSIONS]
-        others = [p for e in MODEL_EXTENSIONS for p in sorted(self.root.glob(f"*{e}"))]
-        return next((p for p in [*named, *others] if p.exists()), None)
+        named = [self.root / f"{self.stem}{e}" for e in MODEL_EXTENSIONS if self.has(f"{self.stem}{e}")]
+        return next(iter([*named, *(p for e in MODEL_EXTENSIONS for p in self.matching(f"*{e}"))]), None)
 
     @property
     def omission_json(self) -> Path:
         return self.root / "metadata" / f"{self.stem}_omission_map.json"
 
-    @property
-    def results(self) -> Path:
-        return self.root / "results"
-
     @property
     def quantify_dir(self) -> Path:
         return self.root / "quantify_results"
@@ -54,7 +67,7 @@ class Experiment:
     def map_files(self, cap: int | None) -> dict[int, Path]:
         """The maps there are, by number, below ``cap``."""
         found = {}
-        for path in self.results.glob(f"{self.stem}_*/{self.stem}_*.mtz"):
+        for path in self.matching(f"results/{escape(self.stem)}_*/{escape(self.stem)}_*.mtz"):
             number = path.stem.removeprefix(f"{self.stem}_")
             if number.isdigit() and path.parent.name == path.stem and (cap is None or int(number) < cap):
                 found[int(number)] = path
@@ -64,11 +77,47 @@ class Experiment:
         return self.root / "metadata" / f"{self.stem}_null_params_k{k}_cap{cap}.json"
 
     def missing(self) -> list[Path]:
-        return [p for p in (self.processed, self.omission_json) if not p.exists()]
+        return [p for p in (self.processed, self.omission_json) if not self.has(p.relative_to(self.root).as_posix())]
+
+
+def listing(spark: SparkSession, root: str | Path) -> DataFrame:
+    """``(path, below, size)`` of all files under ``root`` through Spark's file source: no contents are read."""
+    top = str(root) if ":/" in str(root) else os.path.abspath(root)
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top).select("path", "length")
+    except AnalysisException as fault:
+        if "PATH_NOT_FOUND" not in str(fault):
+            raise
+        return spark.createDataFrame([], "path string, below string, size long")
+    plain = F.regexp_replace("path", "^file:/+", "/")  # here names aren't encoded
+    start = re.sub("^file:/+", "/", top).rstrip("/")
+    return found.select(plain.alias("path"), F.substring(plain, F.lit(len(start) + 2), F.length(plain)).alias("below"), F.col("length").alias("size"))
+
+
+def experiments(spark: SparkSession, root: str | Path) -> list[Experiment]:
+    """The folder itself if it is an experiment, else those of its sub-folders that are; others are warned of.
+
+    Files are listed and gathered by folder on the cluster; the driver gets a row a crystal.
+    """
+    top, rows = Path(root), listing(spark, root)
+    inner = F.substring_index("below", "/", 1)
+    own = rows.where(F.col("below").startswith("processed/") | F.col("below").startswith("metadata/")).select("below")
+    here = Experiment(top.name, top, frozenset(r.below for r in own.where(F.col("below").contains(f"/{top.name}_updated.") | F.col("below").endswith("_omission_map.json")).toLocalIterator()))
+    if not here.missing():
+        return [Experiment(top.name, top, frozenset(r.below for r in rows.select("below").toLocalIterator()))]
+    folders = rows.where("below like '%/%'").groupBy(inner.alias("folder")).agg(F.collect_list(F.substring("below", F.length(inner) + 2, F.length("below"))).alias("files"))
+    out = []
+    for r in folders.orderBy("folder").toLocalIterator():
+        found = Experiment(r.folder, top / r.folder, frozenset(r.files))
+        if gone := found.missing():
+            log.warning("%s is no experiment: %s missing", found.root, ", ".join(map(str, gone)))
+        else:
+            out.append(found)
+    return out
 
 
 def find_experiments(path: str | Path) -> Iterator[Experiment]:
-    """The folder itself if it is an experiment, else those of its sub-folders that are; others are warned of."""
+    """``experiments`` of a local folder, without a session."""
     root = Path(path)
     own = Experiment(root.name, root)
     if (root / "processed").is_dir() and not own.missing():
@@ -83,7 +132,7 @@ def find_experiments(path: str | Path) -> Iterator[Experiment]:
 
 
 def experiments_frame(spark: SparkSession, path: str | Path) -> DataFrame:
-    rows = [(e.stem, str(e.root), str(e.processed), str(e.original or ""), str(e.omission_json)) for e in find_experiments(path)]
+    rows = [(e.stem, str(e.root), str(e.processed), str(e.original or ""), str(e.omission_json)) for e in experiments(spark, path)]
     return spark.createDataFrame(rows, "stem string, root string, processed_pdb string, original_pdb string, omission_json string")
 
 
@@ -107,6 +156,13 @@ def read_omissions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return held.select("path", F.explode("m").alias("key", "map_ids"))
 
 
+def omission_faults(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, error)`` of omission files that are no JSON object of lists of whole numbers."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "map<string,array<int>>").alias("m"))
+    odd = F.exists(F.map_values("m"), lambda ids: ids.isNull() | F.exists(ids, lambda i: i.isNull()))
+    return raw.where(F.col("m").isNull() | odd).select("path", F.lit("unreadable omission file").alias("error"))
+
+
 def omission_bytes(pdf: pd.DataFrame) -> bytes:
     """One crystal's rows ``(key, map_ids)`` as its file holds them."""
     return json.dumps({k: [int(m) for m in ids] for k, ids in sorted(zip(pdf["key"], pdf["map_ids"], strict=True))}).encode()
@@ -114,7 +170,8 @@ def omission_bytes(pdf: pd.DataFrame) -> bytes:
 
 def write_omissions(omissions: DataFrame, path: str | Path) -> None:
     """One crystal's omission file; its size is that of one model."""
-    write_groups(omissions.select(F.lit(os.path.abspath(path)).alias("path"), "key", "map_ids"), omission_bytes)
+    place = os.path.abspath(path)
+    write_groups(omissions.select(F.lit(place).alias("path"), "key", "map_ids"), omission_bytes, os.path.dirname(place))
 
 
 def chosen_maps(listing: DataFrame, k: float, cap: int | None) -> DataFrame:
