@@ -6,10 +6,10 @@ are a block, and every distinct block is indexed under its anchor with the docum
 Equal windows have equal anchors wherever they stand, so a window can only occur again in blocks of its
 anchor, and each document is factored against every block that could hold one of its windows.
 
-Parsing is greedy: a factor starts at a window that an earlier document holds, refers to the place of its
-first occurrence, and is extended for as long as the next block or window stands next in the reference too;
-where it ends the next factor takes over, without words taken twice.  A block that an earlier document holds is
-taken whole.  Where an anchor has several blocks a factor may end inside one; these boundaries are checked
+Parsing is greedy: matches start at windows that an earlier document holds, refer to the place of their first
+occurrence, and go on along that document for as long as the text has its words, past blocks that still smaller
+documents hold.  Of the matches at a place the one that reaches furthest is the factor; where it ends the next takes
+over, without words taken twice.  A block that an earlier document holds is taken whole.  Where an anchor has several blocks a factor may end inside one; these boundaries are checked
 window by window on 128-bit hashes of their words, against the blocks' first occurrences, which hold every
 smallest document.  Factors are thus exactly the unions of windows whose words also start in a smaller document.
 
@@ -19,7 +19,8 @@ copies meet in minima that are taken before they are shuffled.
 Nulls: a null text has no words; a null ``doc_id`` neither removes nor loses words.  Rows that share a
 ``doc_id`` are no source for each other.  Texts under 50 words are kept whole.  An empty table gives an
 empty result, and further columns, whatever their names, are ignored.  Very long texts are read in pieces and
-parsed whole.  Of several places in the first document that hold a window a factor refers to any one.
+parsed whole.  Of several places in the first document that hold a window a factor refers to any one.  A stretch of
+more than a window's words that all have their first place in a still smaller document is a factor of its own.
 """
 
 from __future__ import annotations
@@ -129,18 +130,39 @@ def _duplicate_ranges(docs: DataFrame, window: int) -> DataFrame:
 
 
 def factors(ranges: dict[str, np.ndarray], window: int) -> dict[str, np.ndarray]:
-    """Greedy factors of a text with these ranges of duplicate window starts: words ``lo`` to ``hi`` are those of ``source`` from ``at`` on."""
+    """Greedy factors of a text with these ranges of duplicate window starts: words ``lo`` to ``hi`` are those of ``source`` from ``at`` on.
+
+    Ranges of one source at one distance from the text are one match where their windows overlap or touch, whatever other
+    source holds a block between them: each word between is in a window of either side.  From the first word not yet
+    covered on, the match that reaches furthest is the next factor.
+    """
     order = np.lexsort((-ranges["hi"], ranges["lo"]))
     order = order[np.diff(ranges["lo"][order], prepend=-1) != 0]  # repeated rows have repeated ranges
-    lo, hi, source, at = (ranges[c][order] for c in ("lo", "hi", "source", "at"))
-    if not len(lo):
-        return {"lo": lo, "hi": hi, "source": source, "at": at}
-    goes_on = (source[1:] == source[:-1]) & (at[1:] - lo[1:] == at[:-1] - lo[:-1]) & (lo[1:] == hi[:-1] + 1)
-    opens = np.flatnonzero(np.append(True, ~goes_on))
-    until = hi[np.append(opens[1:], len(lo)) - 1] + window
-    begins = np.maximum(lo[opens], np.append(0, np.maximum.accumulate(until)[:-1]))
-    more = begins < until
-    return {"lo": begins[more], "hi": until[more], "source": source[opens][more], "at": (at[opens] + begins - lo[opens])[more]}
+    lo, until, source, at = ranges["lo"][order], ranges["hi"][order] + window, ranges["source"][order], ranges["at"][order]
+    shift = at - lo
+    by = np.lexsort((lo, shift, source))
+    lo, until, source, shift = lo[by], until[by], source[by], shift[by]
+    same = (source[1:] == source[:-1]) & (shift[1:] == shift[:-1])
+    # Within a source and distance the ends rise with the starts, as ranges don't hold each other.
+    opens = np.flatnonzero(np.append(True, ~(same & (lo[1:] <= until[:-1])))) if len(lo) else np.zeros(0, np.int64)
+    first, last = lo[opens], until[np.append(opens[1:], len(lo)) - 1] if len(lo) else lo
+    source, shift = source[opens], shift[opens]
+    by = np.lexsort((-last, first))
+    first, last, source, shift = first[by], last[by], source[by], shift[by]
+    out: list[tuple[int, int, int, int]] = []
+    covered, k = 0, 0
+    while k < len(first):
+        covered = max(covered, int(first[k]))
+        best, reach = -1, covered
+        while k < len(first) and first[k] <= covered:
+            if last[k] > reach:
+                best, reach = k, int(last[k])
+            k += 1
+        if best >= 0:
+            out.append((covered, reach, int(source[best]), covered + int(shift[best])))
+            covered = reach
+    table = np.array(out, np.int64).reshape(-1, 4)
+    return dict(zip(("lo", "hi", "source", "at"), table.T, strict=True))
 
 
 FACTOR = {"lo": pa.int32(), "hi": pa.int32(), "source": pa.int64(), "at": pa.int32()}

@@ -314,10 +314,48 @@ def test_substrings_on_shuffled_passages(spark, seed):
             assert any(" ".join(o.split()[f.lo : f.hi]) in told for o in own)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_factors_are_the_longest_matches(seed):
+    rng, window = np.random.default_rng(seed), 10
+    parts = {c: [] for c in ("lo", "hi", "source", "at")}
+    lo = 0
+    for _ in range(rng.integers(1, 25)):
+        lo += int(rng.integers(0, 3) * rng.integers(1, 12))
+        n, source = int(rng.integers(1, 8)), int(rng.integers(1, 4))
+        for c, v in zip(parts, (lo, lo + n - 1, source, lo + 100 * source), strict=True):
+            parts[c].append(v)
+        lo += n
+    ranges = {c: np.array(v, np.int64) for c, v in parts.items()}
+    got = substrings.factors(ranges, window)
+    held = sorted(zip(*(ranges[c].tolist() for c in parts), strict=True))
+    want = {w for a, z, _, _ in held for w in range(a, z + window)}
+    words_ = [w for a, z in zip(got["lo"], got["hi"], strict=True) for w in range(a, z)]
+    assert len(words_) == len(set(words_)) and set(words_) == want
+    for a, z, s, at in zip(*(got[c].tolist() for c in parts), strict=True):
+        cover = {w for b, y, t, place in held if t == s and place - b == at - a for w in range(b, y + window)}
+        assert set(range(a, z)) <= cover and z not in cover
+        for t in (1, 2, 3):  # no other source reaches further from here
+            other = {w for b, y, u, _ in held if u == t for w in range(b, y + window)}
+            reach = a
+            while reach in other:
+                reach += 1
+            assert reach <= z
+
+
+def test_a_passage_of_one_document_is_one_factor(spark):
+    from tests.llm.conftest import prose
+
+    passage, other = prose(40, 900).split(), prose(41, 300).split()
+    docs = [(3, " ".join(other[:80] + passage[400:465] + other[80:200])), (7, " ".join(passage)), (9, " ".join(other[200:] + passage[100:800]))]
+    got = {r.doc_id: r for r in substrings.remove_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(f.lo, f.hi, f.source, f["at"]) for f in got[9].factors] == [(100, 800, 7, 100)]
+    assert [(f.lo, f.hi, f.source, f["at"]) for f in got[7].factors] == [(400, 465, 3, 80)]
+
+
 def test_factors_extend_along_the_reference():
     same = {"lo": np.array([0, 3, 4, 20, 21, 5]), "hi": np.array([2, 3, 4, 20, 30, 9]), "source": np.array([7, 7, 7, 7, 8, 7]), "at": np.array([10, 13, 14, 90, 0, 55])}
     got = substrings.factors(same, 50)
-    assert [tuple(map(int, x)) for x in zip(*got.values(), strict=True)] == [(0, 54, 7, 10), (54, 59, 7, 104), (59, 70, 7, 129), (70, 80, 8, 49)]
+    assert [tuple(map(int, x)) for x in zip(*got.values(), strict=True)] == [(0, 54, 7, 10), (54, 80, 8, 33)]  # of three matches that go on there the one that reaches furthest
 
 
 # 4. Top-k
