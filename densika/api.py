@@ -272,11 +272,36 @@ def export(result: dict[str, DataFrame], folders: DataFrame, models: DataFrame,
     files.write_lines(residues.select(F.concat(place, F.lit("_residues.csv")).alias("path"), turn.alias("turn"), "value"), root, header)
     scored = structures.scored_lines(models, result["atoms"].select("stem", "chain", "resnum", "icode", "atom", "score"), by=["stem"])
     files.write_lines(scored.join(folders, "stem").select(F.concat(place, F.lit("_scored.pdb")).alias("path"), F.col("atom_id").alias("turn"), "value"), root)
+    plots(result, folders, root)
     named = result["summary"].withColumnRenamed("threshold", "significance_snr_threshold").join(folders, "stem")
     told = F.to_json(F.struct(*[c for c in named.columns if c != "folder"]), {"ignoreNullFields": "false"})
     files.write_lines(named.select(F.concat(place, F.lit("_summary.json")).alias("path"), F.lit(0).alias("turn"), told.alias("value")), root)
 
 
+def plots(result: dict[str, DataFrame], folders: DataFrame, root: str, usual: float = Scoring().aggregation.opia_threshold) -> None:
+    """Each crystal's residue profile and, if it has any, its waters by support, as SVG in its folder.
+
+    Waters are measured by the crystal's threshold, without one by ``usual``.
+    """
+    place = F.concat("folder", F.lit("/"), "stem")
+
+    def profile(pdf: pd.DataFrame) -> bytes:
+        ordered = pdf.sort_values(["chain", "resnum", "icode"])["residue_score"].tolist()
+        return report.profile_svg(list(enumerate(ordered, 1)), f"Residues of {pdf['stem'].iloc[0]}").encode()
+
+    residues = result["residues"].join(folders, "stem").select(F.concat(place, F.lit("_profile.svg")).alias("path"), "stem", "chain", "resnum", "icode", "residue_score")
+    files.write_groups(residues.where("residue_score is not null"), profile, root)
+
+    def waters(pdf: pd.DataFrame) -> bytes:
+        rows = list(zip(pdf["rank"].tolist(), pdf["score"].tolist(), pdf["kept"].tolist(), strict=True))
+        return report.waters_svg(rows, float(pdf["least"].iloc[0]), f"Waters of {pdf['stem'].iloc[0]}").encode()
+
+    least = F.coalesce(F.col("threshold"), F.lit(usual))
+    ranked = report.ranked_waters(result["atoms"], usual, ["stem"]).join(result["summary"].select("stem", least.alias("least")), "stem").join(folders, "stem")
+    ranked = ranked.select(F.concat(place, F.lit("_waters.svg")).alias("path"), "stem", "rank", "score", "least", (F.col("score") >= F.col("least")).alias("kept"))
+    files.write_groups(ranked, waters, root)
+
+
 def first_maps(spark: SparkSession, found: list[workspace.Experiment], cap: int) -> tuple[list[tuple], list[Outcome]]:
     """Rows of the crystals' table from the headers of their maps, and crystals that have no map or unlike ones."""
     listed = {e.stem: e.map_files(cap) for e in found}
@@ -431,11 +456,19 @@ def screen_report(spark: SparkSession, root: str, errors: dict[str, str] | None
     An experiment without analysis has nulls, and the reason in ``error``.
     """
     found = workspace.experiments(spark, root)
-    rows = [(e.stem, str(e.original) if e.original else None, (errors or {}).get(e.stem)) for e in found]
-    experiments = spark.createDataFrame(rows, "stem string, model string, error string")
-    results = report.collected(spark, experiments, found, ligand, reach)
-    ranked = report.screen_rank(results)
     out = Path(root)
+
+    def made(e: workspace.Experiment, name: str) -> str | None:
+        return os.path.abspath(e.root / name) if e.has(name) else None
+
+    rows = []
+    for e in found:
+        own = [made(e, f"analyse_results/{e.stem}_{name}") for name in ("scored.pdb", "profile.svg", "waters.svg")]
+        rows.append((e.stem, str(e.original) if e.original else None, (errors or {}).get(e.stem), os.path.abspath(e.root), *own))
+    experiments = spark.createDataFrame(rows, "stem string, model string, error string, folder string, scored string, profile string, waters string")
+    results = report.collected(spark, experiments, found, ligand, reach)
+    viewer = F.when(F.col("model").isNotNull() | (F.size("snr_maps") > 0) | (F.size("mean_maps") > 0), F.concat(F.lit(f"{os.path.abspath(out)}/metadata/"), "stem", F.lit("_view.py")))
+    ranked = report.screen_rank(results.withColumn("viewer", viewer))
     (out / "metadata").mkdir(parents=True, exist_ok=True)
     report.write_html(ranked, out / "index.html")
     (out / "metadata" / "screen_summary.json").write_text(report.screen_summary(results).toJSON().first(), encoding="utf-8")

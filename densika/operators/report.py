@@ -6,12 +6,13 @@ import html
 import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from densika.functions.curves import badge, distance, safe_float, safe_int
+from densika.functions.curves import badge, colour, distance, safe_float, safe_int
 from densika.operators.scoring import WATERS
 from densika.operators.spatial import HYDROGENS, bounding_box, range_join, symmetry_images, xyz
 from densika.sources import maps, parameters
@@ -75,9 +76,10 @@ def ligand_centroid(atoms: DataFrame, ligand: str = "LIG", by: Sequence[str] = (
 
 
 def ligand_scores(residues: DataFrame, scores: DataFrame, ligand: str = "LIG", by: Sequence[str] = ()) -> DataFrame:
-    """The first ligand residue's score with all ligand atoms, as a sorted list."""
+    """The first ligand residue's score with all ligand atoms, as a sorted list with the colours of their scores."""
+    own = [c for c in ("chain", "resnum", "atom") if c in scores.columns]
     first = residues.where(F.upper("resname") == ligand.upper()).groupBy(*by).agg(F.min_by("residue_score", F.struct("chain", "resnum", "icode")).alias("residue_score"))
-    atoms = scores.where(F.upper("resname") == ligand.upper()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("atom_id", "score"))).alias("atoms"))
+    atoms = scores.where(F.upper("resname") == ligand.upper()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("atom_id", "score", colour(F.col("score")).alias("colour"), *own))).alias("atoms"))
     return first.join(atoms, list(by), "full") if by else first.crossJoin(atoms)  # one row each
 
 
@@ -153,27 +155,72 @@ def waters_svg(waters: Sequence[tuple[int, float, bool]], threshold: float, titl
     return _svg(f"{line}{dots}<text x='500' y='14'>threshold {threshold:.2f}: keep {kept}, remove {len(waters) - kept}</text>", title)
 
 
-STYLE = ".green{background:#dfd}.yellow{background:#ffd}.red{background:#fdd}"
+STYLE = ".green{background:#dfd}.yellow{background:#ffd}.red{background:#fdd}.more td{padding:0 1em}details table{display:inline-table;margin:0 2em 1em 0;vertical-align:top}.pill{border-radius:1em;background:#eee;padding:0 .6em}"
+#: Columns with one path each, shown as links of that name.
+LINKS = {"folder": "folder", "model": "model", "reflections": "reflections", "scored": "scored model", "profile": "residue profile", "waters": "waters", "viewer": "viewer script"}
+
+
+def _link(path: str, label: str) -> str:
+    return f"<a href='{quote('file://' + path if path.startswith('/') else path, safe=':/')}' title='{html.escape(path, quote=True)}'>{html.escape(label)}</a>"
+
+
+def links(row: dict) -> str:
+    """Of an experiment's files: those of ``LINKS``, and each of its maps."""
+    out = [_link(row[c], label) for c, label in LINKS.items() if row.get(c)]
+    for kind in ("snr", "mean"):
+        paths = row.get(f"{kind}_maps") or []
+        out += [_link(p, f"{kind} map" if len(paths) == 1 else f"{kind} map {n}") for n, p in enumerate(paths, 1)]
+    return " ".join(out)
+
+
+def _table(heads: Sequence[str], rows: Iterable[str]) -> str:
+    return f"<table><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in heads)}</tr>{''.join(rows)}</table>"
+
+
+def neighbourhood(row: dict) -> str:
+    """How many residues of each kind are around the ligand, and which."""
+    near = row.get("neighbours")
+    if not near:
+        return ""
+    pills = " ".join(f"<span class='pill'>{row.get(c) or 0} {label}</span>" for c, label in (("n_protein", "protein"), ("n_water", "water"), ("n_other", "other")))
+    rows = (f"<tr>{''.join(f'<td>{html.escape(str(n[c]))}</td>' for c in ('chain', 'resname', 'resnum', 'category'))}</tr>" for n in near)
+    return f"<p>{pills}</p>{_table(('Chain', 'Residue', 'Number', 'Kind'), rows)}"
+
+
+def ligand_table(row: dict) -> str:
+    """The ligand's atoms with their scores, in the colours of these."""
+    atoms = row.get("atoms")
+    if not atoms:
+        return ""
+
+    def line(a: dict) -> str:
+        name = " ".join(str(a[c]) for c in ("chain", "resnum", "atom") if a.get(c) is not None) or str(a["atom_id"])
+        score = "N/A" if a["score"] is None else f"{a['score']:.4f}"
+        return f"<tr><td>{html.escape(name)}</td><td style='background:{a.get('colour') or '#FFFFFF'}'>{score}</td></tr>"
+
+    return _table(("Ligand atom", "Score"), map(line, atoms))
 
 
 def html_pages(names: Sequence[str], rows: Iterable[dict], title: str = "Screen report") -> Iterator[str]:
-    """A page in parts: a table of all rows, one at a time."""
+    """A page in parts: a table of all experiments, one at a time, each with its files and what is around its ligand."""
 
     def cell(v: object) -> str:
         return f"<td>{html.escape('N/A' if v is None else f'{v:.4f}' if isinstance(v, float) else str(v))}</td>"
 
-    head = "".join(f"<th>{html.escape(n)}</th>" for n in names)
+    head = "".join(f"<th>{html.escape(n)}</th>" for n in [*names, "files"])
     yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{STYLE}</style></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>\n"
     for r in rows:
-        yield f"<tr class='{r.get('badge', 'none')}'>{''.join(cell(r[n]) for n in names)}</tr>\n"
+        more = neighbourhood(r) + ligand_table(r)
+        more = f"<tr class='more'><td colspan='{len(names) + 1}'><details><summary>ligand of {html.escape(str(r.get('stem', '')))}</summary>{more}</details></td></tr>" if more else ""
+        yield f"<tr class='{r.get('badge', 'none')}'>{''.join(cell(r[n]) for n in names)}<td>{links(r)}</td></tr>{more}\n"
     yield "</table></body></html>"
 
 
 def write_html(ranked: DataFrame, path: str | Path, title: str = "Screen report") -> None:
     """All experiments by rank; they pass the driver one partition after the other."""
-    names = [f.name for f in ranked.schema if not isinstance(f.dataType, (ArrayType, StructType))]
+    names = [f.name for f in ranked.schema if not isinstance(f.dataType, (ArrayType, StructType)) and f.name not in LINKS]
     with Path(path).open("w", encoding="utf-8") as out:
-        for part in html_pages(names, (r.asDict() for r in ranked.orderBy("rank").toLocalIterator()), title):
+        for part in html_pages(names, (r.asDict(recursive=True) for r in ranked.orderBy("rank").toLocalIterator()), title):
             out.write(part)
 
 
