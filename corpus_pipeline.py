@@ -3,6 +3,8 @@
 Low-quality documents go, one document of every group of near-duplicates stays, documents contaminated by
 the benchmark go, secrets are cut out of the texts, and sources are mixed to their target weights.  The last
 stage adds ``repeats``, how often the mix takes a document; documents it takes no time are left out.
+
+Texts of any length are judged whole.  Of an empty table every stage makes an empty one with the same columns.
 """
 
 from __future__ import annotations
