@@ -153,6 +153,11 @@ def with_values(points: DataFrame, grid: DataFrame, dims: Sequence, factors: Seq
     """Adds ``value``: the periodic map's node, or between nodes the trilinear mean of the eight around.
 
     ``dims`` and ``factors`` are numbers, or columns of ``points``; ``grid`` then has its own ``dims``, an array.
+    Points that are nodes by number meet them directly, others their bricks.
     """
+    if all(isinstance(f, int) and f == 1 for f in factors):
+        nodes = grid.select(*by, *[F.col(g).alias(f"_{g}") for g in "ijk"], F.col("value").cast("double").alias("value"))
+        keys = {f"_{g}": F.pmod(F.col(p), n if isinstance(n, Column) else F.lit(n)).cast("int") for g, p, n in zip("ijk", "uvw", dims, strict=True)}
+        return points.withColumns(keys).join(nodes, [*by, "_i", "_j", "_k"]).drop("_i", "_j", "_k")
     sizes = [F.lit(n) for n in dims] if not any(isinstance(n, Column) for n in dims) else [F.get("dims", F.lit(a)) for a in range(3)]
     return bricks.looked_up(points, bricks.packed(grid, sizes, by), [F.lit(n) if not isinstance(n, Column) else n for n in dims], factors, by)
