@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from densika.functions.curves import badge, colour, distance, safe_float, safe_int
+from densika.functions.curves import badge, colour, safe_float, safe_int
 from densika.operators.scoring import WATERS
-from densika.operators.spatial import HYDROGENS, bounding_box, range_join, symmetry_images, xyz
+from densika.operators.spatial import HYDROGENS, bounding_box, groups_near, symmetry_images
 from densika.sources import maps, parameters
 from densika.sources.files import local_path
 from densika.sources.structures import IMAGES, read_structures, read_symmetry
@@ -50,10 +50,8 @@ def ligand_neighbours(atoms: DataFrame, radius: float = 10.0, ligand: str = "LIG
         # Ligands are few: theirs are the images, brought to where the model's atoms are.
         images = symmetry_images(around, crystals, radius, by, bounding_box(heavy.where(~is_ligand), crystals, by))
         around = around.unionByName(images.select(*by, "x", "y", "z"))
-    pairs = range_join(heavy.where(~is_ligand), around, radius, by)
-    near = pairs.where(distance(xyz("a_"), xyz("b_")) <= radius)
-    names = [*by, "chain", "resnum", "resname"]
-    return near.select(*[F.col(f"a_{c}").alias(c) for c in names]).distinct().withColumn("category", category(F.col("resname")))
+    near = groups_near(heavy.where(~is_ligand), around, radius, [*by, "chain", "resnum", "resname"], by)
+    return near.withColumn("category", category(F.col("resname")))
 
 
 def neighbour_counts(near: DataFrame, by: Sequence[str] = ()) -> DataFrame:

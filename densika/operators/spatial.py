@@ -47,6 +47,31 @@ def range_join(left: DataFrame, right: DataFrame, edge: float, by: Sequence[str]
     return one.join(two, on).drop(*[f"_{n}{i}" for n in ("cell", "near") for i in range(3)])
 
 
+def groups_near(left: DataFrame, right: DataFrame, radius: float, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct ``keys`` of ``left``, ``by`` among them, that have a point within ``radius`` of one of ``right``.
+
+    As only one such point matters, crowded places are settled without pairs of points: two of one cell of half the
+    radius are always near, and for what is left the bounds of the points in a cell mostly tell.  Only where a
+    sphere cuts through these bounds are points compared, and only for groups that nothing else has settled.
+    """
+    cells = [f"_fine{i}" for i in range(3)]
+    on, edge = [*by, *cells], radius / 2
+    points, others = (df.select(*names, *XYZ, *[c.alias(n) for n, c in zip(cells, _cells(edge, xyz()), strict=True)]) for df, names in ((left, keys), (right, by)))
+    bounds = [f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in XYZ]
+    boxes = others.groupBy(*on).agg(*bounds).withColumns({c: (F.col(n) + 0.5) * edge for c, n in zip(XYZ, cells, strict=True)})
+    shared = points.join(boxes.select(*on), on, "left_semi").select(*keys).distinct()
+    pairs = range_join(points.join(shared, list(keys), "left_anti").select(*keys, *XYZ), boxes, radius, by)
+    low, high = xyz("b_low_"), xyz("b_high_")
+    nearest = tuple(F.least(F.greatest(a, b), c) for a, b, c in zip(xyz("a_"), low, high, strict=True))
+    furthest = tuple(F.when(F.abs(a - b) > F.abs(a - c), b).otherwise(c) for a, b, c in zip(xyz("a_"), low, high, strict=True))
+    within = distance(xyz("a_"), furthest) <= radius
+    sure = pairs.where(within).select(*[F.col(f"a_{k}").alias(k) for k in keys]).distinct()
+    cut = pairs.where(~within & (distance(xyz("a_"), nearest) <= radius))
+    cut = cut.select(*[F.col(f"a_{k}").alias(k) for k in keys], *[F.col(f"a_{c}") for c in XYZ], *[F.col(f"b_{c}").alias(c) for c in cells])
+    compared = cut.join(sure, list(keys), "left_anti").join(others, on).where(distance(xyz("a_"), xyz()) <= radius).select(*keys)
+    return shared.unionByName(sure).unionByName(compared).distinct()
+
+
 FRACTIONS = ("fa", "fb", "fc")
 
 
