@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from densika import api
 from densika.functions import student_t
 from densika.functions.cell import Cell
-from densika.sources import files, sink, workspace
+from densika.sources import files, maps, sink, workspace
 from tests.test_api import crystal_at
 from tests.test_operators import workspace_at
 
@@ -103,3 +104,18 @@ def test_faulty_crystals_don_t_repeat_the_others(spark, tmp_path, monkeypatch):
     assert calls == [["x1", "x2", "x3", "x4"]]
     table = tmp_path / "quantify_table" / "k_1.0_cap_2"
     assert [len(list(d.glob("*.parquet"))) for d in table.glob("stem=*")] == [1]
+
+
+def test_nodes_near_the_origin_need_no_grid(spark, tmp_path):
+    """Few reflections of large indices make a grid of thousands of GB, of which only the asked nodes are worked out."""
+    columns, cell = [("H", "H"), ("K", "H"), ("L", "H"), ("FWT", "F"), ("PHWT", "P")], Cell(10.0, 11.0, 12.0)
+    rows = [(h, k, l, 10 + (7 * h + 5 * k + 3 * l) % 11, (40 * h + 70 * k + 110 * l) % 360) for h in range(-2, 4) for k in range(4) for l in range(1, 4)]
+    for operators in (["X,Y,Z"], ["X,Y,Z", "-X,Y+1/2,-Z"]):
+        table, cell_ = maps.parse_mtz(maps.format_mtz(columns, np.array(rows), cell, operators))[1:3]
+        whole = maps.density(table, columns, cell_, operators)
+        assert np.allclose(maps.density_near_origin(table, columns, cell_, operators, (3, 99, 2)), whole[:3, :, :2], atol=1e-6)
+    (tmp_path / "x_7.mtz").write_bytes(maps.format_mtz(columns, np.array([*rows, (2000, 1999, 2001, 5, 90)]), cell))
+    got = maps.read_mtz_maps(spark, str(tmp_path), workspace.map_keys(), box=(3, 3, 2)).collect()
+    assert len(got) == 18 and {(r.stem, r.map_id) for r in got} == {("x", 7)}
+    at_origin = sum(2 * f * math.cos(math.radians(phi)) for *_, f, phi in [*rows, (0, 0, 0, 5, 90)]) / cell.volume()
+    assert next(r.value for r in got if r.i == r.j == r.k == 0) == pytest.approx(at_origin, abs=1e-6)
