@@ -286,3 +286,17 @@ def test_scripts():
     text = jobs.array_script(Slurm(partition="p"), 7, "run", "m.txt", after="12")
     assert "--array=1-7" in text and "--partition=p" in text and "afterok:12" in text
     assert jobs.chain_script(["a.sh", "b.sh"]).count("sbatch") == 2
+
+
+def test_serials_of_six_digits_and_more(spark, tmp_path):
+    """They move the columns behind them, which mean the same all the same."""
+    from densika.sources import structures
+
+    rows = [(n, "ATOM" if n % 2 else "HETATM", n, "C1", "", "ALA", "A", 7, "", 1.5, -2.25, n / 1000, 1.0, "C") for n in (7, 99_999, 100_000, 1_234_567)]
+    names = "atom_id long, record string, serial long, atom string, altloc string, resname string, chain string, resnum int, icode string, x double, y double, z double, occupancy double, element string"
+    none = spark.createDataFrame([], "chain string, resnum int, icode string, atom string, score double")
+    lines = structures.scored_lines(spark.createDataFrame(rows, names), none).orderBy("atom_id").collect()
+    (tmp_path / "m.pdb").write_text("\n".join(r.value for r in lines))
+    got = structures.read_pdb(spark, str(tmp_path / "m.pdb")).select("serial", "record", "atom", "resname", "chain", "resnum", "x", "y", "z", "occupancy", "element").orderBy("serial").collect()
+    assert [tuple(r) for r in got] == [(r[2], r[1], "C1", "ALA", "A", 7, 1.5, -2.25, r[2] / 1000, 1.0, "C") for r in rows]
+    assert not structures.model_faults(spark, {"m": str(tmp_path / "m.pdb")}).collect()
