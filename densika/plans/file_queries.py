@@ -6,9 +6,11 @@ import os
 import sqlite3
 import tempfile
 import uuid
+from contextlib import closing
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,15 +109,27 @@ def mmcif_round_trip(s: SparkSession, d: str) -> DataFrame:
     return rounded(got.select("serial", "record", "atom", "resname", "chain", "resnum", "x", "y", "z"), "x", "y", "z", digits=3)
 
 
+ROWS_A_DATABASE = 50_000
+
+
 @query
 def screening_sqlite(s: SparkSession, d: str) -> DataFrame:
-    path = f"{folder(s, 'sqlite')}/s.sqlite"
-    rows = _screening(s, d).orderBy("row")
+    """Databases of so many rows each, made where the rows are, and read in their order."""
+    out = folder(s, "sqlite")
+    rows = _screening(s, d)
     names = rows.columns[1:]
-    with sqlite3.connect(path) as db:
-        db.execute(f"CREATE TABLE mainTable ({', '.join(names)})")
-        db.executemany(f"INSERT INTO mainTable VALUES ({', '.join('?' * len(names))})", (tuple(r)[1:] for r in rows.toLocalIterator()))
-    return screening.from_sqlite(s, path, "URGENT, HIGH", cap=500)
+
+    def database(pdf: pd.DataFrame) -> bytes:
+        with closing(sqlite3.connect(":memory:")) as db:
+            db.execute(f"CREATE TABLE mainTable ({', '.join(names)})")
+            ordered = pdf.sort_values("row")[names].astype(object)
+            db.executemany(f"INSERT INTO mainTable VALUES ({', '.join('?' * len(names))})", ordered.where(ordered.notna(), None).itertuples(index=False, name=None))
+            db.commit()
+            return db.serialize()
+
+    part = F.format_string("%012d", F.floor(F.col("row") / ROWS_A_DATABASE))
+    files.write_groups(rows.withColumn("path", F.concat(F.lit(f"{out}/"), part, F.lit(".sqlite"))), database, out)
+    return screening.from_sqlite(s, out, "URGENT, HIGH", cap=500)
 
 
 @query

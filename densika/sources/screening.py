@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,33 +68,43 @@ def best_pairs(table: DataFrame, name: str = "CrystalName", refined: tuple[str,
     return rows.select(F.col(name).alias("id"), "_pair.pdb", "_pair.mtz")
 
 
+def _databases(path: str) -> list[str]:
+    """The file itself, or the sorted databases of a folder."""
+    return sorted(str(p) for p in Path(path).glob("*.sqlite")) if Path(path).is_dir() else [path]
+
+
 class _SqliteReader(DataSourceReader):
     def __init__(self, path: str, table: str, names: list[str], size: int):
         self.path, self.table, self.names, self.size = path, table, names, size
 
     def partitions(self) -> list[InputPartition]:
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            last = db.execute(f'SELECT max(rowid) FROM "{self.table}"').fetchone()[0] or 0
-        return [InputPartition((lo, lo + self.size)) for lo in range(0, last + 1, self.size)]
+        out = []
+        for number, path in enumerate(_databases(self.path)):
+            with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                last = db.execute(f'SELECT max(rowid) FROM "{self.table}"').fetchone()[0] or 0
+            out += [InputPartition((number, path, lo, lo + self.size)) for lo in range(0, last + 1, self.size)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        lo, hi = partition.value
+        number, path, lo, hi = partition.value
         columns = ", ".join(f'"{n}"' for n in self.names)
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
             for row in db.execute(f'SELECT rowid, {columns} FROM "{self.table}" WHERE rowid >= ? AND rowid < ? ORDER BY rowid', (lo, hi)):
-                yield (str(row[0]).zfill(18), *(None if v is None else str(v) for v in row[1:]))
+                yield (f"{number:09d}{row[0]:018d}", *(None if v is None else str(v) for v in row[1:]))
 
 
 class SqliteSource(DataSource):
-    """All rows of a table as strings, by ranges of row ids; ``row`` keeps their order."""
+    """All rows of a table as strings, by ranges of row ids; ``row`` keeps their order, in a folder that of its databases before it."""
 
     @classmethod
     def name(cls) -> str:
         return "densika_sqlite"
 
     def _names(self) -> list[str]:
-        table = self.options.get("table", "mainTable")
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
+        table, found = self.options.get("table", "mainTable"), _databases(self.options["path"])
+        if not found:
+            raise FileNotFoundError(f"no database in {self.options['path']}")
+        with closing(sqlite3.connect(f"file:{found[0]}?mode=ro", uri=True)) as db:
             return [r[1] for r in db.execute(f'PRAGMA table_info("{table}")')]
 
     def schema(self) -> StructType:

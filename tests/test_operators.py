@@ -288,6 +288,26 @@ def test_scripts():
     assert jobs.chain_script(["a.sh", "b.sh"]).count("sbatch") == 2
 
 
+def test_databases_of_a_folder_are_read_in_order(spark, tmp_path):
+    import sqlite3
+
+    for name, rows in (("002", [("c", "r", "m"), ("d", "r", "m")]), ("010", [("a", "r", "m")]), ("001", [("e", "r", "m"), ("b", None, "m")])):
+        with sqlite3.connect(tmp_path / f"{name}.sqlite") as db:
+            db.execute("CREATE TABLE mainTable (CrystalName, RefinementPDB_latest, RefinementMTZ_latest, DimplePathToPDB, DimplePathToMTZ)")
+            db.executemany("INSERT INTO mainTable VALUES (?,?,?,NULL,NULL)", rows)
+    assert [r.id for r in screening.from_sqlite(spark, str(tmp_path), cap=3).collect()] == ["e", "c", "d"]
+    assert sorted(r.id for r in screening.from_sqlite(spark, str(tmp_path)).collect()) == ["a", "c", "d", "e"]
+
+
+def test_screening_databases_aren_t_made_by_the_driver(spark, sf_dir, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from densika.plans import queries
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows to the driver"))
+    assert queries.queries()["screening_sqlite"](spark, sf_dir).count() > 0
+
+
 def test_serials_of_six_digits_and_more(spark, tmp_path):
     """They move the columns behind them, which mean the same all the same."""
     from densika.sources import structures
