@@ -106,10 +106,47 @@ def typed_summaries(raw: DataFrame) -> DataFrame:
     return raw.select("stem", *[safe_float(F.col(c)).alias(c) if kind == "f" else safe_int(F.col(c)).alias(c) for c, kind in (("opia", "f"), ("mean_atom_score", "f"), ("n_atoms", "i")) if c in raw.columns])
 
 
-def screen_rank(results: DataFrame) -> DataFrame:
-    """Best experiment first, failed ones last.  One row an experiment, so one sorted partition."""
-    order = Window.orderBy(F.col("opia").desc_nulls_last(), "stem")
-    return results.select("*", F.row_number().over(order).alias("rank"), badge(F.col("opia"), *OPIA_BADGE).alias("badge"))
+#: Experiments that one task ranks, and that one page shows.
+RANK_ROWS, PAGE_ROWS = 250_000, 20_000
+
+
+def screen_rank(results: DataFrame, n: int | None = None) -> DataFrame:
+    """Best experiment first, failed ones last; ``n`` is their number, where it is known.
+
+    A large screen is cut into ranges of that order, which tasks number each for itself from where the range begins.
+    """
+    order = F.col("opia").desc_nulls_last(), F.col("stem")
+    parts = -(-(results.count() if n is None else n) // RANK_ROWS)
+    if parts < 2:
+        rank = F.row_number().over(Window.orderBy(*order))
+        return results.select("*", rank.alias("rank"), badge(F.col("opia"), *OPIA_BADGE).alias("badge"))
+    bounds = _bounds(results.select("opia", "stem"), order, parts, n)
+    ranged = results.withColumn("_range", _range(bounds, 0, len(bounds)))
+    held = dict(ranged.groupBy("_range").count().toLocalIterator())  # a row a range
+    before = F.array(*[F.lit(sum(held.get(j, 0) for j in range(i))) for i in range(len(bounds) + 1)])
+    rank = F.get(before, F.col("_range")) + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.select(*results.columns, rank.cast("int").alias("rank"), badge(F.col("opia"), *OPIA_BADGE).alias("badge"))
+
+
+def _bounds(keys: DataFrame, order: Sequence[Column], parts: int, n: int | None) -> list[tuple]:
+    """Keys that cut the order into about equal ranges, from a sample: any bounds give the same ranks."""
+    share = min(1.0, 100 * parts / (n or keys.count()))
+    some = [tuple(r) for r in keys.sample(share, 1).orderBy(*order).toLocalIterator()]  # about 100 rows a range
+    return list(dict.fromkeys(some[len(some) * i // parts] for i in range(1, parts))) if some else []
+
+
+def _range(bounds: Sequence[tuple], low: int, high: int) -> Column:
+    """How many of the sorted ``bounds`` aren't behind a row, by bisection."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    opia, stem = bounds[middle]
+    first = F.col("stem") < stem
+    if opia is None:
+        earlier = F.col("opia").isNotNull() | first
+    else:
+        earlier = F.coalesce((F.col("opia") > F.lit(opia)) | ((F.col("opia") == F.lit(opia)) & first), F.lit(False))
+    return F.when(earlier, _range(bounds, low, middle)).otherwise(_range(bounds, middle + 1, high))
 
 
 def screen_summary(results: DataFrame) -> DataFrame:

@@ -35,3 +35,14 @@ def test_plots_of_each_crystal(spark, tmp_path):
     assert len(line) == 3 and heights[0] < heights[1] < heights[2]  # A 9, A 10, B 1
     page = ET.parse(tmp_path / "x1/x1_waters.svg").getroot()
     assert "keep 1, remove 1" in "".join(page.itertext()) and len(page.findall("{*}circle")) == 2
+
+
+def test_ranges_rank_as_one_partition_does(spark, monkeypatch):
+    """Ties, nulls and infinities too, and no window over all rows."""
+    rows = [(f"s{n * 37 % 500:03d}", None if n % 7 == 0 else float("-inf") if n % 11 == 0 else (n * 13 % 23) / 23) for n in range(500)]
+    df = spark.createDataFrame(rows, "stem string, opia double").repartition(5)
+    plain = {r.stem: r["rank"] for r in report.screen_rank(df).collect()}
+    monkeypatch.setattr(report, "RANK_ROWS", 40)
+    got = report.screen_rank(df)
+    assert {r.stem: r["rank"] for r in got.collect()} == plain and sorted(plain.values()) == list(range(1, 501))
+    assert got.schema["rank"].dataType.simpleString() == "int" and "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
