@@ -46,3 +46,18 @@ def test_ranges_rank_as_one_partition_does(spark, monkeypatch):
     got = report.screen_rank(df)
     assert {r.stem: r["rank"] for r in got.collect()} == plain and sorted(plain.values()) == list(range(1, 501))
     assert got.schema["rank"].dataType.simpleString() == "int" and "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_screen_has_several_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "PAGE_ROWS", 20)
+    df = spark.createDataFrame([(f"x{n}", None if n == 3 else n / 100, n if n % 2 else None, ["/a.ccp4"], [{"chain": "A", "resname": "ALA", "resnum": n, "category": "protein"}]) for n in range(50)], "stem string, opia double, n int, snr_maps array<string>, neighbours array<struct<chain:string,resname:string,resnum:int,category:string>>")
+    (tmp_path / "index_4.html").write_text("of a larger screen")
+    report.write_html(report.screen_rank(df), tmp_path / "index.html")
+    assert sorted(p.name for p in tmp_path.glob("*.html")) == ["index.html", "index_2.html", "index_3.html"]
+    text = [(tmp_path / n).read_text() for n in ("index.html", "index_2.html", "index_3.html")]
+    found = [re.findall("<tr class='(?:green|yellow|red|none)'><td>(x[0-9]+)</td>", t) for t in text]
+    assert [len(f) for f in found] == [20, 20, 10] and sum(found, []) == [r.stem for r in report.screen_rank(df).orderBy("rank").collect()]
+    assert "href='index_2.html'" in text[0] and "href='index.html'" in text[1] and "href='index_3.html'" in text[1] and "index_4" not in text[2]
+    assert "<td>x49</td><td>0.4900</td><td>49</td>" in text[0] and "<td>x3</td><td>N/A</td><td>3</td>" in text[2] and ">snr map<" in text[0]
+    report.write_html(report.screen_rank(df.where("false")), tmp_path / "none.html")
+    assert (tmp_path / "none.html").read_text().count("<tr>") == 1
