@@ -23,6 +23,7 @@ from densika.plans import analogues as A
 from densika.plans.queries import BOND_SCALE, CELL, SCORE_SCALE, _customers, _diagnosed, _omission_maps, _order, _scored_inputs, _screening, query, rounded
 from densika.sources import files, maps, parameters, screening, structures, workspace
 from densika.sources.events import EventLog
+from densika.sources.sink import write_files
 
 
 def folder(s: SparkSession, name: str) -> str:
@@ -166,17 +167,22 @@ def map_parameters(s: SparkSession, d: str) -> DataFrame:
 @query
 def experiment_discovery(s: SparkSession, d: str) -> DataFrame:
     """Experiments among folders that lack now the model, now the omissions, now the original."""
-    out = folder(s, "screen")
-    names = [f"x{r.s_suppkey}" for r in A.table(s, d, "supplier").select("s_suppkey").toLocalIterator()]
-    workspace.layout(out, names)
-    for name in names:
-        n = int(name[1:])
-        if n % 3:
-            files.put(f"{out}/{name}/processed/{name}_updated.{'cif' if n % 2 else 'pdb'}", b"\n")
-        if n % 4:
-            files.put(f"{out}/{name}/metadata/{name}_omission_map.json", b"{}")
-        if n % 5:
-            files.put(f"{out}/{name}/{name if n % 7 else 'other'}.pdb", b"\n")
+    out, n = folder(s, "screen"), F.col("s_suppkey")
+    rows = A.table(s, d, "supplier").select("s_suppkey", F.concat(F.lit("x"), n.cast("string")).alias("stem"))
+    rows = rows.repartition(4 * s.sparkContext.defaultParallelism, "s_suppkey")  # a small table has one part
+    if faults := workspace.layouts(rows, out).take(1):
+        raise OSError(faults[0].error)
+    root = F.concat(F.lit(f"{out}/"), "stem", F.lit("/"))
+
+    def file(there: Column, *name: Column | str, data: bytes = b"\n") -> Column:
+        return F.when(there, F.struct(F.concat(root, *name).alias("path"), F.lit(data).alias("data")))
+
+    made = F.array(
+        file(n % 3 != 0, F.lit("processed/"), "stem", F.when(n % 2 != 0, "_updated.cif").otherwise("_updated.pdb")),
+        file(n % 4 != 0, F.lit("metadata/"), "stem", F.lit("_omission_map.json"), data=b"{}"),
+        file(n % 5 != 0, F.when(n % 7 != 0, F.col("stem")).otherwise("other"), F.lit(".pdb")),
+    )
+    write_files(rows.select(F.explode(made).alias("f")).where("f is not null").select("f.*"), out)
     got = workspace.experiments_frame(s, out)
     last = {c: F.regexp_extract(c, "([^/]*)$", 1) for c in ("processed_pdb", "original_pdb", "omission_json")}
     return got.select("stem", *[c.alias(n) for n, c in last.items()])

@@ -132,8 +132,27 @@ def find_experiments(path: str | Path) -> Iterator[Experiment]:
 
 
 def experiments_frame(spark: SparkSession, path: str | Path) -> DataFrame:
-    rows = [(e.stem, str(e.root), str(e.processed), str(e.original or ""), str(e.omission_json)) for e in experiments(spark, path)]
-    return spark.createDataFrame(rows, "stem string, root string, processed_pdb string, original_pdb string, omission_json string")
+    """``experiments`` as a table, with an empty original where there is none; a screen's folders don't pass the driver."""
+    rows, top, schema = listing(spark, path), str(Path(path)), "stem string, root string, processed_pdb string, original_pdb string, omission_json string"
+    if not rows.where(F.col("below").startswith("processed/") | F.col("below").startswith("metadata/")).isEmpty():
+        return spark.createDataFrame([(e.stem, str(e.root), str(e.processed), str(e.original or ""), str(e.omission_json)) for e in experiments(spark, path)], schema)
+    inner = F.substring_index("below", "/", 1)
+    files = rows.where("below like '%/%'").select(inner.alias("stem"), F.substring("below", F.length(inner) + 2, F.length("below")).alias("name"))
+
+    def there(start: str, end: str) -> Column:
+        name = F.concat(F.lit(start), "stem", F.lit(end))
+        return F.max(F.when(F.col("name") == name, name))
+
+    def least(end: str) -> Column:
+        return F.min(F.when(F.col("name").endswith(end) & ~F.col("name").contains("/"), F.col("name")))
+
+    found = files.groupBy("stem").agg(
+        F.coalesce(*[there("processed/", f"_updated{e}") for e in MODEL_EXTENSIONS]).alias("processed"), there("metadata/", "_omission_map.json").alias("omission"),
+        F.coalesce(*[there("", e) for e in MODEL_EXTENSIONS], *map(least, MODEL_EXTENSIONS)).alias("original"),
+    )
+    root = F.concat(F.lit(f"{top}/"), "stem")
+    placed = [F.coalesce(F.concat(root, F.lit("/"), c), F.lit("")).alias(n) for c, n in (("processed", "processed_pdb"), ("original", "original_pdb"), ("omission", "omission_json"))]
+    return found.where("processed is not null and omission is not null").select("stem", root.alias("root"), *placed)
 
 
 def map_name(path: Column) -> list[Column]:
@@ -274,3 +293,14 @@ def layout(root: str | Path, crystals: list[str]) -> list[tuple[str, str | None]
         except OSError as fault:
             out.append((name, str(fault)))
     return out
+
+
+def layouts(names: DataFrame, root: str | Path) -> DataFrame:
+    """``layout`` of the crystals ``stem``, by the tasks that have their names: ``(stem, error)`` of those that can't be made."""
+    place = str(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([x for x in layout(place, pdf["stem"].tolist()) if x[1]], columns=["stem", "error"]).astype(object)
+
+    return names.select("stem").mapInPandas(run, "stem string, error string")
