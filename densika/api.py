@@ -229,7 +229,7 @@ def score_models(grid: DataFrame, atoms: DataFrame, crystals: DataFrame, cfg: Sc
     grid = grid.join(more.select("stem", "dims"), "stem")
     stats = F.col("level"), F.col("spread")
     bonded = spatial.bonds(atoms, cfg.bond_tolerance, spatial.largest_covalent(atoms), by)
-    proteins = scoring.protein_scores(held.where("not is_water"), held, grid, bonded, stats, CellOf(), dims, most, cfg, by, fine, carry)
+    proteins = scoring.protein_scores(held, grid, stats, CellOf(), dims, cfg, by, fine, carry)
     waters = scoring.water_scores(held.where("is_water"), grid, stats, CellOf(), dims, cfg, by, fine, carry)
     scores = held.drop(*carry).join(proteins.unionByName(waters), ["stem", "atom_id"])
     support, missing = (F.coalesce(F.col("threshold"), F.lit(x)) for x in (own.opia_threshold, own.missing_density_threshold))

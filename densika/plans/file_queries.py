@@ -374,7 +374,7 @@ def normal_points(s: SparkSession, d: str) -> DataFrame:
 
 
 def _waters(s: SparkSession, d: str, cfg: Scoring, level: tuple[float, float]) -> DataFrame:
-    a, _, grid = _scored_inputs(s, d)
+    a, grid = _scored_inputs(s, d)
     got = scoring.water_scores(a.where("is_water"), grid, level, CELL, A.DIMS, cfg)
     return rounded(got, "score").select("atom_id", "score", "n_grid_points")
 
