@@ -106,3 +106,22 @@ def test_scores_make_no_pairs_of_points_and_neighbours(spark):
     assert got.count() == 3000 and got.select("score").distinct().count() <= 10
     _, met, _ = _shared(atoms, ["stem"])
     assert met.count() <= 10 * 27
+
+
+def test_query_with_copies_is_its_sql(spark, tmp_path):
+    """Half of the vectors at one place and the others close around it."""
+    import duckdb
+
+    from densika.plans import oracles, queries
+
+    r = random.Random(6)
+    rows = [(n, [0.01] * 6 if n % 2 else [r.gauss(0, 0.02) for _ in range(6)], r.randrange(10)) for n in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("ownership_share", "atom_score"):
+        found = con.sql(oracles.oracle_sql()[name])
+        names, want = found.columns, sorted(found.fetchall())
+        got = sorted(map(tuple, queries.queries()[name](spark, str(tmp_path)).select(*names).collect()))
+        assert len(got) == len(want) > 0
+        assert all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want, strict=True))
