@@ -274,7 +274,7 @@ def _scored_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def ownership_share(s: SparkSession, d: str) -> DataFrame:
     placed = scoring.places(_scored_inputs(s, d)[0])
     met = spatial.sphere_blocks(scoring.sites(placed), CELL, A.DIMS)
-    shared = scoring.ownership(spatial.block_points(met, CELL, A.DIMS), met)
+    shared = scoring.ownership(spatial.block_points(met, CELL, A.DIMS).select(*spatial.BLOCK, *scoring.POINT), met)
     sums = shared.groupBy("site").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
     return rounded(scoring.of_atoms(sums, placed), "share")
 

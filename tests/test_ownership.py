@@ -95,6 +95,49 @@ def test_slices_hold_all_counts(monkeypatch):
     assert seen == [(i, k) for i, n in enumerate(counts) for k in range(n)]
 
 
+def _crowd(counts, radii):
+    """What ``_shares`` takes: grid points of blocks, each with so many sites around its middle."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    nodes = np.stack(np.meshgrid(*[np.arange(8) * 0.7] * 3, indexing="ij"), -1).reshape(-1, 3)
+    points = np.concatenate([nodes + (6.0 * b, 0, 0) for b in range(len(counts))])
+    at = np.concatenate([r.normal(2.5, 0.8, (k, 3)) + (6.0 * b, 0, 0) for b, k in enumerate(counts)])
+    total = len(at)
+    covalent = np.where(np.arange(total) % 5 == 0, np.nan, r.choice([0.7, 1.1], total))
+    size = np.repeat(counts, len(nodes))
+    first = np.repeat(np.cumsum(counts) - counts, len(nodes))
+    return tuple(at.T), tuple(points.T), first, size, r.choice(radii, total), covalent, 1.0 + np.arange(total) % 3, np.arange(total) % 7 != 3, BUFFER, TOLERANCE
+
+
+@pytest.mark.parametrize("radii", [(1.2, 1.38), (0.9, 3.4)])
+def test_pieces_of_any_size_give_the_same_shares(monkeypatch, radii):
+    import numpy as np
+
+    given = _crowd((3, 60, 0, 60), radii)
+    whole = [np.concatenate(c) for c in zip(*scoring._shares(*given), strict=True)]
+    for pairs in (1, 40, 5000):  # a point at a time in strips of its matrix, some points of a block, several blocks
+        monkeypatch.setattr(scoring, "PAIRS", pairs)
+        pieces = [np.concatenate(c) for c in zip(*scoring._shares(*given), strict=True)]
+        assert all(a.tolist() == b.tolist() for a, b in zip(pieces[:3], whole[:3], strict=True))
+        assert pieces[3] == pytest.approx(whole[3], abs=1e-12)
+    assert len(set(whole[3].round(3))) > 100
+
+
+def test_crowded_blocks_take_no_more_memory():
+    import tracemalloc
+
+    peaks = []
+    for n in (500, 4000):
+        given = _crowd((n,), (1.2, 1.38))
+        tracemalloc.start()
+        for piece in scoring._shares(*given):
+            del piece
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
+
+
 def test_scores_make_no_pairs_of_points_and_neighbours(spark):
     """Crowded atoms: no join of the plan is on an atom's neighbours or bonds, and copies of an atom are one site."""
     at = [("s", n, 3 + (n % 10) / 50, 3.0, 3.0, "C", 1.38, False) for n in range(3000)]
