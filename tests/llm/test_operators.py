@@ -425,6 +425,20 @@ def test_reading_stops_early(k):
     assert held.sum() <= free.sum() and held[np.argmax(spread.x @ asked[2])].all()
 
 
+def test_readings_that_exclude_nothing_are_few(monkeypatch):
+    """Random directions leave nearly all candidates until half of the lists is read; a floor needs no order of lower bounds."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-500, 500, (4096, 64))
+    lists = topk.Lists(np.arange(4096), x)
+    asked, own = x[:20] + rng.integers(-9, 9, (20, 64)), np.arange(20)
+    found = lists.best(own, asked, 10)
+    assert len([d for d, _ in lists.reads if d <= 2048]) <= 5
+    monkeypatch.setattr(np, "partition", None)
+    floor = np.array([float(scores[-1]) for _, scores in found])
+    for (ids, scores), (again, same) in zip(found, lists.best(own, asked, 10, floor), strict=True):
+        assert ids.tolist() == again.tolist() and scores.tolist() == same.tolist()
+
+
 def test_scores_beyond_64_bits_are_refused(spark):
     df = spark.createDataFrame([(100, [1e6] * 64), (2, [1.0] * 64)], "vec_id long, embedding array<float>")
     with pytest.raises(Exception, match="may not fit 64 bits"):
