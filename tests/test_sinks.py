@@ -119,3 +119,26 @@ def test_nodes_near_the_origin_need_no_grid(spark, tmp_path):
     assert len(got) == 18 and {(r.stem, r.map_id) for r in got} == {("x", 7)}
     at_origin = sum(2 * f * math.cos(math.radians(phi)) for *_, f, phi in [*rows, (0, 0, 0, 5, 90)]) / cell.volume()
     assert next(r.value for r in got if r.i == r.j == r.k == 0) == pytest.approx(at_origin, abs=1e-6)
+
+
+def test_whole_maps_by_parts(spark, tmp_path, monkeypatch, frame):
+    """All nodes come, whatever the parts, as one transform has them; so they do from the query."""
+    monkeypatch.setattr(maps, "VOXELS_A_BATCH", 50)
+    columns = [("H", "H"), ("K", "H"), ("L", "H"), ("FWT", "F"), ("PHWT", "P")]
+    rng = np.random.default_rng(3)
+    rows = [(*rng.integers(-4, 5, 3), rng.uniform(1, 9), rng.uniform(0, 360)) for _ in range(60)] + [(1, 2, 3, np.nan, 0.0)]
+    for operators, cell in ((["X,Y,Z", "-X,Y+1/2,-Z"], Cell(11, 12, 13, 90, 100, 90)), (["X,Y,Z"], Cell(9, 14, 10, 80, 95, 105))):
+        data = maps.format_mtz(columns, np.array(rows), cell, operators)
+        table, read = maps.parse_mtz(data)[1:3]
+        whole, found = maps.density(table, columns, read, operators), {}
+        for slab in range(5):
+            for i, first, values in maps.density_rows(table, columns, read, operators, slab, 5):
+                found |= {(i, first + j): v for j, v in enumerate(values)}
+        assert sorted(found) == list(np.ndindex(whole.shape[:2]))
+        assert np.allclose(np.array([found[at] for at in sorted(found)]).reshape(whole.shape), whole, atol=1e-6)
+    (tmp_path / "x_7.mtz").write_bytes(data)
+    got = maps.read_mtz_nodes(spark, str(tmp_path), workspace.map_keys()).collect()
+    assert len(got) == whole.size and {(r.stem, r.map_id) for r in got} == {("x", 7)}
+    assert all(abs(r.value - whole[r.i, r.j, r.k]) < 1e-6 for r in got)
+    at = frame("mtz_maps_by_nation").groupBy("stem", "nw").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("k").alias("k")).collect()
+    assert at and all(r.n == (r.i + 1) * (r.j + 1) * (r.k + 1) and r.k + 1 == r.nw for r in at)
