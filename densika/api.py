@@ -165,7 +165,7 @@ def voxel_positions(crystals: DataFrame) -> DataFrame:
 
 
 def quantify_crystals(maps_: DataFrame, crystals: DataFrame, omissions: DataFrame | None, atoms: DataFrame | None, k: float = 1.0, n_maps: int = 50) -> DataFrame:
-    """``(stem, i, j, k, mean, std, snr)`` of the ensembles ``(stem, map_id, i, j, k, value)`` of all crystals in one plan.
+    """``(stem, i, j, k, mean, std, snr)`` of the ensembles ``(stem, map_id, i, j, k, value)`` of all crystals in one plan, or packed ones ``(stem, i, j, k, vals)``.
 
     ``omissions`` are ``(stem, key, map_ids)``; ``k`` 0 skips the bias.
     """
@@ -370,8 +370,7 @@ def _quantify_batch(spark: SparkSession, root: str, batch: list[workspace.Experi
     if not good:
         return faults
     crystals = crystal_table(spark, heads)
-    voxels = maps.read_mtz_maps(spark, [str(p) for e in good for p in e.map_files(cap).values()], workspace.map_keys())
-    voxels = voxels.select("i", "j", "k", "value", "stem", "map_id")
+    voxels = maps.read_mtz_ensembles(spark, [str(p) for e in good for p in e.map_files(cap).values()], cap)
     models = structures.read_structures(spark, {e.stem: str(e.processed) for e in good})
     held = workspace.read_omissions(spark, [str(e.omission_json) for e in good])
     held = held.select(F.regexp_extract(files.local_path(F.col("path")), "([^/]*)_omission_map[.]json$", 1).alias("stem"), "key", "map_ids")

@@ -138,8 +138,8 @@ def bias_table(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def quantify(ensemble: DataFrame, owners: DataFrame | None, omission: DataFrame | None, keys: Sequence[str], n_maps: int, missing: str = "zero") -> DataFrame:
-    """``(keys, mean, std, snr)`` of every voxel; without owners the plain statistics."""
-    voxels = packed(ensemble, keys, n_maps, missing)
+    """``(keys, mean, std, snr)`` of every voxel; without owners the plain statistics.  ``ensemble`` may be ``packed`` already."""
+    voxels = ensemble if "vals" in ensemble.columns else packed(ensemble, keys, n_maps, missing)
     if owners is None or omission is None:
         return stats(voxels, keys)
     voxels = with_schedules(voxels, owners, omission, keys, n_maps)

@@ -20,6 +20,8 @@ from densika.sources import files
 VOXELS_A_BATCH = 100_000
 #: Parts of a map that tasks of their own make, where a map is not a task's unit.
 SLABS = 32
+#: Neighbouring voxels that a map hands on as one row.
+VOXELS_A_ROW = 4096
 _LATTICE = ["edges", "orth", "frac", "dims"]
 #: Map amplitude labels, in order of priority, with their phases.
 MAP_LABELS = (
@@ -336,6 +338,48 @@ def read_mtz_nodes(spark: SparkSession, path: str | list[str], keys: Mapping[str
     return dealt.mapInArrow(run, f"{named}, i int, j int, k int, value double")
 
 
+def read_mtz_ensembles(spark: SparkSession, path: str | list[str], n_maps: int) -> DataFrame:
+    """``(stem, i, j, k, vals)``: the voxels of the crystals' maps below ``n_maps``, by position; a missing map is all zero.
+
+    A file's voxels are shuffled many to a row, and meet those of the crystal's other maps as such; all are of one grid.
+    """
+    held = spark.read.format("binaryFile").load(path).select("path", "content")
+    name = r"([^/]*)_([0-9]+)[.]mtz$"
+    plain = files.local_path(F.col("path"))
+    held = held.select(F.regexp_extract(plain, name, 1).alias("stem"), F.regexp_extract(plain, name, 2).cast("int").alias("map_id"), "content").where(F.col("map_id") < n_maps)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                columns, table, cell, operators = parse_mtz(batch.column("content")[n].as_py())
+                values = density(table, columns, cell, operators)
+                flat, told = values.ravel(), [batch.column(c)[n] for c in ("stem", "map_id")] + [pa.scalar(x, pa.int32()) for x in values.shape[1:]]
+                for first in range(0, flat.size, VOXELS_A_ROW * 64):
+                    some = flat[first : first + VOXELS_A_ROW * 64]
+                    ends = np.append(np.arange(0, some.size, VOXELS_A_ROW), some.size)
+                    parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(some))
+                    yield pa.RecordBatch.from_arrays([*[pa.repeat(x, len(parts)) for x in told], pa.array(first + ends[:-1]), parts], ["stem", "map_id", "nv", "nw", "first", "part"])
+
+    rows = held.mapInArrow(cut, "stem string, map_id int, nv int, nw int, first long, part array<float>")
+    together = rows.groupBy("stem", "nv", "nw", "first").agg(F.collect_list(F.struct("map_id", "part")).alias("maps"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                held_ = batch.column("maps")[n].values
+                numbers, parts = held_.field("map_id").to_pylist(), held_.field("part")
+                vals = np.zeros((len(parts[0]), n_maps))
+                for m, number in enumerate(numbers):
+                    vals[:, number] = parts[m].values.to_numpy()
+                nv, nw, first = (batch.column(c)[n].as_py() for c in ("nv", "nw", "first"))
+                voxel = first + np.arange(len(vals))
+                at = [pa.array(x.astype(np.int32)) for x in (voxel // (nv * nw), voxel // nw % nv, voxel % nw)]
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(vals) + 1, dtype=np.int32) * n_maps), pa.array(vals.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("stem")[n], len(vals)), *at, listed], ["stem", "i", "j", "k", "vals"])
+
+    return together.mapInArrow(spread, "stem string, i int, j int, k int, vals array<double>")
+
+
 def read_mtz_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Of MTZ files ``path``, cell, map grid, finest resolution, space group and operators; ``error`` of those without a map."""
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from densika import api
 from densika.functions import student_t
 from densika.functions.cell import Cell
+from densika.operators import ensemble
 from densika.sources import files, maps, sink, workspace
 from tests.test_api import crystal_at
 from tests.test_operators import workspace_at
@@ -142,3 +143,18 @@ def test_whole_maps_by_parts(spark, tmp_path, monkeypatch, frame):
     assert all(abs(r.value - whole[r.i, r.j, r.k]) < 1e-6 for r in got)
     at = frame("mtz_maps_by_nation").groupBy("stem", "nw").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("k").alias("k")).collect()
     assert at and all(r.n == (r.i + 1) * (r.j + 1) * (r.k + 1) and r.k + 1 == r.nw for r in at)
+
+
+def test_ensembles_are_read_packed(spark, tmp_path, monkeypatch):
+    """As from single voxels, whatever the maps' order and rows; a missing map is all zero, one from the cap on is not read."""
+    monkeypatch.setattr(maps, "VOXELS_A_ROW", 100)
+    columns, cell = [("H", "H"), ("K", "H"), ("L", "H"), ("FWT", "F"), ("PHWT", "P")], Cell(10.0, 11.0, 12.0)
+    for stem, numbers in (("x", (0, 1, 3, 7)), ("y_2", (0, 2))):
+        for m in numbers:
+            rows = [(h, k, l, m + (7 * h + 5 * k + 3 * l) % 11, (40 * h + 70 * k + 110 * l) % 360) for h in range(3) for k in range(4) for l in range(1, 3 + len(stem) % 2)]
+            (tmp_path / f"{stem}_{m}.mtz").write_bytes(maps.format_mtz(columns, np.array(rows), cell))
+    keys = ["stem", "i", "j", "k"]
+    want = {tuple(r)[:4]: r.vals for r in ensemble.packed(maps.read_mtz_maps(spark, str(tmp_path), workspace.map_keys()), keys, 5).collect()}
+    got = maps.read_mtz_ensembles(spark, str(tmp_path), 5).select(*keys, "vals").collect()
+    assert len(got) == len(want) and {tuple(r)[:4]: r.vals for r in got} == want
+    assert {len(v) for v in want.values()} == {5} and len({k[0] for k in want}) == 2
