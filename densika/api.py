@@ -334,6 +334,7 @@ def unreadable(spark: SparkSession, found: list[workspace.Experiment]) -> dict[s
     return out | {r.stem: r.error for r in held.select(stem.alias("stem"), "error").toLocalIterator()}
 
 
+@files.few_listing_tasks
 def run_quantification(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | None = 50, force: bool = False, n_null: int = 20_000, seed: int = 0) -> DataFrame:
     """Signal, noise, their ratio and p-values of all experiments under ``root``; ``(stem, path, error)``.
 
@@ -388,12 +389,13 @@ def _quantify_batch(spark: SparkSession, root: str, batch: list[workspace.Experi
     fitted = spark.createDataFrame([(s, p["df"], p["loc"], p["scale"]) for s, p in params.items()], "stem string, df double, loc double, scale double")
     full = student_t.p_values(snr, fitted, ["stem"])
     folders = spark.createDataFrame([(e.stem, str(e.quantify_dir / f"k_{k}_cap_{cap}")) for e in good], "stem string, folder string")
-    for name in ("mean", "std", "p_value", "snr"):
-        path = F.concat("folder", F.lit("/"), "stem", F.lit(f"_{name}.ccp4"))
-        maps.write_ccp4(full.join(folders, "stem").select("stem", path.alias("path"), "i", "j", "k", F.coalesce(F.col(name), F.lit(0.0)).cast("float").alias("value")), crystals, os.path.abspath(root))
+    placed = crystals.join(folders, "stem")
+    for names in (["mean", "std", "p_value"], ["snr"]):
+        maps.write_ccp4_maps(full, placed, names, os.path.abspath(root))
     return faults + [(e.stem, str(e.quantify_dir / f"k_{k}_cap_{cap}" / f"{e.stem}_snr.ccp4"), None) for e in good]
 
 
+@files.few_listing_tasks
 def run_analysis(spark: SparkSession, root: str, k: float = 1.0, n_maps: int | None = 50, alpha: float = 0.05, map_path: str | None = None, model_path: str | None = None, cfg: Scoring | None = None, ligand: str = "LIG", reach: float = 10.0, table: DataFrame | None = None) -> DataFrame:
     """Scores of all experiments in ``analyse_results`` of each, then the report; ``(stem, path, error)``.
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densika.sources.sink import write_files
@@ -22,6 +23,22 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
+def few_listing_tasks(stage: Callable) -> Callable:
+    """Readers of many paths list them in a few tasks for each core while ``stage`` runs, not in a task for each path."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+    @wraps(stage)
+    def run(spark: SparkSession, *args, **kwargs):
+        before = spark.conf.get(name)
+        spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+        try:
+            return stage(spark, *args, **kwargs)
+        finally:
+            spark.conf.set(name, before)
+
+    return run
+
+
 def put(path: str, data: bytes) -> None:
     """One file from the driver, written beside its place and renamed."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)

@@ -129,6 +129,25 @@ def write_ccp4(voxels: DataFrame, crystals: DataFrame, root: str, by: str = "ste
     files.write_groups(voxels.join(crystals.select(by, "dims", "cell", "spacegroup"), by), content, root)
 
 
+def write_ccp4_maps(voxels: DataFrame, crystals: DataFrame, names: list[str], root: str, by: str = "stem") -> None:
+    """CCP4 files ``<folder>/<by>_<name>.ccp4``, under ``root``, of the columns ``names``, as of ``write_ccp4``; a null is 0.
+
+    ``crystals`` have a ``folder``. What is one value a crystal meets its voxels once, not in each row.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for name in names if len(rows) and len(told) else []:
+            out = np.zeros(tuple(told["dims"].iloc[0]), np.float32)
+            out[rows["i"], rows["j"], rows["k"]] = rows[name]
+            made.append((f"{told['folder'].iloc[0]}/{key[0]}_{name}.ccp4", format_ccp4(out, Cell(*told["cell"].iloc[0]), int(told["spacegroup"].iloc[0]))))
+        return pd.DataFrame(made, columns=["path", "data"])
+
+    values = voxels.select(by, "i", "j", "k", *[F.coalesce(F.col(n), F.lit(0.0)).cast("float").alias(n) for n in names])
+    both = values.groupBy(by).cogroup(crystals.select(by, "folder", "dims", "cell", "spacegroup").groupBy(by))
+    files.write_files(both.applyInPandas(run, "path string, data binary"), root)
+
+
 def ccp4_files(voxels: DataFrame, by: str, cell: Cell, dims: tuple[int, int, int]) -> DataFrame:
     """``(by, content)``: a CCP4 file of each group of ``(i, j, k, value)``; a group is one crystal's map."""
 

@@ -158,3 +158,26 @@ def test_ensembles_are_read_packed(spark, tmp_path, monkeypatch):
     got = maps.read_mtz_ensembles(spark, str(tmp_path), 5).select(*keys, "vals").collect()
     assert len(got) == len(want) and {tuple(r)[:4]: r.vals for r in got} == want
     assert {len(v) for v in want.values()} == {5} and len({k[0] for k in want}) == 2
+
+
+def test_stages_list_files_in_few_tasks(spark, tmp_path):
+    """Neither by a task for each path, nor with the session's setting changed for good."""
+    paths = []
+    for n in range(80):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "a.txt").write_text("x")
+        paths.append(str(tmp_path / str(n) / "a.txt"))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, sc = spark.conf.get(name), spark.sparkContext
+
+    @files.few_listing_tasks
+    def stage(spark_, some):
+        sc.setJobGroup("listing", "")
+        read = spark_.read.text(some)
+        sc.setJobGroup("other", "")
+        return read, spark_.conf.get(name)
+
+    read, inside = stage(spark, paths)
+    tracker = sc.statusTracker()
+    tasks = [tracker.getStageInfo(i).numTasks for j in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(j).stageIds]
+    assert max(tasks) <= int(inside) == 4 * sc.defaultParallelism < 80 and spark.conf.get(name) == before and read.count() == 80
