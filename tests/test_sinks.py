@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from densika import api
 from densika.functions import student_t
 from densika.functions.cell import Cell
 from densika.operators import ensemble
+from densika.plans import file_queries
 from densika.sources import files, maps, sink, workspace
 from tests.test_api import crystal_at
 from tests.test_operators import workspace_at
@@ -181,3 +183,19 @@ def test_stages_list_files_in_few_tasks(spark, tmp_path):
     tracker = sc.statusTracker()
     tasks = [tracker.getStageInfo(i).numTasks for j in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(j).stageIds]
     assert max(tasks) <= int(inside) == 4 * sc.defaultParallelism < 80 and spark.conf.get(name) == before and read.count() == 80
+
+
+def test_exported_tables_are_worked_out_once(spark, monkeypatch):
+    """What goes into several files is stored, and gone when all are written."""
+    root, seen, export = file_queries._screen(spark), {}, api.export
+
+    def looked_at(result, folders, models, out):
+        seen.update({n: df._jdf.queryExecution().optimizedPlan().toString() for n, df in {**result, "models": models}.items()})
+        export(result, folders, models, out)
+
+    monkeypatch.setattr(api, "export", looked_at)
+    api.run_quantification(spark, root, n_maps=4, n_null=50)
+    done = {r.stem: r.error for r in api.run_analysis(spark, root, n_maps=4).collect()}
+    assert done["x1"] is None and set(seen) == {"atoms", "residues", "summary", "models"}
+    assert not [n for n, plan in seen.items() if "Join" in plan or "Aggregate" in plan]
+    assert not [p for p in os.listdir(root) if p.startswith("_")]
